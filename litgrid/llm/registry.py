@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litgrid.llm import substring_dedup
+from litgrid.llm import decontamination, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_benchmark_decontamination": decontamination.op5_benchmark_decontamination,
         "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_substring_dedup": substring_dedup.ORACLE}
+    return {
+        "op5_benchmark_decontamination": decontamination.ORACLE,
+        "op8_substring_dedup": substring_dedup.ORACLE,
+    }
