@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litgrid.llm import decontamination, simhash, substring_dedup
+from litgrid.llm import decontamination, simhash, substring_dedup, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
         "op5_benchmark_decontamination": decontamination.op5_benchmark_decontamination,
+        "op6_token_counts": token_counts.op6_token_counts,
         "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     }
 
