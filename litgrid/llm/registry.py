@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litgrid.llm import decontamination, simhash, substring_dedup, token_counts
+from litgrid.llm import decontamination, quality, simhash, substring_dedup, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
         "op5_benchmark_decontamination": decontamination.op5_benchmark_decontamination,
         "op6_token_counts": token_counts.op6_token_counts,
+        "op7_quality_classifier": quality.op7_quality_classifier,
         "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     }
 
