@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litgrid.llm import decontamination, quality, simhash, substring_dedup, token_counts
+from litgrid.llm import decontamination, quality, sharding, simhash, substring_dedup, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_hilbert_sharding": sharding.op3_hilbert_sharding,
         "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
         "op5_benchmark_decontamination": decontamination.op5_benchmark_decontamination,
         "op6_token_counts": token_counts.op6_token_counts,
