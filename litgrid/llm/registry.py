@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litgrid.llm import decontamination, quality, sharding, simhash, substring_dedup, suffix_dedup, token_counts
+from litgrid.llm import decontamination, pieces, quality, sharding, simhash, substring_dedup, suffix_dedup, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_array_dedup": suffix_dedup.op1_suffix_array_dedup,
+        "op2_sentencepiece": pieces.op2_sentencepiece,
         "op3_hilbert_sharding": sharding.op3_hilbert_sharding,
         "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
         "op5_benchmark_decontamination": decontamination.op5_benchmark_decontamination,
