@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litgrid.llm import decontamination, pieces, pitman_yor, quality, sharding, simhash, substring_dedup, suffix_dedup, token_counts
+from litgrid.llm import decontamination, neighbours, pieces, pitman_yor, quality, sharding, simhash, substring_dedup, suffix_dedup, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_token_counts": token_counts.op6_token_counts,
         "op7_quality_classifier": quality.op7_quality_classifier,
         "op8_substring_dedup": substring_dedup.op8_substring_dedup,
+        "op9_cross_polytope_neighbours": neighbours.op9_cross_polytope_neighbours,
         "op10_pitman_yor_lm": pitman_yor.op10_pitman_yor_lm,
     }
 
