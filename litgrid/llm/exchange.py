@@ -186,4 +186,5 @@ def _paired(texts: DataFrame, replies: DataFrame, f: Callable[[pa.Table, pa.Tabl
 
 
 def answered(messages: DataFrame, buckets: Buckets, shared: bool = False) -> DataFrame:
-    return messages.groupBy("dest").applyInArrow(answers(buckets, shared), MESSAGE)
+    """Answers to one round; their own exchange lets all later rounds read the same ones instead of making them again."""
+    return messages.groupBy("dest").applyInArrow(answers(buckets, shared), MESSAGE).repartition("dest")
