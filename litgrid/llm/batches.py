@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from litgrid.session import ready_workers
 
@@ -24,7 +25,7 @@ def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = PIECE_BYTES
             yield batch.slice(a, b - a)
 
 
-def map_texts(docs: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, prepare: Callable[[], object] | None = None) -> DataFrame:
+def map_texts(docs: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, prepare: Callable[[], object] | None = None) -> DataFrame:
     """f over pieces of the rows. With `prepare`, its result, made once a task, is the second argument of f."""
     ready_workers(docs.sparkSession)
 

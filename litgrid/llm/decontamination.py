@@ -183,11 +183,7 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: i
     Null and empty texts have no words and give a row without hits; items without words match nothing; an empty items
     table gives rows without hits. Repeated documents each give a row. An item with a null id is matched as 'null'.
     """
-    rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("k"), "text")
-    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    blocks = _blocks(rows, size, window, block_words)
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(blocks)
+    shared = docs.sparkSession.sparkContext.broadcast(automata(items, window, block_words))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         w, hit, own = hits(as_bytes(batch.column("text")), shared.value)
@@ -196,8 +192,9 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: i
     return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, HITS)
 
 
-def _blocks(rows: DataFrame, size: int, window: int, block_words: int) -> list[Automaton]:
+def automata(items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> list[Automaton]:
     """Automata of items with block_words words at most each, or of a single item; a word has two bytes at least with its separator."""
+    rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("k"), "text").orderBy("k", "text")
     blocks: list[Automaton] = []
     held: list[tuple[str, bytes]] = []
     words = 0
@@ -237,9 +234,19 @@ def _row(batch: pa.RecordBatch, w: Words, hit: np.ndarray, items: list[set[str]]
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage: float = 0.5) -> DataFrame:
-    """Documents without the spans found, and without the documents of which the spans are more than max_coverage of the words; the columns are doc_id and text."""
-    found = find(docs, items, window)
-    return found.where(F.col("n_hit") <= F.col("n_words") * F.lit(max_coverage)).select("doc_id", F.col("clean_text").alias("text"))
+    """The rows of docs, with all their columns, without the spans found in their texts; rows of which the spans are more than max_coverage of the words are left out. Other texts stay as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(automata(items, window))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        w, hit, own = hits(as_bytes(batch.column("text")), shared.value)
+        if not hit.any():
+            return batch
+        found = _row(pa.record_batch([pa.nulls(batch.num_rows, pa.int64()), batch.column("text")], names=["doc_id", "text"]), w, hit, own)
+        n, n_hit = (found.column(x).to_numpy() for x in ("n_words", "n_hit"))
+        at = batch.schema.get_field_index("text")
+        return batch.set_column(at, batch.schema.field(at), found.column("clean_text").cast(batch.schema.field(at).type)).filter(pa.array(n_hit <= n * max_coverage))
+
+    return map_texts(docs, run, docs.schema)
 
 
 def op5_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

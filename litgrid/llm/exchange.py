@@ -31,13 +31,14 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
 
 
-def in_batches(docs: DataFrame, total: int, batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """Rows as (batch, order, text). Rows that agree in id and text share a batch, others are spread evenly."""
+def in_batches(docs: DataFrame, total: int, batch_bytes: int = BATCH_BYTES, *keep: str) -> DataFrame:
+    """Rows as (batch, order, text) and the columns named, as keep0 and so on. Rows that agree in id and text share a batch, others are spread evenly."""
     n = max(1, math.ceil(total / batch_bytes))
     return docs.select(
         F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("batch"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("order"),
         "text",
+        *(F.col(f"`{k}`").alias(f"keep{i}") for i, k in enumerate(keep)),
     )
 
 
@@ -160,7 +161,7 @@ def by_round(table: pa.Table) -> dict[int, dict[int, bytes]]:
 
 
 def sorted_batch(table: pa.Table) -> pa.Table:
-    return table.select(["batch", "order", "text"]).sort_by([("order", "ascending"), ("text", "ascending")])
+    return table.sort_by([("order", "ascending"), ("text", "ascending")])
 
 
 def table_of(rows: list[dict], schema: pa.Schema) -> pa.Table:

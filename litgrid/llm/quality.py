@@ -156,6 +156,16 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, folds: in
     return scored.select("doc_id", (_fold(F.col("doc_id"), folds) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores at least the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batch: pa.RecordBatch, pair: tuple) -> pa.RecordBatch:
+        return batch.filter(pa.array(shared.value.score(difference(as_bytes(batch.column("text")), pair)) >= threshold))
+
+    return map_texts(docs, run, docs.schema, lambda: shared.value.compressors())
+
+
 def op7_quality_classifier(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))

@@ -274,5 +274,11 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFram
     return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("component") < NO_ID, F.col("component")).alias("component_id"))
 
 
+def keep_one(docs: DataFrame, size: int = 5, radius: int = 3) -> DataFrame:
+    """The rows of docs, with all their columns, that have the smallest doc_id of their component, one row of each; rows without an id stay."""
+    kept = near_duplicates(docs, size, radius).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+
+
 def op4_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

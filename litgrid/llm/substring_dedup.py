@@ -33,13 +33,14 @@ def _windows(table: pa.Table, size: int, buckets: X.Buckets) -> tuple[Words, np.
     return w, starts, X.Distinct(h[starts], order[w.doc[starts]], buckets)
 
 
-def remove_repeats(docs: DataFrame, size: int = SIZE, batch_bytes: int = X.BATCH_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = SIZE, batch_bytes: int = X.BATCH_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
     """Texts without the words that repeat an earlier document.
 
     docs: doc_id, text; other columns are not read. Words are maximal runs without ASCII white space, unchanged.
     A word is removed if a window of `size` words of its document covers it whose words also follow each other in a
     document with a smaller doc_id; windows are judged on the input. Returns for each row doc_id, n_words, n_removed,
-    spans (maximal removed runs of words, end exclusive), kept_text (kept words joined by one space) and its sha256.
+    spans (maximal removed runs of words, end exclusive), kept_text (kept words joined by one space), its sha256, and the
+    columns named in `keep`.
 
     Null and empty texts have no words and come back empty. Texts shorter than a window stay whole. A null doc_id counts
     as later than every id; rows that share an id never remove from each other. Repeated rows each give a row.
@@ -47,7 +48,10 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, batch_bytes: int = X.BATCH
     ready_workers(docs.sparkSession)
     total = X.text_bytes(docs)
     buckets = X.Buckets(total // WORD_BYTES)
-    texts = X.in_batches(docs, total, batch_bytes)
+    carried = [k for k in keep if k != "text"]
+    texts = X.in_batches(docs, total, batch_bytes, *carried)
+    extra = [f"keep{i}" for i in range(len(carried))] + ["text"] * ("text" in keep)
+    schema = ", ".join([OUT, *(f"{n} {t}" for n, t in texts.dtypes if n in extra)])
 
     def send(table: pa.Table, _: dict) -> Iterator[dict]:
         _w, _s, distinct = _windows(table, size, buckets)
@@ -55,13 +59,17 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, batch_bytes: int = X.BATCH
 
     def last(table: pa.Table, replies: dict) -> pa.Table:
         if not table.num_rows:
-            return _ARROW.empty_table()
+            return pa.table({f.name: pa.array([], f.type) for f in [*_ARROW, *(f for f in table.schema if f.name in extra)]})
         w, starts, distinct = _windows(table, size, buckets)
         hit = starts[distinct.earlier(replies.get(0, {}))]
-        return _kept(table, w, covered(hit, size, len(w.starts)))
+        out = _kept(table, w, covered(hit, size, len(w.starts)))
+        for n in table.schema.names:
+            if n in extra:
+                out = out.append_column(n, table[n])
+        return out
 
     replies = X.answered(X.ask(texts, None, send), buckets)
-    return X.finish(texts, replies, last, OUT)
+    return X.finish(texts, replies, last, schema).withColumnsRenamed({f"keep{i}": k for i, k in enumerate(carried)})
 
 
 def _kept(table: pa.Table, w: Words, gone: np.ndarray) -> pa.Table:
