@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litgrid.plans import search
+from litgrid.plans import resolving, search
 
-MODULES = (search,)
+MODULES = (search, resolving)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
