@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litgrid.plans import resolving, search
+from litgrid.plans import budgets, related, resolving, search, texts
 
-MODULES = (search, resolving)
+MODULES = (search, resolving, related, texts, budgets)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
