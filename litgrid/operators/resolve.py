@@ -85,7 +85,7 @@ def parse_match_reply(line: Column) -> Column:
     parts = F.split(line, r"\|")
     key, told = F.trim(F.get(parts, F.lit(5))), F.trim(F.get(parts, F.lit(6)))
     many = told.rlike("(?i)^AMBIGUOUS")
-    ids = F.filter(F.transform(F.split(F.regexp_replace(told, "(?i)^AMBIGUOUS", ""), r"[,\s]+"), F.trim), lambda x: x.rlike(r"^\d+$"))
+    ids = F.filter(F.transform(F.split(F.regexp_replace(told, "(?i)^AMBIGUOUS", ""), r"[,\s]+"), lambda x: F.trim(x)), lambda x: x.rlike(r"^\d+$"))
     return F.struct(
         key.alias("key"),
         F.when(told.rlike(r"^\d+$"), "matched").when(many, "ambiguous").otherwise("not_found").alias("status"),
