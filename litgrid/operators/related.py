@@ -6,15 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+QUERY_BLOCK = 1000
+
+
 def linked(edges: DataFrame, src: str, dst: str, order: list[str]) -> DataFrame:
     """src, dst, pos: each record's distinct links but itself, by first appearance."""
     first = edges.where(F.col(dst).isNotNull() & (F.col(src) != F.col(dst))).groupBy(src, dst).agg(F.min(F.struct(*order)).alias("_at"))
     return first.select(F.col(src).alias("src"), F.col(dst).alias("dst"), F.row_number().over(Window.partitionBy(src).orderBy("_at", dst)).alias("pos"))
 
 
-def link_page(edges: DataFrame, src: str, dst: str, order: list[str], ids: list[int], offset: int, limit: int) -> DataFrame:
-    """A page of the links of a few records; the filter on the records reaches the scan."""
-    return linked(edges.where(F.col(src).isin(*ids)), src, dst, order).where(F.col("pos").between(offset + 1, offset + limit))
+def link_page(edges: DataFrame, src: str, dst: str, order: list[str], ids: list[int] | None, offset: int, limit: int) -> DataFrame:
+    """A page of the links of each record; with ids of these records only, a filter that reaches the scan."""
+    own = edges if ids is None else edges.where(F.col(src).isin(*ids))
+    return linked(own, src, dst, order).where(F.col("pos").between(offset + 1, offset + limit))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -27,16 +31,21 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def similar(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id, score: the k most similar vectors of a few queries, themselves left out.
+    """query_id, vec_id, score, pos: the k most similar vectors of each stated query, itself left out; ties by id.
 
-    The queries are a short list that the caller states; they are checked to be few before they are broadcast.
+    Queries are broadcast in blocks of about QUERY_BLOCK; every block meets all vectors, and the window keeps the best of
+    each task before it shuffles.
     """
-    if queries.limit(1001).count() > 1000:
-        raise ValueError("similar() takes at most 1000 queries at once")
-    pairs = vectors.join(F.broadcast(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))), F.col("vec_id") != F.col("query_id"))
-    scored = pairs.select("query_id", "vec_id", cosine(F.col("q"), F.col("embedding")).alias("score"))
+    blocks = -(-queries.count() // QUERY_BLOCK) or 1
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("pos", F.row_number().over(best)).where(F.col("pos") <= k)
+    out = None
+    for b in range(blocks):
+        own = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+        pairs = vectors.join(F.broadcast(own), F.col("vec_id") != F.col("query_id"))
+        scored = pairs.select("query_id", "vec_id", cosine(F.col("q"), F.col("embedding")).alias("score"))
+        top = scored.withColumn("pos", F.row_number().over(best)).where(F.col("pos") <= k)
+        out = top if out is None else out.unionAll(top)
+    return out
 
 
 def first_provider(asked: DataFrame, key: str, tiers: list[tuple[str, DataFrame, bool]]) -> DataFrame:

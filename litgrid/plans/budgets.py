@@ -21,7 +21,7 @@ def section_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda x: F.contains(F.lower(x), F.lit("the ")) | F.contains(F.lower(x), F.lit("der ")))
     n = F.size(kept)
-    return table(spark, sf_dir, "documents").select("doc_id", n.alias("n_kept"), ((n == 0) & (F.size(lines) > 0)).alias("filter_miss"), F.array_join(F.transform(kept, lambda x: F.substring(x, 1, 20)), "|").alias("heads"))
+    return table(spark, sf_dir, "documents").select("doc_id", n.alias("n_kept"), ((n == 0) & (F.size(lines) > 0)).alias("filter_miss"), F.md5(F.array_join(kept, "|").cast("binary")).alias("digest"))
 
 
 def max_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ HIT = "(contains(lower(x), 'the ') OR contains(lower(x), 'der '))"
 QUERIES = {f.__name__: f for f in (section_filter, max_sections, budget_truncate, budget_outline, budget_report, budget_fields)}
 ORACLES = {
     "section_filter": f"""
-        SELECT doc_id, CAST(len(k) AS INT) AS n_kept, len(k) = 0 AS filter_miss, coalesce(array_to_string(list_transform(k, lambda x: substring(x, 1, 20)), '|'), '') AS heads
+        SELECT doc_id, CAST(len(k) AS INT) AS n_kept, len(k) = 0 AS filter_miss, md5(coalesce(array_to_string(k, '|'), '')) AS digest
         FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: {HIT}) AS k FROM documents)""",
     "max_sections": f"WITH {SECTIONS} SELECT doc_id, ord, line FROM s WHERE ord < 3",
     "budget_truncate": f"WITH {SECTIONS}, {TRUNCATED} SELECT doc_id, ord, size, kept, substring(line, 1, kept) AS body FROM t",

@@ -12,7 +12,7 @@ from litgrid.sources.tables import table
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_set("l_suppkey")).alias("people"))
     person = lambda k: F.struct(F.concat(F.lit("Sup"), k.cast("string")).alias("last_name"), F.concat(F.lit("Ann-"), (k % 7).cast("string"), F.lit(" B")).alias("first_name"), F.when(k % 2 == 0, "AB").alias("initials"), F.when(k % 11 == 0, F.concat(F.lit("Group "), k.cast("string"))).alias("collective_name"))
-    orders = table(spark, sf_dir, "orders").where("o_orderkey <= 3000").join(lines, "o_orderkey", "left")
+    orders = table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left")
     key = F.col("o_orderkey")
     some = lambda n, c: F.when(key % n != 0, c)
     return orders.select(
@@ -56,10 +56,10 @@ a AS (SELECT o_orderkey AS k, CAST(o_orderkey AS VARCHAR) AS pmid, 'On 5% of ' |
     CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderkey % 40 AS VARCHAR) END AS volume, CASE WHEN o_orderkey % 2 <> 0 THEN CAST(o_orderkey % 12 AS VARCHAR) END AS issue,
     CASE WHEN o_orderkey % 7 <> 0 THEN (o_orderkey + 100) || CASE WHEN o_orderkey % 3 = 0 THEN '-9' ELSE '' END END AS pages,
     CASE WHEN o_orderkey % 10 <> 0 THEN CAST(year(o_orderdate) AS VARCHAR) END AS year, CASE WHEN o_orderkey % 6 <> 0 THEN '10.1/' || o_orderkey END AS doi,
-    CASE WHEN o_orderkey % 8 <> 0 THEN 'PMC' || o_orderkey END AS pmc FROM orders WHERE o_orderkey <= 3000),
+    CASE WHEN o_orderkey % 8 <> 0 THEN 'PMC' || o_orderkey END AS pmc FROM orders),
 n AS (SELECT l_orderkey AS k, l_suppkey AS s, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n,
     CASE WHEN l_suppkey % 11 = 0 THEN 'Group ' || l_suppkey END AS g, 'Sup' || l_suppkey AS last, 'Ann-' || (l_suppkey % 7) || ' B' AS first,
-    CASE WHEN l_suppkey % 2 = 0 THEN 'AB' ELSE 'AB' END AS ini FROM p WHERE l_orderkey <= 3000)"""
+    CASE WHEN l_suppkey % 2 = 0 THEN 'AB' ELSE 'AB' END AS ini FROM p)"""
 APA = f"""{BASE},
 l AS (SELECT k, max(n) AS n, list(coalesce(g, last || ', ' || left(ini, 1) || '. ' || right(ini, 1) || '.') ORDER BY i) AS x FROM n GROUP BY k),
 w AS (SELECT k, CASE WHEN n = 1 THEN x[1] WHEN n <= 20 THEN array_to_string(x[1:n - 1], ', ') || ', & ' || x[n] ELSE array_to_string(x[1:19], ', ') || ', ... ' || x[n] END AS who FROM l),

@@ -22,9 +22,9 @@ def _tagged(tag: str, c: Column, attributes: str = "") -> Column:
 
 
 def record_xml_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", F.regexp_replace(F.substring("text", 1, 60), r"\s+", " ").alias("head"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", F.regexp_replace("text", r"\s+", " ").alias("whole"))
     article = F.concat(
-        _tagged("ArticleTitle", _xml(F.trim("head"))),
+        _tagged("ArticleTitle", _xml(F.trim("whole"))),
         _tagged("Journal", F.concat(_tagged("ISSN", F.lit("1234-5678"), ' IssnType="Print"'), _tagged("Title", F.col("source")), F.lit("<JournalIssue><Volume>0"), (F.col("doc_id") % 7).cast("string"), F.lit("</Volume><PubDate><MedlineDate>Spring 19"), F.lpad((F.col("doc_id") % 90 + 10).cast("string"), 2, "0"), F.lit("</MedlineDate></PubDate></JournalIssue>"))),
         F.lit('<ELocationID EIdType="doi" ValidYN="N">10.0/old</ELocationID><ELocationID EIdType="doi" ValidYN="Y">10.1/'),
         F.col("doc_id").cast("string"),
@@ -71,11 +71,11 @@ def error_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.coalesce("code", F.lit("Unknown")).alias("code"), F.coalesce(F.col("code").isin("ServiceUnavailable", "Timeout", "RateLimited"), F.lit(False)).alias("retryable"), "hint", sanitise_error(message).alias("message"))
 
 
-HEAD = "trim(regexp_replace(substring(text, 1, 60), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
+WHOLE = "trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
 QUERIES = {f.__name__: f for f in (record_xml_roundtrip, jats_roundtrip, summary_roundtrip, json_decode, error_classify)}
 ORACLES = {
     "record_xml_roundtrip": f"""
-        SELECT doc_id, CAST(doc_id AS VARCHAR) AS pmid, {HEAD} AS title, source AS journal, '0' || (doc_id % 7) AS volume, '19' || lpad(CAST(doc_id % 90 + 10 AS VARCHAR), 2, '0') AS year,
+        SELECT doc_id, CAST(doc_id AS VARCHAR) AS pmid, {WHOLE} AS title, source AS journal, '0' || (doc_id % 7) AS volume, '19' || lpad(CAST(doc_id % 90 + 10 AS VARCHAR), 2, '0') AS year,
             '10.1/' || doc_id AS doi, 'PMC' || doc_id AS pmc_id, lang AS author, lang AS keywords, '1234-5678' AS issn, false AS parse_failed FROM documents""",
     "jats_roundtrip": r"""
         SELECT doc_id, 'PMC' || doc_id AS pmcid, 'research' AS article_type, CAST(len(l) AS INT) AS n_sections, md5(array_to_string(l, '|')) AS digest

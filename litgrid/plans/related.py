@@ -17,29 +17,29 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def related_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parts of orders as the references of records."""
-    return R.link_page(_edges(spark, sf_dir), "l_orderkey", "l_partkey", LINES, list(range(1, 101)), 0, 5).select("src", "dst", "pos")
+    return R.link_page(_edges(spark, sf_dir), "l_orderkey", "l_partkey", LINES, None, 0, 5).select("src", "dst", "pos")
 
 
 def related_cited_by(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.link_page(_edges(spark, sf_dir), "l_partkey", "l_orderkey", ["l_orderkey"], [3, 5, 8, 13, 21], 10, 10).select("src", "dst", "pos")
+    return R.link_page(_edges(spark, sf_dir), "l_partkey", "l_orderkey", ["l_orderkey"], None, 10, 10).select("src", "dst", "pos")
 
 
 def related_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    found = R.similar(vectors, vectors.where("vec_id < 10"), 10)
+    found = R.similar(vectors, vectors.where("vec_id % 20 = 0"), 10)
     return found.select("query_id", "pos", "vec_id", F.round("score", 6).alias("score"))
 
 
 def related_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A first provider without lists for odd records, a second one that has them for multiples of three, a last one."""
-    links = R.linked(_edges(spark, sf_dir).where("l_orderkey <= 3000"), "l_orderkey", "l_partkey", LINES)
+    links = R.linked(_edges(spark, sf_dir), "l_orderkey", "l_partkey", LINES)
     tiers = [("first", links.where("src % 2 = 0"), True), ("second", links.where("src % 3 = 0 AND pos <= 3"), True), ("third", links.where("pos = 1"), False)]
     return R.first_provider(links, "src", tiers).select("src", "dst", "pos", "provider")
 
 
 def related_two_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Works whose related works are other orders of the same customer, by way of an id map."""
-    orders = table(spark, sf_dir, "orders").where("o_custkey <= 200")
+    orders = table(spark, sf_dir, "orders")
     works = orders.select(F.col("o_orderkey").alias("src"), F.array(*[(F.col("o_orderkey") + i).alias("w") for i in (1, 2, 3)]).alias("related"))
     return R.two_hop(works, orders.select(F.col("o_orderkey").alias("work_id"), F.col("o_custkey").alias("pmid"))).select("src", "dst", F.col("pos").cast("int").alias("pos"))
 
@@ -50,19 +50,18 @@ _LINKED = """SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY a, b,
 REFERENCES = _LINKED.format(s="l_orderkey", d="l_partkey")
 QUERIES = {f.__name__: f for f in (related_references, related_cited_by, related_similar, related_fallback, related_two_hop)}
 ORACLES = {
-    "related_references": f"SELECT src, dst, CAST(pos AS INT) AS pos FROM ({REFERENCES}) WHERE src BETWEEN 1 AND 100 AND pos <= 5",
-    "related_cited_by": "SELECT src, dst, CAST(pos AS INT) AS pos FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS pos FROM (SELECT DISTINCT l_partkey AS src, l_orderkey AS dst FROM lineitem WHERE l_partkey IN (3, 5, 8, 13, 21) AND l_partkey <> l_orderkey)) WHERE pos BETWEEN 11 AND 20",
+    "related_references": f"SELECT src, dst, CAST(pos AS INT) AS pos FROM ({REFERENCES}) WHERE pos <= 5",
+    "related_cited_by": "SELECT src, dst, CAST(pos AS INT) AS pos FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS pos FROM (SELECT DISTINCT l_partkey AS src, l_orderkey AS dst FROM lineitem WHERE l_partkey <> l_orderkey)) WHERE pos BETWEEN 11 AND 20",
     "related_similar": """
         SELECT query_id, CAST(pos AS INT) AS pos, vec_id, score FROM (
             SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score,
                    row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) DESC, v.vec_id) AS pos
-            FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id < 10) WHERE pos <= 10""",
+            FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0) WHERE pos <= 10""",
     "related_fallback": f"""
-        WITH l AS (SELECT src, dst, pos FROM ({REFERENCES}) WHERE src <= 3000),
+        WITH l AS (SELECT src, dst, pos FROM ({REFERENCES})),
         t AS (SELECT *, 'first' AS provider, 1 AS rk FROM l WHERE src % 2 = 0 UNION ALL SELECT *, 'second', 2 FROM l WHERE src % 3 = 0 AND pos <= 3 UNION ALL SELECT *, 'third', 3 FROM l WHERE pos = 1)
         SELECT src, dst, CAST(pos AS INT) AS pos, provider FROM (SELECT *, min(rk) OVER (PARTITION BY src) AS best FROM t) WHERE rk = best""",
     "related_two_hop": """
-        WITH o AS (SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey <= 200)
-        SELECT a.o_orderkey AS src, b.o_custkey AS dst, CAST(min(i - 1) AS INT) AS pos FROM o a, (VALUES (1), (2), (3)) v(i) JOIN o b ON true
-        WHERE b.o_orderkey = a.o_orderkey + i AND b.o_custkey <> a.o_orderkey GROUP BY 1, 2""",
+        WITH w AS (SELECT o_orderkey AS src, unnest([0, 1, 2]) AS i FROM orders)
+        SELECT src, o_custkey AS dst, CAST(min(i) AS INT) AS pos FROM w JOIN orders ON o_orderkey = src + i + 1 WHERE o_custkey <> src GROUP BY 1, 2""",
 }

@@ -24,7 +24,8 @@ def unresolved_refs_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def convert_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = spark.range(1, 201).select(F.col("id").alias("o_orderkey"))
+    orders = table(spark, sf_dir, "orders")
+    asked = orders.select("o_orderkey").unionAll(orders.select(-F.col("o_orderkey") - 1))
     xwalk = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select("o_orderkey", "o_custkey")
     out = asked.join(xwalk, "o_orderkey", "left")
     message = F.when(F.col("o_custkey").isNull(), F.lit("Identifier not found in PMC"))
@@ -44,7 +45,7 @@ def doi_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tiers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[tuple[str, DataFrame]]]:
-    asked = spark.range(0, 700).select("id")
+    asked = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
     pmc = table(spark, sf_dir, "documents").where("source IN ('src0', 'src1')").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("size"))
     epmc = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.length("html").cast("long").alias("size"))
     oa = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.sum(F.length("text")).cast("long").alias("size"))
@@ -60,7 +61,7 @@ def chain_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as outcomes of tiers; their numbers decide which."""
     tier_no = (F.col("event_id") % 3).cast("int")
     tier = F.get(F.array(F.lit("pmc"), F.lit("epmc"), F.lit("oa")), tier_no)
-    steps = table(spark, sf_dir, "events").where("event_id < 3000").select((F.col("event_id") % 500).alias("id"), (tier_no * 10000 + F.col("event_id")).alias("tier_no"), tier.alias("tier"), F.get(F.array(*map(F.lit, OUTCOMES)), (F.col("event_id") % 7).cast("int")).alias("outcome"))
+    steps = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), (tier_no * 1_000_000_000 + F.col("event_id")).alias("tier_no"), tier.alias("tier"), F.get(F.array(*map(F.lit, OUTCOMES)), (F.col("event_id") % 7).cast("int")).alias("outcome"))
     return R.chain_reason(steps, "id")
 
 
@@ -74,7 +75,7 @@ def citation_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def citation_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = table(spark, sf_dir, "orders").where("o_orderkey <= 2000").select("o_orderkey", "o_custkey", F.concat(F.when(F.col("o_orderkey") % 4 == 0, "Other").otherwise("Customer#"), F.lit(" X")).alias("author"), F.concat((F.year("o_orderdate") + F.when(F.col("o_orderkey") % 5 == 0, 1).otherwise(0)).cast("string"), F.lit("a")).alias("asked_year"), F.year("o_orderdate").cast("string").alias("year"))
+    asked = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.concat(F.when(F.col("o_orderkey") % 4 == 0, "Other").otherwise("Customer#"), F.lit(" X")).alias("author"), F.concat((F.year("o_orderdate") + F.when(F.col("o_orderkey") % 5 == 0, 1).otherwise(0)).cast("string"), F.lit("a")).alias("asked_year"), F.year("o_orderdate").cast("string").alias("year"))
     people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.array(F.concat(F.lit("Customer# "), F.col("c_name"))).alias("roster"))
     rows = asked.join(people, "o_custkey")
     author = ~F.array_contains(F.transform("roster", T.surname), T.surname(F.col("author")))
@@ -92,8 +93,8 @@ ORACLES = {
         k AS (SELECT 'MED:PMC' || (n_nationkey * 2) AS ref FROM nation UNION SELECT 'PMC:PMC' || n_nationkey FROM nation WHERE n_nationkey % 3 = 0)
         SELECT source, id FROM a WHERE source || ':' || upper(id) NOT IN (SELECT ref FROM k)""",
     "convert_ids": f"""
-        SELECT CAST(r.k AS BIGINT) AS o_orderkey, 'PMC' || o_custkey AS pmcid, CASE WHEN o_custkey IS NULL THEN '{R.CONVERTER_ADVICE}' END AS errmsg
-        FROM range(1, 201) r(k) LEFT JOIN orders ON o_orderkey = r.k AND o_orderstatus <> 'P'""",
+        SELECT r.k AS o_orderkey, 'PMC' || o_custkey AS pmcid, CASE WHEN o_custkey IS NULL THEN '{R.CONVERTER_ADVICE}' END AS errmsg
+        FROM (SELECT o_orderkey AS k FROM orders UNION ALL SELECT -o_orderkey - 1 FROM orders) r LEFT JOIN orders ON o_orderkey = r.k AND o_orderstatus <> 'P'""",
     "id_routing": "SELECT CASE WHEN o_orderstatus = 'F' THEN 'archive' ELSE 'fallback' END AS bucket, count(*) AS n FROM orders GROUP BY 1",
     "doi_backfill": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '10.1/' || o_orderkey ELSE '10.2/' || c_custkey END AS doi FROM orders LEFT JOIN customer ON c_custkey = o_custkey",
     "fulltext_chain": """
@@ -101,10 +102,10 @@ ORACLES = {
                    UNION ALL SELECT page_id, 1, 'epmc', length(html) FROM pages
                    UNION ALL SELECT conv_id, 2, 'oa', CAST(sum(length(text)) AS BIGINT) FROM conversations GROUP BY conv_id),
         b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY rk) AS n FROM t)
-        SELECT CAST(r.k AS BIGINT) AS id, coalesce(tier, 'unavailable') AS tier, size FROM range(700) r(k) LEFT JOIN b ON b.id = r.k AND n = 1""",
+        SELECT c_custkey AS id, coalesce(tier, 'unavailable') AS tier, size FROM customer LEFT JOIN b ON b.id = c_custkey AND n = 1""",
     "chain_reason": f"""
-        WITH s AS (SELECT event_id % 500 AS id, event_id, ['pmc', 'epmc', 'oa'][event_id % 3 + 1] AS tier, {list(OUTCOMES)}[event_id % 7 + 1] AS outcome FROM events WHERE event_id < 3000),
-        l AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY (event_id % 3) * 10000 + event_id DESC) AS n FROM s WHERE outcome <> 'not-attempted')
+        WITH s AS (SELECT user_id AS id, event_id, ['pmc', 'epmc', 'oa'][event_id % 3 + 1] AS tier, {list(OUTCOMES)}[event_id % 7 + 1] AS outcome FROM events),
+        l AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY (event_id % 3) * 1000000000 + event_id DESC) AS n FROM s WHERE outcome <> 'not-attempted')
         SELECT i.id, CASE WHEN tier IS NULL THEN 'no-pmc-fallback-disabled' WHEN outcome = 'service-error' THEN 'service-error' {REASON_CASES} ELSE 'not-found' END AS reason
         FROM (SELECT DISTINCT id FROM s) i LEFT JOIN l ON l.id = i.id AND n = 1""",
     "citation_match": """
@@ -114,5 +115,5 @@ ORACLES = {
         FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND year(o_orderdate) = 1995 GROUP BY c_custkey""",
     "citation_warnings": """
         SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderkey % 4 = 0 THEN 'author_mismatch' END, CASE WHEN o_orderkey % 5 = 0 THEN 'year_mismatch' END) AS warnings
-        FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey <= 2000""",
+        FROM orders JOIN customer ON c_custkey = o_custkey""",
 }

@@ -88,8 +88,8 @@ def affiliation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyword_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = lambda start, n: F.slice(F.split("text", " "), start, n)
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_distinct(F.concat(words(1, 8), words(5, 12))), "|").alias("keywords"))
+    words = F.array_distinct(F.concat(F.split("text", " "), F.array("lang", "source", F.lit("the"))))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(words).alias("n"), F.md5(F.array_join(words, "|").cast("binary")).alias("digest"))
 
 
 def page_range(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,9 +144,9 @@ ORACLES = {
         WITH f AS (SELECT conv_id, role, min(turn) AS t FROM conversations GROUP BY 1, 2), i AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY t) - 1 AS idx FROM f)
         SELECT conv_id, turn, role, CAST(idx AS INT) AS idx FROM conversations JOIN i USING (conv_id, role)""",
     "keyword_union": """
-        WITH w AS (SELECT doc_id, string_split(text, ' ') AS s FROM documents), l AS (SELECT doc_id, list_concat(s[1:8], s[5:16]) AS l FROM w),
+        WITH l AS (SELECT doc_id, list_concat(string_split(text, ' '), [lang, source, 'the']) AS l FROM documents),
         u AS (SELECT doc_id, unnest(l) AS k, generate_subscripts(l, 1) AS i FROM l), d AS (SELECT doc_id, k, min(i) AS i FROM u GROUP BY 1, 2)
-        SELECT doc_id, string_agg(k, '|' ORDER BY i) AS keywords FROM d GROUP BY doc_id""",
+        SELECT doc_id, CAST(count(*) AS INT) AS n, md5(string_agg(k, '|' ORDER BY i)) AS digest FROM d GROUP BY doc_id""",
     "page_range": """
         SELECT DISTINCT l_orderkey, l_partkey, l_linenumber, CAST(l_partkey + 1000 AS VARCHAR) AS first_page,
             CASE WHEN l_linenumber <> 1 THEN left(CAST(l_partkey + 1000 AS VARCHAR), length(CAST(l_partkey + 1000 AS VARCHAR)) - length(CAST(l_linenumber AS VARCHAR))) || l_linenumber END AS last_page FROM lineitem""",
