@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,9 @@ from litgrid.llm.batches import map_texts
 from litgrid.llm.bytesops import as_bytes, spread, word_hashes
 
 MARK = "▁"
-#: Words and pairs of pieces remembered in one Python worker; either memory starts anew when it is full.
-KEPT_WORDS = 200_000
+#: Words remembered in one Python worker since the memory was last full, and as many from before; pairs of pieces, whose
+#: memory starts anew when it is full.
+KEPT_WORDS = 400_000
 KEPT_PAIRS = 1_000_000
 UNIGRAM, BPE = 1, 2
 
@@ -52,12 +54,12 @@ class PieceModel:
         self.scores = [sp.get_score(i) for i in range(n)]
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.unknown = min(self.scores[i] for i in self.ids.values()) - 10
-        #: Of the last three characters of longer pieces: the lengths of the pieces that end so, the longest first.
+        #: Of the last four characters of longer pieces: the lengths of the pieces that end so, the longest first.
         sizes: dict[str, set[int]] = {}
         for p in self.ids:
-            if len(p) >= 3:
-                sizes.setdefault(p[-3:], set()).add(len(p))
-        self.sizes = {k: (*sorted(v, reverse=True), 2, 1) for k, v in sizes.items()}
+            if len(p) >= 4:
+                sizes.setdefault(p[-4:], set()).add(len(p))
+        self.sizes = {k: (*sorted(v, reverse=True), 3, 2, 1) for k, v in sizes.items()}
         raw = [b"" if s else p.replace(MARK, " ").encode() for p, s in zip(self.pieces, special, strict=True)]
         for b, i in enumerate(self.bytes):
             raw[i] = bytes([b])
@@ -69,7 +71,9 @@ class PieceModel:
 class Encoder:
     def __init__(self, model: PieceModel) -> None:
         self.m = model
-        self.words: dict[bytes, list[int]] = {}
+        self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.kind = np.dtype("<u2" if len(model.pieces) < 1 << 16 else "<u4")
         self.pairs: dict[tuple[int, int], bool] = {}
         self.spaces: dict[int, list[int]] = {}
         self.reachable: set[int] = set()  # pieces that their own merges give
@@ -126,12 +130,13 @@ class Encoder:
             self.spaces[n] = self.merged([MARK] * n)
         return self.spaces[n]
 
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """The pieces of each marked word (with spaces for marks)."""
-        found: list[list[int] | None] = [self.words.get(w) for w in words]
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """The pieces of each marked word (with spaces for marks), as numbers of the encoder's kind."""
+        older, code = self.older, self.kind.char
+        found: list[bytes | None] = [self.words.get(w) or older.get(w) for w in words]
         new = sorted((w.lstrip(b" ").decode(), i) for i, w in enumerate(words) if found[i] is None)
         if len(self.words) + len(new) > KEPT_WORDS:
-            self.words.clear()
+            self.older, self.words = self.words, {}
         for (_, i), (own, rest) in zip(new, self._depth_first([w for w, _ in new]), strict=True):
             w = words[i]
             marks = len(w) - len(w.lstrip(b" "))
@@ -139,9 +144,10 @@ class Encoder:
             if self.m.kind == BPE:
                 alone = not own or own[0] == self.m.ids.get(MARK)
                 lead = marks if alone else marks - 1
-                found[i] = (self.run_of_marks(lead) if lead > 0 else []) + (own[1:] if alone else own)
-            else:
-                found[i] = own if marks == 1 else next(self._depth_first([MARK * (marks - 1) + rest], prefix=False))[0]
+                own = (self.run_of_marks(lead) if lead > 0 else []) + (own[1:] if alone else own)
+            elif marks > 1:
+                own = next(self._depth_first([MARK * (marks - 1) + rest], prefix=False))[0]
+            found[i] = array(code, own).tobytes()
             if len(self.words) < KEPT_WORDS:
                 self.words[w] = found[i]
         return found
@@ -149,7 +155,7 @@ class Encoder:
     def _depth_first(self, words: list[str], prefix: bool = True):
         """For each of these sorted words: its pieces with one mark before it, and the marked word."""
         m = self.m
-        ids, sizes, bpe, pairs, whole, short = m.ids, m.sizes, m.kind == BPE, self.pairs, self.reachable, (2, 1)
+        ids, sizes, bpe, pairs, whole, short = m.ids, m.sizes, m.kind == BPE, self.pairs, self.reachable, (3, 2, 1)
         # of each prefix: the piece it ends with (-1: bytes), where that begins, the sum of scores
         last, start, total = [-1], [0], [0.0]
         prev = ""
@@ -164,7 +170,7 @@ class Encoder:
             for end in range(n + 1, len(w) + 1):
                 best, at = -1, end - 1
                 if bpe:
-                    for size in sizes.get(w[end - 3 : end] if end > 2 else "", short):
+                    for size in sizes.get(w[end - 4 : end] if end > 3 else "", short):
                         if size > end:
                             continue
                         i = end - size
@@ -177,7 +183,7 @@ class Encoder:
                                 break
                 else:
                     score = total[end - 1] + m.unknown
-                    for size in sizes.get(w[end - 3 : end] if end > 2 else "", short):
+                    for size in sizes.get(w[end - 4 : end] if end > 3 else "", short):
                         i = end - size
                         if i >= 0 and (k := ids.get(w[i:end])) is not None and total[i] + m.scores[k] > score:
                             best, at, score = k, i, total[i] + m.scores[k]
@@ -214,8 +220,8 @@ class Encoder:
         _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
         words = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
         coded = self.encode_words(words)
-        lens = np.array([len(c) for c in coded], np.int64)
-        flat = np.fromiter((x for c in coded for x in c), np.int32, int(lens.sum()))
+        lens = np.array([len(c) for c in coded], np.int64) // self.kind.itemsize
+        flat = np.frombuffer(b"".join(coded), self.kind).astype(np.int32)
         offset = np.cumsum(lens) - lens
         _, place = spread(lens[inverse])
         out = flat[np.repeat(offset[inverse], lens[inverse]) + place]
