@@ -32,6 +32,11 @@ def _given(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+def _bind(c: Column, f) -> Column:
+    """f of a value that is worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def year() -> Column:
     dated = F.filter("article_dates", lambda d: _given(d["year"]).isNotNull())
     return F.coalesce(_given(F.col("year")), F.get(dated, F.lit(0))["year"], F.lit(NO_DATE))
@@ -42,7 +47,7 @@ def _title() -> Column:
 
 
 def _ended(c: Column) -> Column:
-    return F.when(c.endswith("."), c).otherwise(F.concat(c, F.lit(".")))
+    return _bind(c, lambda x: F.when(x.endswith("."), x).otherwise(F.concat(x, F.lit("."))))
 
 
 def _initials(a: Column) -> Column:
@@ -59,13 +64,15 @@ def _apa_author(a: Column) -> Column:
 
 
 def apa_authors(authors: Column) -> Column:
-    names = F.transform(authors, _apa_author)
-    n, final = F.size(names), F.element_at(names, -1)
-    return (
-        F.when(n == 1, F.get(names, F.lit(0)))
-        .when(n.between(2, 20), F.concat(F.array_join(F.slice(names, F.lit(1), n - 1), ", "), F.lit(", & "), final))
-        .when(n > 20, F.concat(F.array_join(F.slice(names, 1, 19), ", "), F.lit(", ... "), final))
-    )
+    def joined(names: Column) -> Column:
+        n, final = F.size(names), F.element_at(names, -1)
+        return (
+            F.when(n == 1, F.get(names, F.lit(0)))
+            .when(n.between(2, 20), F.concat(F.array_join(F.slice(names, F.lit(1), n - 1), ", "), F.lit(", & "), final))
+            .when(n > 20, F.concat(F.array_join(F.slice(names, 1, 19), ", "), F.lit(", ... "), final))
+        )
+
+    return _bind(F.transform(authors, _apa_author), joined)
 
 
 def apa() -> Column:
@@ -113,19 +120,13 @@ def mla() -> Column:
 
 
 def escape_latex(c: Column) -> Column:
-    """Special characters escaped one by one, so that what an escape inserts is not escaped again."""
-
-    def one(ch: Column) -> Column:
-        return (
-            F.when(ch == "\\", "\\textbackslash{}")
-            .when(ch == "~", "\\textasciitilde{}")
-            .when(ch == "^", "\\textasciicircum{}")
-            .when(ch.rlike(r"^[&%$#_{}]$"), F.concat(F.lit("\\"), ch))
-            .otherwise(ch)
-        )
-
-    chars = F.regexp_extract_all(c, F.lit("(?s)(.)"), F.lit(1))
-    return F.when(c.rlike(r"[\\&%$#_{}~^]"), F.array_join(F.transform(chars, one), "")).otherwise(c)
+    """Special characters escaped once: those whose escapes have braces are set apart until the others are done."""
+    apart = {"\\": ("\u0001", "\\textbackslash{}"), "~": ("\u0002", "\\textasciitilde{}"), "^": ("\u0003", "\\textasciicircum{}")}
+    out = F.translate(c, "".join(apart), "".join(mark for mark, _ in apart.values()))
+    out = F.regexp_replace(out, r"[&%$#_{}]", r"\\$0")
+    for mark, text in apart.values():
+        out = F.replace(out, F.lit(mark), F.lit(text))
+    return out
 
 
 def _bibtex_author(a: Column) -> Column:
@@ -163,9 +164,13 @@ def bibtex() -> Column:
         "pmcid": _given(F.col("pmc_id")),
         "keywords": _given(words),
     }
-    width = F.greatest(*(F.when(v.isNotNull(), len(k)).otherwise(0) for k, v in fields.items()))
-    lines = F.array_compact(F.array(*(F.when(v.isNotNull(), F.concat(F.lit("  "), F.rpad(F.lit(k), width, F.lit(" ")), F.lit(" = {"), v, F.lit("}"))) for k, v in fields.items())))
-    return F.concat(F.lit("@"), _mapped_type(BIBTEX_TYPES, "article"), F.lit("{pmid"), F.col("pmid"), F.lit(",\n"), F.array_join(lines, ",\n"), F.lit("\n}"))
+    pairs = F.filter(F.array(*(F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in fields.items())), lambda x: x["v"].isNotNull())
+
+    def entry(kept: Column) -> Column:
+        width = F.array_max(F.transform(kept, lambda x: F.length(x["k"])))
+        return F.array_join(F.transform(kept, lambda x: F.concat(F.lit("  "), F.rpad(x["k"], width, F.lit(" ")), F.lit(" = {"), x["v"], F.lit("}"))), ",\n")
+
+    return F.concat(F.lit("@"), _mapped_type(BIBTEX_TYPES, "article"), F.lit("{pmid"), F.col("pmid"), F.lit(",\n"), _bind(pairs, entry), F.lit("\n}"))
 
 
 def _tag(code: str, c: Column) -> Column:
@@ -212,7 +217,7 @@ def vancouver() -> Column:
         return F.coalesce(_given(a["collective_name"]), F.concat(_given(a["last_name"]), F.lit(" "), initials), _given(a["last_name"]), initials)
 
     names = F.filter(F.transform("authors", author), lambda x: x.isNotNull())
-    shown = F.concat(F.array_join(F.slice(names, 1, 6), ", "), F.when(F.size(names) > 6, ", et al").otherwise(""))
+    shown = _bind(names, lambda x: F.concat(F.array_join(F.slice(x, 1, 6), ", "), F.when(F.size(x) > 6, ", et al").otherwise("")))
     issue = F.coalesce(F.concat(F.lit("("), _given(F.col("issue")), F.lit(")")), F.lit(""))
     place = F.concat_ws(";", F.nullif(year(), F.lit(NO_DATE)), F.concat(_given(F.col("volume")), issue))
     place = _given(F.concat_ws(":", _given(place), _given(F.col("pages"))))
