@@ -111,18 +111,23 @@ def test_drawn_tables_follow_the_seating():
     assert abs(draws.mean() - (p * k).sum() / p.sum()) < 0.03
 
 
-def test_predictive_probabilities_sum_to_one():
-    """Of all words after a context, with the unknown word's share of the base."""
+@pytest.mark.parametrize("common", [[], ["a"], ["a", None]])
+def test_predictive_probabilities_sum_to_one(common):
+    """Of all words after a context, with the unknown word's share of the base; words dealt by context change nothing."""
+    from litgrid.llm.bytesops import Words
+
+    hot = np.sort(np.array([pitman_yor.END if w is None else Words([w.encode()]).hash[0] for w in common], np.uint64))
     batch = pa.record_batch([pa.array([1, 2, 3], pa.int64()), pa.array(["a b a b c", "a a b", "c b a"])], names=["doc_id", "text"])
     bits = 0
-    rows = pitman_yor._occurrences(batch, 0, bits, 10**9)
+    rows = pitman_yor._occurrences(batch, 0, bits, 10**9, hot)
     words = pa.Table.from_pylist([r for r in rows if r["dest"] >= 0], schema=pitman_yor.ARROW)
-    asked = pitman_yor.questions(bits)(words)
-    replies = pitman_yor.first_replies()(words, asked)
-    s = pitman_yor._state(words, replies)
+    asked = pitman_yor.questions(bits, hot)(words)
+    replies = pitman_yor.first_replies(hot)(words, asked)
+    s = pitman_yor._state(words, replies, hot)
     s.sweep(1)
     s.t_context = s.own.by_context(s.t)
     s.customers, s.tables = int(s.t.sum()), int(s.t_word.sum())
+    s.elsewhere[:] = 0
     parent, own = s.parent(), s.own
     unknown = (pitman_yor.S1 + pitman_yor.D1 * s.tables) / (s.vocabulary + 1) / (pitman_yor.S1 + s.customers)
     assert abs(parent.sum() + unknown - 1) < 1e-12
