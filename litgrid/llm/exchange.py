@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from litgrid.llm.batches import give_back
 from litgrid.llm.bytesops import ODD2, mix
 
 BATCH_BYTES = 4 << 20
@@ -48,7 +49,7 @@ class Buckets:
     def __init__(self, keys: int, width: int = 8) -> None:
         self.bits = min(24, max(3, math.ceil(math.log2(max(1, keys * width / BUCKET_BYTES)))))
         #: Wide enough that two different keys of the whole corpus agree with a chance of 1 in 500 at most.
-        self.width = math.ceil(max(64 - self.bits, 2 * math.log2(max(2, keys)) + 8 - self.bits) / 8)
+        self.width = max(4, math.ceil((2 * math.log2(max(2, keys)) + 8 - self.bits) / 8))
 
     def pack(self, keys: np.ndarray, order: np.ndarray, src: int, turn: int) -> Iterator[dict]:
         """One message for each bucket that gets some; keys come in ascending order of their documents."""
@@ -109,6 +110,8 @@ def answers(buckets: Buckets, shared: bool) -> Callable[[pa.Table], pa.Table]:
         cuts = np.cumsum([len(x[0]) for x in parts])[:-1]
         bits = [np.packbits(x).tobytes() for x in np.split(bit, cuts)]
         here = table["dest"][0].as_py()
+        del parts, key, doc, order
+        give_back()
         return pa.table({"dest": pa.array([x[0] for x in got], pa.int64()), "src": pa.array([here] * len(got), pa.int64()), "round": pa.array([x[1] for x in got], pa.int32()), "payload": pa.array(bits, pa.binary())})
 
     return answer
@@ -174,7 +177,13 @@ MESSAGE_ARROW = pa.schema([("dest", pa.int64()), ("src", pa.int64()), ("round",
 def ask(texts: DataFrame, replies: DataFrame | None, send: Callable[[pa.Table, dict], Iterator[dict]]) -> DataFrame:
     """Messages of every batch, which may use the replies to earlier rounds."""
     if replies is None:
-        return texts.groupBy("batch").applyInArrow(lambda t: table_of(list(send(sorted_batch(t), {})), MESSAGE_ARROW), MESSAGE)
+
+        def first(t: pa.Table) -> pa.Table:
+            out = table_of(list(send(sorted_batch(t), {})), MESSAGE_ARROW)
+            give_back()
+            return out
+
+        return texts.groupBy("batch").applyInArrow(first, MESSAGE)
     return _paired(texts, replies, lambda t, r: table_of(list(send(sorted_batch(t), by_round(r))), MESSAGE_ARROW), MESSAGE)
 
 
@@ -183,7 +192,12 @@ def finish(texts: DataFrame, replies: DataFrame, last: Callable[[pa.Table, dict]
 
 
 def _paired(texts: DataFrame, replies: DataFrame, f: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    return texts.groupBy("batch").cogroup(replies.withColumnRenamed("dest", "batch").groupBy("batch")).applyInArrow(f, schema)
+    def run(t: pa.Table, r: pa.Table) -> pa.Table:
+        out = f(t, r)
+        give_back()
+        return out
+
+    return texts.groupBy("batch").cogroup(replies.withColumnRenamed("dest", "batch").groupBy("batch")).applyInArrow(run, schema)
 
 
 def answered(messages: DataFrame, buckets: Buckets, shared: bool = False) -> DataFrame:
