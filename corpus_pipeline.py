@@ -30,7 +30,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-copies, by fingerprints of five-word shingles."""
+    """The document with the smallest id of each group of near-copies: texts whose five-word shingles have a similarity of 0.8 or more."""
     return _documents(simhash.keep_one(docs.select(*COLUMNS)))
 
 

@@ -14,15 +14,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from litgrid.llm.batches import map_texts
-from litgrid.llm.bytesops import ODD, Words, as_bytes, spread
+from litgrid.llm.bytesops import ODD, ODD2, Words, as_bytes, mix, spread
 from litgrid.llm.components import components
 from litgrid.session import ready_checkpoints, ready_workers
 
@@ -34,6 +36,8 @@ NO_ID = 1 << 62
 BUCKET_VARIANTS = 2_000_000
 #: Fingerprints whose two-flip variants are written out at once.
 CHUNK = 512
+#: Of two sets of similarity 0.8 all bands differ with a chance of (1 - 0.8 ** 7) ** 50, under 1 in 100,000.
+BANDS, BAND_ROWS = 50, 7
 
 
 def _rot(x: np.ndarray, n: int) -> np.ndarray:
@@ -274,10 +278,156 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFram
     return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("component") < NO_ID, F.col("component")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, size: int = 5, radius: int = 3) -> DataFrame:
-    """The rows of docs, with all their columns, that have the smallest doc_id of their component, one row of each; rows without an id stay."""
-    kept = near_duplicates(docs, size, radius).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+def _sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of every text's shingles and how many each has; the distinct ones of each text, ascending, and how many."""
+    hashes, count = shingle_hashes(texts, size)
+    own = np.repeat(np.arange(len(count)), count)
+    order = np.lexsort((hashes, own))
+    h, own = hashes[order], own[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (own[1:] != own[:-1])
+    return hashes, count, h[new], np.bincount(own[new], minlength=len(count))
+
+
+def _set_names(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A name for each set of hashes; texts with the same shingles have the same."""
+    out = mix(n.astype(np.uint64) + ODD)
+    some = np.flatnonzero(n)
+    if len(some):
+        out[some] = mix(out[some] + np.add.reduceat(mix(h ^ ODD2), (np.cumsum(n) - n)[some]))
+    return out.view(np.int64)
+
+
+@cache
+def _turns() -> np.ndarray:
+    """For each of the signature's hashes an odd factor and an addend."""
+    x = np.random.default_rng(SEED).integers(0, 2**64, (BANDS * BAND_ROWS, 2), dtype=np.uint64)
+    x[:, 0] |= U64(1)
+    return x
+
+
+def _bands(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A key for each set and band: of the least values of BAND_ROWS hash functions over the set."""
+    out = np.zeros((len(n), BANDS), np.uint64)
+    some = np.flatnonzero(n)
+    if not len(some):
+        return out
+    cuts = (np.cumsum(n) - n)[some]
+    for k, (factor, addend) in enumerate(_turns()):
+        least = np.minimum.reduceat(h * factor + addend, cuts)
+        out[some, k // BAND_ROWS] = mix(out[some, k // BAND_ROWS] * ODD + least + U64(k))
+    return out
+
+
+def _signatures(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, fp, node (the name of the row's set of shingles), bands (keys in binary; none for texts without words)."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hashes, count, h, n = _sets(as_bytes(batch.column("text")), size)
+        bands = [x.tobytes() if k else b"" for x, k in zip(_bands(h, n), n.tolist(), strict=True)]
+        fp = majority(hashes, count).view(np.int64)
+        return pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array(fp), pa.array(_set_names(h, n)), pa.array(bands, pa.binary())], names=["doc_id", "fp", "node", "bands"])
+
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, fp long, node long, bands binary")
+
+
+def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 4096):
+            part = batch.slice(at, 4096)
+            bands, node = part.column("bands").to_pylist(), part.column("node").to_numpy()
+            key = np.frombuffer(b"".join(bands), np.int64)
+            yield pa.record_batch([pa.array(key), pa.array(np.repeat(node, [len(x) // 8 for x in bands]))], names=["key", "node"])
+
+
+def _similar(similarity: float):
+    """For mapInArrow over (a, b, x, y): the pairs whose sets x and y have that similarity or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                few, many = min(len(x), len(y)), max(len(x), len(y))
+                both = len(np.intersect1d(x, y, assume_unique=True)) if few >= similarity * many * 0.999 else 0
+                good.append(bool(both) and both / (few + many - both) >= similarity)
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
+def similar_components(docs: DataFrame, rows: DataFrame, size: int, radius: int, similarity: float) -> DataFrame:
+    """node, component of the sets of shingles that are linked to another; rows: the signatures of docs.
+
+    Candidates are the fingerprints within `radius` bits and the sets that share a band's key. Of those that share a key
+    each is first compared with the smallest only; then all pairs of them that no chain of links joins yet are compared.
+    """
+    nodes = rows.select("fp", "node").distinct()
+    one = nodes.groupBy("fp").agg(F.min("node").alias("node")).checkpoint()
+    bits = min(16, max(3, math.ceil(math.log2(max(1, one.count() * 1073 / BUCKET_VARIANTS)))))
+    near = one.mapInArrow(_send(bits), "dest long, n long, payload binary").groupBy("dest").applyInArrow(_meet(bits, radius), "a long, b long")
+    same = nodes.withColumnRenamed("node", "b").join(one.withColumnRenamed("node", "a"), "fp").where("a <> b").select("a", "b")
+
+    keys = rows.select("node", "bands").dropDuplicates(["node"]).mapInArrow(_explode, "key long, node long")
+    by_key = Window.partitionBy("key")
+    shared = keys.withColumns({"head": F.min("node").over(by_key), "most": F.max("node").over(by_key)}).where("head < most").select("key", "node", "head").checkpoint()
+    stars = shared.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    pairs = near.unionAll(same).unionAll(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
+
+    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+    ids = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node", "left_semi").select("doc_id").distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = texts.join(ids, "doc_id", "left_semi").unionAll(texts.where("doc_id IS NULL"))
+
+    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        _, _, h, n = _sets(as_bytes(batch.column("text")), size)
+        parts = [x.tobytes() for x in np.split(h, np.cumsum(n)[:-1])]
+        return pa.record_batch([pa.array(_set_names(h, n)), pa.array(parts, pa.binary())], names=["node", "shingles"])
+
+    of = map_texts(texts, sets, "node long, shingles binary").join(wanted, "node", "left_semi").dropDuplicates(["node"]).checkpoint()
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        x = of.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+        y = of.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+        return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long")
+
+    edges = verified(pairs).checkpoint()
+    found = components(edges)
+    labelled = shared.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    open_keys = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("n > 2 AND low < high").select("key")
+    left = labelled.join(open_keys, "key", "left_semi").checkpoint()
+    a, b = (left.select("key", F.col("node").alias(n), F.col("component").alias(f"of_{n}")) for n in "ab")
+    rest = a.join(b, "key").where("a < b AND of_a <> of_b").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    return components(edges.unionAll(verified(rest)))
+
+
+def keep_one(docs: DataFrame, size: int = 5, radius: int = 3, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs, with all their columns, that have the smallest doc_id of their group of near-copies, one row of each group; rows without an id stay.
+
+    Near-copies are texts whose sets of shingles have a similarity (common ones by all) of at least `similarity`, and those
+    reachable from each other through such pairs; every link is verified on the sets. Bands of BAND_ROWS least hashes find
+    a pair of similarity 0.8 with a chance of all but 1 in 100,000. Texts without words are one group. Rows that share an
+    id but not a group are judged apart.
+    """
+    spark = docs.sparkSession
+    ready_workers(spark)
+    ready_checkpoints(spark)
+    rows = _signatures(docs, size).checkpoint()
+    found = similar_components(docs, rows, size, radius, similarity)
+    of = rows.where("doc_id IS NOT NULL").select("doc_id", "node").join(found, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
+    kept = of.groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("kept")).select("kept.*").checkpoint()
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    chosen = docs.where("doc_id IS NOT NULL").join(kept.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+    schema = StructType([StructField(n, f.dataType) for n, f in zip(names, chosen.schema, strict=True)] + [StructField("node", LongType())])
+
+    def named(batch: pa.RecordBatch) -> pa.RecordBatch:
+        _, _, h, n = _sets(as_bytes(batch.column("text")), size)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(_set_names(h, n))], names=[*names, "node"])
+
+    chosen = map_texts(chosen, named, schema)
+    own = f"c{docs.columns.index('doc_id')}"
+    chosen = chosen.join(kept.withColumnRenamed("doc_id", "kept_id"), (F.col(own).cast("long") == F.col("kept_id")) & (chosen["node"] == kept["node"]), "left_semi").dropDuplicates([own, "node"])
+    return chosen.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True))).unionByName(docs.where("doc_id IS NULL"))
 
 
 def op4_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
