@@ -92,3 +92,18 @@ def test_wide_keys(docs):
     for k, d in zip(keys.tolist(), order.tolist(), strict=True):
         first[k] = min(first.get(k, d), d)
     assert got.tolist() == [d > first[k] for k, d in zip(keys.tolist(), order.tolist(), strict=True)]
+
+
+def test_periodic_texts_with_varying_bytes(spark):
+    """Texts in which one unit recurs within every string are compared at all their bytes."""
+    import random
+
+    r = random.Random(5)
+    rule = lambda inside: "-" * 25 + "".join(c + "-" * 25 for c in inside)
+    rows = [(1, rule("57777779")), (2, rule("5aehmnw9"))]
+    rows += [(10 + k, rule("".join(r.choice("abc") for _ in range(r.randrange(2, 40))))) for k in range(40)]
+    rows += [(60 + k, "-" * r.randrange(1, 400) + r.choice("xy") + "-" * r.randrange(1, 400)) for k in range(20)]
+    units = [t.encode() for _, t in rows]
+    gone = removed(units, [d for d, _ in rows], 50, lambda u, i: u[i : i + 50])
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 50, 2000).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in got} == {d: sum(g) for (d, _), g in zip(rows, gone, strict=True)}
