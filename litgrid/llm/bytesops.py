@@ -101,12 +101,12 @@ class Words:
         self.hash = word_hashes(self.buf[inside], self.lens) if hashes else None
 
 
-def word_hashes(packed: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """A hash of each word; packed: the words' bytes without anything between."""
+def word_hashes(packed: np.ndarray, lens: np.ndarray, second: bool = False) -> np.ndarray:
+    """A hash of each word; packed: the words' bytes without anything between. second: another one, of other random values."""
     if not len(lens):
         return np.zeros(0, np.uint64)
     starts, place = spread(lens)
-    value = byte_table()[((place & 63) << 8) | packed]
+    value = (byte_table(128)[64 * 256 :] if second else byte_table())[((place & 63) << 8) | packed]
     if lens.max() > 64:
         far = np.flatnonzero(place > 63)
         powers = np.cumprod(np.full(int(lens.max() >> 6) + 1, ODD2))

@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litgrid.llm.batches import give_back
-from litgrid.llm.bytesops import ODD2, mix
 
 BATCH_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
@@ -44,20 +43,33 @@ def in_batches(docs: DataFrame, total: int, batch_bytes: int = BATCH_BYTES, *kee
 
 
 class Buckets:
-    """How keys are dealt to buckets and how wide they travel, for a number of keys expected overall."""
+    """How keys are dealt to buckets and how wide they travel, for a number of keys expected overall.
 
-    def __init__(self, keys: int, width: int = 8) -> None:
-        self.bits = min(24, max(3, math.ceil(math.log2(max(1, keys * width / BUCKET_BYTES)))))
-        #: Wide enough that two different keys of the whole corpus agree with a chance of 1 in 500 at most.
-        self.width = max(4, math.ceil((2 * math.log2(max(2, keys)) + 8 - self.bits) / 8))
+    `most`: how many different keys there can be at all. `certain`: whether the answers decide; if they only leave out work
+    that later rounds would do, narrow keys will do, as a false match costs work and nothing else.
+    """
 
-    def pack(self, keys: np.ndarray, order: np.ndarray, src: int, turn: int) -> Iterator[dict]:
-        """One message for each bucket that gets some; keys come in ascending order of their documents."""
+    def __init__(self, keys: int, width: int = 8, most: int | None = None, certain: bool = True) -> None:
+        self.bits = min(24, max(3, math.ceil(math.log2(max(1, keys * width / BUCKET_BYTES)))))
+        log = math.log2(max(2, keys if most is None else most))
+        #: 64 bits with those of the bucket, or as many that any two keys of the whole corpus agree with a chance of 1 in
+        #: 2,048 at most; if not certain, that a key agrees with any other with a chance of 1 in 1,024.
+        need = max(64, 2 * log + 10) if certain else log + 10
+        self.width = max(1, math.ceil((need - self.bits) / 8))
+        #: Whether bits beyond the 64 of a key are needed, which a second hash gives.
+        self.second = need > 64
+
+    def pack(self, keys: np.ndarray, order: np.ndarray, src: int, turn: int, more: np.ndarray | None = None) -> Iterator[dict]:
+        """One message for each bucket that gets some; keys come in ascending order of their documents. more: second hashes of the same."""
+        bits = np.uint64(self.bits)
         for b, own in self.dealt(keys):
-            k = keys[own]
-            body = k.view(np.uint8).reshape(-1, 8)[:, : min(8, self.width)]
+            k = keys[own] << bits  # the bucket implies the leading bits; the second hash follows
+            if more is not None:
+                k |= more[own] >> (np.uint64(64) - bits)
+            body = k.view(np.uint8).reshape(-1, 8)[:, max(0, 8 - self.width) :]
             if self.width > 8:
-                body = np.hstack([body, mix(k * ODD2).view(np.uint8).reshape(-1, 8)[:, : self.width - 8]])
+                rest = np.zeros(len(k), np.uint64) if more is None else more[own] << bits
+                body = np.hstack([body, rest.view(np.uint8).reshape(-1, 8)[:, 16 - self.width :]])
             steps = np.diff(order[own], prepend=order[own][:1])
             kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.int64) if not len(steps) or steps.max() <= np.iinfo(t).max)
             head = np.array([len(k), np.dtype(kind).itemsize, order[own][0]], np.int64)
@@ -80,10 +92,10 @@ class Buckets:
         steps = np.frombuffer(payload, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[int(size)], n, 24)
         body = np.frombuffer(payload, np.uint8, n * self.width, 24 + int(n * size)).reshape(n, self.width)
         low, high = np.zeros((n, 8), np.uint8), None
-        low[:, : min(8, self.width)] = body[:, :8]
+        low[:, max(0, 8 - self.width) :] = body[:, :8]
         if self.width > 8:
             high = np.zeros((n, 8), np.uint8)
-            high[:, : self.width - 8] = body[:, 8:]
+            high[:, 16 - self.width :] = body[:, 8:]
             high = high.view(np.uint64).ravel()
         return low.view(np.uint64).ravel(), first + np.cumsum(steps.astype(np.int64)), high
 
@@ -118,13 +130,19 @@ def answers(buckets: Buckets, shared: bool) -> Callable[[pa.Table], pa.Table]:
 
 
 class Distinct:
-    """The distinct keys of a batch in order of first appearance, which is that of their smallest document, as texts are sorted."""
+    """The distinct keys of a batch in order of first appearance, which is that of their smallest document, as texts are sorted.
+
+    more: second hashes, if the buckets need them. Should two keys agree in the first hash alone, one may be listed more
+    than once, which the bucket's answers allow for.
+    """
 
-    def __init__(self, keys: np.ndarray, order: np.ndarray, buckets: Buckets) -> None:
+    def __init__(self, keys: np.ndarray, order: np.ndarray, buckets: Buckets, more: np.ndarray | None = None) -> None:
         self.buckets, self.n = buckets, len(keys)
         by = np.argsort(keys, kind="stable")
         new = np.ones(len(keys), bool)
         new[1:] = keys[by][1:] != keys[by][:-1]
+        if more is not None:
+            new[1:] |= more[by][1:] != more[by][:-1]
         group = np.cumsum(new) - 1
         first = by[new]  # stable: of each key's places the first
         rank = np.argsort(first)
@@ -133,12 +151,12 @@ class Distinct:
         self.of = np.empty(len(keys), np.int64)
         self.of[by] = place[group]
         at = first[rank]
-        self.keys, self.order = keys[at], order[at]
+        self.keys, self.order, self.more = keys[at], order[at], None if more is None else more[at]
         self.later = order > self.order[self.of]  # an earlier document of the batch has the key
         self.many = np.bincount(self.of[self.later], minlength=len(at)) > 0
 
     def messages(self, src: int, turn: int) -> Iterator[dict]:
-        return self.buckets.pack(self.keys, self.order, src, turn)
+        return self.buckets.pack(self.keys, self.order, src, turn, self.more)
 
     def bits(self, replies: dict[int, bytes]) -> np.ndarray:
         """The answers, for each distinct key."""

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litgrid.llm import exchange as X
-from litgrid.llm.bytesops import Words, as_bytes, covered, runs, windows
+from litgrid.llm.bytesops import ODD2, Words, as_bytes, covered, is_word_byte, runs, windows, word_hashes
 from litgrid.session import ready_workers
 
 SIZE = 13
@@ -30,7 +30,10 @@ def _windows(table: pa.Table, size: int, buckets: X.Buckets) -> tuple[Words, np.
     h = windows(w.hash, size)
     starts = np.flatnonzero(w.doc[: len(h)] == w.doc[size - 1 :]) if len(h) else np.zeros(0, np.int64)
     order = table["order"].to_numpy()
-    return w, starts, X.Distinct(h[starts], order[w.doc[starts]], buckets)
+    more = None
+    if buckets.second:
+        more = windows(word_hashes(w.buf[is_word_byte()[w.buf]], w.lens, second=True), size, ODD2)[starts]
+    return w, starts, X.Distinct(h[starts], order[w.doc[starts]], buckets, more)
 
 
 def remove_repeats(docs: DataFrame, size: int = SIZE, batch_bytes: int = X.BATCH_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -47,7 +50,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, batch_bytes: int = X.BATCH
     """
     ready_workers(docs.sparkSession)
     total = X.text_bytes(docs)
-    buckets = X.Buckets(total // WORD_BYTES)
+    buckets = X.Buckets(total // WORD_BYTES, most=total)
     carried = [k for k in keep if k != "text"]
     texts = X.in_batches(docs, total, batch_bytes, *carried)
     extra = [f"keep{i}" for i in range(len(carried))] + ["text"] * ("text" in keep)

@@ -107,3 +107,47 @@ def test_periodic_texts_with_varying_bytes(spark):
     gone = removed(units, [d for d, _ in rows], 50, lambda u, i: u[i : i + 50])
     got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 50, 2000).collect()
     assert {r["doc_id"]: r["n_removed"] for r in got} == {d: sum(g) for (d, _), g in zip(rows, gone, strict=True)}
+
+
+@pytest.mark.parametrize("total", [10**5, 10**9, 3 * 10**10, 10**13])
+def test_deciding_keys_keep_64_bits(total):
+    from litgrid.llm import exchange
+    import math
+
+    b = exchange.Buckets(total // 8, most=total)
+    assert b.bits + 8 * b.width >= max(64, 2 * math.log2(total) + 10)
+    assert b.second == (2 * math.log2(total) + 10 > 64)
+    narrow = exchange.Buckets(total // 8, most=total, certain=False)
+    assert narrow.bits + 8 * narrow.width >= math.log2(total) + 10
+
+
+@pytest.mark.parametrize("width", [8, 9, 16])
+def test_second_hash_tells_equal_first_hashes_apart(width):
+    """Keys that agree in the whole first hash, in one batch and across batches."""
+    from litgrid.llm import exchange
+
+    import numpy as np
+    import pyarrow as pa
+
+    b = exchange.Buckets(1000)
+    b.width = width
+    key, more = np.full(6, 12345, np.uint64), np.array([1, 2, 1, 2, 3, 1], np.uint64) << np.uint64(61)
+    parts = [exchange.Distinct(key, np.arange(6), b, more), exchange.Distinct(key[:3], np.arange(3) + 10, b, np.array([3, 4, 4], np.uint64) << np.uint64(61))]
+    messages = [m for src, p in enumerate(parts) for m in p.messages(src, 0)]
+    got = exchange.answers(b, False)(pa.Table.from_pylist(messages, schema=exchange.MESSAGE_ARROW)).to_pylist()
+    replies = {r["dest"]: {r["src"]: r["payload"]} for r in got}
+    assert parts[0].earlier(replies[0]).tolist() == [False, False, True, True, False, True]
+    assert parts[1].earlier(replies[1]).tolist() == [True, False, True]
+
+
+def test_second_hashes_are_used(docs, rows, monkeypatch):
+    """Keys as wide as a very large corpus needs give the same results."""
+    from litgrid.llm import exchange
+
+    class Wide(exchange.Buckets):
+        def __init__(self, keys, width=8, most=None, certain=True):
+            super().__init__(keys, width, 10**12, certain)
+
+    want = [sorted(map(str, f(docs).collect())) for f in (suffix_dedup.remove_repeats, substring_dedup.remove_repeats)]
+    monkeypatch.setattr(exchange, "Buckets", Wide)
+    assert [sorted(map(str, f(docs).collect())) for f in (suffix_dedup.remove_repeats, substring_dedup.remove_repeats)] == want
