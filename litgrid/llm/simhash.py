@@ -172,9 +172,9 @@ def _send(bits: int):
     return run
 
 
-def _stars(value: np.ndarray, own: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct variants, of each the member with the smallest node, and the variant's place for each row given."""
-    order = np.lexsort((node[own], value))
+def _stars(value: np.ndarray, own: np.ndarray, node: np.ndarray, away: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct variants, of each the member least away and of those the one with the smallest node, and the variant's place for each row given."""
+    order = np.lexsort((node[own], away, value))
     value, own = value[order], own[order]
     new = np.r_[True, value[1:] != value[:-1]]
     return value[new], own[new], np.stack([own, own[new][np.cumsum(new) - 1]])
@@ -200,7 +200,8 @@ def _meet(bits: int, radius: int):
         own = np.concatenate([whole, once, np.repeat(whole, low)])
         if not len(near):
             return schema.empty_table()
-        value, head, pairs = _stars(near, own, node)
+        # members are up to two bits apart: within one bit they are tied through the variant's own fingerprint
+        value, head, pairs = _stars(near, own, node, (near != rest[own]) | (spent[own] > 0) if radius == 1 else np.zeros(len(near), bool))
         edges = [_edges(pairs, fp, radius)]
         shift = U64(64 - 22)
         seen = np.zeros(1 << 22, bool)

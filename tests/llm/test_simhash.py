@@ -99,3 +99,24 @@ def test_empty(empty):
 def test_one_of_each_group_stays(docs):
     kept = [r["doc_id"] for r in simhash.keep_one(docs).collect()]
     assert kept.count(1) == 1 and 5 not in kept and 12 not in kept and 14 not in kept and kept.count(11) == 1 and kept.count(None) == 2
+
+
+@pytest.mark.parametrize("radius", [0, 1, 2, 3])
+def test_every_radius(radius):
+    """All links of each radius, where smaller nodes lie two bits from both ends of a link of one bit."""
+    import pyarrow as pa
+
+    r = random.Random(radius)
+    fps = [1 ^ (3 << 2 * k) for k in range(32)] + [5, 0, 1]  # 0 and 1 are a link; smaller nodes share every variant of 1
+    for _ in range(8):
+        centre = r.getrandbits(64)
+        fps += [centre ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) ^ (r.randrange(2) << r.randrange(64)) for _ in range(40)]
+    fps = list(dict.fromkeys(fps))
+    batch = pa.record_batch([pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(np.arange(len(fps)))], names=["fp", "node"])
+    sent = pa.Table.from_batches(list(simhash._send(3)([batch])))
+    links = []
+    for dest in set(sent["dest"].to_pylist()):
+        out = simhash._meet(3, radius)(sent.filter(pa.compute.equal(sent["dest"], dest)))
+        links += zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True)
+    n = len(fps)
+    assert labels(range(n), links) == labels(range(n), [(i, j) for i in range(n) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= radius])
