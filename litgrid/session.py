@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -35,10 +39,19 @@ def ready_workers(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor sees; a default is chosen only where none is configured."""
+    """The folder every executor sees, by spark.checkpoint.dir; a temporary one of this machine where none is set and it runs all tasks."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = os.path.join("/tmp", "litgrid-checkpoints")
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return _own_folder()
+
+
+@cache
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="litgrid-")
+    atexit.register(shutil.rmtree, folder, True)
     return folder
 
 
