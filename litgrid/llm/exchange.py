@@ -1,11 +1,20 @@
 """Which keys occur in an earlier document, asked by batches of texts and answered by buckets of keys.
 
-Texts are dealt to batches of a few MB by a hash of the row. A batch sends each distinct key it holds once, packed in one
-binary row per bucket: the key's bits that the bucket doesn't imply, and the smallest document that has it. A bucket sorts
-what it received and answers with one bit for each key, in the order sent. As a batch sends a key once however many of
-its rows have it, a key that half the corpus shares costs its bucket one entry a batch.
+Texts are packed to batches of a few MB, one compressed row each, which are written once to the checkpoint folder; a batch
+that is worked on again has the same rows in the same order, and no key of the corpus decides where a text goes. A batch
+sends each distinct key it holds once, with the smallest document that has it, packed in one binary row for each bucket. A
+bucket sorts what it received and answers each key in the order sent. As a batch sends a key once however many of its rows
+have it, a key that half the corpus shares costs its bucket one entry a batch.
+
+A batch sends to at most 2 ** HOP_BITS buckets, so a message has some sixty keys at least and the number of messages is
+linear in the bytes. Where more buckets are needed (from some 60 GB of words on) the first ones are relays: a relay gathers
+what several batches send to one leading part of the buckets, asks the buckets for each distinct key, and passes the
+answers on. That costs the same bytes once more, at any size beyond.
 
 Rows carry `order`, the document id with null as the largest: such rows are never earlier than another.
+
+Keys are bits of two independent hashes of what they stand for, or numbers that are exact. Of two different keys hashed to
+2 * log2(n) + 10 bits, n the number of all keys there can be, any two agree with a chance of 1 in 2,048 in the whole corpus.
 """
 
 from __future__ import annotations
@@ -15,129 +24,213 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litgrid.llm.batches import give_back
+from litgrid.llm.batches import give_back, pieces
+from litgrid.session import ready_checkpoints, ready_workers
 
 BATCH_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
+#: Leading bits of keys that a batch, or a relay, tells its receivers apart by.
+HOP_BITS = 14
+RELAY_BYTES = 16 << 20
 LAST = np.iinfo(np.int64).max
-BATCH_SCHEMA = "batch long, order long, text string"
-MESSAGE = "dest long, src long, round int, payload binary"
+BATCH = "batch long, payload binary"
+MESSAGE = "dest long, src long, round int, top long, payload binary"
+MESSAGE_ARROW = pa.schema([("dest", pa.int64()), ("src", pa.int64()), ("round", pa.int32()), ("top", pa.int64()), ("payload", pa.binary())])
+U64 = np.uint64
+
+#: How a bucket answers: whether a document other than the sender's has the key, whether an earlier one has it, or a number
+#: of the key among those of the bucket that several documents have (0 for the others).
+SHARED, EARLIER, RANK = "shared", "earlier", "rank"
 
 
 def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
 
 
-def in_batches(docs: DataFrame, total: int, batch_bytes: int = BATCH_BYTES, *keep: str) -> DataFrame:
-    """Rows as (batch, order, text) and the columns named, as keep0 and so on. Rows that agree in id and text share a batch, others are spread evenly."""
-    n = max(1, math.ceil(total / batch_bytes))
-    return docs.select(
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("batch"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("order"),
-        "text",
-        *(F.col(f"`{k}`").alias(f"keep{i}") for i, k in enumerate(keep)),
-    )
+def in_batches(docs: DataFrame, batch_bytes: int = BATCH_BYTES, *keep: str) -> DataFrame:
+    """Rows (batch, payload): a batch of order, text and the columns named, as keep0 and so on, sorted by order and text; checkpointed."""
+    ready_workers(docs.sparkSession)
+    ready_checkpoints(docs.sparkSession)
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("order"), F.col("text").cast("string").alias("text"), *(F.col(f"`{k}`").alias(f"keep{i}") for i, k in enumerate(keep)))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = TaskContext.get().partitionId() << 32
+        for whole in batches:
+            for piece in pieces(whole, limit=batch_bytes):
+                table = pa.Table.from_batches([piece]).sort_by([("order", "ascending"), ("text", "ascending")])
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, table.schema) as out:
+                    out.write_table(table)
+                yield pa.record_batch([pa.array([name], pa.int64()), pa.array([zstandard.ZstdCompressor(level=3).compress(sink.getvalue())], pa.binary())], names=["batch", "payload"])
+                name += 1
 
-class Buckets:
-    """How keys are dealt to buckets and how wide they travel, for a number of keys expected overall.
+    return rows.mapInArrow(run, BATCH).checkpoint()
+
+
+def texts_of(payload: bytes) -> pa.Table:
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(payload)).read_all()
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed binary."""
+    head = [np.array([len(arrays)], np.int64).tobytes()]
+    for a in arrays:
+        head.append(np.array([ord(a.dtype.char), len(a)], np.int64).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([*head, *(np.ascontiguousarray(a).tobytes() for a in arrays)]))
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    out, at = [], 8 + 16 * n
+    for char, length in np.frombuffer(raw, np.int64, 2 * n, 8).reshape(n, 2).tolist():
+        kind = np.dtype(chr(char))
+        out.append(np.frombuffer(raw, kind, length, at))
+        at += length * kind.itemsize
+    return out
+
+
+def small(a: np.ndarray) -> np.ndarray:
+    """The same whole numbers in the narrowest type."""
+    top = int(a.max()) if len(a) else 0
+    return a.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(t).max))
+
+
+def messages(rows: list[tuple]) -> pa.Table:
+    """Rows (dest, src, round, top, payload)."""
+    return pa.table({n: pa.array([r[i] for r in rows], MESSAGE_ARROW.field(n).type) for i, n in enumerate(MESSAGE_ARROW.names)}, schema=MESSAGE_ARROW)
 
-    `most`: how many different keys there can be at all. `certain`: whether the answers decide; if they only leave out work
-    that later rounds would do, narrow keys will do, as a false match costs work and nothing else.
-    """
 
-    def __init__(self, keys: int, width: int = 8, most: int | None = None, certain: bool = True) -> None:
-        self.bits = min(24, max(3, math.ceil(math.log2(max(1, keys * width / BUCKET_BYTES)))))
-        log = math.log2(max(2, keys if most is None else most))
-        #: 64 bits with those of the bucket, or as many that any two keys of the whole corpus agree with a chance of 1 in
-        #: 2,048 at most; if not certain, that a key agrees with any other with a chance of 1 in 1,024.
-        need = max(64, 2 * log + 10) if certain else log + 10
-        self.width = max(1, math.ceil((need - self.bits) / 8))
-        #: Whether bits beyond the 64 of a key are needed, which a second hash gives.
-        self.second = need > 64
-
-    def pack(self, keys: np.ndarray, order: np.ndarray, src: int, turn: int, more: np.ndarray | None = None) -> Iterator[dict]:
-        """One message for each bucket that gets some; keys come in ascending order of their documents. more: second hashes of the same."""
-        bits = np.uint64(self.bits)
-        for b, own in self.dealt(keys):
-            k = keys[own] << bits  # the bucket implies the leading bits; the second hash follows
+def hashed_bits(keys: int, certain: bool = True) -> float:
+    """Bits for hashed keys, of `keys` different ones at most. certain: whether the answers decide; if they only leave out work
+    that later rounds would do, a false match costs work and nothing else, and is let happen to 1 key in 1,024."""
+    log = math.log2(max(2, keys))
+    return max(64, 2 * log + 10) if certain else log + 10
+
+
+class Buckets:
+    """How keys of `need` bits are dealt to buckets and how wide they travel, for a number of keys expected overall."""
+
+    def __init__(self, keys: int, need: float, hop_bits: int = HOP_BITS, bucket_bytes: int = BUCKET_BYTES) -> None:
+        self.need = math.ceil(need)
+        self.bits = min(48, self.need - 1, max(3, math.ceil(math.log2(max(1, keys * 8 / bucket_bytes)))))
+        self.sent = min(self.bits, hop_bits)  # the leading bits a batch deals by
+        #: Whether bits beyond the 64 of a key are needed.
+        self.second = self.need > 64
+
+    def width(self, bits: int) -> int:
+        """Bytes of a key in a message whose receiver implies so many leading bits."""
+        return max(1, math.ceil((self.need - bits) / 8))
+
+    def write(self, keys: np.ndarray, order: np.ndarray, src: int, turn: int, more: np.ndarray | None, bits: int) -> list[tuple]:
+        """One message for each receiver that gets some; keys come in ascending order of their documents. more: the keys' further bits."""
+        width, rows = self.width(bits), []
+        for b, own in dealt(keys, bits):
+            k = keys[own] << U64(bits)
             if more is not None:
-                k |= more[own] >> (np.uint64(64) - bits)
-            body = k.view(np.uint8).reshape(-1, 8)[:, max(0, 8 - self.width) :]
-            if self.width > 8:
-                rest = np.zeros(len(k), np.uint64) if more is None else more[own] << bits
-                body = np.hstack([body, rest.view(np.uint8).reshape(-1, 8)[:, 16 - self.width :]])
-            steps = np.diff(order[own], prepend=order[own][:1])
-            kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.int64) if not len(steps) or steps.max() <= np.iinfo(t).max)
-            head = np.array([len(k), np.dtype(kind).itemsize, order[own][0]], np.int64)
-            yield {"dest": b, "src": src, "round": turn, "payload": head.tobytes() + steps.astype(kind).tobytes() + np.ascontiguousarray(body).tobytes()}
-
-    def dealt(self, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """The buckets that get keys, ascending, with the places of their keys in order."""
-        if not len(keys):
-            return
-        kind = np.uint8 if self.bits <= 8 else np.uint16 if self.bits <= 16 else np.uint32
-        bucket = (keys >> np.uint64(64 - self.bits)).astype(kind)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-        for part in np.split(order, cuts):
-            yield int(bucket[part[0]]), part
-
-    def unpack(self, payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-        """Keys (the bits sent), their documents, and the further bits of wide keys."""
-        n, size, first = np.frombuffer(payload, np.int64, 3)
-        steps = np.frombuffer(payload, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[int(size)], n, 24)
-        body = np.frombuffer(payload, np.uint8, n * self.width, 24 + int(n * size)).reshape(n, self.width)
-        low, high = np.zeros((n, 8), np.uint8), None
-        low[:, max(0, 8 - self.width) :] = body[:, :8]
-        if self.width > 8:
-            high = np.zeros((n, 8), np.uint8)
-            high[:, 16 - self.width :] = body[:, 8:]
-            high = high.view(np.uint64).ravel()
-        return low.view(np.uint64).ravel(), first + np.cumsum(steps.astype(np.int64)), high
-
-
-def answers(buckets: Buckets, shared: bool) -> Callable[[pa.Table], pa.Table]:
-    """For one bucket: a bit for each key sent. shared: whether documents other than the sender's have it; else whether an earlier one has it."""
-
-    def answer(table: pa.Table) -> pa.Table:
-        got = sorted(zip(table["src"].to_pylist(), table["round"].to_pylist(), table["payload"].to_pylist(), strict=True), key=lambda x: x[0])
-        parts = [buckets.unpack(x[2]) for x in got]
-        key, doc = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
-        if buckets.width > 8:
-            high = np.concatenate([x[2] for x in parts])
-            order = np.lexsort((high, key))
-            new = np.r_[True, (np.diff(key[order]) != 0) | (np.diff(high[order]) != 0)]
-        else:
-            order = np.argsort(key, kind="stable")
-            new = np.r_[True, key[order][1:] != key[order][:-1]]
+                k |= more[own] >> U64(64 - bits)
+            body = k.view(np.uint8).reshape(-1, 8)[:, max(0, 8 - width) :]
+            if width > 8:
+                rest = np.zeros(len(k), np.uint64) if more is None else more[own] << U64(bits)
+                body = np.hstack([body, rest.view(np.uint8).reshape(-1, 8)[:, 16 - width :]])
+            steps = small(np.diff(order[own], prepend=order[own][:1]).view(np.uint64))
+            head = np.array([len(k), steps.itemsize, order[own][0]], np.int64)
+            rows.append((b, src, turn, 0, head.tobytes() + steps.tobytes() + np.ascontiguousarray(body).tobytes()))
+        return rows
+
+    def read(self, payload: bytes, dest: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys, their further bits and their documents."""
+        width = self.width(bits)
+        n, size, first = (int(x) for x in np.frombuffer(payload, np.int64, 3))
+        steps = np.frombuffer(payload, np.dtype(f"u{size}"), n, 24)
+        body = np.frombuffer(payload, np.uint8, n * width, 24 + n * size).reshape(n, width)
+        low, high = np.zeros((n, 8), np.uint8), np.zeros((n, 8), np.uint8)
+        low[:, max(0, 8 - width) :] = body[:, :8]
+        if width > 8:
+            high[:, 16 - width :] = body[:, 8:]
+        low, high = low.view(np.uint64).ravel(), high.view(np.uint64).ravel()
+        more = (low << U64(64 - bits)) | (high >> U64(bits))
+        return (U64(dest) << U64(64 - bits)) | (low >> U64(bits)), more, first + np.cumsum(steps.astype(np.int64))
+
+
+def dealt(keys: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The receivers that get keys, ascending, with the places of their keys in order."""
+    if not len(keys):
+        return
+    kind = np.uint8 if bits <= 8 else np.uint16 if bits <= 16 else np.uint64
+    bucket = (keys >> U64(64 - bits)).astype(kind)
+    order = np.argsort(bucket, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+        yield int(bucket[part[0]]), part
+
+
+def by_source(table: pa.Table) -> list[tuple[int, int, bytes]]:
+    """(src, round, payload) by source: the order of rows in a shuffle may differ if it is read again."""
+    return sorted(zip(table["src"].to_pylist(), table["round"].to_pylist(), table["payload"].to_pylist(), strict=True), key=lambda x: x[:2])
+
+
+def coded(answer: str, flags: np.ndarray, ranks: np.ndarray | None) -> bytes:
+    bits = np.packbits(flags).tobytes()
+    if answer != RANK:
+        return bits
+    own = small(ranks[flags])
+    return bits + bytes([own.itemsize]) + own.tobytes()
+
+
+def decoded(answer: str, payload: bytes, n: int) -> tuple[np.ndarray, np.ndarray | None]:
+    flags = np.unpackbits(np.frombuffer(payload, np.uint8, -(-n // 8)), count=n).astype(bool)
+    if answer != RANK:
+        return flags, None
+    ranks = np.zeros(n, np.int64)
+    at = -(-n // 8)
+    ranks[flags] = np.frombuffer(payload, np.dtype(f"u{payload[at]}"), int(flags.sum()), at + 1)
+    return flags, ranks
+
+
+def answers(buckets: Buckets, answer: str) -> Callable[[pa.Table], pa.Table]:
+    """For one bucket: the answer to each key sent."""
+
+    def run(table: pa.Table) -> pa.Table:
+        got, here = by_source(table), table["dest"][0].as_py()
+        parts = [buckets.read(p, here, buckets.bits) for _, _, p in got]
+        key, more, doc = (np.concatenate([x[i] for x in parts]) for i in range(3))
+        order = np.lexsort((more, key)) if buckets.second else np.argsort(key, kind="stable")
+        new = np.r_[True, key[order][1:] != key[order][:-1]]
+        if buckets.second:
+            new[1:] |= more[order][1:] != more[order][:-1]
         at, sorted_docs = np.flatnonzero(new), doc[order]
         least = np.minimum.reduceat(sorted_docs, at)
+        several = least < np.maximum.reduceat(sorted_docs, at)
         group = np.cumsum(new) - 1
-        bit = np.empty(len(key), bool)
-        bit[order] = (least < np.maximum.reduceat(sorted_docs, at))[group] if shared else sorted_docs > least[group]
-        cuts = np.cumsum([len(x[0]) for x in parts])[:-1]
-        bits = [np.packbits(x).tobytes() for x in np.split(bit, cuts)]
-        here = table["dest"][0].as_py()
-        del parts, key, doc, order
+        flags, ranks, top = np.empty(len(key), bool), None, int(several.sum())
+        flags[order] = sorted_docs > least[group] if answer == EARLIER else several[group]
+        if answer == RANK:
+            ranks = np.empty(len(key), np.int64)
+            ranks[order] = np.cumsum(several)[group]  # dense, from 1, in the order of the keys
+        cuts = np.cumsum([len(x[0]) for x in parts])
+        rows = [(src, here, turn, top, coded(answer, flags[a:b], None if ranks is None else ranks[a:b])) for (src, turn, _), a, b in zip(got, np.r_[0, cuts[:-1]].tolist(), cuts.tolist(), strict=True)]
+        del parts, key, more, doc, order
         give_back()
-        return pa.table({"dest": pa.array([x[0] for x in got], pa.int64()), "src": pa.array([here] * len(got), pa.int64()), "round": pa.array([x[1] for x in got], pa.int32()), "payload": pa.array(bits, pa.binary())})
+        return messages(rows)
 
-    return answer
+    return run
 
 
 class Distinct:
-    """The distinct keys of a batch in order of first appearance, which is that of their smallest document, as texts are sorted.
+    """The distinct keys of a batch, in the order of their smallest document, as they are asked for. places come in ascending order of documents.
 
-    more: second hashes, if the buckets need them. Should two keys agree in the first hash alone, one may be listed more
-    than once, which the bucket's answers allow for.
+    more: the keys' bits beyond the first 64, if they need them. Should two keys agree in the first 64 alone, one may be listed
+    more than once, which the bucket's answers allow for. both: whether a key that several documents of the batch have is sent
+    a second time with the last of them, so that its bucket learns of it.
     """
 
-    def __init__(self, keys: np.ndarray, order: np.ndarray, buckets: Buckets, more: np.ndarray | None = None) -> None:
-        self.buckets, self.n = buckets, len(keys)
+    def __init__(self, keys: np.ndarray, order: np.ndarray, buckets: Buckets, more: np.ndarray | None = None, both: bool = False) -> None:
+        self.buckets = buckets
         by = np.argsort(keys, kind="stable")
         new = np.ones(len(keys), bool)
         new[1:] = keys[by][1:] != keys[by][:-1]
@@ -145,79 +238,109 @@ class Distinct:
             new[1:] |= more[by][1:] != more[by][:-1]
         group = np.cumsum(new) - 1
         first = by[new]  # stable: of each key's places the first
-        rank = np.argsort(first)
-        place = np.empty(len(first), np.int64)
-        place[rank] = np.arange(len(first))
+        least = order[first]
+        at = first
+        if both and len(by):
+            last = by[np.append(np.flatnonzero(new)[1:], len(by)) - 1]
+            at = np.concatenate([first, last[order[last] > least]])
+        rank = np.argsort(at, kind="stable")
+        place = np.empty(len(at), np.int64)
+        place[rank] = np.arange(len(at))
         self.of = np.empty(len(keys), np.int64)
-        self.of[by] = place[group]
-        at = first[rank]
+        self.of[by] = place[: len(first)][group]
+        at = at[rank]
         self.keys, self.order, self.more = keys[at], order[at], None if more is None else more[at]
         self.later = order > self.order[self.of]  # an earlier document of the batch has the key
-        self.many = np.bincount(self.of[self.later], minlength=len(at)) > 0
-
-    def messages(self, src: int, turn: int) -> Iterator[dict]:
-        return self.buckets.pack(self.keys, self.order, src, turn, self.more)
-
-    def bits(self, replies: dict[int, bytes]) -> np.ndarray:
-        """The answers, for each distinct key."""
-        out = np.zeros(len(self.keys), bool)
-        for b, own in self.buckets.dealt(self.keys):
-            out[own] = np.unpackbits(np.frombuffer(replies[b], np.uint8), count=len(own)).astype(bool)
-        return out
 
-    def earlier(self, replies: dict[int, bytes]) -> np.ndarray:
-        """For each place: whether an earlier document has its key."""
-        return self.later | self.bits(replies)[self.of]
+    def ask(self, src: int, turn: int, bits: int | None = None) -> list[tuple]:
+        return self.buckets.write(self.keys, self.order, src, turn, self.more, self.buckets.sent if bits is None else bits)
 
-    def shared(self, replies: dict[int, bytes]) -> np.ndarray:
-        """For each place: whether another document has its key."""
-        return (self.many | self.bits(replies))[self.of]
+    def read(self, replies: dict[int, bytes], answer: str, bits: int | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+        """For each place: whether the answer is yes, and its rank among those of the receiver."""
+        flags, ranks = np.zeros(len(self.keys), bool), np.zeros(len(self.keys), np.int64)
+        for b, own in dealt(self.keys, self.buckets.sent if bits is None else bits):
+            flags[own], r = decoded(answer, replies[b], len(own))
+            if r is not None:
+                ranks[own] = r
+        flags = flags[self.of]
+        return (flags | self.later if answer == EARLIER else flags), ranks[self.of] if answer == RANK else None
 
 
 def by_round(table: pa.Table) -> dict[int, dict[int, bytes]]:
     out: dict[int, dict[int, bytes]] = {}
-    for src, turn, payload in zip(table["src"].to_pylist(), table["round"].to_pylist(), table["payload"].to_pylist(), strict=True):
+    for src, turn, payload in by_source(table):
         out.setdefault(turn, {})[src] = payload
     return out
 
 
-def sorted_batch(table: pa.Table) -> pa.Table:
-    return table.sort_by([("order", "ascending"), ("text", "ascending")])
+def paired(rows: DataFrame, replies: DataFrame, f: Callable[[int, bytes, dict], pa.Table], schema: str) -> DataFrame:
+    """f of each row's batch and payload and the replies to it by round and bucket; rows: batch, payload."""
+    empty = _empty(schema)
 
+    def run(t: pa.Table, r: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return empty
+        out = f(t["batch"][0].as_py(), t["payload"][0].as_py(), by_round(r))
+        give_back()
+        return out
 
-def table_of(rows: list[dict], schema: pa.Schema) -> pa.Table:
-    return pa.Table.from_pylist(rows, schema=schema)
+    return rows.groupBy("batch").cogroup(replies.withColumnRenamed("dest", "batch").groupBy("batch")).applyInArrow(run, schema)
 
 
-MESSAGE_ARROW = pa.schema([("dest", pa.int64()), ("src", pa.int64()), ("round", pa.int32()), ("payload", pa.binary())])
+def _empty(schema: str) -> pa.Table:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
 
+    return to_arrow_schema(StructType.fromDDL(schema)).empty_table()
 
-def ask(texts: DataFrame, replies: DataFrame | None, send: Callable[[pa.Table, dict], Iterator[dict]]) -> DataFrame:
-    """Messages of every batch, which may use the replies to earlier rounds."""
-    if replies is None:
 
-        def first(t: pa.Table) -> pa.Table:
-            out = table_of(list(send(sorted_batch(t), {})), MESSAGE_ARROW)
-            give_back()
-            return out
+def mapped(rows: DataFrame, f: Callable[[int, bytes], pa.Table], schema: str) -> DataFrame:
+    """f of each row's batch and payload."""
 
-        return texts.groupBy("batch").applyInArrow(first, MESSAGE)
-    return _paired(texts, replies, lambda t, r: table_of(list(send(sorted_batch(t), by_round(r))), MESSAGE_ARROW), MESSAGE)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, payload in zip(b.column("batch").to_pylist(), b.column("payload"), strict=True):
+                yield from f(name, payload.as_py()).to_batches()
+                give_back()
 
+    return rows.mapInArrow(run, schema)
 
-def finish(texts: DataFrame, replies: DataFrame, last: Callable[[pa.Table, dict], pa.Table], schema: str) -> DataFrame:
-    return _paired(texts, replies, lambda t, r: last(sorted_batch(t), by_round(r)), schema)
 
+def answered(asked: DataFrame, buckets: Buckets, answer: str, size: int) -> DataFrame:
+    """The answers to a round of messages, checkpointed. size: keys asked for, about, which the number of relays follows from."""
+    if buckets.bits == buckets.sent:
+        return asked.groupBy("dest").applyInArrow(answers(buckets, answer), MESSAGE).checkpoint()
+    chunks = max(1, math.ceil(size * buckets.width(buckets.sent) / RELAY_BYTES / 2**buckets.sent))
+    asked = asked.checkpoint()
+    relayed = asked.withColumn("relay", F.col("dest") * chunks + F.pmod(F.xxhash64("src"), F.lit(chunks)))
 
-def _paired(texts: DataFrame, replies: DataFrame, f: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    def run(t: pa.Table, r: pa.Table) -> pa.Table:
-        out = f(t, r)
-        give_back()
-        return out
+    def gathered(table: pa.Table) -> tuple[list, list[np.ndarray], np.ndarray, Distinct]:
+        got, dest = by_source(table), table["dest"][0].as_py()
+        parts = [buckets.read(p, dest, buckets.sent) for _, _, p in got]
+        key, more, doc = (np.concatenate([x[i] for x in parts]) for i in range(3))
+        by = np.argsort(doc, kind="stable")
+        back = np.empty(len(by), np.int64)
+        back[by] = np.arange(len(by))
+        return got, [len(x[0]) for x in parts], back, Distinct(key[by], doc[by], buckets, more[by] if buckets.second else None, answer != EARLIER)
 
-    return texts.groupBy("batch").cogroup(replies.withColumnRenamed("dest", "batch").groupBy("batch")).applyInArrow(run, schema)
+    def send(table: pa.Table) -> pa.Table:
+        return messages(gathered(table)[3].ask(table["relay"][0].as_py(), 0, buckets.bits))
 
+    def forward(table: pa.Table, replies: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return MESSAGE_ARROW.empty_table()
+        got, sizes, back, distinct = gathered(table)
+        flags, ranks = distinct.read(by_round(replies).get(0, {}), answer, buckets.bits)
+        if answer == RANK:  # the number within the bucket, and which of the buckets below the relay
+            low = (distinct.keys[distinct.of] >> U64(64 - buckets.bits)) & U64((1 << (buckets.bits - buckets.sent)) - 1)
+            ranks = np.where(ranks > 0, ranks + (low.astype(np.int64) << 32), 0)[back]
+            flags = ranks > 0
+        else:
+            flags = flags[back]
+        top = int(ranks.max()) if ranks is not None and len(ranks) else 0
+        cuts = np.cumsum(sizes)
+        here = table["dest"][0].as_py()
+        return messages([(src, here, turn, top, coded(answer, flags[a:b], None if ranks is None else ranks[a:b])) for (src, turn, _), a, b in zip(got, np.r_[0, cuts[:-1]].tolist(), cuts.tolist(), strict=True)])
 
-def answered(messages: DataFrame, buckets: Buckets, shared: bool = False) -> DataFrame:
-    """Answers to one round; their own exchange lets all later rounds read the same ones instead of making them again."""
-    return messages.groupBy("dest").applyInArrow(answers(buckets, shared), MESSAGE).repartition("dest")
+    replies = relayed.groupBy("relay").applyInArrow(send, MESSAGE).groupBy("dest").applyInArrow(answers(buckets, answer), MESSAGE)
+    return relayed.groupBy("relay").cogroup(replies.withColumnRenamed("dest", "relay").groupBy("relay")).applyInArrow(forward, MESSAGE).checkpoint()
