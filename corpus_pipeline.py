@@ -35,10 +35,9 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the words of 13-word windows that an earlier document has; texts without such words stay as they are, and documents of which nothing is left go."""
-    found = substring_dedup.remove_repeats(docs, keep=("lang", "source", "text"))
-    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept_text"))
-    return _documents(found.where("n_removed = 0 OR n_removed < n_words").withColumn("text", text))
+    """Texts without the words of 13-word windows that an earlier document has; all other words and white space stay as they are, and documents of which no word is left go. A null text is one without words and becomes an empty one."""
+    found = substring_dedup.remove_repeats(docs, keep=("lang", "source"), columns=("doc_id", "n_words", "n_removed", "clean_text"))
+    return _documents(found.where("n_removed = 0 OR n_removed < n_words").withColumn("text", F.col("clean_text")))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
