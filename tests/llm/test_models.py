@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from litgrid.llm import neighbours, pitman_yor
 
@@ -17,10 +18,14 @@ def unit(n, d, seed):
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).tolist()
 
 
+def cosine(a, b):
+    return float(neighbours.cosines(np.array([a], float), np.array([b], float))[0])
+
+
 def exact(rows, queries, k):
     out = {}
     for q, a in queries:
-        s = sorted((-float(neighbours.cosines(np.array([a]), np.array([b]))[0, 0]), v) for v, b in rows if v != q)
+        s = sorted((-cosine(a, b), v) for v, b in rows if v != q)
         out[q] = [(v, -d) for d, v in s[:k]]
     return out
 
@@ -38,7 +43,7 @@ def test_recall_and_scores(spark, dims):
         found.sort()
         assert [r for r, _, _ in found] == [1, 2, 3, 4, 5]
         assert [(-s, v) for _, v, s in found] == sorted((-s, v) for _, v, s in found)
-        assert all(s == float(neighbours.cosines(np.array([scores[q]]), np.array([scores[v]]))[0, 0]) for _, v, s in found)
+        assert all(s == cosine(scores[q], scores[v]) for _, v, s in found)
         hit += len({v for _, v, _ in found} & {v for v, _ in want[q]})
     assert len(got) == 20 and hit / 100 >= 0.9
 
@@ -53,6 +58,48 @@ def test_unsound_vectors_and_ties(spark):
     assert neighbours.nearest(df.limit(0), df.limit(0)).collect() == []
 
 
+def test_sizes_of_components(spark):
+    """Finite vectors near the ends of the range take part, and score as they are."""
+    for scale in (1e200, 1e-170, 1.7e308, 5e-324):
+        rows = [(i, [scale, scale * (i % 3), -scale if i > 3 else 0.0]) for i in range(6)] if scale != 1.7e308 else [(i, [scale, scale if i % 2 else 0.0, 0.0]) for i in range(6)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"score": F.lit("x"), "bucket": F.lit(1), "rank": F.lit(None)})
+        got = {}
+        for r in neighbours.nearest(df, df.where("vec_id = 0")).collect():
+            got[r["vec_id"]] = r["score"]
+        small = [[x / scale for x in v] for _, v in rows]
+        assert len(got) == 5 and all(abs(got[i] - np.dot(small[0], small[i]) / np.linalg.norm(small[0]) / np.linalg.norm(small[i])) < 1e-12 for i in got)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_on_the_table(spark, small, sf):
+    """Against all pairs, for the registered query."""
+    import pyarrow.parquet as pq
+
+    folder = small.replace("sf0.001", sf)
+    table = pq.read_table(f"{folder}/embeddings.parquet")
+    rows = [(i, np.array(v, float)) for i, v in zip(table["vec_id"].to_pylist(), table["embedding"].to_pylist(), strict=True) if v is not None and None not in v and np.any(v)]
+    ids, x = np.array([i for i, _ in rows]), np.array([v / np.linalg.norm(v) for _, v in rows])
+    got = {}
+    for r in neighbours.op9_cross_polytope_neighbours(spark, folder).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hit = 0
+    for q in np.flatnonzero(ids % 50 == 0):
+        s = x @ x[q]
+        s[q] = -9
+        hit += len(got[int(ids[q])] & set(ids[np.lexsort((ids, -s))[:5]].tolist()))
+    assert hit >= 0.9 * 5 * len(got) and len(got) == (ids % 50 == 0).sum()
+
+
+def test_parts_of_a_block_give_the_same(spark, monkeypatch):
+    rows = list(enumerate(unit(300, 16, 1)))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    vectors = neighbours._sound(df)
+    joined = vectors.mapInArrow(neighbours._blocks(16, 2, -1, 7), neighbours.BLOCK).join(vectors.where("vec_id < 20").mapInArrow(neighbours._blocks(16, 2, 4, 7), neighbours.BLOCK).selectExpr("tab", "bucket", "ids q_ids", "codes q_codes", "scales q_scales", "vecs q_vecs"), ["tab", "bucket"]).toArrow().to_batches()
+    want = [b.to_pydict() for b in neighbours._near(16, 5, 40, 7)(iter(joined))]
+    monkeypatch.setattr(neighbours, "PARTED", 1)
+    assert [b.to_pydict() for b in neighbours._near(16, 5, 40, 7)(iter(joined))] == want
+
+
 def tokens(text):
     raw = (text or "").encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)))
     return [*re.findall(rb"[^\x20\x09-\x0D]+", raw), None]
