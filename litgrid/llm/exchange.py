@@ -1,8 +1,8 @@
 """Which keys occur in an earlier document, asked by batches of texts and answered by buckets of keys.
 
-Texts are packed to batches of a few MB, one compressed row each, which are written once to the checkpoint folder; a batch
-that is worked on again has the same rows in the same order, and no key of the corpus decides where a text goes. A batch
-sends each distinct key it holds once, with the smallest document that has it, packed in one binary row for each bucket. A
+Texts are packed to batches of a few MB, one compressed row each, which are dealt out once and kept on the executors' disks;
+no key of the corpus decides where a text goes. A batch that is lost is packed again from the table, with the same rows in
+the same order. The answers to each round are checkpointed, so a lost executor costs no earlier round. A batch sends each distinct key it holds once, with the smallest document that has it, packed in one binary row for each bucket. A
 bucket sorts what it received and answers each key in the order sent. As a batch sends a key once however many of its rows
 have it, a key that half the corpus shares costs its bucket one entry a batch.
 
@@ -25,7 +25,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +37,7 @@ BUCKET_BYTES = 8 << 20
 #: Leading bits of keys that a batch, or a relay, tells its receivers apart by.
 HOP_BITS = 14
 RELAY_BYTES = 16 << 20
+PARTITION_BYTES = 256 << 20
 LAST = np.iinfo(np.int64).max
 BATCH = "batch long, payload binary"
 MESSAGE = "dest long, src long, round int, top long, payload binary"
@@ -52,8 +53,11 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
 
 
-def in_batches(docs: DataFrame, batch_bytes: int = BATCH_BYTES, *keep: str) -> DataFrame:
-    """Rows (batch, payload): a batch of order, text and the columns named, as keep0 and so on, sorted by order and text; checkpointed."""
+def in_batches(docs: DataFrame, total: int, batch_bytes: int = BATCH_BYTES, *keep: str) -> DataFrame:
+    """Rows (batch, payload): a batch of order, text and the columns named, as keep0 and so on, sorted by order and text. total: bytes of text.
+
+    Kept dealt out by batch, so that later rounds bring the answers to the batches and leave those where they are.
+    """
     ready_workers(docs.sparkSession)
     ready_checkpoints(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("order"), F.col("text").cast("string").alias("text"), *(F.col(f"`{k}`").alias(f"keep{i}") for i, k in enumerate(keep)))
@@ -69,7 +73,10 @@ def in_batches(docs: DataFrame, batch_bytes: int = BATCH_BYTES, *keep: str) -> D
                 yield pa.record_batch([pa.array([name], pa.int64()), pa.array([zstandard.ZstdCompressor(level=3).compress(sink.getvalue())], pa.binary())], names=["batch", "payload"])
                 name += 1
 
-    return rows.mapInArrow(run, BATCH).checkpoint()
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / PARTITION_BYTES))
+    out = rows.mapInArrow(run, BATCH).repartition(parts, "batch").persist(StorageLevel.DISK_ONLY)
+    out.count()  # later plans know how it is dealt out once it is there
+    return out
 
 
 def texts_of(payload: bytes) -> pa.Table:
