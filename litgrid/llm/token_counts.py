@@ -1,17 +1,23 @@
 """Token counts by a compiled finite-state tokenizer.
 
 A byte-level BPE tokenizer is compiled to a deterministic transducer with two layers. The outer one reads classes of
-characters and marks on each transition where tokens of the splitting pattern begin; the inner one reads the bytes of one
-such stretch and has the number of emitted tokens on the transition that closes it. The outer machine has a dozen states,
-so a text is cut into short chunks, each chunk's map from every state to the state after it is computed for all chunks
-in step, and the maps are composed by a parallel prefix scan; with every chunk's true first state known, one more pass
-marks the boundaries. The inner machine has as many states as there are prefixes of stretches, so its rows are compiled
-when a stretch first occurs, for all new ones in step, and kept in a table of bounded size.
+characters and marks on each transition where stretches of the splitting pattern begin. It has a dozen states, so a text is
+cut into short chunks, each chunk's map from every state to the state after it is computed for all chunks in step, and the
+maps are composed by a parallel prefix scan; with every chunk's true first state known, one more pass marks the boundaries.
+
+The inner one reads the bytes of one stretch. Its state after a byte is the pending token, with which the encoding of what has
+been read ends: the longest token that ends at this byte and may follow the state where it begins. A token may follow
+another if the merges of the two together give just these two, which is compiled from the merges' ranks (`Tokens.follows`);
+an encoding all of whose neighbours may follow each other is the encoding of the whole, so every prefix has one state. The
+transition carries the number of tokens emitted so far, one more than where the pending token begins. Counts of stretches
+are added up along the text by prefix sums. No merge is made at count time.
+
+A state reaches back as far as its token, so maps of inner states are not composed; instead a stretch that was met before is
+one transition, from a table of bounded size in each worker.
 """
 
 from __future__ import annotations
 
-import heapq
 import json
 import unicodedata
 from functools import cache
@@ -28,8 +34,11 @@ LIMIT = 512
 CHUNK = 48
 #: Slots of the table of known stretches in one Python worker (12 bytes each); it starts anew when half are taken.
 SLOTS = 1 << 22
-#: Longer stretches are merged one by one.
+#: Longer stretches are read one by one.
 LONG = 64
+#: Pairs of tokens remembered in one worker; the memory starts anew when it is full.
+KEPT_PAIRS = 2_000_000
+NEVER = 1 << 40
 
 # states: in letters, digits or other characters; in white space of one or several characters that ends in a space or
 # in something else; after an apostrophe that can begin a contraction, and after its first letter; at a boundary
@@ -112,8 +121,8 @@ def stretch_starts(classes: np.ndarray) -> np.ndarray:
     return out
 
 
-class Merges:
-    """The merges of a byte-level BPE tokenizer and the counts they give."""
+class Tokens:
+    """The tables of a byte-level BPE tokenizer: tokens as paths of bytes read backwards, and which token may follow which."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
@@ -125,114 +134,175 @@ class Merges:
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         odd = [b for b in range(256) if b not in plain]
         sign = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(odd)}
+        back = {c: b for b, c in sign.items()}
         self.byte_ids = np.array([vocab[sign[b]] for b in range(256)], np.int64)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         keys = np.array([(vocab[a] << 32) | vocab[b] for a, b in pairs], np.uint64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order.astype(np.int64)
-        self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
-        self.specials = [t["content"].encode() for t in spec["added_tokens"]]
+        n = max(vocab.values()) + 1
+        #: Of each token the rank of the merge that makes it (-1 for a byte) and its two parts.
+        self.born, self.left, self.right = np.full(n, -1, np.int64), np.arange(n), np.arange(n)
+        for rank, (a, b) in reversed([*enumerate(pairs)]):
+            t = vocab[a + b]
+            self.born[t], self.left[t], self.right[t] = rank, vocab[a], vocab[b]
         bits = 18
         self.shift, self.maybe = np.uint64(64 - bits), np.zeros(1 << bits, bool)
         self.maybe[self._slot(self.keys)] = True
+        self.specials = [t["content"].encode() for t in spec["added_tokens"]]
+        self._compile([(bytes(back[c] for c in text), t) for text, t in vocab.items() if all(c in back for c in text) and (self.born[t] >= 0 or len(text) == 1)])
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The rank of each pair, or a value above all for no merge."""
+        """The rank of the merge of each pair; NEVER where there is none."""
         key = (a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64)
-        out = np.full(len(key), 1 << 40, np.int64)
+        out = np.full(len(key), NEVER, np.int64)
         maybe = np.flatnonzero(self.maybe[self._slot(key)])
         at = np.minimum(np.searchsorted(self.keys, key[maybe]), len(self.keys) - 1)
         ok = self.keys[at] == key[maybe]
         out[maybe[ok]] = self.ranks[at[ok]]
         return out
 
+    def follows(self, a: np.ndarray, b: np.ndarray, joined: bool = False) -> np.ndarray:
+        """Whether each pair of tokens stays as it is; joined: or gives the token that is made of the two.
+
+        The merges within both are taken back, the latest first (of the same rank the right one, as the left one is made
+        first). The parts x and y that stand at the border until some merge takes one of them would have merged with each
+        other instead if the rank of their merge is less, or equal where the part on the right is taken.
+        """
+        x, y = a.astype(np.int64), b.astype(np.int64)
+        until, out, live = np.full(len(x), NEVER, np.int64), np.ones(len(x), bool), np.arange(len(x))
+        while len(live):
+            bad = (self.rank(x[live], y[live]) < until[live]) & ~((until[live] == NEVER) & joined)
+            out[live[bad]] = False
+            live = live[~bad]
+            bx, by = self.born[x[live]], self.born[y[live]]
+            more = (bx >= 0) | (by >= 0)
+            live, bx, by = live[more], bx[more], by[more]
+            on_left = bx > by
+            who = live[on_left]
+            until[who], x[who] = bx[on_left], self.right[x[who]]
+            who = live[~on_left]
+            until[who], y[who] = by[~on_left] + 1, self.left[y[who]]
+        return out
+
+    def _compile(self, tokens: list[tuple[bytes, int]]) -> None:
+        """The paths of all tokens read from their last byte: sorted keys of node and byte, the next nodes, and the token of each node. Tokens that their own merges don't give have none."""
+        ids = np.array([t for _, t in tokens])
+        sound = {int(t) for t, ok in zip(ids, (self.born[ids] < 0) | self.follows(self.left[ids], self.right[ids], True), strict=True) if ok}
+        nodes: dict[tuple[int, int], int] = {}
+        token = [-1]
+        for raw, t in tokens:
+            node = 0
+            for byte in reversed(raw):
+                key = (node, byte)
+                if key not in nodes:
+                    nodes[key] = len(token)
+                    token.append(-1)
+                node = nodes[key]
+            if t in sound:
+                token[node] = t
+        self.paths = {(node << 8) | byte: to for (node, byte), to in nodes.items()}
+        keys = np.array(sorted(self.paths), np.int64)
+        self.path_keys, self.path_to, self.token_at = keys, np.array([self.paths[k] for k in keys.tolist()]), np.array(token)
+
+
+class Reader:
+    """Runs the inner transducer, and remembers which tokens may follow which."""
+
+    def __init__(self, tokens: Tokens) -> None:
+        self.t = tokens
+        self.pairs: dict[int, bool] = {}
+
+    def allowed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether token b may follow state a (-1: the beginning)."""
+        key = ((a + 1) << 32) | b
+        new, inverse = np.unique(key, return_inverse=True)
+        known = [self.pairs.get(k) for k in new.tolist()]
+        todo = np.array([i for i, k in enumerate(known) if k is None], np.int64)
+        if len(todo):
+            x, y = (new[todo] >> 32) - 1, new[todo] & ((1 << 32) - 1)
+            ok = x < 0
+            ok[~ok] = self.t.follows(x[~ok], y[~ok])
+            if len(self.pairs) + len(todo) > KEPT_PAIRS:
+                self.pairs.clear()
+            self.pairs.update(zip(new[todo].tolist(), ok.tolist(), strict=True))
+            for i, k in zip(todo.tolist(), ok.tolist(), strict=True):
+                known[i] = k
+        return np.array(known, bool)[inverse]
+
     def counts(self, words: list[bytes]) -> np.ndarray:
-        """Tokens of each word: in each round every word makes its first merge of the least rank."""
+        """Tokens of each word; all words are read in step."""
         out = np.array([len(w) for w in words], np.int64)
-        live = np.flatnonzero((out > 1) & (out <= LONG))
         for i in np.flatnonzero(out > LONG):
             out[i] = self._one(words[i])
-        if not len(live):
+        short = np.flatnonzero((out > 1) & (np.array([len(w) for w in words]) <= LONG)) if len(words) else np.zeros(0, np.int64)
+        short = short[np.argsort(-out[short], kind="stable")]  # those still being read are the first ones
+        if not len(short):
             return out
-        size = out[live]
-        width = int(size.max())
-        # one row of token numbers a word, filled up with -1
-        grid = np.full((len(live), width), -1, np.int64)
-        grid[np.arange(width) < size[:, None]] = self.byte_ids[np.frombuffer(b"".join([words[i] for i in live]), np.uint8)]
-        ranks = np.full((len(live), width - 1), 1 << 40, np.int64)
-        both = grid[:, 1:] >= 0
-        ranks[both] = self.rank(grid[:, :-1][both], grid[:, 1:][both])
-        while len(live):
-            at = np.argmin(ranks, axis=1)
-            rows = np.arange(len(live))
-            least = ranks[rows, at]
-            go = least < 1 << 40
-            if not go.all():
-                live, grid, ranks, at, least = live[go], grid[go], ranks[go], at[go], least[go]
-                rows = np.arange(len(live))
-            if not len(live):
-                break
-            out[live] -= 1
-            wide = int(out[live].max()) + 1
-            grid, ranks = grid[:, :wide], ranks[:, : wide - 1]
-            cols = np.arange(wide)
-            take = cols + (cols > at[:, None])
-            take[:, -1] = np.minimum(take[:, -1], wide - 1)
-            over = (cols > at[:, None])[:, -1]
-            new = np.take_along_axis(grid, np.minimum(take, wide - 1), axis=1)
-            new[over, -1] = -1
-            new[rows, at] = self.made[least]
-            cols = np.arange(wide - 1)
-            moved = np.take_along_axis(ranks, np.minimum(cols + (cols >= at[:, None]), wide - 2), axis=1) if wide > 1 else ranks
-            moved[:, -1] = 1 << 40
-            left, right = at > 0, new[rows, np.minimum(at + 1, wide - 1)] >= 0
-            right &= at + 1 < wide
-            moved[rows[left], at[left] - 1] = self.rank(new[rows[left], at[left] - 1], new[rows[left], at[left]])
-            inside = at < wide - 1
-            moved[rows[inside], at[inside]] = 1 << 40
-            moved[rows[right], at[right]] = self.rank(new[rows[right], at[right]], new[rows[right], at[right] + 1])
-            grid, ranks = new, moved
+        size = out[short]
+        width = int(size[0])
+        grid = np.zeros((len(short), width), np.int64)
+        grid[np.arange(width) < size[:, None]] = np.frombuffer(b"".join([words[i] for i in short]), np.uint8)
+        state, emitted = np.full((len(short), width + 1), -1, np.int64), np.zeros((len(short), width + 1), np.int64)
+        t = self.t
+        for end in range(1, width + 1):
+            rows = int(np.searchsorted(-size, -end, side="right"))
+            # all tokens that end here, by the number of bytes they reach back
+            who, node, found = np.arange(rows), np.zeros(rows, np.int64), []
+            for back in range(1, end + 1):
+                key = (node << 8) | grid[who, end - back]
+                at = np.minimum(np.searchsorted(t.path_keys, key), len(t.path_keys) - 1)
+                on = t.path_keys[at] == key
+                who, node = who[on], t.path_to[at[on]]
+                if not len(who):
+                    break
+                token = t.token_at[node]
+                some = token >= 0
+                found.append((who[some], token[some], end - back))
+            todo = np.ones(rows, bool)
+            for who, token, begin in reversed(found):
+                open_ = todo[who]
+                who, token = who[open_], token[open_]
+                if len(who):
+                    ok = self.allowed(state[who, begin], token)
+                    who, token = who[ok], token[ok]
+                    state[who, end], emitted[who, end], todo[who] = token, emitted[who, begin] + 1, False
+        out[short] = emitted[np.arange(len(short)), size]
         return out
 
-    @property
-    def table(self) -> dict[int, int]:
-        if not hasattr(self, "_table"):
-            self._table = dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True))
-        return self._table
-
     def _one(self, word: bytes) -> int:
-        """The same with a heap, for a long word."""
-        ids = self.byte_ids[np.frombuffer(word, np.uint8)].tolist()
-        n, table = len(ids), self.table
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := table.get((ids[i] << 32) | ids[i + 1])) is not None]
-        heapq.heapify(heap)
-        left = n
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] != a or j >= n or ids[j] != b:
-                continue
-            ids[i], ids[j] = int(self.made[r]), -1
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-                if (r := table.get((ids[i] << 32) | ids[k])) is not None:
-                    heapq.heappush(heap, (r, i, ids[i], ids[k]))
-            if (h := before[i]) >= 0 and (r := table.get((ids[h] << 32) | ids[i])) is not None:
-                heapq.heappush(heap, (r, h, ids[h], ids[i]))
-            left -= 1
-        return left
+        """The same for a long word."""
+        paths, token_at, pairs = self.t.paths, self.t.token_at.tolist(), self.pairs
+        state, emitted = [-1], [0]
+        for end in range(1, len(word) + 1):
+            node, found = 0, []
+            for begin in range(end - 1, -1, -1):
+                node = paths.get((node << 8) | word[begin])
+                if node is None:
+                    break
+                if token_at[node] >= 0:
+                    found.append((begin, token_at[node]))
+            for begin, token in reversed(found):
+                key = ((state[begin] + 1) << 32) | token
+                ok = pairs.get(key)
+                if ok is None:
+                    ok = bool(self.allowed(np.array([state[begin]]), np.array([token]))[0])
+                if ok:
+                    state.append(token)
+                    emitted.append(emitted[begin] + 1)
+                    break
+        return emitted[-1]
 
 
 class Counter:
-    """Counts the tokens of texts; keeps the counts of stretches already met."""
+    """Counts the tokens of texts; keeps the counts of stretches already met, by 64 bits of hash. With the half of SLOTS that are
+    taken at most, a stretch that was not met is taken for another with a chance of 1 in 10 ** 13."""
 
-    def __init__(self, merges: Merges, slots: int = SLOTS) -> None:
-        self.merges, self.slots = merges, slots
+    def __init__(self, tokens: Tokens, slots: int = SLOTS) -> None:
+        self.tokens, self.reader, self.slots = tokens, Reader(tokens), slots
         self._clear()
 
     def _clear(self) -> None:
@@ -250,7 +320,7 @@ class Counter:
         return at
 
     def _learn(self, h: np.ndarray, words: list[bytes]) -> None:
-        counts = self.merges.counts(words)
+        counts = self.reader.counts(words)
         todo = np.arange(len(h))
         while len(todo):
             at = self._find(h[todo])
@@ -280,7 +350,7 @@ class Counter:
         return self.values[at]
 
     def count(self, texts: list[bytes]) -> np.ndarray:
-        specials = self.merges.specials
+        specials = self.tokens.specials
         out = np.zeros(len(texts), np.int64)
         parts, own = texts, np.arange(len(texts))
         for s in specials:
@@ -312,11 +382,12 @@ class Counter:
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) for each row.
 
-    docs: doc_id, text; other columns are not read. tokenizer: a tokenizer file that the driver can read (byte-level BPE in
+    docs: doc_id, text; other columns, whatever their names, are not read. tokenizer: a tokenizer file that the driver can read (byte-level BPE in
     JSON); its tables go to the executors. Counts are those of its library without added tokens; strings of special
-    tokens inside texts are one token each. Null and empty texts have no tokens; repeated rows each give a row.
+    tokens inside texts are one token each. Null and empty texts have no tokens; a very long text is counted whole in one
+    task, with some 60 bytes of memory for each of its bytes; repeated rows each give a row; an empty table gives none.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Merges(tokenizer))
+    shared = docs.sparkSession.sparkContext.broadcast(Tokens(tokenizer))
 
     def run(batch: pa.RecordBatch, counter: Counter) -> pa.RecordBatch:
         texts = as_bytes(batch.column("text"))
@@ -331,7 +402,7 @@ _COUNTERS: dict[int, Counter] = {}
 
 def _worker_counter(shared) -> Counter:
     """The counter of this Python worker; later tasks of the same broadcast find what earlier ones compiled."""
-    if shared.value not in [c.merges for c in _COUNTERS.values()]:
+    if shared.value not in [c.tokens for c in _COUNTERS.values()]:
         _COUNTERS.clear()
         _COUNTERS[0] = Counter(shared.value)
     return _COUNTERS[0]

@@ -54,7 +54,7 @@ def test_no_items(docs, rows, spark):
     assert decontamination.decontaminate(docs, items).count() == len(rows)
 
 
-COUNTER = token_counts.Counter(token_counts.Merges(public_tokenizers.path("byte_bpe_50k.json")), 1 << 12)
+COUNTER = token_counts.Counter(token_counts.Tokens(public_tokenizers.path("byte_bpe_50k.json")), 1 << 12)
 BPE = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 ODD = st.text(st.one_of(st.sampled_from("'strevmlld \n\t aeé1२!…😀  ǅ"), st.characters(exclude_categories=["Cs", "Cn"])), max_size=40)
 
@@ -67,6 +67,24 @@ def test_token_counts_equal_the_library(texts):
     assert COUNTER.count([t.encode() for t in texts]).tolist() == want
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(st.sampled_from("abeinorst-=_xé… "), min_size=1, max_size=200), max_size=4))
+def test_long_stretches_equal_the_library(texts):
+    texts = [*texts, *(t.replace(" ", "") * 3 for t in texts), "x" * 700, "ab" * 150, "=" * 333]
+    assert COUNTER.count([t.encode() for t in texts]).tolist() == [len(e.ids) for e in BPE.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_followers_are_those_of_the_library():
+    """Pairs of tokens that may follow each other, against encoding the two together."""
+    t, rng = COUNTER.tokens, np.random.default_rng(1)
+    words = [w for w in BPE.get_vocab() if w.isalpha() and w.isascii()]
+    a, b = ([words[i] for i in rng.integers(0, len(words), 3000)] for _ in range(2))
+    ids = BPE.get_vocab()
+    got = t.follows(np.array([ids[x] for x in a]), np.array([ids[x] for x in b]))
+    want = [e.ids == [ids[x], ids[y]] for x, y, e in zip(a, b, BPE.encode_batch([x + y for x, y in zip(a, b, strict=True)], add_special_tokens=False), strict=True)]
+    assert got.tolist() == want and 0 < sum(want) < 3000
+
+
 def test_token_counts(docs, rows, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     want = [(d, len((t or "").encode()), len(BPE.encode(t or "", add_special_tokens=False).ids)) for d, t in rows]
