@@ -70,7 +70,7 @@ def in_batches(docs: DataFrame, total: int, batch_bytes: int = BATCH_BYTES, *kee
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, table.schema) as out:
                     out.write_table(table)
-                yield pa.record_batch([pa.array([name], pa.int64()), pa.array([zstandard.ZstdCompressor(level=3).compress(sink.getvalue())], pa.binary())], names=["batch", "payload"])
+                yield pa.record_batch([pa.array([name], pa.int64()), pa.array([zstandard.ZstdCompressor(level=5).compress(sink.getvalue())], pa.binary())], names=["batch", "payload"])
                 name += 1
 
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / PARTITION_BYTES))
@@ -185,8 +185,9 @@ def coded(answer: str, flags: np.ndarray, ranks: np.ndarray | None) -> bytes:
     bits = np.packbits(flags).tobytes()
     if answer != RANK:
         return bits
-    own = small(ranks[flags])
-    return bits + bytes([own.itemsize]) + own.tobytes()
+    own = ranks[flags].astype(np.uint64)
+    size = max(1, (int(own.max()).bit_length() + 7) // 8) if len(own) else 1
+    return bits + bytes([size]) + own.view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
 
 
 def decoded(answer: str, payload: bytes, n: int) -> tuple[np.ndarray, np.ndarray | None]:
@@ -195,7 +196,9 @@ def decoded(answer: str, payload: bytes, n: int) -> tuple[np.ndarray, np.ndarray
         return flags, None
     ranks = np.zeros(n, np.int64)
     at = -(-n // 8)
-    ranks[flags] = np.frombuffer(payload, np.dtype(f"u{payload[at]}"), int(flags.sum()), at + 1)
+    own, size = np.zeros((int(flags.sum()), 8), np.uint8), payload[at]
+    own[:, :size] = np.frombuffer(payload, np.uint8, len(own) * size, at + 1).reshape(-1, size)
+    ranks[flags] = own.view(np.int64).ravel()
     return flags, ranks
 
 
