@@ -4,16 +4,18 @@ Tokens are words and an end of each text. The restaurant of a context (the word
 the words that follow it as dishes; its tables are customers of the restaurant of single words, which all contexts share,
 and whose base is uniform over the known words and one unknown. A state of the sampler is the number of tables of each
 dish in each restaurant; a sweep draws it anew for every dish given the others (generalised Stirling numbers give the
-chances), the table totals of restaurants being those of the sweep before. Scores use the mean of the predictive
-probabilities of all sweeps but the first ones.
+chances). The table totals of a context are those here now and those elsewhere when buckets last told each other; they do
+after a round of BURN_IN sweeps, which are left out of the result. Scores use the mean of the predictive probabilities after
+each of SAMPLES further sweeps.
 
 Where things are: texts are read once. A bucket holds all occurrences of its words, each with the word before and the
 document; so what the restaurant of single words knows of a word is there, and the texts' sums go back from there. What a
 bucket needs of a context, its customers and tables in all buckets, it asks of the bucket that has the context as a word.
 Later rounds only send numbers in the order of the first question. A word that may be over 1/64 of all tokens (there are
-at most 128) is dealt to all buckets by the word before it; what is known of it as a whole goes with the totals that every
-bucket sends to every other. Nothing else is collected; the draws are seeded by bucket and sweep, so a task that runs again
-draws the same.
+at most 128) is dealt to all buckets by the word before it. What holds for all buckets, the totals and what is known of those
+words as a whole, each bucket sends in one row of bounded length to one place, which sends the sums back to each. A bucket
+writes to those alone that it has a context or a document of, and holds nothing longer than its own occurrences. The draws
+are seeded by bucket and sweep, so a task that runs again draws the same.
 """
 
 from __future__ import annotations
@@ -23,21 +25,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litgrid.llm.batches import pieces
 from litgrid.llm.bytesops import Words, as_bytes, mix
+from litgrid.llm.exchange import pack, small, unpack
 from litgrid.session import ready_checkpoints, ready_workers
 
 FOLDS = 10
 #: Discounts and strengths of the contexts' restaurants and of that of single words.
 D2, S2, D1, S1 = 0.75, 1.0, 0.7, 1.0
-SWEEPS, BURN_IN = 2, 0
-#: Draws within a sweep, between which the table totals of other buckets stay as they were.
-INNER = 3
+#: Rounds of burn-in, between which buckets tell each other their tables; sweeps in each; sweeps whose predictions are averaged.
+ROUNDS, BURN_IN, SAMPLES = 1, 6, 10
 PIECE = 4 << 20
 BUCKET_BYTES = 12 << 20
 #: Words with at least this share of all tokens are dealt by context.
@@ -48,37 +49,13 @@ END = np.uint64(0x5DEECE66D1234567)
 NAME_BITS = 40
 #: Dishes with more customers are seated in growing blocks, within each of which the chance of a new table stays.
 EXACT = 64
+#: Where all totals go, and who sends the sums.
+ROOT = -(1 << 62)
 MESSAGE = "dest long, src long, round int, payload binary"
 ARROW = pa.schema([("dest", pa.int64()), ("src", pa.int64()), ("round", pa.int32()), ("payload", pa.binary())])
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed binary."""
-    head = [np.array([len(arrays)], np.int64).tobytes()]
-    for a in arrays:
-        head.append(np.array([ord(a.dtype.char), len(a)], np.int64).tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([*head, *(np.ascontiguousarray(a).tobytes() for a in arrays)]))
-
-
-def unpack(data: bytes) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    n = int(np.frombuffer(raw, np.int64, 1)[0])
-    head = np.frombuffer(raw, np.int64, 2 * n, 8).reshape(n, 2).tolist()
-    out, at = [], 8 + 16 * n
-    for char, length in head:
-        kind = np.dtype(chr(char))
-        out.append(np.frombuffer(raw, kind, length, at))
-        at += length * kind.itemsize
-    return out
-
-
-def small(a: np.ndarray) -> np.ndarray:
-    """The same whole numbers in the narrowest type."""
-    top = int(a.max()) if len(a) else 0
-    return a.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(t).max))
-
-
 def _fold(doc_ids: list[int | None], folds: int) -> np.ndarray:
     import zlib
 
@@ -171,9 +148,10 @@ class Bucket:
             words.append(np.repeat(w, counts.astype(np.int64)))
             names.append(np.cumsum(steps.astype(np.uint64))[at])
             train.append(np.unpackbits(bits, count=int(n[0])).astype(bool)[doc])
-            docs.append(doc.astype(np.int32) + np.int32(offset))
-            self.batches.append((src, offset, int(n[0])))
-            offset += int(n[0])
+            own, at_doc = np.unique(doc, return_inverse=True)  # the batch's documents that have words here
+            docs.append(at_doc + offset)
+            self.batches.append((src, offset, own))
+            offset += len(own)
         self.n_docs, self.doc = offset, np.concatenate(docs)
         self.words, index = np.unique(np.concatenate(words), return_inverse=True)
         del words
@@ -189,7 +167,7 @@ class Bucket:
         self.c = np.bincount(self.type_of, weights=np.concatenate(train), minlength=len(types)).astype(np.int64)
         self.contexts, self.context = np.unique(types & np.uint64((1 << NAME_BITS) - 1), return_inverse=True)
         self.c_word = np.bincount(self.word, weights=self.c, minlength=len(self.words)).astype(np.int64)
-        self.n_hot = len(hot)
+        self.n_hot, self.hot_words = len(hot), hot
         self.hot = np.flatnonzero(np.isin(self.words, hot))  # the bucket's common words, and which of all they are
         self.hot_of = np.searchsorted(hot, self.words[self.hot])
 
@@ -211,10 +189,11 @@ class Bucket:
         return np.bincount(self.context, weights=values, minlength=len(self.contexts)).astype(np.int64)
 
     def segments(self, bits: int) -> Iterator[tuple[int, slice]]:
-        """The buckets that own this one's contexts, and which those are."""
+        """The buckets that own some of this one's contexts, and which those are."""
         cuts = np.searchsorted(self.contexts >> np.uint64(NAME_BITS - bits), np.arange((1 << bits) + 1, dtype=np.uint64)).tolist()
         for b, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            yield b, slice(a, z)
+            if z > a:
+                yield b, slice(a, z)
 
 
 def _rows(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
@@ -232,7 +211,7 @@ def questions(bits: int, hot: np.ndarray):
         seated = (own.c > 0).astype(np.int64)
         tables = own.by_context(seated)
         totals = own.totals(seated, (own.c_word > 0).astype(np.int64), True)
-        return _rows([(to, b, 0, pack(totals, small(np.diff(own.contexts[s], prepend=np.uint64(0))), small(tables[s]))) for to, s in own.segments(bits)])
+        return _rows([(ROOT, b, 0, pack(totals)), *((to, b, 0, pack(small(np.diff(own.contexts[s], prepend=np.uint64(0))), small(tables[s]))) for to, s in own.segments(bits))])
 
     return run
 
@@ -241,7 +220,13 @@ def _names(steps: np.ndarray) -> np.ndarray:
     return np.cumsum(steps.astype(np.uint64))
 
 
-def _replies(b: int, turn: int, asked: dict[int, np.ndarray], tables: dict[int, np.ndarray], totals: np.ndarray, customers=None) -> pa.Table:
+def _sums(rows: pa.Table, turn: int) -> pa.Table:
+    """The sums of all totals, to every bucket."""
+    total = sum(unpack(p)[0] for p in rows["payload"].to_pylist())
+    return _rows([(src, ROOT, turn, pack(total)) for src in rows["src"].to_pylist()])
+
+
+def _replies(b: int, turn: int, asked: dict[int, np.ndarray], tables: dict[int, np.ndarray], customers=None) -> pa.Table:
     names, at = np.unique(np.concatenate(list(asked.values())), return_inverse=True)
     sums = np.bincount(at, weights=np.concatenate([tables[k] for k in asked]), minlength=len(names)).astype(np.int64)
     c = customers(names) if customers else None
@@ -249,29 +234,26 @@ def _replies(b: int, turn: int, asked: dict[int, np.ndarray], tables: dict[int,
     for src, own in asked.items():
         i = at[a : a + len(own)]
         a += len(own)
-        rows.append((src, b, turn, pack(totals, small(sums[i]), *([small(c[i])] if c is not None else []))))
+        rows.append((src, b, turn, pack(small(sums[i]), *([small(c[i])] if c is not None else []))))
     return _rows(rows)
 
 
 def first_replies(hot: np.ndarray):
-    """Customers and tables of the contexts asked for, by the bucket that has them as words, and the totals of all buckets."""
+    """Customers and tables of the contexts asked for, by the bucket that has them as words; those of common words are in the totals."""
 
     def run(words: pa.Table, asked: pa.Table) -> pa.Table:
         if not asked.num_rows:
             return ARROW.empty_table()
+        here = asked["dest"][0].as_py()
+        if here == ROOT:
+            return _sums(asked, 0)
         got = sorted(zip(asked["src"].to_pylist(), asked["payload"].to_pylist(), strict=True))
         parts = {src: unpack(p) for src, p in got}
-        totals = sum(p[0] for p in parts.values())
-        # of common words the counts are in the totals; those in one bucket are only a part
-        known, count = [hot], [totals[4 : 4 + len(hot)]]
+        names, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         if words.num_rows:
             own = Bucket(words, hot)
-            rare = np.ones(len(own.words), bool)
-            rare[own.hot] = False
-            known.append(own.words[rare])
-            count.append(own.c_word[rare])
-        names, at = np.unique(np.concatenate(known) >> np.uint64(64 - NAME_BITS), return_inverse=True)
-        count = np.bincount(at, weights=np.concatenate(count), minlength=len(names)).astype(np.int64)
+            names, at = np.unique(own.words >> np.uint64(64 - NAME_BITS), return_inverse=True)
+            count = np.bincount(at, weights=own.c_word, minlength=len(names)).astype(np.int64)
 
         def customers(of: np.ndarray) -> np.ndarray:
             if not len(names):
@@ -279,7 +261,7 @@ def first_replies(hot: np.ndarray):
             i = np.minimum(np.searchsorted(names, of), len(names) - 1)
             return np.where(names[i] == of, count[i], 0)
 
-        return _replies(asked["dest"][0].as_py(), 0, {k: _names(p[1]) for k, p in parts.items()}, {k: p[2].astype(np.int64) for k, p in parts.items()}, totals, customers)
+        return _replies(here, 0, {k: _names(p[0]) for k, p in parts.items()}, {k: p[1].astype(np.int64) for k, p in parts.items()}, customers)
 
     return run
 
@@ -290,9 +272,11 @@ def later_replies(turn: int):
     def run(asked: pa.Table, now: pa.Table) -> pa.Table:
         if not asked.num_rows or not now.num_rows:
             return ARROW.empty_table()
-        names = {s: _names(unpack(p)[1]) for s, p in sorted(zip(asked["src"].to_pylist(), asked["payload"].to_pylist(), strict=True))}
+        if now["dest"][0].as_py() == ROOT:
+            return _sums(now, turn)
+        names = {s: _names(unpack(p)[0]) for s, p in sorted(zip(asked["src"].to_pylist(), asked["payload"].to_pylist(), strict=True))}
         parts = {s: unpack(p) for s, p in zip(now["src"].to_pylist(), now["payload"].to_pylist(), strict=True)}
-        return _replies(now["dest"][0].as_py(), turn, names, {s: parts[s][1].astype(np.int64) for s in names}, sum(parts[s][0] for s in names))
+        return _replies(now["dest"][0].as_py(), turn, names, {s: parts[s][0].astype(np.int64) for s in names})
 
     return run
 
@@ -336,23 +320,29 @@ def draw_tables(c: np.ndarray, t: np.ndarray, log_parent: np.ndarray, others: np
 class State:
     """The seating of a bucket's words, swept from the replies of round after round."""
 
-    def __init__(self, own: Bucket, b: int, replies: dict[int, list[list[np.ndarray]]]) -> None:
+    def __init__(self, own: Bucket, b: int, replies: dict[int, dict[int, list[np.ndarray]]]) -> None:
         self.own, self.b, self.replies = own, b, replies
-        first = replies[0]
-        totals = first[0][0]
+        totals = replies[0][ROOT][0]
         self.hot_counts = totals[4 : 4 + own.n_hot]
         self.train_tokens, self.vocabulary = int(totals[0]), int(totals[1] + (self.hot_counts > 0).sum())
-        self.c_context = np.concatenate([p[2] for p in first]).astype(np.int64)
+        self.c_context = self._told(0, 1)
+        names = own.hot_words >> np.uint64(64 - NAME_BITS)
+        for name in np.unique(names):  # of a common word only a part is where its contexts are owned
+            self.c_context[own.contexts == name] = self.hot_counts[names == name].sum()
         self.t = (own.c > 0).astype(np.int64)
         self.t_word = (own.c_word > 0).astype(np.int64)
         self.tables2, self.tables1 = log_stirling(EXACT, D2), log_stirling(EXACT, D1)
         own.c_word[own.hot] = self.hot_counts[own.hot_of]
         self.read(0)
 
+    def _told(self, turn: int, which: int) -> np.ndarray:
+        """What the owners said of this bucket's contexts, in their order."""
+        parts = [p[which] for src, p in sorted(self.replies[turn].items()) if src != ROOT]
+        return np.concatenate(parts).astype(np.int64)
+
     def read(self, turn: int) -> None:
-        parts = self.replies[turn]
-        self.t_context = np.concatenate([p[1] for p in parts]).astype(np.int64)
-        totals = parts[0][0]
+        self.away = self._told(turn, 0) - self.own.by_context(self.t)
+        totals = self.replies[turn][ROOT][0]
         seats = totals[4 + self.own.n_hot :]
         # every bucket draws the tables of common words from the same numbers in the same way
         base = np.full(len(seats), -math.log(self.vocabulary + 1))
@@ -362,6 +352,9 @@ class State:
         self.elsewhere = np.zeros(len(self.own.words), np.int64)
         self.elsewhere[self.own.hot] = seats[self.own.hot_of] - self.seats_here()[self.own.hot]
 
+    def context_tables(self) -> np.ndarray:
+        return self.away + self.own.by_context(self.t)
+
     def seats_here(self) -> np.ndarray:
         return np.bincount(self.own.word, weights=self.t, minlength=len(self.own.words)).astype(np.int64)
 
@@ -371,12 +364,13 @@ class State:
         base = 1 / (self.vocabulary + 1)
         return (np.maximum(seated - D1 * self.t_word, 0) + (S1 + D1 * self.tables) * base) / (S1 + self.customers)
 
-    def sweep(self, turn: int) -> None:
-        own, rng = self.own, np.random.default_rng([self.b, turn])
+    def sweep(self, turn: int, n: int, rng: np.random.Generator | None = None) -> None:
+        """n sweeps of a round."""
+        own, rng = self.own, rng or np.random.default_rng([self.b, turn])
         many = np.flatnonzero(own.c > 1)
-        for _ in range(INNER):
+        for _ in range(n):
             log_parent = np.log(self.parent()[own.word[many]])
-            others = np.maximum(self.t_context[own.context[many]] - self.t[many], 0)
+            others = np.maximum(self.context_tables()[own.context[many]] - self.t[many], 0)
             self.t[many] = draw_tables(own.c[many], self.t[many], log_parent, others, D2, S2, rng, self.tables2)
             rare = np.ones(len(own.words), bool)
             rare[own.hot] = False
@@ -387,37 +381,37 @@ class State:
     def predictive(self) -> np.ndarray:
         """The chance of each type's word after its context."""
         own = self.own
-        c, t = self.c_context[own.context], self.t_context[own.context]
+        c, t = self.c_context[own.context], self.context_tables()[own.context]
         back = np.where(c > 0, (S2 + D2 * t) / (S2 + c), 1.0)
         return np.maximum(own.c - D2 * self.t, 0) / (S2 + c) + back * self.parent()[own.word]
 
 
 def _state(words: pa.Table, replies: pa.Table, hot: np.ndarray) -> State:
-    rounds: dict[int, list] = {}
-    for turn, _, p in sorted(zip(replies["round"].to_pylist(), replies["src"].to_pylist(), replies["payload"].to_pylist(), strict=True)):
-        rounds.setdefault(turn, []).append(unpack(p))
+    rounds: dict[int, dict] = {}
+    for turn, src, p in zip(replies["round"].to_pylist(), replies["src"].to_pylist(), replies["payload"].to_pylist(), strict=True):
+        rounds.setdefault(turn, {})[src] = unpack(p)
     return State(Bucket(words, hot), words["dest"][0].as_py(), rounds)
 
 
-def sweeps(turn: int, bits: int, hot: np.ndarray):
-    """The tables of each context here after sweep `turn`, to the contexts' owners."""
+def sweeps(turn: int, burn_in: int, bits: int, hot: np.ndarray):
+    """The tables of each context here after round `turn`, to the contexts' owners."""
 
     def run(words: pa.Table, replies: pa.Table) -> pa.Table:
         if not words.num_rows or not replies.num_rows:
             return ARROW.empty_table()
         s = _state(words, replies, hot)
         for k in range(1, turn + 1):
-            s.sweep(k)
+            s.sweep(k, burn_in)
             if k < turn:
                 s.read(k)
         tables = s.own.by_context(s.t)
         totals = s.own.totals(s.t, s.t_word, False)
-        return _rows([(to, s.b, turn, pack(totals, small(tables[part]))) for to, part in s.own.segments(bits)])
+        return _rows([(ROOT, s.b, turn, pack(totals)), *((to, s.b, turn, pack(small(tables[part]))) for to, part in s.own.segments(bits))])
 
     return run
 
 
-def scores(n_sweeps: int, burn_in: int, hot: np.ndarray):
+def scores(rounds: int, burn_in: int, samples: int, hot: np.ndarray):
     """The sums over each document's tokens in a bucket, to the batch of the document; the documents themselves pass."""
 
     def run(words: pa.Table, replies: pa.Table) -> pa.Table:
@@ -427,21 +421,22 @@ def scores(n_sweeps: int, burn_in: int, hot: np.ndarray):
             return _rows([(words["src"][0].as_py(), -1, 0, words["payload"][0].as_py())])
         s = _state(words, replies, hot)
         total = np.zeros(len(s.own.word))
-        for k in range(1, n_sweeps + 1):
-            s.sweep(k)
+        for k in range(1, rounds + 1):
+            s.sweep(k, burn_in)
             s.read(k)
-            if k > burn_in:
-                total += s.predictive()
+        rng = np.random.default_rng([s.b, rounds + 1])
+        for _ in range(samples):
+            s.sweep(rounds + 1, 1, rng)
+            total += s.predictive()
         own = s.own
-        score = np.log10(total / (n_sweeps - burn_in))
+        score = np.log10(total / samples)
         base = np.log10(own.c_word + 0.1) - math.log10(s.train_tokens + 0.1 * (s.vocabulary + 1))
         kinds = own.word[own.type_of]
         sums = [np.bincount(own.doc, weights=x, minlength=own.n_docs) for x in (score[own.type_of], base[kinds], own.c_word[kinds] > 0)]
         rows = []
-        for src, a, n in own.batches:
-            part = [x[a : a + n] for x in sums]
-            some = np.flatnonzero(part[1])
-            rows.append((src, s.b, 1, pack(np.array([s.train_tokens], np.int64), small(some), part[0][some].astype(np.float32), part[1][some], small(part[2][some].astype(np.int64)))))
+        for src, a, docs in own.batches:
+            part = [x[a : a + len(docs)] for x in sums]
+            rows.append((src, s.b, 1, pack(np.array([s.train_tokens], np.int64), small(docs), part[0], part[1], small(part[2].astype(np.int64)))))
         return _rows(rows)
 
     return run
@@ -465,14 +460,14 @@ def _documents(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=none.astype(bool)), "held_out": pa.array(held.astype(bool)), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([train] * len(ids), pa.int64()), "base_score": pa.array(base), "score": pa.array(score)})
 
 
-def score(docs: DataFrame, folds: int = FOLDS, n_sweeps: int = SWEEPS, burn_in: int = BURN_IN) -> DataFrame:
+def score(docs: DataFrame, folds: int = FOLDS, rounds: int = ROUNDS, burn_in: int = BURN_IN, samples: int = SAMPLES) -> DataFrame:
     """Log10 probabilities of every text under the model learned from the rows whose fold is not 0.
 
-    docs: doc_id, text; other columns are not read. Texts are lower-cased (A-Z), words are runs without ASCII white space.
+    docs: doc_id, text; other columns, whatever their names, are not read. Texts are lower-cased (A-Z), words are runs without ASCII white space.
     The fold is crc32(doc_id as text) modulo `folds`; fold 0 is held out. Returns doc_id, held_out, n_tokens (words and the
     end), n_known (tokens that training has), train_tokens, base_score (smoothed single words) and score (the model).
 
-    A null or empty text is its end alone. A row with a null doc_id is learned from. Repeated rows each count and each
+    A null or empty text is its end alone; a very long text is worked on whole in one task. A row with a null doc_id is learned from. Repeated rows each count and each
     give a row; an empty table gives none. If every row is held out all words are unknown and equally likely.
     """
     ready_workers(docs.sparkSession)
@@ -485,11 +480,11 @@ def score(docs: DataFrame, folds: int = FOLDS, n_sweeps: int = SWEEPS, burn_in:
     words = rows.groupBy("dest")
     asked = words.applyInArrow(questions(bits, hot), MESSAGE).repartition("dest")
     replies = words.cogroup(asked.groupBy("dest")).applyInArrow(first_replies(hot), MESSAGE).repartition("dest")
-    for turn in range(1, n_sweeps + 1):
-        now = words.cogroup(replies.groupBy("dest")).applyInArrow(sweeps(turn, bits, hot), MESSAGE).repartition("dest")
+    for turn in range(1, rounds + 1):
+        now = words.cogroup(replies.groupBy("dest")).applyInArrow(sweeps(turn, burn_in, bits, hot), MESSAGE).repartition("dest")
         more = asked.groupBy("dest").cogroup(now.groupBy("dest")).applyInArrow(later_replies(turn), MESSAGE).repartition("dest")
         replies = replies.unionAll(more)
-    sums = words.cogroup(replies.groupBy("dest")).applyInArrow(scores(n_sweeps, burn_in, hot), MESSAGE)
+    sums = words.cogroup(replies.groupBy("dest")).applyInArrow(scores(rounds, burn_in, samples, hot), MESSAGE)
     return sums.groupBy("dest").applyInArrow(_documents, OUT)
 
 

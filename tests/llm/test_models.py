@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,10 +170,9 @@ def test_predictive_probabilities_sum_to_one(common):
     rows = pitman_yor._occurrences(batch, 0, bits, 10**9, hot)
     words = pa.Table.from_pylist([r for r in rows if r["dest"] >= 0], schema=pitman_yor.ARROW)
     asked = pitman_yor.questions(bits, hot)(words)
-    replies = pitman_yor.first_replies(hot)(words, asked)
+    replies = pa.concat_tables([pitman_yor.first_replies(hot)(w, a) for w, a in ((words, asked.filter(pc.equal(asked["dest"], 0))), (words.slice(0, 0), asked.filter(pc.equal(asked["dest"], pitman_yor.ROOT))))])
     s = pitman_yor._state(words, replies, hot)
-    s.sweep(1)
-    s.t_context = s.own.by_context(s.t)
+    s.sweep(1, 2)
     s.customers, s.tables = int(s.t.sum()), int(s.t_word.sum())
     s.elsewhere[:] = 0
     parent, own = s.parent(), s.own
@@ -180,6 +180,33 @@ def test_predictive_probabilities_sum_to_one(common):
     assert abs(parent.sum() + unknown - 1) < 1e-12
     p = s.predictive()
     for c in range(len(own.contexts)):
-        back = (pitman_yor.S2 + pitman_yor.D2 * s.t_context[c]) / (pitman_yor.S2 + s.c_context[c])
+        back = (pitman_yor.S2 + pitman_yor.D2 * s.context_tables()[c]) / (pitman_yor.S2 + s.c_context[c])
         seen = own.context == c
         assert abs(p[seen].sum() + back * (1 - parent[own.word[seen]].sum()) - 1) < 1e-12
+
+
+def test_many_buckets_score_like_one(spark, small, monkeypatch):
+    """The exchange between buckets: counts and base scores are the same, scores differ by the draws alone; no message but to owners and the root."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    one = {r["doc_id"]: r for r in pitman_yor.score(docs).collect()}
+    monkeypatch.setattr(pitman_yor, "BUCKET_BYTES", 20_000)
+    many = {r["doc_id"]: r for r in pitman_yor.score(docs).collect()}
+    assert set(one) == set(many)
+    for d, a in one.items():
+        b = many[d]
+        assert (a["held_out"], a["n_tokens"], a["n_known"], a["train_tokens"]) == (b["held_out"], b["n_tokens"], b["n_known"], b["train_tokens"])
+        assert abs(a["base_score"] - b["base_score"]) < 1e-9 * abs(a["base_score"]) + 1e-9
+    gap = np.array([(one[d]["score"] - many[d]["score"]) / one[d]["n_tokens"] for d in one])
+    assert abs(gap).max() < 0.05 and abs(gap.mean()) < 0.005
+
+
+def test_messages_follow_the_contexts():
+    """Twice the text: at most twice the rows that buckets send, whatever their number."""
+    def rows(n_docs, bits):
+        texts = [" ".join(f"w{(7 * i + j * j) % 97}" for j in range(40)) for i in range(n_docs)]
+        batch = pa.record_batch([pa.array(range(n_docs), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+        hot = np.zeros(0, np.uint64)
+        sent = [r for r in pitman_yor._occurrences(batch, 0, bits, 10, hot) if r["dest"] >= 0]
+        return sum(pitman_yor.questions(bits, hot)(pa.Table.from_pylist([r], schema=pitman_yor.ARROW)).num_rows for r in sent)
+
+    assert rows(40, 12) <= 40 * 41 + 4096 and rows(80, 12) <= 2 * rows(40, 12) and rows(40, 16) <= 40 * 41 * 2
