@@ -2,7 +2,8 @@
 
 Texts are packed to batches of a few MB, one compressed row each, which are dealt out once and kept on the executors' disks;
 no key of the corpus decides where a text goes. A batch that is lost is packed again from the table, with the same rows in
-the same order. The answers to each round are checkpointed, so a lost executor costs no earlier round. A batch sends each distinct key it holds once, with the smallest document that has it, packed in one binary row for each bucket. A
+the same order. The answers to each round are checkpointed, or where they are read in several rounds kept dealt out by batch,
+so a lost executor costs no whole round. A batch sends each distinct key it holds once, with the smallest document that has it, packed in one binary row for each bucket. A
 bucket sorts what it received and answers each key in the order sent. As a batch sends a key once however many of its rows
 have it, a key that half the corpus shares costs its bucket one entry a batch.
 
@@ -73,8 +74,16 @@ def in_batches(docs: DataFrame, total: int, batch_bytes: int = BATCH_BYTES, *kee
                 yield pa.record_batch([pa.array([name], pa.int64()), pa.array([zstandard.ZstdCompressor(level=5).compress(sink.getvalue())], pa.binary())], names=["batch", "payload"])
                 name += 1
 
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / PARTITION_BYTES))
-    out = rows.mapInArrow(run, BATCH).repartition(parts, "batch").persist(StorageLevel.DISK_ONLY)
+    return dealt_out(rows.mapInArrow(run, BATCH), "batch", partitions(docs, total))
+
+
+def partitions(docs: DataFrame, total: int) -> int:
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / PARTITION_BYTES))
+
+
+def dealt_out(rows: DataFrame, key: str, parts: int) -> DataFrame:
+    """Rows dealt out by a key and kept on the executors' disks; what is lost is made again from the shuffle before it."""
+    out = rows.repartition(parts, key).persist(StorageLevel.DISK_ONLY)
     out.count()  # later plans know how it is dealt out once it is there
     return out
 
@@ -316,10 +325,15 @@ def mapped(rows: DataFrame, f: Callable[[int, bytes], pa.Table], schema: str) ->
     return rows.mapInArrow(run, schema)
 
 
-def answered(asked: DataFrame, buckets: Buckets, answer: str, size: int) -> DataFrame:
-    """The answers to a round of messages, checkpointed. size: keys asked for, about, which the number of relays follows from."""
+def answered(asked: DataFrame, buckets: Buckets, answer: str, size: int, parts: int | None = None) -> DataFrame:
+    """The answers to a round of messages, checkpointed, or with parts dealt out by batch to so many. size: keys asked for, about, which the number of relays follows from."""
+    out = _answered(asked, buckets, answer, size)
+    return out.checkpoint() if parts is None else dealt_out(out, "dest", parts)
+
+
+def _answered(asked: DataFrame, buckets: Buckets, answer: str, size: int) -> DataFrame:
     if buckets.bits == buckets.sent:
-        return asked.groupBy("dest").applyInArrow(answers(buckets, answer), MESSAGE).checkpoint()
+        return asked.groupBy("dest").applyInArrow(answers(buckets, answer), MESSAGE)
     chunks = max(1, math.ceil(size * buckets.width(buckets.sent) / RELAY_BYTES / 2**buckets.sent))
     asked = asked.checkpoint()
     relayed = asked.withColumn("relay", F.col("dest") * chunks + F.pmod(F.xxhash64("src"), F.lit(chunks)))
@@ -353,4 +367,4 @@ def answered(asked: DataFrame, buckets: Buckets, answer: str, size: int) -> Data
         return messages([(src, here, turn, top, coded(answer, flags[a:b], None if ranks is None else ranks[a:b])) for (src, turn, _), a, b in zip(got, np.r_[0, cuts[:-1]].tolist(), cuts.tolist(), strict=True)])
 
     replies = relayed.groupBy("relay").applyInArrow(send, MESSAGE).groupBy("dest").applyInArrow(answers(buckets, answer), MESSAGE)
-    return relayed.groupBy("relay").cogroup(replies.withColumnRenamed("dest", "relay").groupBy("relay")).applyInArrow(forward, MESSAGE).checkpoint()
+    return relayed.groupBy("relay").cogroup(replies.withColumnRenamed("dest", "relay").groupBy("relay")).applyInArrow(forward, MESSAGE)
