@@ -6,7 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # fixed values
-NAMED_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&shy;": "­"}
+NAMED_ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "shy": "\u00ad"}
+#: White space as runs of it are collapsed.
+SPACE = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]+"
 SUPERSCRIPTS = {"0": "⁰", "1": "¹", "2": "²", "3": "³", "4": "⁴", "5": "⁵", "6": "⁶", "7": "⁷", "8": "⁸", "9": "⁹", "+": "⁺", "-": "⁻", "=": "⁼", "(": "⁽", ")": "⁾", "n": "ⁿ", "i": "ⁱ"}
 SUBSCRIPTS = {"0": "₀", "1": "₁", "2": "₂", "3": "₃", "4": "₄", "5": "₅", "6": "₆", "7": "₇", "8": "₈", "9": "₉", "+": "₊", "-": "₋", "=": "₌", "(": "₍", ")": "₎"}
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
@@ -15,32 +17,29 @@ ELLIPSIS = "…"
 
 
 def decode_entities(c: Column) -> Column:
-    """One pass of the seven named and all numeric entities; unknown names and numbers out of range stay as written."""
-    # ampersands that are themselves encoded are set apart, so that what they spell is not decoded a second time
-    out = F.replace(c, F.lit("&amp;"), F.lit("\u0001"))
-    for name, char in NAMED_ENTITIES.items():
-        out = F.replace(out, F.lit(name), F.lit(char))
-    parts = F.regexp_extract_all(out, F.lit(r"(?s)(&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&|[^&]+)"), F.lit(1))
+    """One pass over well-formed references: seven names, in any case, and numbers; unknown names and numbers out of range stay as written."""
+    parts = F.regexp_extract_all(c, F.lit(r"(?is)(&(?:#x[0-9a-f]+|#[0-9]+|[a-z][a-z0-9]*);|&|[^&]+)"), F.lit(1))
+    names = F.create_map(*(F.lit(x) for kv in NAMED_ENTITIES.items() for x in kv))
 
     def one(p: Column) -> Column:
-        code = F.when(p.rlike(r"^&#[0-9]{1,7};$"), F.regexp_extract(p, r"^&#([0-9]+);$", 1).cast("long")).when(
-            p.rlike(r"^&#[xX][0-9A-Fa-f]{1,6};$"), F.conv(F.regexp_extract(p, r"^&#[xX]([0-9A-Fa-f]+);$", 1), 16, 10).cast("long")
-        )
-        fine = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        return F.when(fine, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(p)
+        name = F.lower(F.substring(p, F.lit(2), F.length(p) - 2))
+        digits = F.when(p.rlike("(?i)^&#x"), F.try_to_number(F.conv(F.substring(name, F.lit(3), F.lit(12)), 16, 10), F.lit("9" * 20))).otherwise(F.substring(name, F.lit(2), F.lit(19)).try_cast("decimal(20,0)"))
+        code = digits.cast("decimal(20,0)")
+        fine = code.between(0, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        number = F.when(fine, F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")).otherwise(p)
+        return F.when(~p.rlike("(?s)^&.*;$"), p).when(p.startswith("&#"), number).otherwise(F.coalesce(F.try_element_at(names, name), p))
 
-    decoded = F.array_join(F.transform(parts, one), "")
-    return F.replace(F.when(F.contains(out, F.lit("&#")), decoded).otherwise(out), F.lit("\u0001"), F.lit("&"))
+    return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(parts, one), "")).otherwise(c)
 
 
 def collapse(c: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(c, SPACE, " "))
 
 
 def display_text(c: Column) -> Column:
-    """Markup as text: tags go, then entities are decoded, soft hyphens go and white space collapses."""
-    return collapse(F.replace(decode_entities(F.regexp_replace(c, "<[^>]*>", " ")), F.lit("­"), F.lit("")))
+    """Markup as text: tags go, then entities are decoded, soft hyphens go and white space collapses. A `<` that no letter follows is no tag, nor is what has another bracket in it, so comparisons stay."""
+    return collapse(F.replace(decode_entities(F.regexp_replace(c, "</?[A-Za-z][^<>]*>", " ")), F.lit("\u00ad"), F.lit("")))
 
 
 def html_text(c: Column) -> Column:
@@ -65,7 +64,9 @@ def utf16_slice(c: Column, limit: int | Column) -> Column:
 
 
 def snippet(c: Column, limit: int = 400) -> Column:
-    return F.when(F.length(c) > limit, F.concat(F.substring(c, 1, limit), F.lit(ELLIPSIS))).otherwise(c)
+    """Display text of `limit` UTF-16 units at most, with an ellipsis where it was cut."""
+    shown = display_text(c)
+    return F.when(utf16_length(shown) > limit, F.concat(utf16_slice(shown, limit), F.lit(ELLIPSIS))).otherwise(shown)
 
 
 def _script(c: Column, tag: str, table: dict[str, str], prefix: str) -> Column:
@@ -217,13 +218,44 @@ def sanitise_error(c: Column) -> Column:
     return F.when(trace, F.lit("The upstream service failed.")).otherwise(F.regexp_replace(c, r"https?://\S+", "[url]"))
 
 
+def article_url(pmid: Column) -> Column:
+    return F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), pmid, F.lit("/"))
+
+
+def fulltext_url(pmc: Column) -> Column:
+    return F.concat(F.lit("https://pmc.ncbi.nlm.nih.gov/articles/"), pmcid(pmc), F.lit("/"))
+
+
+def search_url(query: Column) -> Column:
+    return F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/?term="), uri_component(query))
+
+
+def corpus_url(source: Column, record: Column) -> Column:
+    return F.concat(F.lit("https://europepmc.org/article/"), source, F.lit("/"), record)
+
+
+def string_list(c: Column) -> Column:
+    """A JSON value that is one member or a list of them, as an array of strings; null is null."""
+    return F.when(F.trim(c).startswith("["), F.from_json(c, "array<string>")).when(c.isNotNull(), F.array(F.regexp_replace(F.trim(c), '^"|"$', "")))
+
+
+def nested(c: Column, path: str) -> Column:
+    """What stands at a dotted path of a JSON text, as text; null if any step is missing."""
+    return F.get_json_object(c, "$" + "".join(f"['{p}']" for p in path.split(".")))
+
+
+def content_kind(url_for_pdf: Column, head: Column) -> Column:
+    """pdf or html: by the first characters of what was fetched, else by which address it came from."""
+    return F.when(head.startswith("%PDF"), "pdf").when(head.rlike(r"(?is)^\s*<(!doctype html|html|head|body)"), "html").when(url_for_pdf.isNotNull(), "pdf").otherwise("html")
+
+
 def payload_kind(c: Column) -> Column:
     """What a reply is before it is parsed: html, empty, error, invalid or xml."""
     body = F.trim(F.regexp_replace(c, r"(?s)^\s*<\?xml.*?\?>", ""))
     return (
         F.when(c.rlike(r"(?is)^\s*(<!doctype html|<html)"), "html")
         .when((body == "") | c.isNull(), "empty")
-        .when(~body.rlike(r"(?s)^<.*>$"), "invalid")
+        .when(~body.rlike(r"(?s)^<([A-Za-z_][\w:.-]*)(\s[^<>]*)?(/>|>.*</\1\s*>)$"), "invalid")
         .when(body.rlike(r"(?i)<error>"), "error")
         .otherwise("xml")
     )

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litgrid.functions.text import snippet
+from litgrid.functions.text import display_text, snippet, utf16_length
 from litgrid.operators import paging
 from litgrid.operators import search as S
+from litgrid.plans.texts import display_sql
 from litgrid.sources.tables import table
 
 #: Orders stand for records: the priority for types, the status for the language, the date for the date.
@@ -54,7 +55,7 @@ def filter_any_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where(F.col("source").isin("src1", "src2", "src3")).select("doc_id", "source")
+    return S.search(table(spark, sf_dir, "documents"), S.Search(sources=["src1", "src2", "src3"]), S.Fields(id="doc_id")).select("doc_id", "source")
 
 
 def free_fulltext_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +74,7 @@ def summary_page_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", snippet(F.col("text")).alias("snippet"), (F.length("text") > 400).alias("truncated"))
+    return docs.select("doc_id", snippet(F.col("text")).alias("snippet"), (utf16_length(display_text(F.col("text"))) > 400).alias("truncated"))
 
 
 MISSPELT = ["amber gear", "steel whel", "cooper rod", "xyzzy"]
@@ -141,7 +142,11 @@ ORACLES = {
     "corpus_filter": "SELECT doc_id, source FROM documents WHERE source IN ('src1', 'src2', 'src3')",
     "free_fulltext_semi": "SELECT doc_id, lang FROM documents d WHERE text IS NOT NULL AND trim(text) <> '' AND EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND quality = 1)",
     "summary_page_join": f"SELECT o_orderkey, o_totalprice, c_name, c_mktsegment FROM (SELECT * FROM orders WHERE {WHERE} ORDER BY o_totalprice DESC, o_orderkey LIMIT 50) LEFT JOIN customer ON c_custkey = o_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 10",
-    "snippet": "SELECT doc_id, CASE WHEN length(text) > 400 THEN substring(text, 1, 400) || '…' ELSE text END AS snippet, length(text) > 400 AS truncated FROM documents",
+    "snippet": f"""
+        WITH d AS (SELECT doc_id, {display_sql('text')} AS s FROM documents),
+        n AS (SELECT doc_id, s, length(s) + length(regexp_replace(s, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) AS units,
+                     (SELECT max(i) FROM range(0, 401) r(i) WHERE i + length(regexp_replace(left(s, i), '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) <= 400) AS fits FROM d)
+        SELECT doc_id, CASE WHEN units > 400 THEN left(s, fits) || '\u2026' ELSE s END AS snippet, units > 400 AS truncated FROM n""",
     "spell_check": "WITH w AS (SELECT * FROM (VALUES " + ", ".join(f"('{w}')" for w in MISSPELT) + ") t(word)), n AS (SELECT DISTINCT lower(p_name) AS entry FROM part), c AS (SELECT word, entry, row_number() OVER (PARTITION BY word ORDER BY levenshtein(word, entry), entry) AS rn FROM w, n WHERE levenshtein(word, entry) <= 4) SELECT w.word, coalesce(entry, w.word) AS corrected FROM w LEFT JOIN c ON c.word = w.word AND rn = 1",
     "corpus_sort_modes": """
         SELECT mode, CAST(pos AS INT) AS pos, o_orderkey FROM (

@@ -17,11 +17,13 @@ def display_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 ENTITIES = {
     1: ("a &amp; b &lt;i&gt; &quot;c&quot; &apos;", "a & b <i> \"c\" '"),
     2: ("&#233;&#x1F600;&#x41;", "é😀A"),
-    3: ("&amp;lt;x&amp;gt;", "&lt;x&gt;"),
-    4: ("&unknown; &#0; &#99999999; &", "&unknown; &#0; &#99999999; &"),
+    3: ("&amp;lt;x&amp;gt; &amp;amp;", "&lt;x&gt; &amp;"),
+    4: ("&unknown; &#99999999; &#99999999999999999999999; &", "&unknown; &#99999999; &#99999999999999999999999; &"),
     5: ("x&nbsp;y&#8211;z", "x\u00a0y–z"),
     6: ("", ""),
     7: ("&amp;#65; &#xD800;", "&#65; &#xD800;"),
+    8: ("&AMP; &Lt;x&GT; &#X41; &#xe9;", "& <x> A \u00e9"),
+    9: ("AT&T; A&T &#x1F9EC;&ampx;", "AT&T; A&T \U0001f9ec&ampx;"),
 }
 INLINE = {
     1: ("H<sub>2</sub>O and Ca<sup>2+</sup>", "H₂O and Ca²⁺"),
@@ -115,26 +117,27 @@ def html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", title.alias("title"), links.cast("int").alias("n_links"), F.length(T.html_text(F.col("html"))).alias("n_text"))
 
 
-SPACE = r"[ \t\n\r\f\v\x{00A0}\x{0085}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+SPACE = r"[ \t\n\r\f\v\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
 
 
-def _display(c: str) -> str:
-    s = f"regexp_replace({c}, '<[^>]*>', ' ', 'g')"
-    for name, char in (*T.NAMED_ENTITIES.items(), ("&amp;", "&")):
-        s = f"replace({s}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
-    return f"trim(regexp_replace(replace({s}, '­', ''), '{SPACE}', ' ', 'g'))"
+def display_sql(c: str) -> str:
+    """Display text in SQL, for texts without numeric references."""
+    s = f"regexp_replace({c}, '</?[A-Za-z][^<>]*>', ' ', 'g')"
+    for name, char in sorted(T.NAMED_ENTITIES.items(), key=lambda kv: kv[0] == "amp"):  # ampersands last: nothing is decoded twice
+        s = f"regexp_replace({s}, '(?i)&{name};', '{char.replace(chr(39), chr(39) * 2)}', 'g')"
+    return f"trim(regexp_replace(replace({s}, '\u00ad', ''), '{SPACE}', ' ', 'g'))"
 
 
 def _page_text(c: str) -> str:
     s = f"regexp_replace({c}, '(?is)<!--.*?-->', ' ', 'g')"
     for tag in ("script", "style", "nav"):
         s = f"regexp_replace({s}, '(?is)<{tag}\\b.*?</{tag}>', ' ', 'g')"
-    return _display(s)
+    return display_sql(s)
 
 
 QUERIES = {f.__name__: f for f in (display_text, entity_decode, inline_flatten, partial_date, partial_date_forms, author_display, affiliation_index, keyword_union, page_range, url_doi_normalise, uid_decode, html_extract)}
 ORACLES = {
-    "display_text": f"SELECT page_id, {_display('html')} AS body FROM pages",
+    "display_text": f"SELECT page_id, {display_sql('html')} AS body FROM pages",
     "entity_decode": _expected(ENTITIES),
     "inline_flatten": _expected(INLINE),
     "partial_date_forms": _expected(DATES),
