@@ -121,21 +121,40 @@ def _sections(body: ET.Element | None) -> list[dict]:
     return out
 
 
-def _reference(ref: ET.Element) -> dict:
-    holder = ref.find("citation-alternatives")
-    holder = ref if holder is None else holder
-    mixed, element = holder.find("mixed-citation"), holder.find("element-citation")
-    if mixed is not None:
-        text = content(mixed)
-    elif element is not None:
-        names = ", ".join(filter(None, (f"{content(n.find('surname'))} {content(n.find('given-names'))}".strip() for n in element.iter("name"))))
-        fields = [names, *(content(element.find(t)) for t in ("article-title", "source", "year"))]
-        volume, first, last = (content(element.find(t)) for t in ("volume", "fpage", "lpage"))
-        fields += [f"vol. {volume}" if volume else "", f"pp. {first}-{last}" if first and last else f"p. {first}" if first else ""]
-        text = ". ".join(filter(None, fields))
-    else:
-        text = content(holder)
-    return {"id": ref.get("id"), "label": _or_none(content(ref.find("label"))), "citation": _or_none(text)}
+# fixed values
+ID_LABELS = {"pmid": "PMID", "doi": "DOI", "pmcid": "PMCID"}
+
+
+def _person(node: ET.Element) -> str:
+    if node.tag in ("name", "string-name"):
+        return " ".join(filter(None, (content(node.find("surname")), content(node.find("given-names"))))) or content(node)
+    return {"collab": content(node), "etal": "et al."}.get(node.tag, "")
+
+
+def _element_citation(node: ET.Element) -> str:
+    """The fields in the order they stand in, persons of a group with commas between, identifiers with what they are; loose text counts."""
+    parts = [_SPACE.sub(" ", node.text or "").strip()]
+    for field in node:
+        value = content(field)
+        if field.tag == "person-group":
+            value = ", ".join(filter(None, map(_person, field)))
+        elif field.tag == "pub-id" and value:
+            value = " ".join(filter(None, (ID_LABELS.get(field.get("pub-id-type", "")), value)))
+        parts += [value, _SPACE.sub(" ", field.tail or "").strip()]
+    return " ".join(filter(None, parts))
+
+
+def _references(back: list[ET.Element]) -> list[dict]:
+    """The references that have any text: as it is written where there is such a form, else put together from the fields."""
+    out = []
+    for ref in back:
+        holder = ref.find("citation-alternatives")
+        holder = ref if holder is None else holder
+        mixed, element = holder.find("mixed-citation"), holder.find("element-citation")
+        text = content(mixed) if mixed is not None else _element_citation(element) if element is not None else ""
+        if text:
+            out.append({"id": ref.get("id"), "label": _or_none(content(ref.find("label"))), "citation": text})
+    return out
 
 
 def parse(xml: str | None) -> dict:
@@ -174,7 +193,7 @@ def parse(xml: str | None) -> dict:
         "abstract_text": _abstract(meta),
         "keywords": [x for x in (content(k) for k in _all(meta, "kwd-group/kwd")) if x],
         "sections": _sections(article.find("body")),
-        "references": [_reference(r) for r in article.findall("back//ref")],
+        "references": _references(article.findall("back/ref-list/ref")),
     }
 
 

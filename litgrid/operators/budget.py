@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from litgrid.functions.text import utf16_length, utf16_slice
+
 
 def truncate(sections: DataFrame, article: str, order: str, size: str, budget: int, cap: int | None = None) -> DataFrame:
     """Adds kept: what each section gets in document order, until the budget is used up."""
@@ -43,6 +45,29 @@ def fill_fields(fields: DataFrame, section: list[str], order: str, size: str, al
     return fields.withColumn("kept", F.greatest(F.lit(0), F.least(F.col(size), left)).cast("int"))
 
 
+def filter_sections(sections: Column, terms: list[str]) -> Column:
+    """Sections whose title has one of the terms in it, in any case; those without a title never match."""
+    hit = lambda s: F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(F.lower(s["title"]), F.lower(t)))
+    return F.filter(sections, lambda s: F.coalesce(F.trim(s["title"]) != "", F.lit(False)) & F.coalesce(hit(s), F.lit(False)))
+
+
+def filter_miss(before: Column, after: Column) -> Column:
+    """Whether a filter took all sections of an article that has some; one without any is body-less, which is something else."""
+    return (F.size(before) > 0) & (F.size(after) == 0)
+
+
+def first_sections(sections: Column, most: int) -> Column:
+    return F.slice(sections, 1, most)
+
+
+def content_budget(content: Column, limit: int) -> tuple[Column, Column, Column]:
+    """One text cut to a number of UTF-16 units: what is kept, and the units before and after; those are null where nothing was cut."""
+    n = utf16_length(content)
+    kept = utf16_slice(content, limit)
+    over = n > limit
+    return kept, F.when(over, n), F.when(over, utf16_length(kept))
+
+
 def report(budgeted: DataFrame, article: str, size: str) -> DataFrame:
     """Per article: sections, characters before and after, sections dropped and cut."""
     return budgeted.groupBy(article).agg(

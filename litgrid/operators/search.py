@@ -6,10 +6,10 @@ import re
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from litgrid.functions.text import date_bounds
+from litgrid.functions.text import date_bounds, string_list
 
 
 @dataclass
@@ -155,6 +155,66 @@ def search(records: DataFrame, s: Search, f: Fields, full_text: DataFrame | None
     return found
 
 
+#: The last row that a page may begin at.
+LAST_OFFSET = 9998
+SORTS = ("relevance", "pub_date", "author", "journal")
+
+
+def order_of(s: Search, f: Fields) -> list[Column]:
+    """The total order of a sort mode: rows without the value last, ties by id."""
+    if s.sort not in SORTS:
+        raise ValueError(f"sort: one of {', '.join(SORTS)}")
+    if s.sort == "relevance":
+        words = [w for w in re.findall(r"\w+", re.sub(r"\[\w+\]", " ", s.query)) if w not in ("AND", "OR")]
+        first = F.desc(relevance(F.col(f.title), words)) if words else None
+    else:
+        first = {"pub_date": lambda: F.col(f.date).desc_nulls_last(), "author": lambda: F.lower(F.get(F.col(f.authors), F.lit(0))).asc_nulls_last(), "journal": lambda: F.lower(F.col(f.journal)).asc_nulls_last()}[s.sort]()
+    return [c for c in (first, F.col(f.id).asc()) if c is not None]
+
+
+def results(records: DataFrame, s: Search, f: Fields, full_text: DataFrame | None = None) -> DataFrame:
+    """The page of a search that its sort, offset and limit ask for, with pos (from 1 within the page) and summarised (the first
+    `summaries` rows, whose summaries are fetched)."""
+    if not 0 <= s.offset <= LAST_OFFSET:
+        raise ValueError(f"offset: 0 to {LAST_OFFSET}")
+    order = order_of(s, f)
+    page = search(records, s, f, full_text).orderBy(*order).offset(s.offset).limit(s.limit)
+    # a page is bounded by its limit
+    placed = page.withColumn("pos", F.row_number().over(Window.orderBy(*order)))
+    return placed.withColumn("summarised", F.col("pos") <= min(s.summaries, s.limit))
+
+
+def total_rows(found: DataFrame, page: DataFrame) -> DataFrame:
+    """n_matched before paging and n_returned, as one row."""
+    return found.agg(F.count("*").alias("n_matched")).crossJoin(page.agg(F.count("*").alias("n_returned")))
+
+
+def diagnostics(errors: dict[str, Column], warnings: dict[str, Column]) -> dict[str, Column]:
+    """ignored_fields and unmatched_phrases: the members of both lists in order, repeats included. Each list may be null; members are JSON values or lists of them."""
+    none = F.array().cast("array<string>")
+    part = lambda source, name: F.coalesce(string_list(source[name]), none) if name in source else none
+    return {
+        "ignored_fields": F.concat(part(errors, "FieldNotFound"), part(warnings, "FieldNotFound")),
+        "unmatched_phrases": F.concat(part(errors, "PhraseNotFound"), part(warnings, "PhraseNotFound"), part(warnings, "QuotedPhraseNotFound")),
+    }
+
+
+def diagnostic_notice(ignored_fields: Column, unmatched_phrases: Column) -> Column:
+    """What the lists mean for the results; empty if there are none."""
+    quoted = lambda c: F.array_join(F.transform(c, lambda x: F.concat(F.lit('"'), x, F.lit('"'))), ", ")
+    return F.concat_ws(
+        " ",
+        F.when(F.size(ignored_fields) > 0, F.concat(F.lit("Unknown field tags, searched as free text: "), quoted(ignored_fields), F.lit("."))),
+        F.when(F.size(unmatched_phrases) > 0, F.concat(F.lit("Nothing matched: "), quoted(unmatched_phrases), F.lit("."))),
+    )
+
+
+def result_handle(page: DataFrame, id_column: str, name: str) -> str:
+    """Keeps the ids of a page under a name, so that later queries join it instead of sending the ids again."""
+    page.select(id_column).createOrReplaceTempView(name)
+    return name
+
+
 def relevance(text: Column, words: list[str]) -> Column:
     """How many of the words a text has."""
     low = F.lower(text)

@@ -16,16 +16,25 @@ def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumn("size", F.length("line"))
 
 
+def _titled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as sections: the first three words are the title, a line of fewer has none."""
+    words = lambda x: F.regexp_extract(x, r"^((?:[^ ]+ ){2}[^ ]+) ", 1)
+    sections = F.transform(F.split("text", "\n"), lambda x: F.struct(F.nullif(words(x), F.lit("")).alias("title"), x.alias("body")))
+    return table(spark, sf_dir, "documents").select("doc_id", sections.alias("sections"))
+
+
+TERMS = ["THE", "der"]
+
+
 def section_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections whose line has one of the terms, and whether a document that has sections loses them all."""
-    lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda x: F.contains(F.lower(x), F.lit("the ")) | F.contains(F.lower(x), F.lit("der ")))
-    n = F.size(kept)
-    return table(spark, sf_dir, "documents").select("doc_id", n.alias("n_kept"), ((n == 0) & (F.size(lines) > 0)).alias("filter_miss"), F.md5(F.array_join(kept, "|").cast("binary")).alias("digest"))
+    """Sections whose title has one of the terms, and whether a document that has sections loses them all."""
+    rows = _titled(spark, sf_dir).withColumn("kept", B.filter_sections(F.col("sections"), TERMS))
+    return rows.select("doc_id", F.size("kept").alias("n_kept"), B.filter_miss(F.col("sections"), F.col("kept")).alias("filter_miss"), F.md5(F.array_join(F.transform("kept", lambda s: s["body"]), "|").cast("binary")).alias("digest"))
 
 
 def max_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.slice(F.split("text", "\n"), 1, 3)).alias("ord", "line"))
+    rows = _titled(spark, sf_dir).select("doc_id", F.posexplode(B.first_sections(F.col("sections"), 3)).alias("ord", "s"))
+    return rows.select("doc_id", "ord", F.col("s.body").alias("line"))
 
 
 def budget_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,12 +58,11 @@ def budget_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SECTIONS = "s AS (SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INT) AS ord, unnest(l) AS line, CAST(length(unnest(l)) AS INT) AS size FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
 TRUNCATED = f"""t AS (SELECT *, CAST(greatest(0, least(least(size, {CAP}), {BUDGET} - coalesce(sum(least(size, {CAP})) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS INT) AS kept FROM s)"""
-HIT = "(contains(lower(x), 'the ') OR contains(lower(x), 'der '))"
 QUERIES = {f.__name__: f for f in (section_filter, max_sections, budget_truncate, budget_outline, budget_report, budget_fields)}
 ORACLES = {
-    "section_filter": f"""
+    "section_filter": """
         SELECT doc_id, CAST(len(k) AS INT) AS n_kept, len(k) = 0 AS filter_miss, md5(coalesce(array_to_string(k, '|'), '')) AS digest
-        FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: {HIT}) AS k FROM documents)""",
+        FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(regexp_extract(x, '^(([^ ]+ ){2}[^ ]+) ', 1), '(?i)(the|der)')) AS k FROM documents)""",
     "max_sections": f"WITH {SECTIONS} SELECT doc_id, ord, line FROM s WHERE ord < 3",
     "budget_truncate": f"WITH {SECTIONS}, {TRUNCATED} SELECT doc_id, ord, size, kept, substring(line, 1, kept) AS body FROM t",
     "budget_outline": f"""

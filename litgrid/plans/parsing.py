@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litgrid.functions import jats, records
-from litgrid.functions.text import sanitise_error
+from litgrid.functions.text import nested, sanitise_error
+from litgrid.operators.catalog import error_contract
 from litgrid.sources.tables import table
 
 
@@ -60,17 +61,20 @@ def summary_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     keys = F.json_object_keys("props")
-    return events.select("event_id", F.array_join(keys, ",").alias("props_keys"), F.get_json_object("props", "$.k").alias("k"))
+    return events.select("event_id", F.array_join(keys, ",").alias("props_keys"), nested(F.col("props"), "k").alias("k"))
 
 
 def error_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event types as error codes, with whether a retry is worth it, a hint, and a message fit to show."""
-    contract = spark.sql("SELECT * FROM VALUES ('click', 'ServiceUnavailable', 'Try again later.'), ('view', 'Timeout', 'Ask for less.'), ('purchase', 'NotFound', 'Check the id.') AS t(event_type, code, hint)")
-    rows = table(spark, sf_dir, "events").join(F.broadcast(contract), "event_type", "left")
+    """Event types as reasons of the error contract: code, whether a retry is worth it, a hint, and a message fit to show."""
+    reason = F.get(F.array(*map(F.lit, REASONS)), F.array_position(F.array(*map(F.lit, TYPES)), F.col("event_type")).cast("int") - 1)
+    rows = table(spark, sf_dir, "events").withColumn("reason", F.when(F.col("event_type").isin(*TYPES), reason))
     message = F.concat(F.lit("failed at https://x.org/"), F.col("event_id").cast("string"), F.lit(" for "), F.col("event_type"))
-    return rows.select("event_id", F.coalesce("code", F.lit("Unknown")).alias("code"), F.coalesce(F.col("code").isin("ServiceUnavailable", "Timeout", "RateLimited"), F.lit(False)).alias("retryable"), "hint", sanitise_error(message).alias("message"))
+    # eleven reasons
+    found = rows.join(F.broadcast(error_contract(spark)), "reason", "left")
+    return found.select("event_id", F.coalesce("code", F.lit("Unknown")).alias("code"), F.coalesce("retryable", F.lit(False)).alias("retryable"), "hint", sanitise_error(message).alias("message"))
 
 
+TYPES, REASONS = ("click", "view", "purchase"), ("records_unreachable", "records_deadline_exceeded", "records_not_found")
 WHOLE = "trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
 QUERIES = {f.__name__: f for f in (record_xml_roundtrip, jats_roundtrip, summary_roundtrip, json_decode, error_classify)}
 ORACLES = {
@@ -86,5 +90,5 @@ ORACLES = {
     "json_decode": "SELECT event_id, array_to_string(json_keys(props), ',') AS props_keys, json_extract_string(props, '$.k') AS k FROM events",
     "error_classify": """
         SELECT event_id, coalesce(code, 'Unknown') AS code, coalesce(code IN ('ServiceUnavailable', 'Timeout'), false) AS retryable, hint, 'failed at [url] for ' || event_type AS message
-        FROM events LEFT JOIN (VALUES ('click', 'ServiceUnavailable', 'Try again later.'), ('view', 'Timeout', 'Ask for less.'), ('purchase', 'NotFound', 'Check the id.')) t(event_type, code, hint) USING (event_type)""",
+        FROM events LEFT JOIN (VALUES ('click', 'ServiceUnavailable', 'Try again later.'), ('view', 'Timeout', 'Ask for less at once.'), ('purchase', 'NotFound', 'Check the id or search for it.')) t(event_type, code, hint) USING (event_type)""",
 }

@@ -27,7 +27,7 @@ def convert_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     asked = orders.select("o_orderkey").unionAll(orders.select(-F.col("o_orderkey") - 1))
     xwalk = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select("o_orderkey", "o_custkey")
-    out = asked.join(xwalk, "o_orderkey", "left")
+    out = asked.join(xwalk, "o_orderkey", "left")  # the crosswalk's reply as a table; its JSON form is in convert_report
     message = F.when(F.col("o_custkey").isNull(), F.lit("Identifier not found in PMC"))
     return out.select("o_orderkey", T.pmcid(F.col("o_custkey").cast("string")).alias("pmcid"), R.rewrite_error(message).alias("errmsg"))
 
