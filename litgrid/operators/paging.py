@@ -59,3 +59,20 @@ def sort_modes(rows: DataFrame, modes: dict[str, list[Column | str]], limit: int
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def next_cursor(page: list, key: str, id_column: str, limit: int) -> tuple | None:
+    """The cursor after a page that was read, or None at the end: a page that is not full is the last one."""
+    return (page[-1][key], page[-1][id_column]) if len(page) == limit else None
+
+
+def all_pages(rows: DataFrame, key: str, id_column: str, limit: int, most_pages: int) -> list:
+    """The ids of up to most_pages pages, following the cursors; for clients that read on, not for whole tables."""
+    out, after = [], None
+    for _ in range(most_pages):
+        page = keyset_page(rows, key, id_column, after, limit).collect()
+        out += [r[id_column] for r in page]
+        after = next_cursor(page, key, id_column, limit)
+        if after is None:
+            break
+    return out

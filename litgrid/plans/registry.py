@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litgrid.plans import budgets, citing, flow, parsing, related, resolving, search, texts
+from litgrid.plans import budgets, cases, citing, flow, parsing, related, resolving, search, texts
 
-MODULES = (search, resolving, related, texts, budgets, citing, parsing, flow)
+MODULES = (search, resolving, related, texts, budgets, citing, parsing, flow, cases)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
