@@ -71,7 +71,7 @@ def in_batches(docs: DataFrame, total: int, batch_bytes: int = BATCH_BYTES, *kee
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, table.schema) as out:
                     out.write_table(table)
-                yield pa.record_batch([pa.array([name], pa.int64()), pa.array([zstandard.ZstdCompressor(level=5).compress(sink.getvalue())], pa.binary())], names=["batch", "payload"])
+                yield pa.record_batch([pa.array([name], pa.int64()), pa.array([zstandard.ZstdCompressor(level=7).compress(sink.getvalue())], pa.binary())], names=["batch", "payload"])
                 name += 1
 
     return dealt_out(rows.mapInArrow(run, BATCH), "batch", partitions(docs, total))
