@@ -93,20 +93,22 @@ def flatten_inline(c: Column) -> Column:
 
 def month_number(c: Column) -> Column:
     """1 to 12 from a month's name or number; null for anything else."""
-    low = F.lower(F.substring(F.trim(c), 1, 3))
-    named = F.array_position(F.array(*map(F.lit, MONTHS)), low).cast("int")
-    return F.when(F.trim(c).rlike("^[0-9]{1,2}$"), F.trim(c).try_cast("int")).otherwise(F.nullif(named, F.lit(0)))
+    names = F.create_map(*(F.lit(x) for i, m in enumerate(MONTHS, 1) for x in (m, i)))
+    return F.coalesce(F.when(F.length(F.trim(c)) <= 2, F.trim(c).try_cast("int")), F.try_element_at(names, F.lower(F.substring(F.trim(c), 1, 3))))
 
 
 def partial_date(c: Column) -> Column:
     """`2020`, `2020 Mar`, `2020 Mar 5`, `2020 Jul-Aug` and `2020 Jan/Feb` as a date string of the first day meant; an unknown month or an impossible day gives null."""
+    # month and day with one pattern, that is matched once: the parts come out as one text between marks
     pattern = r"^\s*([0-9]{4})(?:[ /-]+([A-Za-z]+|[0-9]{1,2}))?(?:[-/][A-Za-z]+)?(?:[ /-]+([0-9]{1,2}))?\s*$"
-    year, month, day = (F.nullif(F.regexp_extract(c, pattern, i), F.lit("")) for i in (1, 2, 3))
-    number = F.when(month.isNull(), F.lit(1)).otherwise(month_number(month))
-    made = F.try_make_date(year.cast("int"), number, F.coalesce(day.cast("int"), F.lit(1))) if hasattr(F, "try_make_date") else F.to_date(
-        F.when(number.isNotNull(), F.try_to_timestamp(F.concat_ws("-", year, F.lpad(number.cast("string"), 2, "0"), F.lpad(F.coalesce(day, F.lit("1")), 2, "0")), F.lit("yyyy-MM-dd")))
-    )
-    return F.when(c.rlike(pattern) & number.isNotNull(), F.date_format(made, "yyyy-MM-dd"))
+    whole = F.split(F.regexp_replace(c, pattern, "$1|$2|$3"), r"\|")
+
+    def made(p: Column) -> Column:
+        day = F.coalesce(F.nullif(F.get(p, F.lit(2)), F.lit("")).try_cast("int"), F.lit(1))
+        month = F.when(F.get(p, F.lit(1)) == "", F.lit(1)).otherwise(month_number(F.get(p, F.lit(1))))
+        return F.when(F.size(p) == 3, F.date_format(F.try_make_timestamp_ntz(F.get(p, F.lit(0)).try_cast("int"), month, day, F.lit(0), F.lit(0), F.lit(0)), "yyyy-MM-dd"))
+
+    return F.get(F.transform(F.array(whole), made), F.lit(0))
 
 
 def standard_date(c: Column) -> Column:

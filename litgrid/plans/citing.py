@@ -11,8 +11,10 @@ from litgrid.sources.tables import table
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_set("l_suppkey")).alias("people"))
-    person = lambda k: F.struct(F.concat(F.lit("Sup"), k.cast("string")).alias("last_name"), F.concat(F.lit("Ann-"), (k % 7).cast("string"), F.lit(" B")).alias("first_name"), F.when(k % 2 == 0, "AB").alias("initials"), F.when(k % 11 == 0, F.concat(F.lit("Group "), k.cast("string"))).alias("collective_name"))
+    person = lambda k: F.struct(F.concat(F.lit("Sup"), k.cast("string")).alias("last_name"), F.concat(F.lit("Ann-"), (k % 7).cast("string"), F.lit(" B")).alias("first_name"), F.when(k % 2 == 0, "CD").alias("initials"), F.when(k % 11 == 0, F.concat(F.lit("Group "), k.cast("string"))).alias("collective_name"))
     orders = table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left")
+    # citing costs far more than the join, whose few small partitions would be put together
+    orders = orders.repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
     key = F.col("o_orderkey")
     some = lambda n, c: F.when(key % n != 0, c)
     return orders.select(
@@ -59,7 +61,7 @@ a AS (SELECT o_orderkey AS k, CAST(o_orderkey AS VARCHAR) AS pmid, 'On 5% of ' |
     CASE WHEN o_orderkey % 8 <> 0 THEN 'PMC' || o_orderkey END AS pmc FROM orders),
 n AS (SELECT l_orderkey AS k, l_suppkey AS s, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n,
     CASE WHEN l_suppkey % 11 = 0 THEN 'Group ' || l_suppkey END AS g, 'Sup' || l_suppkey AS last, 'Ann-' || (l_suppkey % 7) || ' B' AS first,
-    CASE WHEN l_suppkey % 2 = 0 THEN 'AB' ELSE 'AB' END AS ini FROM p)"""
+    CASE WHEN l_suppkey % 2 = 0 THEN 'CD' ELSE 'AB' END AS ini FROM p)"""
 APA = f"""{BASE},
 l AS (SELECT k, max(n) AS n, list(coalesce(g, last || ', ' || left(ini, 1) || '. ' || right(ini, 1) || '.') ORDER BY i) AS x FROM n GROUP BY k),
 w AS (SELECT k, CASE WHEN n = 1 THEN x[1] WHEN n <= 20 THEN array_to_string(x[1:n - 1], ', ') || ', & ' || x[n] ELSE array_to_string(x[1:19], ', ') || ', ... ' || x[n] END AS who FROM l),
@@ -83,7 +85,7 @@ c AS (SELECT a.pmid, concat_ws(chr(10), CASE WHEN k % 5 = 0 THEN 'TY  - GEN' ELS
     'UR  - {C.ARTICLE_URL}' || a.pmid || '/', 'UR  - {C.FULLTEXT_URL}' || pmc || '/', 'KW  - orders', 'KW  - lines', CASE WHEN k % 2 = 0 THEN 'KW  - a_b' END, CASE WHEN k % 3 <> 0 THEN 'AB  - Some ' || o_orderstatus END, 'ER  - ') AS citation FROM a LEFT JOIN w USING (k))"""
 VANCOUVER = f"""{BASE},
 w AS (SELECT k, string_agg(coalesce(g, last || ' ' || ini), ', ' ORDER BY i) FILTER (WHERE i <= 6) || CASE WHEN max(n) > 6 THEN ', et al' ELSE '' END || '.' AS who FROM n GROUP BY k),
-c AS (SELECT a.pmid, concat_ws(' ', who, title || '.', coalesce('J Ord' || left(iso, 0), journal) || '.',
+c AS (SELECT a.pmid, concat_ws(' ', who, title || '.', coalesce(rtrim(iso, '.'), journal) || '.',
     nullif(concat_ws(':', nullif(concat_ws(';', year, volume || coalesce('(' || issue || ')', '')), ''), pages), '') || '.', 'doi: ' || doi) AS citation FROM a LEFT JOIN w USING (k))"""
 _CTES = {"apa": APA, "mla": MLA, "bibtex": BIBTEX, "ris": RIS, "vancouver": VANCOUVER}
 QUERIES = {f"cite_{s}": _style(s) for s in C.STYLES} | {"cite_multi": cite_multi}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from litgrid.functions import jats, records
 from litgrid.functions.text import nested, sanitise_error
 from litgrid.operators.catalog import error_contract
-from litgrid.sources.tables import table
+from litgrid.sources.tables import spread, table
 
 
 def _xml(c: Column) -> Column:
@@ -23,7 +23,7 @@ def _tagged(tag: str, c: Column, attributes: str = "") -> Column:
 
 
 def record_xml_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", F.regexp_replace("text", r"\s+", " ").alias("whole"))
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "n_chars", F.regexp_replace("text", r"\s+", " ").alias("whole"))
     article = F.concat(
         _tagged("ArticleTitle", _xml(F.trim("whole"))),
         _tagged("Journal", F.concat(_tagged("ISSN", F.lit("1234-5678"), ' IssnType="Print"'), _tagged("Title", F.col("source")), F.lit("<JournalIssue><Volume>0"), (F.col("doc_id") % 7).cast("string"), F.lit("</Volume><PubDate><MedlineDate>Spring 19"), F.lpad((F.col("doc_id") % 90 + 10).cast("string"), 2, "0"), F.lit("</MedlineDate></PubDate></JournalIssue>"))),
@@ -42,12 +42,12 @@ def jats_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = lambda x: F.concat(F.lit("<sec><title>S</title><p>"), _xml(x), F.lit("</p></sec>"))
     body = F.array_join(F.transform(F.split("text", "\n"), line), "")
     xml = F.concat(F.lit('<!DOCTYPE article><article article-type="research"><front><article-meta><article-id pub-id-type="pmc">'), F.col("doc_id").cast("string"), F.lit("</article-id></article-meta></front><body>"), body, F.lit("</body></article>"))
-    parsed = jats.parse_articles(table(spark, sf_dir, "documents").select("doc_id", xml.alias("xml")), "doc_id", "xml")
+    parsed = jats.parse_articles(spread(table(spark, sf_dir, "documents")).select("doc_id", xml.alias("xml")), "doc_id", "xml")
     return parsed.select("doc_id", "pmcid", "article_type", F.size("sections").alias("n_sections"), F.md5(F.array_join(F.transform("sections", lambda s: s["text"]), "|").cast("binary")).alias("digest"))
 
 
 def summary_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders"))
     day = F.date_format("o_orderdate", "yyyy MMM d")
     people = F.when(F.col("o_orderkey") % 2 == 0, '[{"name":"A B"},{"name":"C D"}]').otherwise('"A B; C D"')
     json = F.concat(F.lit('{"uid":"'), F.col("o_orderkey").cast("string"), F.lit('","title":"T &amp; '), F.col("o_orderpriority"), F.lit('","source":"J","pubdate":"'), day, F.lit('","authors":'), people, F.lit(',"articleids":[{"idtype":"doi","value":"10.1/'), F.col("o_custkey").cast("string"), F.lit('"}]}'))

@@ -9,7 +9,7 @@ from litgrid.functions.text import display_text, snippet, utf16_length
 from litgrid.operators import paging
 from litgrid.operators import search as S
 from litgrid.plans.texts import display_sql
-from litgrid.sources.tables import table
+from litgrid.sources.tables import spread, table
 
 #: Orders stand for records: the priority for types, the status for the language, the date for the date.
 RECORDS = S.Fields(id="o_orderkey", date="o_orderdate", types="types", language="o_orderstatus")
@@ -73,7 +73,7 @@ def summary_page_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return docs.select("doc_id", snippet(F.col("text")).alias("snippet"), (utf16_length(display_text(F.col("text"))) > 400).alias("truncated"))
 
 

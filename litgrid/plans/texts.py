@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from litgrid.functions import text as T
 from litgrid.operators.resolve import first_seen
-from litgrid.sources.tables import table
+from litgrid.sources.tables import spread, table
 
 
 def display_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,7 @@ def partial_date_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def partial_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("o_orderdate")
     form = F.when(F.col("o_orderkey") % 3 == 0, F.date_format(d, "yyyy")).when(F.col("o_orderkey") % 3 == 1, F.date_format(d, "yyyy MMM")).otherwise(F.date_format(d, "yyyy MMM d"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", T.partial_date(form).alias("iso"))
+    return spread(table(spark, sf_dir, "orders")).select("o_orderkey", T.partial_date(form).alias("iso"))
 
 
 def _people(spark: SparkSession, sf_dir: str) -> DataFrame:

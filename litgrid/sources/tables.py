@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a scan dealt to all cores if its files give fewer tasks than there are; for work that costs far more than moving the rows."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows._jdf.queryExecution().toRdd().getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A source that may not be configured: without a path an empty table of its schema."""
     return spark.read.schema(schema).parquet(path) if path else spark.createDataFrame([], schema)
