@@ -93,11 +93,12 @@ def texts_of(payload: bytes) -> pa.Table:
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed binary."""
+    """Arrays as one compressed binary; of floating-point numbers all first bytes come first, then all second ones and so on, as those that hold the exponent are alike."""
     head = [np.array([len(arrays)], np.int64).tobytes()]
     for a in arrays:
         head.append(np.array([ord(a.dtype.char), len(a)], np.int64).tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([*head, *(np.ascontiguousarray(a).tobytes() for a in arrays)]))
+    body = (np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T if a.dtype.kind == "f" and len(a) else a).tobytes() for a in arrays)
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([*head, *body]))
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
@@ -106,7 +107,11 @@ def unpack(data: bytes) -> list[np.ndarray]:
     out, at = [], 8 + 16 * n
     for char, length in np.frombuffer(raw, np.int64, 2 * n, 8).reshape(n, 2).tolist():
         kind = np.dtype(chr(char))
-        out.append(np.frombuffer(raw, kind, length, at))
+        if kind.kind == "f" and length:
+            planes = np.frombuffer(raw, np.uint8, length * kind.itemsize, at).reshape(kind.itemsize, length)
+            out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+        else:
+            out.append(np.frombuffer(raw, kind, length, at))
         at += length * kind.itemsize
     return out
 

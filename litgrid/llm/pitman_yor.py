@@ -436,7 +436,7 @@ def scores(rounds: int, burn_in: int, samples: int, hot: np.ndarray):
         rows = []
         for src, a, docs in own.batches:
             part = [x[a : a + len(docs)] for x in sums]
-            rows.append((src, s.b, 1, pack(np.array([s.train_tokens], np.int64), small(docs), part[0], part[1], small(part[2].astype(np.int64)))))
+            rows.append((src, s.b, 1, pack(np.array([s.train_tokens], np.int64), small(np.diff(docs.astype(np.int64), prepend=0)), part[0], part[1], small(part[2].astype(np.int64)))))
         return _rows(rows)
 
     return run
@@ -453,7 +453,7 @@ def _documents(table: pa.Table) -> pa.Table:
     score, base, known, train = np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids), np.int64), 0
     for total, some, s, b, k in parts:
         train = int(total[0])
-        some = some.astype(np.int64)
+        some = np.cumsum(some.astype(np.int64))
         score[some] += s
         base[some] += b
         known[some] += k.astype(np.int64)
