@@ -1,26 +1,29 @@
 """Benchmark decontamination with a generalised suffix automaton of the normalised test items.
 
-The automaton is over words. It is built on the driver from the items, whose number of words is checked first, and goes
-to the executors as a broadcast; beyond the bound the items are split into several automata, which the texts pass one
-after the other. A text's words stream through the automaton, which tracks the longest match that ends at each word;
+The automaton is over words and built by the workers that use it; what goes to the executors as a broadcast is the text of the
+items, whose bytes are summed first. Beyond BLOCK_WORDS words the items are dealt to parts, and each part has a pass over the
+texts with its own broadcast, so what the driver and a worker hold is bounded however many items there are. A text's words stream through the automaton, which tracks the longest match that ends at each word;
 stretches in which no two adjacent words are adjacent in an item are skipped, as no match there is longer than a word.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterable
+import json
+import math
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from litgrid.llm import exchange as X
 from litgrid.llm.batches import map_texts
 from litgrid.llm.bytesops import ODD, Words, as_bytes, is_alnum_byte, mix
 
 WINDOW = 10
-#: Words of items in one automaton; a few hundred MB of Python objects at most.
+#: Words of items in one automaton, about; a few hundred MB of Python objects at most.
 BLOCK_WORDS = 1_000_000
 HITS = "doc_id long, n_words long, n_hit long, spans array<struct<start:int,end:int>>, items array<string>, clean_text string"
 _HITS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("items", pa.list_(pa.string())), ("clean_text", pa.string())])
@@ -174,38 +177,78 @@ def hits(texts: list[bytes], automata: list[Automaton]) -> tuple[Words, np.ndarr
 def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Occurrences of benchmark items in texts.
 
-    docs: doc_id, text; items: item_id, text; other columns are not read. Texts and items are lower-cased (A-Z) and split
-    into runs of ASCII letters, digits and characters beyond ASCII. A window is `window` consecutive words of an item, or
-    the whole of an item that is shorter. Returns for each document n_words, n_hit (words inside any occurrence of a
-    window), spans (maximal runs of those words), items (ids, as sorted distinct strings, of items with an occurring
-    window) and clean_text (the text without the bytes of the spans).
+    docs: doc_id, text; items: item_id, text; other columns, whatever their names, are not read. Texts and items are
+    lower-cased (A-Z) and split into runs of ASCII letters, digits and characters beyond ASCII. A window is `window`
+    consecutive words of an item, or the whole of an item that is shorter. Returns for each document n_words, n_hit (words
+    inside any occurrence of a window), spans (maximal runs of those words), items (ids, as sorted distinct strings, of items
+    with an occurring window) and clean_text (the text without the bytes of the spans).
 
-    Null and empty texts have no words and give a row without hits; items without words match nothing; an empty items
-    table gives rows without hits. Repeated documents each give a row. An item with a null id is matched as 'null'.
+    Null and empty texts have no words and give a row without hits; a very long text streams through whole in one task, with
+    some 60 bytes of memory for each of its bytes. Items without words match nothing; an empty items table gives rows without
+    hits, an empty table of documents gives none. Repeated documents each give a row. An item with a null id is matched as
+    'null'.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(automata(items, window, block_words))
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        w, hit, own = hits(as_bytes(batch.column("text")), shared.value)
-        return _row(batch, w, hit, own)
-
-    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, HITS)
-
-
-def automata(items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> list[Automaton]:
-    """Automata of items with block_words words at most each, or of a single item; a word has two bytes at least with its separator."""
-    rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("k"), "text").orderBy("k", "text")
-    blocks: list[Automaton] = []
-    held: list[tuple[str, bytes]] = []
-    words = 0
-    for k, text in rows.toLocalIterator():
-        data = (text or "").encode()
-        if held and words + len(data) // 2 > block_words:
-            blocks.append(Automaton(held, window))
-            held, words = [], 0
-        held.append((k, data))
-        words += len(data) // 2
-    return [*blocks, Automaton(held, window)] if held else blocks
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _applied(docs, items, window, block_words, _row, HITS)
+
+
+def _applied(docs: DataFrame, items: DataFrame, window: int, block_words: int, f: Callable[..., pa.RecordBatch], schema: str | StructType) -> DataFrame:
+    """f of pieces of docs, their words, flags of the words hit and each row's items. docs: doc_id, text and more."""
+    spark = docs.sparkSession
+    rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("k"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # a word has two bytes at least with its separator
+    parts = max(1, math.ceil((rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) / (2 * block_words)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("k", "text"), F.lit(parts)))
+
+    def shared(part: int):
+        """One part's items, of about 2 * block_words bytes or a single longer item."""
+        return spark.sparkContext.broadcast([(r["k"], r["text"].encode()) for r in rows.where(F.col("part") == part).orderBy("k", "text").collect()])
+
+    if parts == 1:
+        own = shared(0)
+        return map_texts(docs, lambda batch, m: f(batch, *hits(as_bytes(batch.column("text")), [m])), schema, lambda: _worker_automaton(own, window))
+    names_of = docs.columns
+    rest = [c for c in names_of if c not in ("doc_id", "text")]
+    texts = X.in_batches(docs, X.text_bytes(docs), X.BATCH_BYTES, *rest)
+    found = None
+    for part in range(parts):
+        own = shared(part)
+
+        def ask(name: int, payload: bytes, own=own, part=part) -> pa.Table:
+            _, hit, names = hits(as_bytes(X.texts_of(payload)["text"]), [_worker_automaton(own, window)])
+            listed = json.dumps([[i, sorted(x)] for i, x in enumerate(names) if x]).encode()
+            return X.messages([(name, part, 0, 0, X.pack(np.packbits(hit), np.frombuffer(listed, np.uint8)))])
+
+        said = X.mapped(texts, ask, X.MESSAGE).checkpoint()
+        found = said if found is None else found.unionAll(said)
+        own.destroy()
+
+    def last(_: int, payload: bytes, replies: dict) -> pa.Table:
+        table = X.texts_of(payload)
+        w = item_words(as_bytes(table["text"]))
+        hit, names = np.zeros(len(w.starts), bool), [set() for _ in range(table.num_rows)]
+        for said in replies[0].values():
+            bits, listed = X.unpack(said)
+            hit |= np.unpackbits(bits, count=len(hit)).astype(bool)
+            for i, x in json.loads(listed.tobytes()):
+                names[i].update(x)
+        order = table["order"].to_numpy()
+        columns = {"doc_id": pa.array(order, pa.int64(), mask=order == X.LAST), "text": table["text"].combine_chunks()} | {c: table[f"keep{i}"].combine_chunks() for i, c in enumerate(rest)}
+        batch = pa.RecordBatch.from_arrays([columns[c] for c in names_of], names=names_of)
+        return pa.Table.from_batches([f(batch, w, hit, names)])
+
+    text = schema if isinstance(schema, str) else ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in schema)
+    return X.paired(texts, found, last, text)
+
+
+_BUILT: dict[int, tuple[object, Automaton]] = {}
+
+
+def _worker_automaton(shared, window: int) -> Automaton:
+    """The automaton of these items in this Python worker, built when a task first needs it."""
+    if 0 not in _BUILT or _BUILT[0][0] is not shared.value or _BUILT[0][1].window != window:
+        _BUILT[0] = (shared.value, Automaton(shared.value, window))
+    return _BUILT[0][1]
 
 
 def _row(batch: pa.RecordBatch, w: Words, hit: np.ndarray, items: list[set[str]]) -> pa.RecordBatch:
@@ -233,12 +276,10 @@ def _row(batch: pa.RecordBatch, w: Words, hit: np.ndarray, items: list[set[str]]
     )
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage: float = 0.5) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of docs, with all their columns, without the spans found in their texts; rows of which the spans are more than max_coverage of the words are left out. Other texts stay as they are."""
-    shared = docs.sparkSession.sparkContext.broadcast(automata(items, window))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        w, hit, own = hits(as_bytes(batch.column("text")), shared.value)
+    def run(batch: pa.RecordBatch, w: Words, hit: np.ndarray, own: list[set[str]]) -> pa.RecordBatch:
         if not hit.any():
             return batch
         found = _row(pa.record_batch([pa.nulls(batch.num_rows, pa.int64()), batch.column("text")], names=["doc_id", "text"]), w, hit, own)
@@ -246,7 +287,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_c
         at = batch.schema.get_field_index("text")
         return batch.set_column(at, batch.schema.field(at), found.column("clean_text").cast(batch.schema.field(at).type)).filter(pa.array(n_hit <= n * max_coverage))
 
-    return map_texts(docs, run, docs.schema)
+    return _applied(docs, items, window, block_words, run, docs.schema)
 
 
 def op5_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
