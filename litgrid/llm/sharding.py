@@ -7,8 +7,9 @@ a shard spans few values of each dimension and files can be pruned by any of the
 No task sees the whole order. Rows are summed by block (a cell, and in it a salt from the text); the running totals over
 cells and over a cell's blocks are made from those sums, and a window within each block adds the rest. The number of
 cells and blocks follows from parameters, not from the data. Equal texts stay together, in the cell of the one with the
-smallest id, as long as they are under 1/20 of a shard; there are at most 20 times as many larger groups as shards, and
-those are cut at any row, after being dealt to salted blocks of their own.
+smallest id, as long as they are under 1/20 of a shard; there are at most 20 times as many larger groups as shards, so those
+are told to the rows by a broadcast instead of meeting them in one task, and are cut at any row, after being dealt to salted
+blocks of their own.
 """
 
 from __future__ import annotations
@@ -69,8 +70,10 @@ def assign(docs: DataFrame, dims: dict[str, Column] | None = None, shards: int =
     """One row per row of docs with its shard: doc_id, size, text_crc32, curve, shard (from 0), slot (from 0 in each shard, without gaps).
 
     docs: doc_id, text and what the dimensions use (numeric columns; by default lang, source, size; a missing one is left
-    out). size: bytes of the text plus 16. Shards are cut by bytes. A null text is as an empty one, null dimensions come
-    first, a null doc_id is the smallest. Repeated rows get slots of their own; an empty table gives no rows.
+    out); other columns, whatever their names, are not read. size: bytes of the text plus 16; a very long text is a row like
+    any other. Shards are cut by bytes. A null text is as an empty one, null dimensions come first, a null doc_id is the
+    smallest. Rows at the same place of the curve follow each other by the hash of their text, then by id. Repeated rows get
+    slots of their own; an empty table gives no rows.
     """
     ready_checkpoints(docs.sparkSession)
     text = F.coalesce("text", F.lit("")).cast("binary")
@@ -103,10 +106,12 @@ def assign(docs: DataFrame, dims: dict[str, Column] | None = None, shards: int =
     salts = min(max(1, MOST_BLOCKS // cells), 1 << max(0, math.ceil(math.log2(max(1, n) / (cells * 16)))))
     groups = rows.groupBy(*key).agg(F.sum("size").alias("group_bytes"), F.min(F.struct("doc_id", "cell")).alias("head"))
     big = F.col("group_bytes") * (shards * WHOLE) > F.lit(total)
-    groups = groups.withColumn("cell", F.col("head.cell")).join(F.broadcast(curve), "cell").select(*key, "group_bytes", "curve", big.alias("big"))
+    groups = groups.withColumn("cell", F.col("head.cell")).join(F.broadcast(curve), "cell").select(*key, "group_bytes", "curve", big.alias("big")).checkpoint()
+    # at most shards * WHOLE
+    large, plain = F.broadcast(groups.where("big")), rows.drop("cell")
+    met = plain.join(large, key).unionByName(plain.join(large, key, "left_anti").join(groups.where("NOT big"), key))
     placed = (
-        rows.drop("cell")
-        .join(groups, key)
+        met
         .withColumn("salt", F.pmod(F.xxhash64("group_hash"), F.lit(salts)))
         .withColumn("own", F.when(F.col("big"), F.col("group_hash")))
         .withColumn("part", F.when(F.col("big"), F.pmod(F.xxhash64("doc_id", "group_hash"), F.lit(BIG_SALTS))).otherwise(F.lit(0)))
