@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-QUERY_BLOCK = 1000
+#: Vectors and queries in a block; a pair of blocks has a matrix of scores of some 32 MB.
+VECTOR_BLOCK, QUERY_BLOCK = 4096, 1024
+BLOCK = "dims int, ids binary, vecs binary"
 
 
 def linked(edges: DataFrame, src: str, dst: str, order: list[str]) -> DataFrame:
@@ -21,31 +27,55 @@ def link_page(edges: DataFrame, src: str, dst: str, order: list[str], ids: list[
     return linked(own, src, dst, order).where(F.col("pos").between(offset + 1, offset + limit))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """The cosine of two arrays of numbers in double precision."""
+def _packed(rows: DataFrame, size: int) -> DataFrame:
+    """Blocks of up to `size` vectors of one length: their ids and numbers in binary. Vectors that are null, empty or hold a null are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, size):
+                part = whole.slice(at, size)
+                ids, lists = part.column("id").to_numpy(), part.column("vec")
+                n = lists.value_lengths().to_numpy(zero_copy_only=False)
+                flat, starts = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(n) - n
+                for d in np.unique(n):
+                    own = np.flatnonzero(n == d)
+                    vecs = flat[(starts[own][:, None] + np.arange(d)).ravel()]
+                    yield pa.record_batch([pa.array([d], pa.int32()), pa.array([ids[own].tobytes()]), pa.array([vecs.tobytes()])], names=["dims", "ids", "vecs"])
+
+    sound = rows.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("vec")).where(F.col("id").isNotNull() & (F.size("vec") > 0) & ~F.exists("vec", lambda c: c.isNull()))
+    return sound.mapInArrow(run, BLOCK)
 
-    def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+def _best(k: int):
+    """For mapInArrow over pairs of blocks: of each query the k best of the block, ties by id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["dims"] != r["q_dims"]:
+                    continue
+                q, v = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
+                a, b = np.frombuffer(r["q_vecs"]).reshape(len(q), -1), np.frombuffer(r["vecs"]).reshape(len(v), -1)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    s = (a @ b.T) / np.sqrt((a * a).sum(axis=1)[:, None] * (b * b).sum(axis=1)[None, :])
+                s[(q[:, None] == v[None, :]) | ~np.isfinite(s)] = -np.inf
+                edge = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None] if s.shape[1] > k else -np.inf
+                i, j = np.nonzero((s >= edge) & (s > -np.inf))
+                yield pa.record_batch([pa.array(q[i]), pa.array(v[j]), pa.array(s[i, j])], names=["query_id", "vec_id", "score"])
+
+    return run
 
 
 def similar(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, vec_id, score, pos: the k most similar vectors of each stated query, itself left out; ties by id.
 
-    Queries are broadcast in blocks of about QUERY_BLOCK; every block meets all vectors, and the window keeps the best of
-    each task before it shuffles.
+    A stated set of queries against all vectors, exactly: every block of queries meets every block of vectors, whose scores
+    are a product of matrices, and only the best of each query leave it.
     """
-    blocks = -(-queries.count() // QUERY_BLOCK) or 1
+    asked = _packed(queries, QUERY_BLOCK).select(*(F.col(c).alias(f"q_{c}") for c in ("dims", "ids", "vecs")))
+    found = _packed(vectors, VECTOR_BLOCK).crossJoin(asked).mapInArrow(_best(k), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    out = None
-    for b in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-        pairs = vectors.join(F.broadcast(own), F.col("vec_id") != F.col("query_id"))
-        scored = pairs.select("query_id", "vec_id", cosine(F.col("q"), F.col("embedding")).alias("score"))
-        top = scored.withColumn("pos", F.row_number().over(best)).where(F.col("pos") <= k)
-        out = top if out is None else out.unionAll(top)
-    return out
+    return found.withColumn("pos", F.row_number().over(best)).where(F.col("pos") <= k)
 
 
 def first_provider(asked: DataFrame, key: str, tiers: list[tuple[str, DataFrame, bool]]) -> DataFrame:
