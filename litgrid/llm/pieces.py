@@ -258,7 +258,8 @@ def _ids_column(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
 def encode_decode(docs: DataFrame, model: str, decoded: bool = True) -> DataFrame:
     """Each row's piece numbers and, unless decoded is False, the text they decode to.
 
-    docs: doc_id, text; other columns are not read. model: a model file that the driver can read; its tables go to the
+    docs: doc_id, text; other columns, whatever their names, are not read; a very long text is worked on whole in one task.
+    model: a model file that the driver can read; its tables go to the
     executors. Returns doc_id, ids, n_pieces, ids_sha256 (of the numbers as little-endian 32-bit integers), text,
     text_sha256, lossless (the decoded text is the original; only marks inside a text become spaces). Numbers are those of
     the model's library without begin and end. Null and empty texts have no pieces and decode to an empty text. Repeated

@@ -33,7 +33,9 @@ P1, P2, P3, P4, P5 = (U64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0
 SEED = 42
 #: Nodes of fingerprints that no document with an id has begin here.
 NO_ID = 1 << 62
+#: Variants in a bucket, about, and leading bits of buckets at most: those keep to that size up to some 3e10 fingerprints.
 BUCKET_VARIANTS = 2_000_000
+MOST_BITS = 24
 #: Fingerprints whose two-flip variants are written out at once.
 CHUNK = 512
 #: Of two sets of similarity 0.8 all bands differ with a chance of (1 - 0.8 ** 7) ** 50, under 1 in 100,000.
@@ -160,7 +162,7 @@ def _send(bits: int):
             dest = np.concatenate([r[0] for r in rows])
             who = np.concatenate([r[1] for r in rows])
             spent = np.concatenate([np.full(len(r[1]), r[2]) for r in rows])
-            order = np.argsort(dest.astype(np.uint16), kind="stable")
+            order = np.argsort(dest.astype(np.uint16 if bits <= 16 else np.uint32), kind="stable")
             out = []
             for part in np.split(order, np.flatnonzero(np.diff(dest[order])) + 1):
                 if len(part):
@@ -256,8 +258,8 @@ def _forest(a: np.ndarray, b: np.ndarray) -> dict:
 def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id.
 
-    docs: doc_id, text; other columns are not read. Texts are lower-cased (A-Z), words are runs without ASCII white space,
-    shingles are `size` consecutive words joined by a space (a shorter text is one shingle). Rows whose fingerprints differ
+    docs: doc_id, text; other columns, whatever their names, are not read. Texts, very long ones whole in one task, are
+    lower-cased (A-Z), words are runs without ASCII white space, shingles are `size` consecutive words joined by a space (a shorter text is one shingle). Rows whose fingerprints differ
     in `radius` (at most 3) bits or fewer are linked; component_id is the smallest doc_id reachable.
 
     Null and empty texts have the fingerprint zero and are linked like any other. Rows with a null doc_id take part; a
@@ -271,7 +273,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFram
     rows = fingerprints(docs, size).checkpoint()
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", F.coalesce("least", F.col("fp").bitwiseAND(F.lit(NO_ID - 1)).bitwiseOR(F.lit(NO_ID))).alias("node"))
     nodes = nodes.checkpoint()
-    bits = min(16, max(3, math.ceil(math.log2(max(1, nodes.count() * 1073 / BUCKET_VARIANTS)))))
+    bits = min(MOST_BITS, max(3, math.ceil(math.log2(max(1, nodes.count() * 1073 / BUCKET_VARIANTS)))))
     sent = nodes.mapInArrow(_send(bits), "dest long, n long, payload binary")
     edges = sent.groupBy("dest").applyInArrow(_meet(bits, radius), "a long, b long")
     found = components(edges)
@@ -365,7 +367,7 @@ def similar_components(docs: DataFrame, rows: DataFrame, size: int, radius: int,
     """
     nodes = rows.select("fp", "node").distinct()
     one = nodes.groupBy("fp").agg(F.min("node").alias("node")).checkpoint()
-    bits = min(16, max(3, math.ceil(math.log2(max(1, one.count() * 1073 / BUCKET_VARIANTS)))))
+    bits = min(MOST_BITS, max(3, math.ceil(math.log2(max(1, one.count() * 1073 / BUCKET_VARIANTS)))))
     near = one.mapInArrow(_send(bits), "dest long, n long, payload binary").groupBy("dest").applyInArrow(_meet(bits, radius), "a long, b long")
     same = nodes.withColumnRenamed("node", "b").join(one.withColumnRenamed("node", "a"), "fp").where("a <> b").select("a", "b")
 

@@ -187,6 +187,96 @@ def test_shards(docs, rows, empty, spark, small):
     assert len(sizes) == 8 and max(sizes) < 1.1 * min(sizes)
 
 
+def curve_index(cell, dims, bits):
+    """The place of a cell on the Hilbert curve, by turning quadrants one level after the other (the textbook algorithm on single numbers)."""
+    x = [cell >> (dims - 1 - i) * bits & (1 << bits) - 1 for i in range(dims)]
+    q = 1 << bits - 1
+    while q > 1:
+        for i in range(dims):
+            if x[i] & q:
+                x[0] ^= q - 1
+            else:
+                t = (x[0] ^ x[i]) & (q - 1)
+                x[0] ^= t
+                x[i] ^= t
+        q >>= 1
+    for i in range(1, dims):
+        x[i] ^= x[i - 1]
+    t, q = 0, 1 << bits - 1
+    while q > 1:
+        if x[-1] & q:
+            t ^= q - 1
+        q >>= 1
+    x = [v ^ t for v in x]
+    return sum((x[i] >> b & 1) << b * dims + dims - 1 - i for b in range(bits) for i in range(dims))
+
+
+def test_forty_shards_against_a_plain_loop(spark, small):
+    """The whole table: the order is by curve and then by groups of equal texts, and every row's shard follows from the bytes before its group."""
+    import xxhash
+
+    docs = spark.read.parquet(f"{small.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    got = {(r["doc_id"], r["text_crc32"]): r for r in sharding.op3_hilbert_sharding(spark, small.replace("sf0.001", "sf0.01")).collect()}
+    rows = docs.select("doc_id", "text", "lang", "source").collect()
+    code = lambda c: int.from_bytes((c or "").encode()[:7].ljust(7, b"\0"), "big") if c is not None else -1
+    texts = [(r["text"] or "").encode() for r in rows]
+    values = [[float(code(r["lang"])), float(code(r["source"])), float(len(t) + 16)] for r, t in zip(rows, texts, strict=True)]
+    edges = []
+    for k in range(3):  # the smallest value that at least i / 16 of the rows don't exceed
+        v = sorted(x[k] for x in values)
+        edges.append([v[-(-i * len(v) // 16) - 1] for i in range(1, 16)])
+    cell = [sum(sum(x[k] > e for e in edges[k]) << 4 * (2 - k) for k in range(3)) for x in values]
+    groups = {}
+    for i, t in enumerate(texts):
+        groups.setdefault(t, []).append(i)
+    total = sum(len(t) + 16 for t in texts)
+    h = lambda t: np.int64(np.uint64(xxhash.xxh64(t, seed=42).intdigest()).astype(np.int64))
+    place = {}
+    for t, g in groups.items():
+        head = min(g, key=lambda i: rows[i]["doc_id"])
+        # large groups, which may be cut at any row, follow the others of their cell
+        place[t] = (curve_index(cell[head], 3, 4), (len(t) + 16) * len(g) * 40 * 20 > total, int(h(t)), zlib.crc32(t), len(t) + 16)
+    done = 0
+    for t in sorted(groups, key=place.__getitem__):
+        g = groups[t]
+        size = (len(t) + 16) * len(g)
+        for n, i in enumerate(sorted(g, key=lambda i: rows[i]["doc_id"])):
+            r = got[rows[i]["doc_id"], zlib.crc32(t)]
+            assert r["curve"] == place[t][0]
+            if size * 40 * 20 <= total:
+                assert r["shard"] == min(39, (2 * done + size) * 40 // (2 * total)), (r, done, size, total)
+        done += size
+    assert len(got) == len(rows) and {r["law"] for r in got.values()} == {"bytes"}
+    for s in range(40):
+        slots = sorted(r["slot"] for r in got.values() if r["shard"] == s)
+        assert slots == list(range(len(slots)))
+
+
+def test_pieces_of_documents_equal_the_library(spark, small):
+    """The registered query over a whole table against the library's own pieces."""
+    folder = small.replace("sf0.001", "sf0.01")
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    for r in pieces.op2_sentencepiece(spark, folder).collect():
+        ids = LIBRARY.encode(texts[r["doc_id"]] or "")
+        assert r["n_pieces"] == len(ids) and r["ids_sha256"] == hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest()
+
+
+def test_good_texts_score_higher_whatever_their_length(spark):
+    """Against plain compression with the same dictionaries, block by block."""
+    import zstandard
+
+    rows = [(i, prose(300 + i, i) if i % 2 else "buy now " * (200 + i)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"quality": F.lit("x"), "head": F.lit(1)})
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int").withColumns({"text": F.lit(1), "part": F.lit("p")})
+    model = quality.fit(docs, labels)
+    pair = [zstandard.ZstdCompressor(level=model.level, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False) for d in (model.bad, model.good)]
+    for r in quality.score(docs, model).collect():
+        t = dict(rows)[r["doc_id"]].encode()
+        blocks = [t[i : i + model.block] for i in range(0, len(t), model.block)]
+        x = sum(len(pair[0].compress(b)) - len(pair[1].compress(b)) for b in blocks) / len(t)
+        assert abs(r["score"] - np.interp(x, model.xs, model.ps)) < 1e-12 and r["predicted"] == r["doc_id"] % 2
+
+
 def test_shards_on_disk(docs, spark, tmp_path):
     rows = sharding.assign(docs, shards=3)
     sharding.write_shards(rows, str(tmp_path / "s"), 3)
