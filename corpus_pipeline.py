@@ -3,7 +3,10 @@ and benchmark text, and encodes what is left.
 
 Every stage takes (spark, docs, sf_dir) and works on all that the one before kept; run() writes each stage's rows as Parquet
 into the shared folder and reads them again for the next, so a lost executor costs one stage at most. All stages but the
-last return the columns of documents (n_chars follows the text).
+last return the columns of documents (n_chars follows the text); other columns, whatever their names, are dropped.
+
+Every stage takes nulls in any column, empty and very long texts, ties, repeated rows and ids, and empty tables (which give
+empty ones). Rows without an id are as later than all ids where ids decide. A very long text is worked on whole in one task.
 """
 
 from __future__ import annotations
@@ -24,13 +27,13 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier predicts to be good."""
+    """Documents that the compression classifier predicts to be good. Null and empty texts have the score of no difference; without labels all stay. Equal texts share their fate."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _documents(quality.keep_good(docs.select(*COLUMNS), model))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-copies: texts whose five-word shingles have a similarity of 0.8 or more."""
+    """The document with the smallest id of each group of near-copies: texts whose five-word shingles have a similarity of 0.8 or more. Texts without words are one group; of rows with the same id and text one stays; rows without an id all stay."""
     return _documents(simhash.keep_one(docs.select(*COLUMNS)))
 
 
@@ -41,12 +44,12 @@ def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages of benchmark items; documents that are mostly such passages go."""
+    """Texts without passages of benchmark items; documents of which over half the words are such passages go. Null and empty texts stay as they are; without items so do all."""
     return _documents(decontamination.decontaminate(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every text's piece numbers and the text they decode to."""
+    """Every text's piece numbers and the text they decode to; a null text as an empty one."""
     import public_tokenizers
 
     return pieces.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_pieces", "ids", "text", "lossless")
