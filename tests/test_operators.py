@@ -185,3 +185,58 @@ def test_admission_gap_and_overflow():
         t.join()
     starts.sort()
     assert min(b - a for a, b in zip(starts, starts[1:], strict=False)) >= 0.019
+
+
+def test_settings_are_typed_and_ranged():
+    from litgrid.operators.catalog import Settings
+
+    assert Settings.read({}).max_retries == 6 and Settings.read({"litgrid.timeout_ms": " "}).timeout_ms == 30_000
+    for name, bad in (("max_concurrent", "17"), ("timeout_ms", "999"), ("request_delay_ms", "x"), ("corpus_enabled", "maybe"), ("access_email", "no address")):
+        with pytest.raises(ValueError):
+            Settings.read({f"litgrid.{name}": bad})
+    assert Settings.read({"litgrid.api_key": "k", "litgrid.request_delay_ms": "334"}).request_delay_ms == 334
+
+
+def test_search_pages_have_limits(spark):
+    from litgrid.operators import search as S
+
+    rows = spark.createDataFrame([(1, "a")], "id int, title string")
+    for bad in ({"offset": 9999}, {"offset": -1}, {"sort": "size"}):
+        with pytest.raises(ValueError):
+            S.results(rows, S.Search(**bad), S.Fields())
+    assert S.results(rows, S.Search(offset=5), S.Fields()).collect() == []
+
+
+def test_cursors_end():
+    from litgrid.operators.paging import next_cursor
+
+    page = [{"s": 3, "id": "b"}, {"s": 2, "id": "a"}]
+    assert next_cursor(page, "s", "id", 2) == (2, "a") and next_cursor(page[:1], "s", "id", 2) is None and next_cursor([], "s", "id", 2) is None
+
+
+def test_actions_end_in_time(spark):
+    import time
+
+    from litgrid.streaming import flow
+
+    assert flow.with_deadline(spark, 60, lambda: spark.range(3).count(), "quick") == 3
+    began = time.monotonic()
+    with pytest.raises(Exception):
+        flow.with_deadline(spark, 1, lambda: spark.range(4).rdd.map(lambda x: time.sleep(60)).count(), "slow")
+    assert time.monotonic() - began < 30
+
+
+def test_each_reply_is_parsed_once(spark, small):
+    """What stands in the plans is one parse for each row, whatever number of fields is taken from it."""
+    from litgrid.plans import registry
+
+    for name, parser, most in (("summary_roundtrip", "from_xml", 1), ("record_xml_roundtrip", "from_xml", 1)):
+        plan = registry.queries()[name](spark, small)._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert 0 < plan.count(parser) + plan.count("xmltostructs") <= most, (name, plan.count(parser), plan.count("xmltostructs"))
+
+
+def test_relevance_counts_words(spark):
+    from litgrid.operators import search as S
+
+    got = spark.createDataFrame([(1, "Deep sea Sea"), (2, "sky"), (3, None)], "id int, t string").select("id", S.relevance(F.col("t"), ["SEA", "deep"]).alias("r")).collect()
+    assert [(r["id"], r["r"]) for r in got] == [(1, 2), (2, 0), (3, None)]
