@@ -19,7 +19,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -40,6 +40,8 @@ MOST_BITS = 24
 CHUNK = 512
 #: Of two sets of similarity 0.8 all bands differ with a chance of (1 - 0.8 ** 7) ** 50, under 1 in 100,000.
 BANDS, BAND_ROWS = 50, 7
+#: Rounds in which those of a key that are not linked to its largest component are compared with one of them.
+LEADERS = 4
 
 
 def _rot(x: np.ndarray, n: int) -> np.ndarray:
@@ -363,7 +365,9 @@ def similar_components(docs: DataFrame, rows: DataFrame, size: int, radius: int,
     """node, component of the sets of shingles that are linked to another; rows: the signatures of docs.
 
     Candidates are the fingerprints within `radius` bits and the sets that share a band's key. Of those that share a key
-    each is first compared with the smallest only; then all pairs of them that no chain of links joins yet are compared.
+    each is first compared with the one that shares most keys with others, which is near the middle of a large group of
+    copies; LEADERS times more those that are not linked to it yet name another such one among them. Only then all pairs that
+    share a key and that no chain of links joins are compared, so that no link is lost.
     """
     nodes = rows.select("fp", "node").distinct()
     one = nodes.groupBy("fp").agg(F.min("node").alias("node")).checkpoint()
@@ -372,12 +376,13 @@ def similar_components(docs: DataFrame, rows: DataFrame, size: int, radius: int,
     same = nodes.withColumnRenamed("node", "b").join(one.withColumnRenamed("node", "a"), "fp").where("a <> b").select("a", "b")
 
     keys = rows.select("node", "bands").dropDuplicates(["node"]).mapInArrow(_explode, "key long, node long")
-    by_key = Window.partitionBy("key")
-    shared = keys.withColumns({"head": F.min("node").over(by_key), "most": F.max("node").over(by_key)}).where("head < most").select("key", "node", "head").checkpoint()
-    stars = shared.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = keys.join(sizes, "key").checkpoint()
+    shared = shared.join(shared.groupBy("node").agg(F.sum("n").alias("weight")), "node").select("key", "node", "weight").checkpoint()
+    stars = _with_heads(shared)
     pairs = near.unionAll(same).unionAll(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
 
-    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).unionAll(shared.select("node")).distinct().checkpoint()
     ids = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node", "left_semi").select("doc_id").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = texts.join(ids, "doc_id", "left_semi").unionAll(texts.where("doc_id IS NULL"))
@@ -396,12 +401,35 @@ def similar_components(docs: DataFrame, rows: DataFrame, size: int, radius: int,
 
     edges = verified(pairs).checkpoint()
     found = components(edges)
-    labelled = shared.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    open_keys = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("n > 2 AND low < high").select("key")
-    left = labelled.join(open_keys, "key", "left_semi").checkpoint()
-    a, b = (left.select("key", F.col("node").alias(n), F.col("component").alias(f"of_{n}")) for n in "ab")
-    rest = a.join(b, "key").where("a < b AND of_a <> of_b").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    return components(edges.unionAll(verified(rest)))
+    for turn in range(LEADERS + 1):
+        labelled = shared.join(found, "node", "left").select("key", "node", "weight", F.coalesce("component", "node").alias("component"))
+        open_keys = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+        left = labelled.join(open_keys, "key", "left_semi").checkpoint()
+        if turn < LEADERS:
+            # the largest of the components of a key is left aside: whoever is not in it names a leader
+            counted = left.groupBy("key", "component").agg(F.count("*").alias("n"))
+            most = counted.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"))
+            led = left.join(most, "key")
+            heads = led.where("component <> main").groupBy("key").agg(F.max(F.struct("weight", "node", "component")).alias("h")).select("key", "h.node", "h.component").toDF("key", "head", "of_head")
+            more = left.join(heads, "key").where("component <> of_head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+        else:
+            a, b = (left.select("key", F.col("node").alias(n), F.col("component").alias(f"of_{n}")) for n in "ab")
+            more = a.join(b, "key").where("a < b AND of_a <> of_b").select("a", "b")
+        more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti").checkpoint()
+        if more.isEmpty():
+            continue
+        new = verified(more).checkpoint()
+        pairs = pairs.unionAll(more)
+        if not new.isEmpty():
+            edges = edges.unionAll(new)
+            found = components(edges)
+    return found
+
+
+def _with_heads(shared: DataFrame) -> DataFrame:
+    """a, b: of each key the node of the greatest weight, and every other one."""
+    heads = shared.groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("a"))
+    return shared.join(heads, "key").where("node <> a").select("a", F.col("node").alias("b"))
 
 
 def keep_one(docs: DataFrame, size: int = 5, radius: int = 3, similarity: float = 0.8) -> DataFrame:
