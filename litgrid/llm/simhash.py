@@ -40,8 +40,8 @@ MOST_BITS = 24
 CHUNK = 512
 #: Of two sets of similarity 0.8 all bands differ with a chance of (1 - 0.8 ** 7) ** 50, under 1 in 100,000.
 BANDS, BAND_ROWS = 50, 7
-#: Rounds in which those of a key that are not linked to its largest component are compared with one of them.
-LEADERS = 4
+#: Rounds in which those of a key that are not linked to its largest component are compared with some of it, and with how many.
+LEADERS, FEW = 4, 4
 
 
 def _rot(x: np.ndarray, n: int) -> np.ndarray:
@@ -364,10 +364,10 @@ def _similar(similarity: float):
 def similar_components(docs: DataFrame, rows: DataFrame, size: int, radius: int, similarity: float) -> DataFrame:
     """node, component of the sets of shingles that are linked to another; rows: the signatures of docs.
 
-    Candidates are the fingerprints within `radius` bits and the sets that share a band's key. Of those that share a key
-    each is first compared with the one that shares most keys with others, which is near the middle of a large group of
-    copies; LEADERS times more those that are not linked to it yet name another such one among them. Only then all pairs that
-    share a key and that no chain of links joins are compared, so that no link is lost.
+    Candidates are the fingerprints within `radius` bits and the sets that share a band's key. Each set is first compared with
+    a few that share most keys with others, which are near the middle of a large group of copies; LEADERS times more those
+    that are not linked to the largest component of a key are compared with a few of it. Only then all pairs that share a key
+    and that no chain of links joins are compared, so that no link is lost.
     """
     nodes = rows.select("fp", "node").distinct()
     one = nodes.groupBy("fp").agg(F.min("node").alias("node")).checkpoint()
@@ -406,12 +406,11 @@ def similar_components(docs: DataFrame, rows: DataFrame, size: int, radius: int,
         open_keys = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
         left = labelled.join(open_keys, "key", "left_semi").checkpoint()
         if turn < LEADERS:
-            # the largest of the components of a key is left aside: whoever is not in it names a leader
             counted = left.groupBy("key", "component").agg(F.count("*").alias("n"))
             most = counted.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"))
             led = left.join(most, "key")
-            heads = led.where("component <> main").groupBy("key").agg(F.max(F.struct("weight", "node", "component")).alias("h")).select("key", "h.node", "h.component").toDF("key", "head", "of_head")
-            more = left.join(heads, "key").where("component <> of_head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+            drawn = led.where("component = main").groupBy("key").agg(F.max(F.struct(F.xxhash64("node", F.lit(turn)).alias("at"), "node"))["node"].alias("head"))
+            more = _few(led.where("component <> main").join(drawn, "key").select("node", "head", F.xxhash64("node", "head").alias("at")))
         else:
             a, b = (left.select("key", F.col("node").alias(n), F.col("component").alias(f"of_{n}")) for n in "ab")
             more = a.join(b, "key").where("a < b AND of_a <> of_b").select("a", "b")
@@ -427,9 +426,15 @@ def similar_components(docs: DataFrame, rows: DataFrame, size: int, radius: int,
 
 
 def _with_heads(shared: DataFrame) -> DataFrame:
-    """a, b: of each key the node of the greatest weight, and every other one."""
-    heads = shared.groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("a"))
-    return shared.join(heads, "key").where("node <> a").select("a", F.col("node").alias("b"))
+    """a, b: every node with those of the greatest weight among the greatest of its keys."""
+    heads = shared.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("h")).select("key", F.col("h.weight").alias("at"), F.col("h.node").alias("head"))
+    return _few(shared.join(heads, "key").where("node <> head").select("node", "head", "at"))
+
+
+def _few(heads: DataFrame) -> DataFrame:
+    """a, b: each node with the first FEW of its heads, of which it has one for each of its keys at most; at: their order, the greatest first."""
+    chosen = F.slice(F.sort_array(F.collect_set(F.struct("at", "head")), asc=False), 1, FEW)
+    return heads.groupBy("node").agg(chosen.alias("all")).select(F.explode("all").alias("h"), "node").select(F.col("h.head").alias("a"), F.col("node").alias("b"))
 
 
 def keep_one(docs: DataFrame, size: int = 5, radius: int = 3, similarity: float = 0.8) -> DataFrame:
