@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litgrid.llm import decontamination, neighbours, pieces, pitman_yor, quality, sharding, simhash, substring_dedup, suffix_dedup, token_counts
+from litgrid.llm import decontamination, neighbours, pieces, pitman_yor, quality, sharding, simhash, substring_dedup, suffix_dedup, token_counts, warc, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": substring_dedup.op8_substring_dedup,
         "op9_cross_polytope_neighbours": neighbours.op9_cross_polytope_neighbours,
         "op10_pitman_yor_lm": pitman_yor.op10_pitman_yor_lm,
+        "op11_warc": warc.op11_warc,
+        "op13_embedding_whitening": whitening.op13_embedding_whitening,
     }
 
 
@@ -29,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_suffix_array_dedup": suffix_dedup.ORACLE,
         "op5_benchmark_decontamination": decontamination.ORACLE,
         "op8_substring_dedup": substring_dedup.ORACLE,
+        "op11_warc": warc.ORACLE,
     }
