@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litgrid.llm import decontamination, neighbours, pieces, pitman_yor, quality, sharding, simhash, substring_dedup, suffix_dedup, token_counts, warc, whitening
+from litgrid.llm import collocations, decontamination, neighbours, pieces, pitman_yor, quality, sharding, simhash, substring_dedup, suffix_dedup, token_counts, warc, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_cross_polytope_neighbours": neighbours.op9_cross_polytope_neighbours,
         "op10_pitman_yor_lm": pitman_yor.op10_pitman_yor_lm,
         "op11_warc": warc.op11_warc,
+        "op12_phrase_collocations": collocations.op12_phrase_collocations,
         "op13_embedding_whitening": whitening.op13_embedding_whitening,
     }
 
@@ -32,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_benchmark_decontamination": decontamination.ORACLE,
         "op8_substring_dedup": substring_dedup.ORACLE,
         "op11_warc": warc.ORACLE,
+        "op12_phrase_collocations": collocations.ORACLE,
     }
