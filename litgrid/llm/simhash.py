@@ -42,6 +42,8 @@ CHUNK = 512
 BANDS, BAND_ROWS = 50, 7
 #: Rounds in which those of a key that are not linked to its largest component are compared with some of it, and with how many.
 LEADERS, FEW = 4, 4
+#: Bytes and sets of a block in which the rest of a key is compared, and shingles on a side of a matrix of them.
+BLOCK_BYTES, BLOCK_SETS, COLUMNS = 4 << 20, 512, 2048
 
 
 def _rot(x: np.ndarray, n: int) -> np.ndarray:
@@ -366,8 +368,8 @@ def similar_components(docs: DataFrame, rows: DataFrame, size: int, radius: int,
 
     Candidates are the fingerprints within `radius` bits and the sets that share a band's key. Each set is first compared with
     a few that share most keys with others, which are near the middle of a large group of copies; LEADERS times more those
-    that are not linked to the largest component of a key are compared with a few of it. Only then all pairs that share a key
-    and that no chain of links joins are compared, so that no link is lost.
+    that are not linked to the largest component of a key are compared with a few of it. Sets of keys that are not one
+    component even then are compared in blocks, as matrices, so that no link is lost and no pair becomes a row.
     """
     nodes = rows.select("fp", "node").distinct()
     one = nodes.groupBy("fp").agg(F.min("node").alias("node")).checkpoint()
@@ -412,8 +414,8 @@ def similar_components(docs: DataFrame, rows: DataFrame, size: int, radius: int,
             drawn = led.where("component = main").groupBy("key").agg(F.max(F.struct(F.xxhash64("node", F.lit(turn)).alias("at"), "node"))["node"].alias("head"))
             more = _few(led.where("component <> main").join(drawn, "key").select("node", "head", F.xxhash64("node", "head").alias("at")))
         else:
-            a, b = (left.select("key", F.col("node").alias(n), F.col("component").alias(f"of_{n}")) for n in "ab")
-            more = a.join(b, "key").where("a < b AND of_a <> of_b").select("a", "b")
+            new = _in_blocks(left, of, similarity).checkpoint()
+            return found if new.isEmpty() else components(edges.unionAll(new))
         more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti").checkpoint()
         if more.isEmpty():
             continue
@@ -422,7 +424,51 @@ def similar_components(docs: DataFrame, rows: DataFrame, size: int, radius: int,
         if not new.isEmpty():
             edges = edges.unionAll(new)
             found = components(edges)
-    return found
+    raise AssertionError("the last turn returns")
+
+
+def _in_blocks(left: DataFrame, of: DataFrame, similarity: float) -> DataFrame:
+    """a, b: links that join all similar sets of a key, of (key, node); of: node, shingles.
+
+    The sets of a key are dealt to blocks of bounded bytes, and two blocks at a time meet in a task as matrices, so the pairs are
+    never rows and only a forest of the links leaves the task.
+    """
+    sized = left.select("key", "node").join(of.select("node", "shingles"), "node").withColumn("bytes", F.octet_length("shingles").cast("long") + 64)
+    blocks = F.ceil(F.greatest(F.sum("bytes") / BLOCK_BYTES, F.count("*") / BLOCK_SETS)).cast("int")
+    many = sized.groupBy("key").agg(blocks.alias("blocks"))
+    own = F.pmod(F.xxhash64("node", F.lit(SEED)), F.col("blocks")).cast("int")
+    each = sized.join(many, "key").withColumn("own", own).select("key", "node", "shingles", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    placed = each.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "shingles")
+    return placed.groupBy("key", "i", "j").applyInArrow(_matrix(similarity), "a long, b long")
+
+
+def _matrix(similarity: float):
+    """For one group of sets: a forest of the pairs with that similarity or more."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        nodes = table["node"].to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
+        size = np.array([len(x) for x in sets], np.float64)
+        names, column = np.unique(np.concatenate(sets), return_inverse=True)
+        shared = np.bincount(column, minlength=len(names)) > 1  # of others no two sets have one in common
+        own = np.repeat(np.arange(len(sets)), size.astype(np.int64))
+        keep = shared[column]
+        own, column = own[keep], (np.cumsum(shared) - 1)[column[keep]]
+        order = np.argsort(column, kind="stable")
+        own, column = own[order], column[order]
+        both, width = np.zeros((len(sets), len(sets)), np.float64), int(shared.sum())
+        for start in range(0, width, COLUMNS):
+            a, b = np.searchsorted(column, (start, start + COLUMNS))
+            has = np.zeros((len(sets), min(COLUMNS, width - start)), np.float32)
+            has[own[a:b], column[a:b] - start] = 1
+            both += has @ has.T
+        with np.errstate(invalid="ignore", divide="ignore"):
+            near = both / (size[:, None] + size[None, :] - both) >= similarity
+        x, y = np.nonzero(np.triu(near, 1))
+        return pa.table(_forest(nodes[x], nodes[y]), schema=schema) if len(x) else schema.empty_table()
+
+    return run
 
 
 def _with_heads(shared: DataFrame) -> DataFrame:

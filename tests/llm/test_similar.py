@@ -67,3 +67,23 @@ def test_unrelated_texts_of_one_id(spark):
     a, b = (" ".join(f"{x}{i}" for i in range(50)) for x in "ab")
     got = simhash.keep_one(spark.createDataFrame([(1, a), (1, b), (1, b), (2, b), (3, a)], "doc_id long, text string")).collect()
     assert sorted((r["doc_id"], r["text"]) for r in got) == [(1, a), (1, b)]
+
+
+def test_large_group_below_the_similarity(spark, monkeypatch):
+    """Many copies of a text that is not there: near each other, but hardly any are linked; in blocks of any size."""
+    r = random.Random(4)
+    base = [f"b{k}" for k in range(150)]
+    rows = []
+    for k in range(160):
+        copy = list(base)
+        for _ in range(r.choice([1, 2, 3, 3, 3])):
+            copy[r.randrange(150)] = f"x{r.randrange(40)}"
+        rows.append((k, " ".join(copy)))
+    want = firsts(rows)
+    assert 10 < len(want) < 150
+    monkeypatch.setattr(simhash, "LEADERS", 0)
+    for sets, columns in ((512, 2048), (7, 50)):
+        monkeypatch.setattr(simhash, "BLOCK_SETS", sets)
+        monkeypatch.setattr(simhash, "COLUMNS", columns)
+        got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+        assert sorted(x["doc_id"] for x in got.collect()) == want
