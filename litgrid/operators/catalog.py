@@ -1,20 +1,14 @@
-"""What tables there are, the plan template, concept tags and the error contract."""
+"""What tables there are, concept tags, settings and the error contract."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field, fields
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# fixed values: phases of a plan with their sections, each with steps and a line of guidance
-PHASES = (
-    ("Conception", (("Question", ("state a hypothesis that can fail: {goal}", "name the gap it fills"), "weigh other hypotheses"), ("Literature", ("search for: {keywords}", "note reviews and disagreements", "write down how the search was done"), "search with controlled terms"), ("Design", ("choose the kind of study and its controls", "work out the sample it needs"), "look for confounders"))),
-    ("Data", (("Collection", ("keep to one protocol", "record where everything comes from"), "label from the beginning"), ("Quality", ("set limits for acceptance", "clean, normalise and check again"), "write down every step"))),
-    ("Analysis", (("Statistics", ("justify each test", "correct for repeated testing"), "report sizes of effects"), ("Interpretation", ("compare with the hypothesis and with others", "state the limits"), "look for newer evidence"))),
-    ("Dissemination", (("Publication", ("draft the main message", "deposit the data"), "remove what identifies persons"), ("Review", ("answer reviewers point by point", "list what comes next"), "propose the next experiment"))),
-)
+# fixed values: addresses of public vocabularies with their labels
 _SCHOLARLY, _SEARCH, _RETRIEVAL, _ARTICLE_ID, _ACCESSION = ("https://schema.org/ScholarlyArticle", "Scholarly article"), ("https://schema.org/SearchAction", "Search action"), ("https://edamontology.org/operation_2422", "Data retrieval"), ("https://edamontology.org/data_1187", "PubMed ID"), ("https://edamontology.org/data_2091", "Accession")
 _DATABASE, _MAPPING, _FORMAT, _WORK, _TERMS = ("https://edamontology.org/operation_2421", "Database search"), ("https://edamontology.org/operation_3282", "ID mapping"), ("https://edamontology.org/operation_0335", "Data formatting"), ("https://schema.org/CreativeWork", "Creative work"), ("https://edamontology.org/topic_0089", "Ontology and terminology")
 CONCEPTS = {
@@ -103,19 +97,5 @@ def table_info(rows: DataFrame, name: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n_rows"), F.max(key).cast("long").alias("last_key")).select(F.lit(name).alias("name"), about.alias("description"), F.lit(",".join(rows.columns)).alias("fields"), F.lit(len(rows.columns)).alias("n_columns"), "n_rows", "last_key")
 
 
-def plan_text(guidance: Column) -> Column:
-    """A research plan in Markdown from title, goal, keywords (by commas) and organism; guidance: whether each section has its line of it."""
-    words = F.array_join(F.filter(F.transform(F.split(F.coalesce("keywords", F.lit("")), ","), lambda w: F.trim(w)), lambda w: w != ""), ", ")
-    head = [F.concat(F.lit("# Research plan: "), F.col("title")), F.concat(F.lit("**Goal:** "), F.col("goal")), F.concat(F.lit("**Keywords:** "), words), F.concat(F.lit("**Organism:** "), F.coalesce("organism", F.lit("Not specified")))]
-    lines = []
-    for i, (phase, sections) in enumerate(PHASES, 1):
-        lines += [F.lit("---"), F.lit(f"## Phase {i}: {phase}")]
-        for k, (name, steps, hint) in enumerate(sections, 1):
-            lines.append(F.lit(f"### {i}.{k} {name}"))
-            lines += [F.replace(F.replace(F.lit(f"- {step}"), F.lit("{goal}"), F.coalesce("goal", F.lit(""))), F.lit("{keywords}"), words) for step in steps]
-            lines.append(F.when(guidance, f"> **Guidance:** {hint}"))
-    return F.concat_ws("\n", *head, *lines)
-
-
 def error_contract(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, *v) for k, v in ERRORS.items()], "reason string, code string, retryable boolean, hint string")

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litgrid.functions import text as T
-from litgrid.operators.resolve import SKIPPED, chain_reason
 
 # fixed values: why an identifier has no open-access copy, and how many candidates a provider is asked to resolve
 NO_OA = {"invalid": "Invalid DOI", "unknown": "DOI unknown to the index", "malformed": "Invalid DOI format", "closed": "No open-access copy indexed", "unusable": "OA flagged but no usable location URL"}
@@ -30,38 +29,6 @@ def bodyless(n_sections: Column) -> Column:
     return F.coalesce(n_sections == 0, F.lit(False))
 
 
-def outcomes(asked: DataFrame, key: str, tiers: list[Tier]) -> DataFrame:
-    """key, tier (of the first that has the text, else null), outcomes (tier and outcome of all tiers tried up to it, in order).
-
-    An id that a tier was asked for and did not return is a miss there; later tiers are asked only for what is left. A tier
-    that is not configured has `not-attempted` for all that is left.
-    """
-    out = asked.select(key).distinct().withColumns({"tier": F.lit(None).cast("string"), "outcomes": F.array().cast("array<struct<tier:string,outcome:string>>")})
-    for t in tiers:
-        if t.rows is None:
-            said, rows = F.lit(SKIPPED), out
-        else:
-            told = (
-                F.when(F.coalesce("failed", F.lit(False)), "service-error")
-                .when(F.coalesce(F.trim("payload") == "", F.lit(True)), "no-fulltext")
-                .when(bodyless(F.col("n_sections")), "no-body")
-                .otherwise("found")
-            )
-            replies = t.rows.select(key, told.alias("_said")).groupBy(key).agg(F.min(F.struct((F.col("_said") != "found").alias("worse"), "_said"))["_said"].alias("_said"))
-            rows = out.join(replies, key, "left")
-            said = F.coalesce("_said", F.lit("miss"))
-        open_ = F.col("tier").isNull()
-        entry = F.array(F.struct(F.lit(t.name).alias("tier"), said.alias("outcome")))
-        out = rows.select(key, F.when(open_ & (said == "found"), t.name).otherwise(F.col("tier")).alias("tier"), F.when(open_, F.concat("outcomes", entry)).otherwise(F.col("outcomes")).alias("outcomes"))
-    return out
-
-
-def reasons(chains: DataFrame, key: str) -> DataFrame:
-    """key, reason of the ids for which no tier had a text."""
-    steps = chains.where("tier IS NULL").select(key, F.posexplode("outcomes").alias("tier_no", "o")).select(key, "tier_no", "o.tier", "o.outcome")
-    return chain_reason(steps, key)
-
-
 def oa_resolve(rows: DataFrame) -> DataFrame:
     """rows: doi, status (of the index's reply: 200, 404 or 422; null: not asked), is_oa, best (a location) and locations.
 

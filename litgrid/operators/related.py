@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from litgrid.operators.tiers import first_success
 
 #: Vectors and queries in a block; a pair of blocks has a matrix of scores of some 32 MB.
 VECTOR_BLOCK, QUERY_BLOCK = 4096, 1024
@@ -82,17 +83,11 @@ def first_provider(asked: DataFrame, key: str, tiers: list[tuple[str, DataFrame,
     """Links of the first provider that succeeds for each record.
 
     tiers: name, links (key and more), and whether an empty list is a failure of that provider; one that may be empty settles
-    every record it is asked for. Later tiers only see what is left.
+    every record it is asked for, so those after it are not asked.
     """
-    out, left = None, asked.select(key).distinct()
-    for name, links, must_have in tiers:
-        own = links.join(left, key, "left_semi").withColumn("provider", F.lit(name))
-        out = own if out is None else out.unionByName(own)
-        if must_have:
-            left = left.join(own.select(key).distinct(), key, "left_anti")
-        else:
-            left = left.limit(0)
-    return out
+    last = next((k for k, t in enumerate(tiers) if not t[2]), len(tiers) - 1)
+    found = first_success(asked, key, [(n, links) for n, links, _ in tiers[: last + 1]])
+    return found.withColumnRenamed("tier", "provider")
 
 
 def two_hop(works: DataFrame, id_map: DataFrame) -> DataFrame:

@@ -47,18 +47,6 @@ def rewrite_error(c: Column) -> Column:
     return F.when(c.rlike(CONVERTER_MESSAGE), CONVERTER_ADVICE).otherwise(c)
 
 
-def first_success(tiers: list[tuple[str, DataFrame]], key: str) -> DataFrame:
-    """Rows of the first tier that has each key, with the tier's name; every tier only sees what earlier ones lack.
-
-    tiers: rows with the same columns, in order of preference.
-    """
-    found = None
-    for name, rows in tiers:
-        own = rows.withColumn("tier", F.lit(name))
-        found = own if found is None else found.unionByName(own.join(found.select(key).distinct(), key, "left_anti"))
-    return found
-
-
 def chain_reason(outcomes: DataFrame, key: str) -> DataFrame:
     """Why nothing was found: from the last tier that was tried. outcomes: key, tier_no, tier, outcome."""
     tried = F.col("outcome") != SKIPPED

@@ -1,4 +1,4 @@
-"""Schedules, streams, the catalogue and templates."""
+"""Schedules, streams and the catalogue."""
 
 from __future__ import annotations
 
@@ -8,14 +8,23 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litgrid.operators.catalog import CONCEPTS, ERRORS, error_contract, plan_text, table_info
+from litgrid.operators.catalog import ERRORS, error_contract, table_info
 from litgrid.session import shared_folder
 from litgrid.sources.tables import TABLES, table
 from litgrid.streaming import flow
 
 
 def retry_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(0, 7).select(F.col("id").alias("attempt"), flow.backoff_ms(F.col("id")).alias("wait_ms"))
+    """What each event waits before it is tried again, its user's number being how often it was."""
+    return table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 7).alias("attempt"), flow.backoff_ms(F.col("user_id") % 7).alias("wait_ms"))
+
+
+def error_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by the error they stand for, with what the contract says of it."""
+    reasons = sorted(ERRORS)
+    kind = F.get(F.array(*map(F.lit, reasons)), (F.col("event_id") % len(reasons)).cast("int"))
+    counted = table(spark, sf_dir, "events").groupBy(kind.alias("reason")).agg(F.count("*").alias("n"))
+    return counted.join(F.broadcast(error_contract(spark)), "reason")
 
 
 def admission_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,23 +49,6 @@ def db_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-PLANS = [("T", "G", "a, b ,,", "mouse", False), ("T2", "G2", "c", None, True)]
-
-
-def plan_template(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(PLANS, "title string, goal string, keywords string, organism string, guidance boolean")
-    return rows.select("title", plan_text(F.col("guidance")).alias("plan"))
-
-
-def concept_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(k, i, *c) for k, v in CONCEPTS.items() for i, c in enumerate(v)], "tool string, pos int, id string, label string")
-    return rows.groupBy("tool").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id", "label"))), lambda x: F.concat(x["label"], F.lit(" <"), x["id"], F.lit(">"))), ", ").alias("concepts"))
-
-
-def error_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return error_contract(spark)
-
-
 KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "lineitem": "l_orderkey", "events": "event_id", "documents": "doc_id", "embeddings": "vec_id", "pages": "page_id", "benchmark": "item_id", "labels": "doc_id", "conversations": "conv_id"}
 FIELDS = {
     "region": "r_regionkey,r_name",
@@ -74,7 +66,7 @@ FIELDS = {
     "labels": "doc_id,quality,toxic",
     "conversations": "conv_id,turn,role,text",
 }
-QUERIES = {f.__name__: f for f in (retry_schedule, admission_schedule, stream_ingest, db_info, plan_template, concept_tags, error_reasons)}
+QUERIES = {f.__name__: f for f in (retry_schedule, error_reasons, admission_schedule, stream_ingest, db_info)}
 
 
 def _literal(*rows: tuple) -> str:
@@ -82,106 +74,14 @@ def _literal(*rows: tuple) -> str:
     return ", ".join("(" + ", ".join(map(q, r)) + ")" for r in rows)
 
 
-#: The plans as they must read, written out.
-PLAN_1 = """# Research plan: T
-**Goal:** G
-**Keywords:** a, b
-**Organism:** mouse
----
-## Phase 1: Conception
-### 1.1 Question
-- state a hypothesis that can fail: G
-- name the gap it fills
-### 1.2 Literature
-- search for: a, b
-- note reviews and disagreements
-- write down how the search was done
-### 1.3 Design
-- choose the kind of study and its controls
-- work out the sample it needs
----
-## Phase 2: Data
-### 2.1 Collection
-- keep to one protocol
-- record where everything comes from
-### 2.2 Quality
-- set limits for acceptance
-- clean, normalise and check again
----
-## Phase 3: Analysis
-### 3.1 Statistics
-- justify each test
-- correct for repeated testing
-### 3.2 Interpretation
-- compare with the hypothesis and with others
-- state the limits
----
-## Phase 4: Dissemination
-### 4.1 Publication
-- draft the main message
-- deposit the data
-### 4.2 Review
-- answer reviewers point by point
-- list what comes next"""
-PLAN_2 = """# Research plan: T2
-**Goal:** G2
-**Keywords:** c
-**Organism:** Not specified
----
-## Phase 1: Conception
-### 1.1 Question
-- state a hypothesis that can fail: G2
-- name the gap it fills
-> **Guidance:** weigh other hypotheses
-### 1.2 Literature
-- search for: c
-- note reviews and disagreements
-- write down how the search was done
-> **Guidance:** search with controlled terms
-### 1.3 Design
-- choose the kind of study and its controls
-- work out the sample it needs
-> **Guidance:** look for confounders
----
-## Phase 2: Data
-### 2.1 Collection
-- keep to one protocol
-- record where everything comes from
-> **Guidance:** label from the beginning
-### 2.2 Quality
-- set limits for acceptance
-- clean, normalise and check again
-> **Guidance:** write down every step
----
-## Phase 3: Analysis
-### 3.1 Statistics
-- justify each test
-- correct for repeated testing
-> **Guidance:** report sizes of effects
-### 3.2 Interpretation
-- compare with the hypothesis and with others
-- state the limits
-> **Guidance:** look for newer evidence
----
-## Phase 4: Dissemination
-### 4.1 Publication
-- draft the main message
-- deposit the data
-> **Guidance:** remove what identifies persons
-### 4.2 Review
-- answer reviewers point by point
-- list what comes next
-> **Guidance:** propose the next experiment"""
-
-
 ORACLES = {
-    "retry_schedule": "SELECT CAST(n AS BIGINT) AS attempt, CAST(least(1000 * CAST(2 ** n AS BIGINT), 30000) AS BIGINT) AS wait_ms FROM range(7) r(n)",
+    "retry_schedule": "SELECT event_id, user_id % 7 AS attempt, CAST(least(1000 * CAST(2 ** (user_id % 7) AS BIGINT), 30000) AS BIGINT) AS wait_ms FROM events",
+    "error_reasons": f"""
+        WITH c AS (SELECT * FROM (VALUES {_literal(*((k, *v) for k, v in sorted(ERRORS.items())))}) t(reason, code, retryable, hint)), r AS (SELECT *, row_number() OVER (ORDER BY reason) - 1 AS i FROM c)
+        SELECT reason, count(*) AS n, any_value(code) AS code, any_value(retryable) AS retryable, any_value(hint) AS hint FROM events JOIN r ON i = event_id % {len(ERRORS)} GROUP BY reason""",
     "admission_schedule": """
         WITH e AS (SELECT user_id, event_id, (epoch_us(ts) // 1000) AS a, row_number() OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000), event_id) AS i FROM events)
         SELECT event_id, CAST(max(a - i * 334000) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + i * 334000 AS BIGINT) AS start_ms FROM e""",
     "stream_ingest": "SELECT event_type, count(*) AS n, round(CAST(sum(CAST(value AS DECIMAL(30, 6))) AS DOUBLE), 2) AS total FROM events GROUP BY 1",
     "db_info": " UNION ALL ".join(f"SELECT '{t}' AS name, '{f.count(',') + 1} columns by {f.split(',')[0]}' AS description, '{f}' AS fields, CAST({f.count(',') + 1} AS INT) AS n_columns, count(*) AS n_rows, CAST(max({KEYS[t]}) AS BIGINT) AS last_key FROM {t}" for t, f in FIELDS.items()),
-    "plan_template": f"SELECT * FROM (VALUES {_literal(('T', PLAN_1), ('T2', PLAN_2))}) t(title, plan)",
-    "error_reasons": f"SELECT * FROM (VALUES {_literal(*((k, *v) for k, v in ERRORS.items()))}) t(reason, code, retryable, hint)",
-    "concept_tags": "SELECT tool, string_agg(label || ' <' || id || '>', ', ' ORDER BY pos) AS concepts FROM (VALUES " + _literal(*((k, i, *c) for k, v in CONCEPTS.items() for i, c in enumerate(v))) + ") t(tool, pos, id, label) GROUP BY tool",
 }

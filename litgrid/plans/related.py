@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litgrid.operators import related as R
+from litgrid.session import ready_checkpoints
 from litgrid.sources.tables import table
 
 LINES = ["l_linenumber", "l_suppkey", "l_shipdate"]
@@ -32,7 +33,8 @@ def related_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def related_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A first provider without lists for odd records, a second one that has them for multiples of three, a last one."""
-    links = R.linked(_edges(spark, sf_dir), "l_orderkey", "l_partkey", LINES)
+    ready_checkpoints(spark)
+    links = R.linked(_edges(spark, sf_dir), "l_orderkey", "l_partkey", LINES).checkpoint()  # read by every tier
     tiers = [("first", links.where("src % 2 = 0"), True), ("second", links.where("src % 3 = 0 AND pos <= 3"), True), ("third", links.where("pos = 1"), False)]
     return R.first_provider(links, "src", tiers).select("src", "dst", "pos", "provider")
 

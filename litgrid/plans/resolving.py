@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from litgrid.functions import text as T
 from litgrid.operators import resolve as R
+from litgrid.operators.tiers import first_success
 from litgrid.sources.tables import table
 
 
@@ -49,12 +50,12 @@ def _tiers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[tuple[str,
     pmc = table(spark, sf_dir, "documents").where("source IN ('src0', 'src1')").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("size"))
     epmc = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.length("html").cast("long").alias("size"))
     oa = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.sum(F.length("text")).cast("long").alias("size"))
-    return asked, [(n, t.join(asked, "id", "left_semi")) for n, t in (("pmc", pmc), ("epmc", epmc), ("oa", oa))]
+    return asked, [("pmc", pmc), ("epmc", epmc), ("oa", oa)]
 
 
 def fulltext_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, tiers = _tiers(spark, sf_dir)
-    return asked.join(R.first_success(tiers, "id"), "id", "left").select("id", F.coalesce("tier", F.lit("unavailable")).alias("tier"), "size")
+    return asked.join(first_success(asked, "id", tiers), "id", "left").select("id", F.coalesce("tier", F.lit("unavailable")).alias("tier"), "size")
 
 
 def chain_reason(spark: SparkSession, sf_dir: str) -> DataFrame:

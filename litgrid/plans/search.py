@@ -33,13 +33,13 @@ def search_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matching(spark, sf_dir).agg(F.count("*").alias("total"))
 
 
-NOTICES = [(0, 0, 0, True, False), (0, 0, 0, False, True), (50, 0, 60, False, False), (50, 20, 0, True, False), (50, 10, 40, False, False), (7, 7, 0, True, True)]
-NOTICE_SQL = ", ".join(f"({a}, {b}, {c}, {d}, {e})" for a, b, c, d, e in NOTICES)
-
-
 def search_notice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.sql(f"SELECT * FROM VALUES {NOTICE_SQL} AS t(total, returned, start, filtered, one_sided)")
-    return rows.select("total", "start", S.notice(F.col("total"), F.col("returned"), F.col("start"), F.col("filtered"), F.col("one_sided")).alias("notice"))
+    """Notices of a page of each customer's orders; the customer's number says where it begins and what was asked."""
+    found = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey"), "c_custkey", "left")
+    rows = found.groupBy("c_custkey").agg(F.count("o_orderkey").alias("total"))
+    start = F.col("c_custkey") % 25
+    rows = rows.withColumns({"start": start, "returned": F.greatest(F.lit(0), F.least(F.lit(5), F.col("total") - start)), "filtered": F.col("c_custkey") % 2 == 0, "one_sided": F.col("c_custkey") % 7 == 0})
+    return rows.select("c_custkey", "total", "start", S.notice(F.col("total"), F.col("returned"), F.col("start"), F.col("filtered"), F.col("one_sided")).alias("notice"))
 
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,14 +129,16 @@ QUERIES = {f.__name__: f for f in (search_page, search_total, search_notice, fil
 ORACLES = {
     "search_page": f"SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE {WHERE} ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 40",
     "search_total": f"SELECT count(*) AS total FROM orders WHERE {WHERE}",
-    "search_notice": f"""
-        SELECT total, start, concat_ws(' ',
+    "search_notice": """
+        WITH o AS (SELECT c_custkey, count(o_orderkey) AS total, c_custkey % 25 AS start, c_custkey % 2 = 0 AS filtered, c_custkey % 7 = 0 AS one_sided FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey),
+        r AS (SELECT *, greatest(0, least(5, total - start)) AS returned FROM o)
+        SELECT c_custkey, total, start, concat_ws(' ',
             CASE WHEN one_sided THEN 'Date range ignored: both bounds are needed.' END,
             CASE WHEN total = 0 AND filtered THEN 'No results: try fewer filters.' END,
             CASE WHEN total = 0 AND NOT filtered THEN 'No results: try other words.' END,
             CASE WHEN total > 0 AND start >= total THEN 'Offset ' || start || ' is beyond the ' || total || ' results.' END,
             CASE WHEN returned > 0 AND start + returned < total THEN 'More results from offset ' || (start + returned) || '.' END) AS notice
-        FROM (VALUES {NOTICE_SQL}) t(total, returned, start, filtered, one_sided)""",
+        FROM r""",
     "filter_all_terms": f"SELECT doc_id FROM documents WHERE list_has_all({WORDS}, ['the', 'and', 'that'])",
     "filter_any_type": f"SELECT doc_id FROM documents WHERE list_has_any({WORDS}, ['les', 'der', 'que'])",
     "corpus_filter": "SELECT doc_id, source FROM documents WHERE source IN ('src1', 'src2', 'src3')",

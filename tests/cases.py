@@ -1,4 +1,4 @@
-"""Queries over stated cases: the SQL is the rows that must come out, written out one by one."""
+"""Operators over stated cases: the SQL is the rows that must come out, written out one by one."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from litgrid.functions import jats, records
 from litgrid.functions import text as T
 from litgrid.operators import budget as B
-from litgrid.operators import catalog, chains
+from litgrid.operators import catalog, chains, tiers
 from litgrid.operators import related as L
 from litgrid.operators import resolve as R
 from litgrid.operators import search as S
@@ -177,9 +177,9 @@ def chain_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = spark.createDataFrame([(i,) for i in range(1, 7)], "id int")
     pmc = spark.createDataFrame([(1, "x", 2, None), (3, "front", 0, None), (4, None, None, True)], kind)
     epmc = spark.createDataFrame([(1, "y", 1, None), (2, "y", None, None), (3, " ", None, None), (5, "front", 0, False), (6, None, None, True)], kind)
-    found = chains.outcomes(asked, "id", [chains.Tier("pmc", pmc), chains.Tier("epmc", epmc), chains.Tier("oa", None)])
+    chain = tiers.run_chain(asked, "id", [chains.Tier("pmc", pmc), chains.Tier("epmc", epmc), chains.Tier("oa", None)])
     text = F.array_join(F.transform("outcomes", lambda o: F.concat(o["tier"], F.lit(":"), o["outcome"])), ",")
-    return found.join(chains.reasons(found, "id"), "id", "left").select("id", "tier", text.alias("outcomes"), "reason")
+    return chain.outcomes().join(chain.reasons(), "id", "left").select("id", "tier", text.alias("outcomes"), "reason")
 
 
 @expected("asked VARCHAR, pmid VARCHAR, pmcid VARCHAR, errmsg VARCHAR, n_submitted BIGINT, n_converted BIGINT", ("PMC1", "11", "PMC1", None, 3, 2), ("PMC2", None, None, R.CONVERTER_ADVICE, 3, 2), ("PMC3", "33", "PMC3", None, 3, 2))
@@ -403,3 +403,49 @@ def cursor_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([("a", 1), ("b", 3), ("c", 3)], "record_id string, score int")
     found = paging.all_pages(rows, "score", "record_id", 1, 10)
     return spark.createDataFrame([(i, r) for i, r in enumerate(found, 1)], "pos int, record_id string")
+
+
+ENTITIES = {
+    1: ("a &amp; b &lt;i&gt; &quot;c&quot; &apos;", "a & b <i> \"c\" '"),
+    2: ("&#233;&#x1F600;&#x41;", "é😀A"),
+    3: ("&amp;lt;x&amp;gt; &amp;amp;", "&lt;x&gt; &amp;"),
+    4: ("&unknown; &#99999999; &#99999999999999999999999; &", "&unknown; &#99999999; &#99999999999999999999999; &"),
+    5: ("x&nbsp;y&#8211;z", "x\u00a0y–z"),
+    6: ("", ""),
+    7: ("&amp;#65; &#xD800;", "&#65; &#xD800;"),
+    8: ("&AMP; &Lt;x&GT; &#X41; &#xe9;", "& <x> A \u00e9"),
+    9: ("AT&T; A&T &#x1F9EC;&ampx;", "AT&T; A&T \U0001f9ec&ampx;"),
+}
+INLINE = {
+    1: ("H<sub>2</sub>O and Ca<sup>2+</sup>", "H₂O and Ca²⁺"),
+    2: ("x<sup>abc</sup> <i>y</i> <b>z</b>", "x^abc y z"),
+    3: ("k<inf>10</inf> 5 < 6", "k₁₀ 5 < 6"),
+    4: ("plain", "plain"),
+    5: ("CO<SUB>2</SUB><sub></sub>", "CO₂"),
+    6: ("a<sub>i</sub>", "a_i"),
+}
+DATES = {
+    1: ("2020", "2020-01-01"),
+    2: ("2020 Mar", "2020-03-01"),
+    3: ("2020 Mar 5", "2020-03-05"),
+    4: ("2019 Jul-Aug", "2019-07-01"),
+    5: ("2019 Jan/Feb", "2019-01-01"),
+    6: ("2019 Foo", None),
+    7: ("2021-02-03", "2021-02-03"),
+    8: ("2021/12/31", "2021-12-31"),
+    9: ("soon", None),
+    10: ("2021 Feb 30", None),
+}
+
+
+def _forms(cases: dict, f):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.createDataFrame([(k, v[0]) for k, v in cases.items()], "k int, raw string").select("k", f(F.col("raw")).alias("result"))
+
+    return query
+
+
+for _name, _cases, _f in (("entity_decode", ENTITIES, T.decode_entities), ("inline_flatten", INLINE, T.flatten_inline), ("partial_date_forms", DATES, T.standard_date)):
+    _query = _forms(_cases, _f)
+    _query.__name__ = _name
+    expected("k INT, result VARCHAR", *((k, v[1]) for k, v in _cases.items()))(_query)
