@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from litgrid.functions.xml import well_formed
+
 # fixed values
 NAMED_ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "shy": "\u00ad"}
 #: White space as runs of it are collapsed.
@@ -252,12 +254,8 @@ def content_kind(url_for_pdf: Column, head: Column) -> Column:
 
 
 def payload_kind(c: Column) -> Column:
-    """What a reply is before it is parsed: html, empty, error, invalid or xml."""
-    body = F.trim(F.regexp_replace(c, r"(?s)^\s*<\?xml.*?\?>", ""))
-    return (
-        F.when(c.rlike(r"(?is)^\s*(<!doctype html|<html)"), "html")
-        .when((body == "") | c.isNull(), "empty")
-        .when(~body.rlike(r"(?s)^<([A-Za-z_][\w:.-]*)(\s[^<>]*)?(/>|>.*</\1\s*>)$"), "invalid")
-        .when(body.rlike(r"(?i)<error>"), "error")
-        .otherwise("xml")
-    )
+    """What a reply is before it is parsed: html, empty (nothing but a prolog), error, invalid or xml; a parser tells the last two apart."""
+    body = F.trim(F.regexp_replace(F.regexp_replace(c, r"(?i)<\?xml[^?]*\?>", ""), r"(?i)<!DOCTYPE[^>]*>", ""))
+    html, empty = c.rlike(r"(?i)^\s*<(!doctype\s+html|html[\s>])"), c.isNull() | (F.regexp_replace(body, r"\s+", "") == "")
+    fine = well_formed(F.when(~html & ~empty, c))
+    return F.when(html, "html").when(empty, "empty").when(~fine, "invalid").when(body.rlike(r"(?i)<error>"), "error").otherwise("xml")

@@ -101,6 +101,11 @@ def link_id(pmid: Column, source: Column, record: Column) -> Column:
     return F.when(found.rlike(r"^\d+$"), found)
 
 
+def work_ids(addresses: Column) -> Column:
+    """Ids of works from their addresses in a graph, or bare as they are."""
+    return F.transform(addresses, lambda w: F.regexp_replace(w, "^https?://[^/]+/", ""))
+
+
 def capped(candidates: Column, wanted: int, cap: int) -> Column:
     """As many candidates as a provider resolves for `wanted` results: three for each, and no more than its cap."""
     return F.slice(candidates, 1, min(3 * wanted, cap))

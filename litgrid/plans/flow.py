@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from litgrid.operators.catalog import ERRORS, error_contract, table_info
 from litgrid.session import shared_folder
+from litgrid.sources import cursor
 from litgrid.sources.tables import TABLES, table
-from litgrid.streaming import flow
+from litgrid.streaming import flow, replies
 
 
 def retry_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,13 +33,55 @@ def admission_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow.admission(events, "user_id", "event_id", "arrival_ms", 334 * 1000).select("event_id", "start_ms")
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
+
+
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events read as a stream of files, all that is there; the table is what the stream has counted."""
     schema = table(spark, sf_dir, "events").schema
-    run = uuid.uuid4().hex
+    folder = _folder(spark, "stream")
     stream = flow.file_stream(spark, f"{sf_dir}/event[s].parquet", schema)
-    flow.run_to_table(flow.counts_by_type(stream), f"counts_{run}", os.path.join(shared_folder(spark), f"stream-{run}"))
-    return spark.table(f"counts_{run}").select("event_type", "n", F.round(F.col("total").cast("double"), 2).alias("total"))
+    replies.run_into(flow.counts_by_type(stream), f"{folder}/out", f"{folder}/checkpoint", "complete")
+    return spark.read.parquet(f"{folder}/out").select("event_type", "n", F.round(F.col("total").cast("double"), 2).alias("total"))
+
+
+WITHIN, KEEP, DELAY, BUCKETS = "6 minutes", "1 hour", "10 minutes", 16
+
+
+def dropped_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of three events that follow each other the first is a request, the others are replies; every seventh request and every fifth reply is missing.
+
+    The first half of the time is one run of the stream, the second half another one that goes on with its state.
+    """
+    events = table(spark, sf_dir, "events")
+    asks = F.col("event_id") % 3 == 0
+    rows = events.where(F.when(asks, F.col("event_id") % 7 > 0).otherwise(F.col("event_id") % 5 > 0)).select(F.expr("event_id DIV 3").alias("key"), "ts", asks.alias("is_request"))
+    middle = F.lit(rows.select((F.unix_micros(F.min(F.col("ts").cast("timestamp"))) / 2 + F.unix_micros(F.max(F.col("ts").cast("timestamp"))) / 2).cast("long")).first()[0])
+    folder, late = _folder(spark, "replies"), F.unix_micros(F.col("ts").cast("timestamp")) > middle
+    for part in (~late, late):
+        rows.where(part).write.mode("append").parquet(f"{folder}/in")
+        stream = flow.file_stream(spark, f"{folder}/in", rows.schema, 10_000)
+        replies.run_into(replies.settle(stream, WITHIN, KEEP, DELAY, BUCKETS), f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.schema(replies.OUT).parquet(f"{folder}/out")
+
+
+def cursor_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders read page by page through cursors, filters and all."""
+    cursor.register(spark)
+    rows = spark.read.format(cursor.NAME).option("path", f"{sf_dir}/orders.parquet").option("pageSize", 500).load()
+    return rows.where((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 100000)).select("o_orderkey", "o_totalprice")
+
+
+def cursor_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as a stream of pages: what is there at first, then from the stored cursors on what has come since."""
+    cursor.register(spark)
+    orders, folder = table(spark, sf_dir, "orders"), _folder(spark, "cursor")
+    for part in ("o_orderkey % 3 = 0", "o_orderkey % 3 > 0"):
+        orders.where(part).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.format(cursor.NAME).option("path", f"{folder}/in").option("pageSize", 500).load()
+        replies.run_into(stream, f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.schema(orders.schema).parquet(f"{folder}/out").select("o_orderkey", "o_custkey", "o_totalprice")
 
 
 def db_info(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +109,7 @@ FIELDS = {
     "labels": "doc_id,quality,toxic",
     "conversations": "conv_id,turn,role,text",
 }
-QUERIES = {f.__name__: f for f in (retry_schedule, error_reasons, admission_schedule, stream_ingest, db_info)}
+QUERIES = {f.__name__: f for f in (retry_schedule, error_reasons, admission_schedule, stream_ingest, dropped_replies, cursor_batch, cursor_stream, db_info)}
 
 
 def _literal(*rows: tuple) -> str:
@@ -82,6 +125,14 @@ ORACLES = {
     "admission_schedule": """
         WITH e AS (SELECT user_id, event_id, (epoch_us(ts) // 1000) AS a, row_number() OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000), event_id) AS i FROM events)
         SELECT event_id, CAST(max(a - i * 334000) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + i * 334000 AS BIGINT) AS start_ms FROM e""",
+    "dropped_replies": """
+        WITH e AS (SELECT event_id // 3 AS key, epoch_us(ts) // 1000 AS t, event_id % 3 = 0 AS asks FROM events WHERE CASE WHEN event_id % 3 = 0 THEN event_id % 7 > 0 ELSE event_id % 5 > 0 END),
+        w AS (SELECT max(t) - 600000 AS w FROM e), q AS (SELECT key, min(t) + 360000 AS deadline FROM e WHERE asks GROUP BY key),
+        r AS (SELECT key, t, deadline, row_number() OVER (PARTITION BY key ORDER BY t) AS n, max(t) OVER (PARTITION BY key) AS last FROM e LEFT JOIN q USING (key) WHERE NOT asks),
+        s AS (SELECT key, CASE WHEN deadline IS NULL OR t > deadline + 3600000 THEN 'unasked' WHEN t > deadline THEN 'late' WHEN n > 1 THEN 'repeated' ELSE 'ok' END AS status, t AS at_ms FROM r, w WHERE deadline IS NOT NULL OR last + 3600000 <= w)
+        SELECT * FROM s UNION ALL SELECT key, 'not_found', deadline FROM q, w WHERE deadline <= w AND key NOT IN (SELECT key FROM r WHERE t <= deadline)""",
+    "cursor_batch": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000",
+    "cursor_stream": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders",
     "stream_ingest": "SELECT event_type, count(*) AS n, round(CAST(sum(CAST(value AS DECIMAL(30, 6))) AS DOUBLE), 2) AS total FROM events GROUP BY 1",
     "db_info": " UNION ALL ".join(f"SELECT '{t}' AS name, '{f.count(',') + 1} columns by {f.split(',')[0]}' AS description, '{f}' AS fields, CAST({f.count(',') + 1} AS INT) AS n_columns, count(*) AS n_rows, CAST(max({KEYS[t]}) AS BIGINT) AS last_key FROM {t}" for t, f in FIELDS.items()),
 }

@@ -11,7 +11,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
 
 RETRYABLE = ("ServiceUnavailable", "Timeout", "RateLimited")
 
@@ -109,13 +108,6 @@ def windowed_counts(events: DataFrame, width: str, late: str) -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))
 
 
-def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
-    """All that is there now, into a table in memory; returns when it is done."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return query
-
-
 def with_missing(requests: DataFrame, replies: DataFrame, key: str) -> DataFrame:
     """Every request with its reply; those a service dropped come back as not_found."""
     return requests.join(replies, key, "left").withColumn("status", F.coalesce("status", F.lit("not_found")))

@@ -16,7 +16,7 @@ from litgrid.operators import resolve as R
 from litgrid.operators import search as S
 from litgrid.session import shared_folder
 from litgrid.sources import tables
-from litgrid.streaming import flow
+from litgrid.streaming import flow, replies
 
 QUERIES, ORACLES = {}, {}
 
@@ -391,8 +391,8 @@ def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [("2020-01-01 00:05:00", "a"), ("2020-01-01 00:50:00", "a"), ("2020-01-01 00:59:00", "b"), ("2020-01-01 01:00:00", "a")]
     tables.write_records(spark.createDataFrame(rows, "ts string, event_type string").withColumn("ts", F.col("ts").cast("timestamp_ntz")), folder)
     stream = flow.file_stream(spark, folder, spark.read.parquet(folder).schema)
-    flow.run_to_table(flow.windowed_counts(stream, "1 hour", "1 hour"), f"w_{run}", f"{shared_folder(spark)}/w-{run}")
-    return spark.table(f"w_{run}").select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("w"), "event_type", "n")
+    replies.run_into(flow.windowed_counts(stream, "1 hour", "1 hour"), f"{shared_folder(spark)}/out-{run}", f"{shared_folder(spark)}/w-{run}", "complete")
+    return spark.read.parquet(f"{shared_folder(spark)}/out-{run}").select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("w"), "event_type", "n")
 
 
 @expected("pos INT, record_id VARCHAR", (1, "b"), (2, "c"), (3, "a"))
