@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litgrid.llm.batches import map_texts
+from litgrid.llm.batches import give_back, map_texts
 from litgrid.llm.bytesops import as_bytes, spread, word_hashes
 
 MARK = "▁"
 #: Words remembered in one Python worker since the memory was last full, and as many from before; pairs of pieces, whose
 #: memory starts anew when it is full.
-KEPT_WORDS = 400_000
-KEPT_PAIRS = 1_000_000
+KEPT_WORDS = 200_000
+KEPT_PAIRS = 400_000
 UNIGRAM, BPE = 1, 2
 
 
@@ -268,6 +268,7 @@ def encode_decode(docs: DataFrame, model: str, decoded: bool = True) -> DataFram
     shared = docs.sparkSession.sparkContext.broadcast(PieceModel(model))
 
     def run(batch: pa.RecordBatch, encoder: Encoder) -> pa.RecordBatch:
+        give_back()
         texts = as_bytes(batch.column("text"))
         ids, counts = encoder.encode(texts)
         cuts = np.r_[0, np.cumsum(counts)].tolist()
