@@ -24,6 +24,8 @@ RECORD = (
     f"PubmedData struct<ArticleIdList:struct<ArticleId:array<{_ID}>>>"
 )
 
+RECORD_OPTIONS = {"attributePrefix": "_", "valueTag": "_VALUE", "mode": "PERMISSIVE"}
+
 
 def _given(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
@@ -51,7 +53,7 @@ def clean_xml(c: Column) -> Column:
 
 def parse_records(rows: DataFrame, xml: str, mesh: bool = True, grants: bool = False) -> DataFrame:
     """One article for each row's record; malformed records give null fields and parse_failed."""
-    parsed = once(rows, "_r", F.from_xml(clean_xml(F.col(xml)), RECORD, {"attributePrefix": "_", "valueTag": "_VALUE", "mode": "PERMISSIVE"}))
+    parsed = once(rows, "_r", F.from_xml(clean_xml(F.col(xml)), RECORD, RECORD_OPTIONS))
     c, a = F.col("_r.MedlineCitation"), F.col("_r.MedlineCitation.Article")
     journal, issue = a["Journal"], a["Journal"]["JournalIssue"]
     authors, ids = a["AuthorList"]["Author"], F.col("_r.PubmedData.ArticleIdList.ArticleId")

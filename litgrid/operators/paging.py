@@ -61,6 +61,29 @@ def sort_modes(rows: DataFrame, modes: dict[str, list[Column | str]], limit: int
     return out
 
 
+# fixed values: the fields by which the second corpus sorts
+SORT_FIELDS = ("P_PDATE_D", "CITED", "AUTH_FIRST", "PUB_YEAR")
+PREPRINTS = "PPR"
+
+
+def corpus_order(sort: str | None, columns: dict[str, str], relevance: str, id_column: str, sources: list[str] | None = None) -> tuple[list[Column], str | None]:
+    """The total order for a sort of the form `<field> asc|desc`, and a note where it is not the one asked for.
+
+    columns: of the fields. Either direction has missing values last, ties go by id; without a sort, and for dates of preprints
+    alone, which have none, the order is that of relevance. Other fields and directions are an error.
+    """
+    by_id, fallback = F.col(id_column).asc(), F.col(relevance).desc_nulls_last()
+    if not sort or not sort.strip():
+        return [fallback, by_id], None
+    field, _, way = sort.strip().upper().partition(" ")
+    if field not in SORT_FIELDS or way.strip() not in ("", "ASC", "DESC"):
+        raise ValueError(f"sort: one of {', '.join(SORT_FIELDS)} with asc or desc")
+    if field == "P_PDATE_D" and sources and all(s == PREPRINTS for s in sources):
+        return [fallback, by_id], "Preprints have no publication date to sort by: the order is by relevance; PUB_YEAR sorts them by year."
+    c = F.col(columns[field])
+    return [c.asc_nulls_last() if way.strip() == "ASC" else c.desc_nulls_last(), by_id], None
+
+
 def next_cursor(page: list, key: str, id_column: str, limit: int) -> tuple | None:
     """The cursor after a page that was read, or None at the end: a page that is not full is the last one."""
     return (page[-1][key], page[-1][id_column]) if len(page) == limit else None

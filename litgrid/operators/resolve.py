@@ -88,6 +88,13 @@ def route(ids: DataFrame, crosswalk: DataFrame, key: str, target: str) -> DataFr
     return out.withColumn("bucket", F.when(F.col(target).isNotNull(), "archive").otherwise("fallback"))
 
 
+def route_as_written(ids: DataFrame, crosswalk: DataFrame, written: str, key: Column, crosswalk_key: str, target: str) -> DataFrame:
+    """Like route, for ids that come in several spellings: they meet by their normal form, and each keeps the spelling it was asked by. Ids without a normal form go to the fallback."""
+    known = crosswalk.select(F.col(crosswalk_key).alias("_key"), target).dropDuplicates(["_key"])
+    out = ids.withColumn("_key", key).join(known, "_key", "left").drop("_key")
+    return out.select(written, *[c for c in out.columns if c not in (written, target)], target, F.when(F.col(target).isNotNull(), "archive").otherwise("fallback").alias("bucket"))
+
+
 def fill(rows: DataFrame, crosswalk: DataFrame, key: str, column: str) -> DataFrame:
     """Rows with the column taken from the crosswalk where they lack it."""
     other = crosswalk.select(key, F.col(column).alias("_other")).dropDuplicates([key])

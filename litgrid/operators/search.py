@@ -209,12 +209,6 @@ def diagnostic_notice(ignored_fields: Column, unmatched_phrases: Column) -> Colu
     )
 
 
-def result_handle(page: DataFrame, id_column: str, name: str) -> str:
-    """Keeps the ids of a page under a name, so that later queries join it instead of sending the ids again."""
-    page.select(id_column).createOrReplaceTempView(name)
-    return name
-
-
 def relevance(text: Column, words: list[str]) -> Column:
     """How many of the words a text has."""
     low = F.lower(text)
@@ -241,6 +235,13 @@ def exactly_one(**inputs: object) -> str:
     return given[0]
 
 
+def only_given(*names: str) -> Column:
+    """The name of the only one of these columns that holds something, a blank text or an empty list being nothing; null where none or several do."""
+    given = lambda n: F.coalesce(F.length(F.trim(F.col(n).cast("string"))) > 0, F.lit(False))
+    n = reduce(lambda a, b: a + b, (given(x).cast("int") for x in names))
+    return F.when(n == 1, F.coalesce(*(F.when(given(x), x) for x in names)))
+
+
 def suggestions(words: DataFrame, dictionary: DataFrame, most: int = 2) -> DataFrame:
     """word, corrected: the nearest dictionary entry within `most` edits, ties in alphabetical order; else the word itself.
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litgrid.plans import budgets, chained, citing, flow, indexed, parsing, related, resolving, search, texts
+from litgrid.plans import budgets, chained, citing, flow, indexed, parsing, related, rendered, resolving, search, texts
 
-MODULES = (search, chained, indexed, resolving, related, texts, budgets, citing, parsing, flow)
+MODULES = (search, chained, indexed, rendered, resolving, related, texts, budgets, citing, parsing, flow)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -49,6 +49,11 @@ def write_records(rows: DataFrame, path: str, fmt: str = "parquet") -> None:
     rows.write.mode("overwrite").format(fmt).save(path)
 
 
+def write_xml(rows: DataFrame, path: str, row_tag: str, root_tag: str) -> None:
+    """Files of a root element each with an element for each row; columns and fields that begin with an underscore are attributes."""
+    rows.write.format("xml").option("rowTag", row_tag).option("rootTag", root_tag).option("attributePrefix", "_").option("valueTag", "_VALUE").save(path)
+
+
 def markdown(title: Column, fields: dict[str, Column], body: Column | None = None) -> Column:
     """A record as Markdown: a heading, a line for each field that is there, then the body."""
     lines = [F.concat(F.lit("## "), title), *(F.concat(F.lit(f"- **{k}:** "), F.nullif(v.cast("string"), F.lit(""))) for k, v in fields.items())]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from litgrid.functions import jats, records
 from litgrid.functions import text as T
 from litgrid.operators import budget as B
-from litgrid.operators import catalog, chains, tiers
+from litgrid.operators import catalog, chains, handles, tiers
 from litgrid.operators import related as L
 from litgrid.operators import resolve as R
 from litgrid.operators import search as S
@@ -131,11 +131,10 @@ def search_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @expected("n_matched BIGINT, n_returned BIGINT, handled BIGINT", (4, 2, 2))
 def result_handle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals before paging, and a page kept under a name that a later query joins."""
+    """Totals before paging, and a page kept under a handle that a later query joins."""
     s = S.Search(query="sea", limit=2)
     page = S.results(_books(spark), s, BOOK_FIELDS)
-    name = S.result_handle(page, "id", f"page_{uuid.uuid4().hex}")
-    again = spark.table(name).join(_books(spark), "id").agg(F.count("*").alias("handled"))
+    again = handles.read(spark, handles.keep(page, "pos")).select("id").join(_books(spark), "id").agg(F.count("*").alias("handled"))
     return S.total_rows(S.search(_books(spark), s, BOOK_FIELDS), page).crossJoin(again)
 
 
