@@ -3,10 +3,12 @@
 Tokens are words and an end of each text. The restaurant of a context (the word before, or the beginning of a text) has
 the words that follow it as dishes; its tables are customers of the restaurant of single words, which all contexts share,
 and whose base is uniform over the known words and one unknown. A state of the sampler is the number of tables of each
-dish in each restaurant; a sweep draws it anew for every dish given the others (generalised Stirling numbers give the
-chances). The table totals of a context are those here now and those elsewhere when buckets last told each other; they do
-after a round of BURN_IN sweeps, which are left out of the result. Scores use the mean of the predictive probabilities after
-each of SAMPLES further sweeps.
+dish in each restaurant; a sweep draws it anew for every dish given the others, exactly by the generalised Stirling numbers.
+Dishes with more than EXACT customers, for which those numbers would need tables that grow with the square, are seated in turn
+instead, which favours more tables than the exact draw. While a bucket sweeps, the tables of a context are those here now and those elsewhere when buckets
+last told each other, which they do after BURN_IN sweeps that are left out of the result. Then follow SAMPLES sweeps whose
+seatings are kept, and the buckets tell each other the totals of every one of them; so each sample's predictive
+probabilities come from totals that are true of it and sum to one, and the scores are those of their mean.
 
 Where things are: texts are read once. A bucket holds all occurrences of its words, each with the word before and the
 document; so what the restaurant of single words knows of a word is there, and the texts' sums go back from there. What a
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,20 +40,20 @@ from litgrid.session import ready_checkpoints, ready_workers
 FOLDS = 10
 #: Discounts and strengths of the contexts' restaurants and of that of single words.
 D2, S2, D1, S1 = 0.75, 1.0, 0.7, 1.0
-#: Rounds of burn-in, between which buckets tell each other their tables; sweeps in each; sweeps whose predictions are averaged.
-ROUNDS, BURN_IN, SAMPLES = 1, 6, 10
+#: Sweeps of burn-in, and sweeps whose predictions are averaged.
+BURN_IN, SAMPLES = 6, 10
 PIECE = 4 << 20
 BUCKET_BYTES = 12 << 20
 #: Words with at least this share of all tokens are dealt by context.
 HOT_SHARE = 1 / 64
 #: The name of the end of a text; as a context it is the beginning of one.
 END = np.uint64(0x5DEECE66D1234567)
-#: Contexts go by the leading bits of their words' hashes.
+#: Contexts go by the leading bits of their words' hashes; words that agree in them share a restaurant (among 10 million words some 45 pairs).
 NAME_BITS = 40
-#: Dishes with more customers are seated in growing blocks, within each of which the chance of a new table stays.
-EXACT = 64
-#: Where all totals go, and who sends the sums.
-ROOT = -(1 << 62)
+#: Dishes with more customers are seated in turn instead of by Stirling numbers, whose table grows with the square.
+EXACT = 512
+#: Where all totals go, and who sends the sums; who keeps a bucket's own seating for its next round.
+ROOT, KEPT = -(1 << 62), -(1 << 61)
 MESSAGE = "dest long, src long, round int, payload binary"
 ARROW = pa.schema([("dest", pa.int64()), ("src", pa.int64()), ("round", pa.int32()), ("payload", pa.binary())])
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -121,14 +124,15 @@ def _occurrences(piece: pa.RecordBatch, batch: int, bits: int, folds: int, hot:
     meta = pack(np.array([x if x is not None else 0 for x in ids], np.int64), np.array(none.is_null()).astype(np.uint8), held.astype(np.uint8), n.astype(np.int64))
     rows = [{"dest": -1 - batch, "src": batch, "round": 0, "payload": meta}]
     shift = np.uint64(64 - bits)
-    bucket = (word >> shift).astype(np.uint32)
+    bucket = word >> shift
     common = np.isin(word, hot)
     bucket[common] = mix(word[common] ^ before[common]) >> shift
     order = np.lexsort((word, bucket))
     word, before, doc = word[order], before[order], doc[order]
-    cuts = np.searchsorted(bucket[order], np.arange((1 << bits) + 1)).tolist()
+    to, cuts = np.unique(bucket[order], return_index=True)
+    cuts = [*cuts.tolist(), len(order)]
     train = np.packbits(~held)
-    for b, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)):
+    for b, a, z in zip(to.tolist(), cuts, cuts[1:], strict=False):
         if z > a:
             new = np.flatnonzero(np.r_[True, word[a + 1 : z] != word[a : z - 1]])
             names, at = np.unique(before[a:z], return_inverse=True)
@@ -190,10 +194,10 @@ class Bucket:
 
     def segments(self, bits: int) -> Iterator[tuple[int, slice]]:
         """The buckets that own some of this one's contexts, and which those are."""
-        cuts = np.searchsorted(self.contexts >> np.uint64(NAME_BITS - bits), np.arange((1 << bits) + 1, dtype=np.uint64)).tolist()
-        for b, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            if z > a:
-                yield b, slice(a, z)
+        owners, cuts = np.unique(self.contexts >> np.uint64(NAME_BITS - bits), return_index=True)
+        cuts = [*cuts.tolist(), len(self.contexts)]
+        for b, a, z in zip(owners.tolist(), cuts, cuts[1:], strict=False):
+            yield b, slice(a, z)
 
 
 def _rows(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
@@ -226,6 +230,21 @@ def _sums(rows: pa.Table, turn: int) -> pa.Table:
     return _rows([(src, ROOT, turn, pack(total)) for src in rows["src"].to_pylist()])
 
 
+def series(arrays: list[np.ndarray]) -> list[np.ndarray]:
+    """Arrays of whole numbers that are much alike, as the first one and the steps from each to the next."""
+    steps = (b.astype(np.int64) - a for a, b in zip(arrays, arrays[1:], strict=False))
+    return [small(arrays[0]), *(small((d << 1) ^ (d >> 63)) for d in steps)]
+
+
+def unseries(parts: list[np.ndarray]) -> Iterator[np.ndarray]:
+    now = parts[0].astype(np.int64)
+    yield now
+    for p in parts[1:]:
+        p = p.astype(np.int64)
+        now = now + ((p >> 1) ^ -(p & 1))
+        yield now
+
+
 def _replies(b: int, turn: int, asked: dict[int, np.ndarray], tables: dict[int, np.ndarray], customers=None) -> pa.Table:
     names, at = np.unique(np.concatenate(list(asked.values())), return_inverse=True)
     sums = np.bincount(at, weights=np.concatenate([tables[k] for k in asked]), minlength=len(names)).astype(np.int64)
@@ -267,20 +286,31 @@ def first_replies(hot: np.ndarray):
 
 
 def later_replies(turn: int):
-    """Tables of the contexts after a sweep; the names are those of the first question."""
+    """Tables of the contexts in each of the seatings told; the names are those of the first question."""
 
     def run(asked: pa.Table, now: pa.Table) -> pa.Table:
-        if not asked.num_rows or not now.num_rows:
+        told = [(s, unpack(p)) for s, p in zip(now["src"].to_pylist(), now["payload"].to_pylist(), strict=True) if s != KEPT]
+        if not asked.num_rows or not told:
             return ARROW.empty_table()
-        if now["dest"][0].as_py() == ROOT:
-            return _sums(now, turn)
+        b = now["dest"][0].as_py()
+        if b == ROOT:
+            total = sum(p[0] for _, p in told)
+            return _rows([(src, ROOT, turn, pack(total)) for src, _ in told])
         names = {s: _names(unpack(p)[0]) for s, p in sorted(zip(asked["src"].to_pylist(), asked["payload"].to_pylist(), strict=True))}
-        parts = {s: unpack(p) for s, p in zip(now["src"].to_pylist(), now["payload"].to_pylist(), strict=True)}
-        return _replies(now["dest"][0].as_py(), turn, names, {s: parts[s][0].astype(np.int64) for s in names})
+        parts = dict(told)
+        _, at = np.unique(np.concatenate(list(names.values())), return_inverse=True)
+        sums = [np.bincount(at, weights=np.concatenate(each)).astype(np.int64) for each in zip(*(unseries(parts[k]) for k in names), strict=True)]
+        rows, first = [], 0
+        for src, own in names.items():
+            i = at[first : first + len(own)]
+            first += len(own)
+            rows.append((src, b, turn, pack(*series([x[i] for x in sums]))))
+        return _rows(rows)
 
     return run
 
 
+@cache
 def log_stirling(n: int, d: float) -> np.ndarray:
     """Logarithms of the generalised Stirling numbers of c customers at t tables, for c and t up to n."""
     s = np.full((n + 1, n + 1), -np.inf)
@@ -305,18 +335,45 @@ def draw_tables(c: np.ndarray, t: np.ndarray, log_parent: np.ndarray, others: np
         t[who] = 1 + np.argmax(score + rng.gumbel(size=score.shape), axis=1)
     who = np.flatnonzero(c > EXACT)
     if len(who):
-        n, parent, rest = c[who], np.exp(log_parent[who]), others[who]
-        seats, tables = np.ones(len(who)), np.ones(len(who))
-        while (live := seats < n).any():
-            block = np.where(live, np.minimum(np.maximum(1, np.floor(seats * 0.1)), n - seats), 0)
-            new = (strength + d * (rest + tables)) * parent
-            p = new / (new + np.maximum(seats - d * tables, 1e-12))
-            tables += rng.binomial(block.astype(np.int64), np.clip(p, 0, 1))
-            seats += block
-        t[who] = tables.astype(np.int64)
+        t[who] = _seat(c[who], np.exp(log_parent[who]), others[who], d, strength, rng)
     return t
 
 
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """For x > 0, by Stirling's series eight places further on."""
+    y = x + 8
+    out = (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
+    low = x.copy()
+    for k in range(1, 8):
+        low = low * (x + k) if k < 4 else low
+    return out - np.log(low) - np.log((x + 4) * (x + 5)) - np.log((x + 6) * (x + 7))
+
+
+def _seat(c: np.ndarray, parent: np.ndarray, others: np.ndarray, d: float, strength: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of dishes whose c customers sit down one after the other, each given those before but not those after.
+
+    With n seated at t tables the next one opens a table with chance new / (n - d t + new), where new is the mass of a new table.
+    That m in a row do not has the chance of a ratio of gamma functions, from which their number is drawn at once.
+    """
+    n, t = np.ones(len(c)), np.ones(len(c))
+    live = np.arange(len(c))
+    while len(live):
+        new = (strength + d * (others[live] + t[live])) * parent[live]
+        stay, left = n[live] - d * t[live], c[live] - n[live]
+        start = _log_gamma(stay) - _log_gamma(stay + new)
+        u = np.log(rng.random(len(live)))
+        low, high = np.zeros(len(live)), left  # at least `low` stay; more than `high` do not come
+        while (low < high).any():
+            mid = np.ceil((low + high) / 2)
+            fine = _log_gamma(stay + mid) - _log_gamma(stay + mid + new) - start >= u
+            low, high = np.where(fine, mid, low), np.where(fine, high, mid - 1)
+        opens = low < left
+        n[live] += low + opens
+        t[live] += opens
+        live = live[opens & (n[live] < c[live])]
+    return t.astype(np.int64)
+
+
 class State:
     """The seating of a bucket's words, swept from the replies of round after round."""
 
@@ -333,25 +390,34 @@ class State:
         self.t_word = (own.c_word > 0).astype(np.int64)
         self.tables2, self.tables1 = log_stirling(EXACT, D2), log_stirling(EXACT, D1)
         own.c_word[own.hot] = self.hot_counts[own.hot_of]
-        self.read(0)
+        self.read(totals, self._told(0, 0), (0,))
 
     def _told(self, turn: int, which: int) -> np.ndarray:
         """What the owners said of this bucket's contexts, in their order."""
-        parts = [p[which] for src, p in sorted(self.replies[turn].items()) if src != ROOT]
+        parts = [p[which] for src, p in sorted(self.replies[turn].items()) if src not in (ROOT, KEPT)]
         return np.concatenate(parts).astype(np.int64)
 
-    def read(self, turn: int) -> None:
-        self.away = self._told(turn, 0) - self.own.by_context(self.t)
-        totals = self.replies[turn][ROOT][0]
+    def series_told(self, turn: int) -> Iterator[np.ndarray]:
+        """What the owners said of this bucket's contexts, for each of the seatings they were told."""
+        parts = [unseries(p) for src, p in sorted(self.replies[turn].items()) if src not in (ROOT, KEPT)]
+        for each in zip(*parts, strict=True):
+            yield np.concatenate(each)
+
+    def read(self, totals: np.ndarray, told: np.ndarray, seed: tuple[int, ...]) -> None:
+        """Takes over what all buckets hold together: totals, and the tables of this bucket's contexts."""
+        self.away = told - self.own.by_context(self.t)
         seats = totals[4 + self.own.n_hot :]
         # every bucket draws the tables of common words from the same numbers in the same way
         base = np.full(len(seats), -math.log(self.vocabulary + 1))
-        drawn = draw_tables(seats, (seats > 0).astype(np.int64), base, np.full(len(seats), int(totals[3])), D1, S1, np.random.default_rng([turn]), self.tables1)
+        drawn = draw_tables(seats, (seats > 0).astype(np.int64), base, np.full(len(seats), int(totals[3])), D1, S1, np.random.default_rng(seed), self.tables1)
         self.customers, self.tables = int(totals[2]), int(totals[3] + drawn.sum())
         self.t_word[self.own.hot] = drawn[self.own.hot_of]
         self.elsewhere = np.zeros(len(self.own.words), np.int64)
         self.elsewhere[self.own.hot] = seats[self.own.hot_of] - self.seats_here()[self.own.hot]
 
+    def kept(self, turn: int) -> list[np.ndarray]:
+        return self.replies[turn][KEPT]
+
     def context_tables(self) -> np.ndarray:
         return self.away + self.own.by_context(self.t)
 
@@ -364,9 +430,8 @@ class State:
         base = 1 / (self.vocabulary + 1)
         return (np.maximum(seated - D1 * self.t_word, 0) + (S1 + D1 * self.tables) * base) / (S1 + self.customers)
 
-    def sweep(self, turn: int, n: int, rng: np.random.Generator | None = None) -> None:
-        """n sweeps of a round."""
-        own, rng = self.own, rng or np.random.default_rng([self.b, turn])
+    def sweep(self, n: int, rng: np.random.Generator) -> None:
+        own = self.own
         many = np.flatnonzero(own.c > 1)
         for _ in range(n):
             log_parent = np.log(self.parent()[own.word[many]])
@@ -376,7 +441,7 @@ class State:
             rare[own.hot] = False
             seated = self.seats_here()[rare]
             base, t = np.full(len(seated), -math.log(self.vocabulary + 1)), self.t_word[rare]
-            self.t_word[rare] = draw_tables(seated, np.minimum(seated, np.maximum(t, seated > 0)), base, np.maximum(self.tables - t, 0), D1, S1, rng, self.tables1)
+            self.t_word[rare] = draw_tables(seated, np.minimum(seated, 1), base, np.maximum(self.tables - t, 0), D1, S1, rng, self.tables1)
 
     def predictive(self) -> np.ndarray:
         """The chance of each type's word after its context."""
@@ -393,25 +458,54 @@ def _state(words: pa.Table, replies: pa.Table, hot: np.ndarray) -> State:
     return State(Bucket(words, hot), words["dest"][0].as_py(), rounds)
 
 
-def sweeps(turn: int, burn_in: int, bits: int, hot: np.ndarray):
-    """The tables of each context here after round `turn`, to the contexts' owners."""
+def burn_in(sweeps: int, bits: int, hot: np.ndarray):
+    """Round 1 of a bucket: its tables after the burn-in to the contexts' owners, its totals to the root, its seating to itself."""
 
     def run(words: pa.Table, replies: pa.Table) -> pa.Table:
         if not words.num_rows or not replies.num_rows:
             return ARROW.empty_table()
         s = _state(words, replies, hot)
-        for k in range(1, turn + 1):
-            s.sweep(k, burn_in)
-            if k < turn:
-                s.read(k)
+        s.sweep(sweeps, np.random.default_rng([s.b, 1]))
         tables = s.own.by_context(s.t)
-        totals = s.own.totals(s.t, s.t_word, False)
-        return _rows([(ROOT, s.b, turn, pack(totals)), *((to, s.b, turn, pack(small(tables[part]))) for to, part in s.own.segments(bits))])
+        rows = [(ROOT, s.b, 1, pack(s.own.totals(s.t, s.t_word, False))), (s.b, KEPT, 1, pack(small(s.t), small(s.t_word)))]
+        return _rows([*rows, *((to, s.b, 1, pack(small(tables[part]))) for to, part in s.own.segments(bits))])
 
     return run
 
 
-def scores(rounds: int, burn_in: int, samples: int, hot: np.ndarray):
+def sample(samples: int, bits: int, hot: np.ndarray):
+    """Round 2: the same of each of the seatings after further sweeps."""
+
+    def run(words: pa.Table, replies: pa.Table) -> pa.Table:
+        if not words.num_rows or not replies.num_rows:
+            return ARROW.empty_table()
+        s = _state(words, replies, hot)
+        s.t, s.t_word = (x.astype(np.int64) for x in s.kept(1))
+        s.read(s.replies[1][ROOT][0], next(s.series_told(1)), (1,))
+        rng, seats, words_, tables, totals = np.random.default_rng([s.b, 2]), [], [], [], []
+        for _ in range(samples):
+            s.sweep(1, rng)
+            seats.append(small(s.t))
+            words_.append(small(s.t_word))
+            tables.append(s.own.by_context(s.t))
+            totals.append(s.own.totals(s.t, s.t_word, False))
+        rows = [(ROOT, s.b, 2, pack(np.concatenate(totals))), (s.b, KEPT, 2, pack(*series(seats), *series(words_)))]
+        return _rows([*rows, *((to, s.b, 2, pack(*series([x[part] for x in tables]))) for to, part in s.own.segments(bits))])
+
+    return run
+
+
+def sampled(s: State) -> Iterator[State]:
+    """The state in each of the seatings, with the totals of all buckets."""
+    kept, totals = s.kept(2), s.replies[2][ROOT][0]
+    n = len(kept) // 2
+    for k, (t, t_word, told) in enumerate(zip(unseries(kept[:n]), unseries(kept[n:]), s.series_told(2), strict=True)):
+        s.t, s.t_word = t, t_word.copy()
+        s.read(totals.reshape(n, -1)[k], told, (2, k))
+        yield s
+
+
+def scores(hot: np.ndarray):
     """The sums over each document's tokens in a bucket, to the batch of the document; the documents themselves pass."""
 
     def run(words: pa.Table, replies: pa.Table) -> pa.Table:
@@ -420,14 +514,10 @@ def scores(rounds: int, burn_in: int, samples: int, hot: np.ndarray):
         if words["dest"][0].as_py() < 0:
             return _rows([(words["src"][0].as_py(), -1, 0, words["payload"][0].as_py())])
         s = _state(words, replies, hot)
-        total = np.zeros(len(s.own.word))
-        for k in range(1, rounds + 1):
-            s.sweep(k, burn_in)
-            s.read(k)
-        rng = np.random.default_rng([s.b, rounds + 1])
-        for _ in range(samples):
-            s.sweep(rounds + 1, 1, rng)
-            total += s.predictive()
+        total, samples = np.zeros(len(s.own.word)), 0
+        for each in sampled(s):
+            total += each.predictive()
+            samples += 1
         own = s.own
         score = np.log10(total / samples)
         base = np.log10(own.c_word + 0.1) - math.log10(s.train_tokens + 0.1 * (s.vocabulary + 1))
@@ -460,7 +550,7 @@ def _documents(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=none.astype(bool)), "held_out": pa.array(held.astype(bool)), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([train] * len(ids), pa.int64()), "base_score": pa.array(base), "score": pa.array(score)})
 
 
-def score(docs: DataFrame, folds: int = FOLDS, rounds: int = ROUNDS, burn_in: int = BURN_IN, samples: int = SAMPLES) -> DataFrame:
+def score(docs: DataFrame, folds: int = FOLDS, sweeps: int = BURN_IN, samples: int = SAMPLES) -> DataFrame:
     """Log10 probabilities of every text under the model learned from the rows whose fold is not 0.
 
     docs: doc_id, text; other columns, whatever their names, are not read. Texts are lower-cased (A-Z), words are runs without ASCII white space.
@@ -468,23 +558,26 @@ def score(docs: DataFrame, folds: int = FOLDS, rounds: int = ROUNDS, burn_in: in
     end), n_known (tokens that training has), train_tokens, base_score (smoothed single words) and score (the model).
 
     A null or empty text is its end alone; a very long text is worked on whole in one task. A row with a null doc_id is learned from. Repeated rows each count and each
-    give a row; an empty table gives none. If every row is held out all words are unknown and equally likely.
+    give a row; an empty table gives none. If every row is held out all words are unknown and equally likely. A pair of words
+    that is a large part of all tokens is worked on in one task.
     """
     ready_workers(docs.sparkSession)
     ready_checkpoints(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total, hot = survey(docs)
     # about nine bytes a word and its occurrence in the exchange
-    bits = min(20, max(2, math.ceil(math.log2(max(1, total * 1.2 / BUCKET_BYTES)))))
+    bits = min(NAME_BITS, max(2, math.ceil(math.log2(max(1, total * 1.2 / BUCKET_BYTES)))))
     rows = docs.mapInArrow(occurrences(bits, folds, hot), MESSAGE)
     words = rows.groupBy("dest")
     asked = words.applyInArrow(questions(bits, hot), MESSAGE).repartition("dest")
     replies = words.cogroup(asked.groupBy("dest")).applyInArrow(first_replies(hot), MESSAGE).repartition("dest")
-    for turn in range(1, rounds + 1):
-        now = words.cogroup(replies.groupBy("dest")).applyInArrow(sweeps(turn, burn_in, bits, hot), MESSAGE).repartition("dest")
-        more = asked.groupBy("dest").cogroup(now.groupBy("dest")).applyInArrow(later_replies(turn), MESSAGE).repartition("dest")
-        replies = replies.unionAll(more)
-    sums = words.cogroup(replies.groupBy("dest")).applyInArrow(scores(rounds, burn_in, samples, hot), MESSAGE)
+    told = lambda now, turn: asked.groupBy("dest").cogroup(now.groupBy("dest")).applyInArrow(later_replies(turn), MESSAGE).repartition("dest")
+    own = F.col("src") == KEPT
+    settled = words.cogroup(replies.groupBy("dest")).applyInArrow(burn_in(sweeps, bits, hot), MESSAGE).repartition("dest")
+    known = replies.unionAll(told(settled, 1)).unionAll(settled.where(own))
+    seated = words.cogroup(known.groupBy("dest")).applyInArrow(sample(samples, bits, hot), MESSAGE).repartition("dest")
+    known = replies.unionAll(told(seated, 2)).unionAll(seated.where(own))
+    sums = words.cogroup(known.groupBy("dest")).applyInArrow(scores(hot), MESSAGE)
     return sums.groupBy("dest").applyInArrow(_documents, OUT)
 
 

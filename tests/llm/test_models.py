@@ -159,30 +159,146 @@ def test_drawn_tables_follow_the_seating():
     assert abs(draws.mean() - (p * k).sum() / p.sum()) < 0.03
 
 
+def exchanged(texts, bits, hot, held=10**9):
+    """The messages of all rounds, dealt by hand; gives every bucket's words and what it knows in the end."""
+    batch = pa.record_batch([pa.array(range(1, len(texts) + 1), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    rows = pa.Table.from_pylist([r for r in pitman_yor._occurrences(batch, 0, bits, held, hot) if r["dest"] >= 0], schema=pitman_yor.ARROW)
+    of = lambda table, d: table.filter(pc.equal(table["dest"], d))
+    dests = lambda *tables: sorted(set().union(*(t["dest"].to_pylist() for t in tables)))
+    each = lambda f, *tables: pa.concat_tables([f(*(of(t, d) for t in tables)) for d in dests(*tables)])
+    kept = lambda t: t.filter(pc.equal(t["src"], pitman_yor.KEPT))
+    asked = each(pitman_yor.questions(bits, hot), rows)
+    replies = each(pitman_yor.first_replies(hot), rows, asked)
+    settled = each(pitman_yor.burn_in(3, bits, hot), rows, replies)
+    known = pa.concat_tables([replies, each(pitman_yor.later_replies(1), asked, settled), kept(settled)])
+    seated = each(pitman_yor.sample(4, bits, hot), rows, known)
+    known = pa.concat_tables([replies, each(pitman_yor.later_replies(2), asked, seated), kept(seated)])
+    return [pitman_yor._state(of(rows, d), of(known, d), hot) for d in dests(rows)]
+
+
+@pytest.mark.parametrize("bits", [0, 3])
 @pytest.mark.parametrize("common", [[], ["a"], ["a", None]])
-def test_predictive_probabilities_sum_to_one(common):
-    """Of all words after a context, with the unknown word's share of the base; words dealt by context change nothing."""
+def test_predictive_probabilities_sum_to_one(common, bits):
+    """Of all words after each context in every sample, over all buckets, with the unknown word's share; with words dealt by context and without."""
     from litgrid.llm.bytesops import Words
 
+    import random
+
+    r = random.Random(bits)
+    texts = [" ".join(r.choices("abcdefghijkl", [1 / (k + 1) for k in range(12)], k=r.randrange(1, 60))) for _ in range(40)] + ["a b " * 150, ""]
     hot = np.sort(np.array([pitman_yor.END if w is None else Words([w.encode()]).hash[0] for w in common], np.uint64))
-    batch = pa.record_batch([pa.array([1, 2, 3], pa.int64()), pa.array(["a b a b c", "a a b", "c b a"])], names=["doc_id", "text"])
-    bits = 0
-    rows = pitman_yor._occurrences(batch, 0, bits, 10**9, hot)
-    words = pa.Table.from_pylist([r for r in rows if r["dest"] >= 0], schema=pitman_yor.ARROW)
-    asked = pitman_yor.questions(bits, hot)(words)
-    replies = pa.concat_tables([pitman_yor.first_replies(hot)(w, a) for w, a in ((words, asked.filter(pc.equal(asked["dest"], 0))), (words.slice(0, 0), asked.filter(pc.equal(asked["dest"], pitman_yor.ROOT))))])
-    s = pitman_yor._state(words, replies, hot)
-    s.sweep(1, 2)
-    s.customers, s.tables = int(s.t.sum()), int(s.t_word.sum())
-    s.elsewhere[:] = 0
-    parent, own = s.parent(), s.own
-    unknown = (pitman_yor.S1 + pitman_yor.D1 * s.tables) / (s.vocabulary + 1) / (pitman_yor.S1 + s.customers)
-    assert abs(parent.sum() + unknown - 1) < 1e-12
-    p = s.predictive()
-    for c in range(len(own.contexts)):
-        back = (pitman_yor.S2 + pitman_yor.D2 * s.context_tables()[c]) / (pitman_yor.S2 + s.c_context[c])
-        seen = own.context == c
-        assert abs(p[seen].sum() + back * (1 - parent[own.word[seen]].sum()) - 1) < 1e-12
+    states = exchanged(texts, bits, hot)
+    assert len(states) == 1 if not bits else len(states) > 3
+    samples = [list(x) for x in zip(*([(s.parent(), s.predictive(), s.context_tables().copy(), s.customers, s.tables) for s in pitman_yor.sampled(s)] for s in states), strict=True)]
+    assert len(samples) == 4
+    counts = Counter(w for t in texts for w in tokens(t))
+    for sample in samples:
+        assert len({(x[3], x[4]) for x in sample}) == 1  # all buckets hold the same totals
+        customers, tables = sample[0][3:]
+        unknown = (pitman_yor.S1 + pitman_yor.D1 * tables) / (len(counts) + 1) / (pitman_yor.S1 + customers)
+        parent, mass, back = {}, Counter(), {}
+        for s, (chance, p, t, _, _) in zip(states, sample, strict=True):
+            parent |= dict(zip(s.own.words.tolist(), chance.tolist(), strict=True))
+            for c in range(len(s.own.contexts)):
+                name = int(s.own.contexts[c])
+                b = (pitman_yor.S2 + pitman_yor.D2 * t[c]) / (pitman_yor.S2 + s.c_context[c])
+                assert back.setdefault(name, b) == b
+            for i, (w, c) in enumerate(zip(s.own.word.tolist(), s.own.context.tolist(), strict=True)):
+                name = int(s.own.contexts[c])
+                mass[name] += p[i] - back[name] * chance[w]
+        assert len(parent) == len(counts) and abs(sum(parent.values()) + unknown - 1) < 1e-9
+        assert all(abs(m + back[name] - 1) < 1e-9 for name, m in mass.items())
+
+
+@pytest.mark.parametrize("n", [65, 300])
+def test_many_customers_are_seated_exactly(n):
+    """Tables of dishes with more customers than the Stirling numbers are used for, against those numbers."""
+    rng, d, strength, parent, others = np.random.default_rng(2), 0.75, 1.0, 0.05, 3
+    table, k = pitman_yor.log_stirling(n, d), np.arange(1, n + 1)
+    logs = table[n, 1:] + k * math.log(parent) + np.cumsum(np.log(strength + d * (others + k - 1)))
+    p = np.exp(logs - logs.max())
+    p /= p.sum()
+    draws = pitman_yor.draw_tables(np.full(20_000, n), np.ones(20_000, np.int64), np.full(20_000, math.log(parent)), np.full(20_000, others), d, strength, rng, pitman_yor.log_stirling(pitman_yor.EXACT, d))
+    have = np.bincount(draws, minlength=n + 1)[1:] / len(draws)
+    assert np.abs(np.cumsum(have) - np.cumsum(p)).max() < 0.015
+
+
+def test_scores_against_a_plain_sampler():
+    """Mean predictive probabilities of one customer at a time: each is taken up and seated again, in restaurants held as lists."""
+    import random
+
+    r = random.Random(4)
+    texts = [" ".join(r.choices("abcdef", [6, 5, 4, 3, 2, 1], k=8)) for _ in range(30)]
+    d2, s2, d1, s1 = pitman_yor.D2, pitman_yor.S2, pitman_yor.D1, pitman_yor.S1
+    seqs = [tokens(t) for t in texts]
+    base = 1 / (len({w for q in seqs for w in q}) + 1)
+    low, high, totals, sat = {}, {}, {}, []  # tables (their customers) by context and word; of words; by context: customers, tables
+
+    def top(w):
+        n, t = sum(map(sum, high.values())), sum(map(len, high.values()))
+        return (sum(high.get(w, [])) - d1 * len(high.get(w, [])) + (s1 + d1 * t) * base) / (s1 + n)
+
+    def chance(u, w):
+        n, t = totals.get(u, (0, 0))
+        own = low.get((u, w), [])
+        return (sum(own) - d2 * len(own) + (s2 + d2 * t) * top(w)) / (s2 + n)
+
+    def seat(tables, d, new):
+        x = r.random() * (sum(tables) - d * len(tables) + new)
+        for i, k in enumerate(tables):
+            x -= k - d
+            if x < 0:
+                tables[i] += 1
+                return False
+        tables.append(1)
+        return True
+
+    def leave(tables):
+        x = r.randrange(sum(tables))
+        for i, k in enumerate(tables):
+            x -= k
+            if x < 0:
+                tables[i] -= 1
+                if not tables[i]:
+                    tables.pop(i)
+                    return True
+                return False
+
+    def move(u, w, back):
+        n, t = totals.get(u, (0, 0))
+        if back:
+            gone = leave(low[u, w])
+            totals[u] = (n - 1, t - gone)
+            if gone:
+                leave(high[w])
+        else:
+            opened = seat(low.setdefault((u, w), []), d2, (s2 + d2 * t) * top(w))
+            totals[u] = (n + 1, t + opened)
+            if opened:
+                tables = sum(map(len, high.values()))
+                seat(high.setdefault(w, []), d1, (s1 + d1 * tables) * base)
+
+    pairs = [(u, w) for q in seqs for u, w in zip([None, *q], q, strict=False)]
+    for u, w in pairs:
+        move(u, w, False)
+    mean, n = Counter(), 0
+    for turn in range(160):
+        for u, w in pairs:
+            move(u, w, True)
+            move(u, w, False)
+        if turn >= 20:
+            n += 1
+            for p in set(pairs):
+                mean[p] += chance(*p)
+    del sat
+    (s,) = exchanged(texts, 0, np.zeros(0, np.uint64))
+    ours = np.mean([x.predictive() for x in pitman_yor.sampled(s)], axis=0)
+    from litgrid.llm.bytesops import Words
+
+    name = {w: int((pitman_yor.END if w is None else Words([w]).hash[0])) for q in seqs for w in q}
+    have = {(int(s.own.contexts[c]), int(s.own.words[w])): p for w, c, p in zip(s.own.word, s.own.context, ours, strict=True)}
+    gaps = [math.log10(have[name[u] >> (64 - pitman_yor.NAME_BITS), name[w]]) - math.log10(mean[u, w] / n) for u, w in pairs]
+    assert len(have) == len(set(pairs)) and abs(np.mean(gaps)) < 0.02 and np.abs(gaps).max() < 0.2
 
 
 def test_many_buckets_score_like_one(spark, small, monkeypatch):
