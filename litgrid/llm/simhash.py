@@ -41,7 +41,7 @@ CHUNK = 512
 #: Of two sets of similarity 0.8 all bands differ with a chance of (1 - 0.8 ** 7) ** 50, under 1 in 100,000.
 BANDS, BAND_ROWS = 50, 7
 #: Rounds in which those of a key that are not linked to its largest component are compared with some of it, and with how many.
-LEADERS, FEW = 4, 4
+LEADERS, FEW = 1, 4
 #: Bytes and sets of a block in which the rest of a key is compared, and shingles on a side of a matrix of them.
 BLOCK_BYTES, BLOCK_SETS, COLUMNS = 4 << 20, 512, 2048
 
@@ -433,13 +433,13 @@ def _in_blocks(left: DataFrame, of: DataFrame, similarity: float) -> DataFrame:
     The sets of a key are dealt to blocks of bounded bytes, and two blocks at a time meet in a task as matrices, so the pairs are
     never rows and only a forest of the links leaves the task.
     """
-    sized = left.select("key", "node").join(of.select("node", "shingles"), "node").withColumn("bytes", F.octet_length("shingles").cast("long") + 64)
+    sizes = of.select("node", (F.octet_length("shingles").cast("long") + 64).alias("bytes"))
     blocks = F.ceil(F.greatest(F.sum("bytes") / BLOCK_BYTES, F.count("*") / BLOCK_SETS)).cast("int")
-    many = sized.groupBy("key").agg(blocks.alias("blocks"))
+    many = left.join(sizes, "node").groupBy("key").agg(blocks.alias("blocks"))
     own = F.pmod(F.xxhash64("node", F.lit(SEED)), F.col("blocks")).cast("int")
-    each = sized.join(many, "key").withColumn("own", own).select("key", "node", "shingles", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    placed = each.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "shingles")
-    return placed.groupBy("key", "i", "j").applyInArrow(_matrix(similarity), "a long, b long")
+    each = left.select("key", "node").join(many, "key").select("key", "node", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    placed = each.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node")
+    return placed.join(of, "node").groupBy("key", "i", "j").applyInArrow(_matrix(similarity), "a long, b long")
 
 
 def _matrix(similarity: float):
