@@ -101,6 +101,23 @@ def test_parts_of_a_block_give_the_same(spark, monkeypatch):
     assert [b.to_pydict() for b in neighbours._near(16, 5, 40, 7)(iter(joined))] == want
 
 
+def test_repeated_ids_are_rows_of_their_own(spark):
+    """Every row but the query's own is a candidate, those of the same id too."""
+    vecs = unit(60, 16, 3)
+    rows = [(i, v) for i, v in enumerate(vecs)] + [(50, vecs[50]), (50, vecs[7]), (7, vecs[7]), (None, vecs[1]), (0, None), (0, [0.0] * 16)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in neighbours.nearest_in(df, "vec_id % 50 = 0", 5).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], round(r["score"], 9)))
+    fine = [(i, np.array(v)) for i, v in rows if i is not None and v is not None and any(v)]
+    want = {}
+    for k, (i, q) in enumerate(fine):
+        if i % 50 == 0:
+            scored = sorted((-round(float(q @ v / np.sqrt((q @ q) * (v @ v))), 9), j) for m, (j, v) in enumerate(fine) if m != k)
+            want.setdefault(i, []).extend((n, j, -x) for n, (x, j) in enumerate(scored[:5], 1))
+    assert {i: sorted(x) for i, x in got.items()} == {i: sorted(x) for i, x in want.items()}
+
+
 def tokens(text):
     raw = (text or "").encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)))
     return [*re.findall(rb"[^\x20\x09-\x0D]+", raw), None]
