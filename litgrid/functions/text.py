@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,10 +67,19 @@ def utf16_slice(c: Column, limit: int | Column) -> Column:
     return F.when(utf16_length(c) <= limit, c).otherwise(F.decode(F.substring(units, F.lit(1), 2 * cut), "UTF-16LE"))
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def clip(shown: Column, limit: int) -> Column:
+    """`limit` UTF-16 units at most, with an ellipsis where the text was cut."""
+    return F.when(utf16_length(shown) > limit, F.concat(utf16_slice(shown, limit), F.lit(ELLIPSIS))).otherwise(shown)
+
+
 def snippet(c: Column, limit: int = 400) -> Column:
     """Display text of `limit` UTF-16 units at most, with an ellipsis where it was cut."""
-    shown = display_text(c)
-    return F.when(utf16_length(shown) > limit, F.concat(utf16_slice(shown, limit), F.lit(ELLIPSIS))).otherwise(shown)
+    return let(display_text(c), lambda shown: clip(shown, limit))
 
 
 def _script(c: Column, tag: str, table: dict[str, str], prefix: str) -> Column:

@@ -80,4 +80,5 @@ def report(budgeted: DataFrame, article: str, size: str) -> DataFrame:
 
 
 def cut(text: Column, kept: Column) -> Column:
-    return F.substring(text, F.lit(1), kept)
+    """What of a text a budget of UTF-16 units keeps, never half of a pair."""
+    return utf16_slice(text, kept)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from litgrid.functions.text import surname
+
 # fixed values: outcomes of a tier and the reasons they lead to
 REASONS = {
     ("pmc", "miss"): "not-found",
@@ -57,15 +59,11 @@ def chain_reason(outcomes: DataFrame, key: str) -> DataFrame:
     return last.select(key, F.when(F.col("last").isNull(), "no-pmc-fallback-disabled").when(F.col("last.outcome") == "service-error", "service-error").otherwise(F.coalesce(reason, F.lit("not-found"))).alias("reason"))
 
 
-def match_citations(asked: DataFrame, records: DataFrame, on: list[str], id_column: str) -> DataFrame:
-    """Candidates by equality of the fields in `on`: one is a match, several are ambiguous (ids ascending), none is not found."""
-    found = asked.join(records.select(*on, id_column), on, "left").groupBy("key").agg(F.count(id_column).alias("n"), F.sort_array(F.collect_list(id_column)).alias("ids"))
-    return found.select(
-        "key",
-        F.when(F.col("n") == 1, "matched").when(F.col("n") > 1, "ambiguous").otherwise("not_found").alias("status"),
-        F.when(F.col("n") == 1, F.get("ids", F.lit(0))).alias("matched_id"),
-        F.when(F.col("n") > 1, F.array_join("ids", ",")).alias("candidates"),
-    )
+def citation_warnings(author: Column, roster: Column, asked_year: Column, year: Column) -> Column:
+    """What does not fit a match: author_mismatch if no author of the roster has the surname asked for, year_mismatch if the first four digits in a row of the year asked for are others."""
+    wrong_author = ~F.array_contains(F.transform(roster, surname), surname(author))
+    wrong_year = F.regexp_extract(asked_year, r"\d{4}", 0) != year
+    return F.array_compact(F.array(F.when(wrong_author, "author_mismatch"), F.when(wrong_year, "year_mismatch")))
 
 
 def parse_match_reply(line: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from litgrid.functions.text import utf16_length
 from litgrid.operators import budget as B
 from litgrid.sources.tables import table
 
@@ -13,7 +14,7 @@ BUDGET, CAP = 500, 200
 
 def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "line"))
-    return docs.withColumn("size", F.length("line"))
+    return docs.withColumn("size", utf16_length(F.col("line")))
 
 
 def _titled(spark: SparkSession, sf_dir: str) -> DataFrame:

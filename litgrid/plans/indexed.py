@@ -137,7 +137,7 @@ def section_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sections.sections(_jats(spark, sf_dir), "xml")
     chosen = found.where(F.lower("title").contains("methods") & (F.col("depth") == 1))
     kept = budget.truncate(chosen, "doc_id", "ord", "size", 300)
-    return kept.select("doc_id", "path", "ord", "title", "size", "kept", F.substring("text", F.lit(1), F.col("kept")).alias("text"))
+    return kept.select("doc_id", "path", "ord", "title", "size", "kept", budget.cut(F.col("text"), F.col("kept")).alias("text"))
 
 
 def section_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

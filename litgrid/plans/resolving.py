@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litgrid.functions import text as T
+from litgrid.operators import citations
 from litgrid.operators import resolve as R
 from litgrid.operators.tiers import first_success
 from litgrid.sources.tables import table
@@ -70,18 +71,19 @@ OUTCOMES = ("not-attempted", "miss", "no-body", "no-fulltext", "no-doi", "no-oa"
 
 
 def citation_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
-    asked = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_custkey").alias("o_custkey"), F.lit(1995).alias("year"))
-    return R.match_citations(asked, orders.withColumn("year", F.year("o_orderdate")), ["o_custkey", "year"], "o_orderkey")
+    """Requests by author and year; of several candidates the first ten are listed."""
+    none = F.lit(None).cast("string")
+    fields = lambda author, year: [none.alias("journal"), year.cast("string").alias("year"), none.alias("volume"), none.alias("page"), author.cast("string").alias("author")]
+    asked = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), *fields(F.col("c_custkey"), F.lit(1995)))
+    records = table(spark, sf_dir, "orders").select("o_orderkey", *fields(F.col("o_custkey"), F.year("o_orderdate")))
+    return citations.match(asked, records, "o_orderkey").select("key", "status", "matched_id", F.array_join(F.col("candidates").cast("array<string>"), ",").alias("candidates"))
 
 
 def citation_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.concat(F.when(F.col("o_orderkey") % 4 == 0, "Other").otherwise("Customer#"), F.lit(" X")).alias("author"), F.concat((F.year("o_orderdate") + F.when(F.col("o_orderkey") % 5 == 0, 1).otherwise(0)).cast("string"), F.lit("a")).alias("asked_year"), F.year("o_orderdate").cast("string").alias("year"))
     people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.array(F.concat(F.lit("Customer# "), F.col("c_name"))).alias("roster"))
     rows = asked.join(people, "o_custkey")
-    author = ~F.array_contains(F.transform("roster", T.surname), T.surname(F.col("author")))
-    year = F.regexp_extract("asked_year", r"\d{4}", 0) != F.col("year")
-    warnings = F.array_compact(F.array(F.when(author, "author_mismatch"), F.when(year, "year_mismatch")))
+    warnings = R.citation_warnings(F.col("author"), F.col("roster"), F.col("asked_year"), F.col("year"))
     return rows.select("o_orderkey", F.array_join(warnings, ",").alias("warnings"))
 
 
@@ -112,7 +114,7 @@ ORACLES = {
     "citation_match": """
         SELECT c_custkey AS key, CASE count(o_orderkey) WHEN 0 THEN 'not_found' WHEN 1 THEN 'matched' ELSE 'ambiguous' END AS status,
                CASE WHEN count(o_orderkey) = 1 THEN min(o_orderkey) END AS matched_id,
-               CASE WHEN count(o_orderkey) > 1 THEN string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) END AS candidates
+               CASE WHEN count(o_orderkey) > 1 THEN array_to_string(list(o_orderkey ORDER BY o_orderkey)[1:10], ',') END AS candidates
         FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND year(o_orderdate) = 1995 GROUP BY c_custkey""",
     "citation_warnings": """
         SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderkey % 4 = 0 THEN 'author_mismatch' END, CASE WHEN o_orderkey % 5 = 0 THEN 'year_mismatch' END) AS warnings

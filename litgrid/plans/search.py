@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litgrid.functions.text import display_text, snippet, utf16_length
+from litgrid.functions.records import once
+from litgrid.functions.text import clip, display_text, utf16_length
 from litgrid.operators import paging
 from litgrid.operators import search as S
 from litgrid.plans.texts import display_sql
@@ -73,8 +74,9 @@ def summary_page_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(table(spark, sf_dir, "documents"))
-    return docs.select("doc_id", snippet(F.col("text")).alias("snippet"), (utf16_length(display_text(F.col("text"))) > 400).alias("truncated"))
+    """The display text of a document, worked out once, cut to 400 units."""
+    docs = once(spread(table(spark, sf_dir, "documents")), "shown", display_text(F.col("text")))
+    return docs.select("doc_id", clip(F.col("shown"), 400).alias("snippet"), (utf16_length(F.col("shown")) > 400).alias("truncated"))
 
 
 MISSPELT = ["amber gear", "steel whel", "cooper rod", "xyzzy"]
