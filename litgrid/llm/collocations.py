@@ -380,7 +380,9 @@ def phrases(docs: DataFrame, least: int = LEAST, head: int = HEAD, map_bits: int
     told = spark.sparkContext.broadcast(known)
 
     def frequent(found: DataFrame, told, parts: int) -> DataFrame:
-        return _spelled(found.groupBy("code", "lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least), told, parts).checkpoint()
+        # kept before it is read in two parts, else the texts would be read for each
+        counted = found.groupBy("code", "lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least).checkpoint()
+        return _spelled(counted, told, parts).checkpoint()
 
     pairs = frequent(rows.mapInArrow(_count_pairs(told), PHRASES), told, 2)
     coded = pairs.where("code IS NOT NULL")
