@@ -282,3 +282,37 @@ def test_shards_on_disk(docs, spark, tmp_path):
     sharding.write_shards(rows, str(tmp_path / "s"), 3)
     back = spark.read.parquet(str(tmp_path / "s"))
     assert back.count() == rows.count() and {r["shard"] for r in back.select("shard").collect()} <= {0, 1, 2}
+
+
+def test_quality_scores_by_a_plain_loop(spark, small):
+    """Every text's score from the two dictionaries alone: block by block, sizes added up, the curve read between its points."""
+    import bisect
+    import zlib
+
+    import zstandard
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (None, "x " * 700), (-3, "y" * 500), (-4, "z" * 501)], "doc_id long, text string")
+    model = quality.fit(docs, spark.read.parquet(f"{small}/labels.parquet"))
+    rows = docs.unionAll(odd)
+    bad, good = (zstandard.ZstdCompressionDict(d) for d in (model.bad, model.good))
+
+    def size(block, d):
+        return len(zstandard.ZstdCompressor(level=model.level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(block))
+
+    def chance(x):
+        if x <= model.xs[0] or x >= model.xs[-1]:
+            return model.ps[0] if x <= model.xs[0] else model.ps[-1]
+        k = bisect.bisect_right(model.xs, x)
+        a, b = model.xs[k - 1], model.xs[k]
+        return model.ps[k - 1] + (model.ps[k] - model.ps[k - 1]) * (x - a) / (b - a)
+
+    want = []
+    for r in rows.collect():
+        data = (r["text"] or "").encode()
+        blocks = [data[i : i + model.block] for i in range(0, len(data), model.block)]
+        x = sum(size(b, bad) - size(b, good) for b in blocks) / len(data) if data else 0.0
+        p = chance(x)
+        want.append((r["doc_id"], r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0, round(float(p), 9), int(p >= 0.3)))
+    got = [(r["doc_id"], r["held_out"], round(r["score"], 9), r["predicted"]) for r in quality.score(rows, model).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
