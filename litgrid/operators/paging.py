@@ -24,24 +24,19 @@ def pinned_page(rows: DataFrame, order: list[str], pin: Column, offset: int, lim
 
     Adds pos (from 1) and next_offset. The window of ranks [offset, offset + limit) is consumed as far as there is room.
     """
-    # only the ranks up to the window's end and the pinned row matter, so the top-k is taken before any window
-    head = rows.orderBy(*order).limit(offset + limit + 1).withColumn("pinned", F.coalesce(pin, F.lit(False)))
-    every = Window.orderBy(*order)
-    ranked = head.withColumn("rk", F.row_number().over(every) - 1).where(F.col("rk") >= offset)
-    lead = rows.where(F.coalesce(pin, F.lit(False))).orderBy(*order).limit(1) if offset == 0 else rows.limit(0)
-    counted = lead.agg(F.count("*").cast("int").alias("lead"))
-    in_order = Window.orderBy("rk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    used = (
-        ranked.withColumn("one", F.lit(1))
-        .join(F.broadcast(counted.withColumn("one", F.lit(1))), "one")
-        .withColumn("plain", F.sum((~F.col("pinned")).cast("int")).over(in_order))
-        .where((F.col("plain") <= F.lit(limit) - F.col("lead")) & (F.col("rk") < offset + limit))
-        .drop("one", "lead")
-    )
-    consumed = used.agg(F.count("*").alias("n"))
-    shown = used.where(~F.col("pinned")).drop("pinned", "plain").unionByName(lead.withColumn("rk", F.lit(-1)))
-    out = shown.withColumn("pos", F.row_number().over(Window.orderBy("rk"))).withColumn("one", F.lit(1))
-    return out.join(F.broadcast(consumed.select((F.col("n") + offset).cast("int").alias("next_offset"), F.lit(1).alias("one"))), "one").drop("one", "rk")
+    # only the ranks up to the window's end and the pinned row matter: two top-k plans, and windows over those few rows
+    pinned = F.coalesce(pin, F.lit(False))
+    head = rows.orderBy(*order).limit(offset + limit + 1).withColumns({"pinned": pinned, "lead": F.lit(0)})
+    if offset == 0:
+        head = head.unionAll(rows.where(pinned).orderBy(*order).limit(1).withColumns({"pinned": F.lit(True), "lead": F.lit(1)}))
+    ranked = head.withColumn("rk", F.row_number().over(Window.partitionBy("lead").orderBy(*order)) - 1)
+    inside = (F.col("lead") == 0) & F.col("rk").between(offset, offset + limit - 1)
+    every = Window.orderBy("lead", "rk")
+    counted = ranked.withColumns({"inside": inside, "leads": F.max("lead").over(Window.partitionBy()), "plain": F.sum((inside & ~F.col("pinned")).cast("int")).over(every)})
+    used = counted.withColumn("used", F.col("inside") & (F.col("plain") <= F.lit(limit) - F.col("leads")))
+    used = used.withColumn("next_offset", (F.sum(F.col("used").cast("int")).over(Window.partitionBy()) + offset).cast("int"))
+    shown = used.where((F.col("lead") == 1) | (F.col("used") & ~F.col("pinned")))
+    return shown.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("lead"), "rk"))).select(*rows.columns, "pos", "next_offset")
 
 
 def exact_first(name: Column, query: str) -> Column:
