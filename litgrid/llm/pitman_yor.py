@@ -5,10 +5,11 @@ the words that follow it as dishes; its tables are customers of the restaurant o
 and whose base is uniform over the known words and one unknown. A state of the sampler is the number of tables of each
 dish in each restaurant; a sweep draws it anew for every dish given the others, exactly by the generalised Stirling numbers.
 Dishes with more than EXACT customers, for which those numbers would need tables that grow with the square, are seated in turn
-instead, which favours more tables than the exact draw. While a bucket sweeps, the tables of a context are those here now and those elsewhere when buckets
-last told each other, which they do after BURN_IN sweeps that are left out of the result. Then follow SAMPLES sweeps whose
-seatings are kept, and the buckets tell each other the totals of every one of them; so each sample's predictive
-probabilities come from totals that are true of it and sum to one, and the scores are those of their mean.
+instead, in blocks, which favours more tables than the exact draw. While a bucket sweeps, the tables of a context are those
+here now and those elsewhere when buckets last told each other, which they do after BURN_IN sweeps that are left out of the
+result. Then follow SAMPLES sweeps whose seatings are kept, and the buckets tell each other the totals of every one of them; so
+each sample's predictive probabilities come from totals that are true of it and sum to one, and the scores are those of
+their mean.
 
 Where things are: texts are read once. A bucket holds all occurrences of its words, each with the word before and the
 document; so what the restaurant of single words knows of a word is there, and the texts' sums go back from there. What a
@@ -52,8 +53,9 @@ END = np.uint64(0x5DEECE66D1234567)
 NAME_BITS = 40
 #: Dishes with more customers are seated in turn instead of by Stirling numbers, whose table grows with the square.
 EXACT = 512
-#: Where all totals go, and who sends the sums; who keeps a bucket's own seating for its next round.
-ROOT, KEPT = -(1 << 62), -(1 << 61)
+#: Where all totals go, and who sends the sums; who keeps a bucket's own seating for its next round. Messages to owners and the
+#: root have their round and TOLD, so that a bucket tells them from the answers.
+ROOT, KEPT, TOLD = -(1 << 62), -(1 << 61), 100
 MESSAGE = "dest long, src long, round int, payload binary"
 ARROW = pa.schema([("dest", pa.int64()), ("src", pa.int64()), ("round", pa.int32()), ("payload", pa.binary())])
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -339,39 +341,16 @@ def draw_tables(c: np.ndarray, t: np.ndarray, log_parent: np.ndarray, others: np
     return t
 
 
-def _log_gamma(x: np.ndarray) -> np.ndarray:
-    """For x > 0, by Stirling's series eight places further on."""
-    y = x + 8
-    out = (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
-    low = x.copy()
-    for k in range(1, 8):
-        low = low * (x + k) if k < 4 else low
-    return out - np.log(low) - np.log((x + 4) * (x + 5)) - np.log((x + 6) * (x + 7))
-
-
 def _seat(c: np.ndarray, parent: np.ndarray, others: np.ndarray, d: float, strength: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of dishes whose c customers sit down one after the other, each given those before but not those after.
-
-    With n seated at t tables the next one opens a table with chance new / (n - d t + new), where new is the mass of a new table.
-    That m in a row do not has the chance of a ratio of gamma functions, from which their number is drawn at once.
-    """
-    n, t = np.ones(len(c)), np.ones(len(c))
-    live = np.arange(len(c))
-    while len(live):
-        new = (strength + d * (others[live] + t[live])) * parent[live]
-        stay, left = n[live] - d * t[live], c[live] - n[live]
-        start = _log_gamma(stay) - _log_gamma(stay + new)
-        u = np.log(rng.random(len(live)))
-        low, high = np.zeros(len(live)), left  # at least `low` stay; more than `high` do not come
-        while (low < high).any():
-            mid = np.ceil((low + high) / 2)
-            fine = _log_gamma(stay + mid) - _log_gamma(stay + mid + new) - start >= u
-            low, high = np.where(fine, mid, low), np.where(fine, high, mid - 1)
-        opens = low < left
-        n[live] += low + opens
-        t[live] += opens
-        live = live[opens & (n[live] < c[live])]
-    return t.astype(np.int64)
+    """Tables of dishes whose c customers sit down in blocks that grow by a tenth, within each of which the chance of a new table stays; each block is given those before but not those after."""
+    seats, tables = np.ones(len(c)), np.ones(len(c))
+    while (seats < c).any():
+        block = np.where(seats < c, np.minimum(np.maximum(1, np.floor(seats * 0.1)), c - seats), 0)
+        new = (strength + d * (others + tables)) * parent
+        p = new / (new + np.maximum(seats - d * tables, 1e-12))
+        tables += rng.binomial(block.astype(np.int64), np.clip(p, 0, 1))
+        seats += block
+    return tables.astype(np.int64)
 
 
 class State:
@@ -454,7 +433,8 @@ class State:
 def _state(words: pa.Table, replies: pa.Table, hot: np.ndarray) -> State:
     rounds: dict[int, dict] = {}
     for turn, src, p in zip(replies["round"].to_pylist(), replies["src"].to_pylist(), replies["payload"].to_pylist(), strict=True):
-        rounds.setdefault(turn, {})[src] = unpack(p)
+        if turn < TOLD:
+            rounds.setdefault(turn, {})[src] = unpack(p)
     return State(Bucket(words, hot), words["dest"][0].as_py(), rounds)
 
 
@@ -467,8 +447,8 @@ def burn_in(sweeps: int, bits: int, hot: np.ndarray):
         s = _state(words, replies, hot)
         s.sweep(sweeps, np.random.default_rng([s.b, 1]))
         tables = s.own.by_context(s.t)
-        rows = [(ROOT, s.b, 1, pack(s.own.totals(s.t, s.t_word, False))), (s.b, KEPT, 1, pack(small(s.t), small(s.t_word)))]
-        return _rows([*rows, *((to, s.b, 1, pack(small(tables[part]))) for to, part in s.own.segments(bits))])
+        rows = [(ROOT, s.b, TOLD + 1, pack(s.own.totals(s.t, s.t_word, False))), (s.b, KEPT, 1, pack(small(s.t), small(s.t_word)))]
+        return _rows([*rows, *((to, s.b, TOLD + 1, pack(small(tables[part]))) for to, part in s.own.segments(bits))])
 
     return run
 
@@ -489,8 +469,8 @@ def sample(samples: int, bits: int, hot: np.ndarray):
             words_.append(small(s.t_word))
             tables.append(s.own.by_context(s.t))
             totals.append(s.own.totals(s.t, s.t_word, False))
-        rows = [(ROOT, s.b, 2, pack(np.concatenate(totals))), (s.b, KEPT, 2, pack(*series(seats), *series(words_)))]
-        return _rows([*rows, *((to, s.b, 2, pack(*series([x[part] for x in tables]))) for to, part in s.own.segments(bits))])
+        rows = [(ROOT, s.b, TOLD + 2, pack(np.concatenate(totals))), (s.b, KEPT, 2, pack(*series(seats), *series(words_)))]
+        return _rows([*rows, *((to, s.b, TOLD + 2, pack(*series([x[part] for x in tables]))) for to, part in s.own.segments(bits))])
 
     return run
 
@@ -572,11 +552,11 @@ def score(docs: DataFrame, folds: int = FOLDS, sweeps: int = BURN_IN, samples: i
     asked = words.applyInArrow(questions(bits, hot), MESSAGE).repartition("dest")
     replies = words.cogroup(asked.groupBy("dest")).applyInArrow(first_replies(hot), MESSAGE).repartition("dest")
     told = lambda now, turn: asked.groupBy("dest").cogroup(now.groupBy("dest")).applyInArrow(later_replies(turn), MESSAGE).repartition("dest")
-    own = F.col("src") == KEPT
+    # what a round has sent goes on as it is: a filter of it would be worked out apart, with the sweeps
     settled = words.cogroup(replies.groupBy("dest")).applyInArrow(burn_in(sweeps, bits, hot), MESSAGE).repartition("dest")
-    known = replies.unionAll(told(settled, 1)).unionAll(settled.where(own))
+    known = replies.unionAll(told(settled, 1)).unionAll(settled)
     seated = words.cogroup(known.groupBy("dest")).applyInArrow(sample(samples, bits, hot), MESSAGE).repartition("dest")
-    known = replies.unionAll(told(seated, 2)).unionAll(seated.where(own))
+    known = replies.unionAll(told(seated, 2)).unionAll(seated)
     sums = words.cogroup(known.groupBy("dest")).applyInArrow(scores(hot), MESSAGE)
     return sums.groupBy("dest").applyInArrow(_documents, OUT)
 

@@ -183,13 +183,12 @@ def exchanged(texts, bits, hot, held=10**9):
     of = lambda table, d: table.filter(pc.equal(table["dest"], d))
     dests = lambda *tables: sorted(set().union(*(t["dest"].to_pylist() for t in tables)))
     each = lambda f, *tables: pa.concat_tables([f(*(of(t, d) for t in tables)) for d in dests(*tables)])
-    kept = lambda t: t.filter(pc.equal(t["src"], pitman_yor.KEPT))
     asked = each(pitman_yor.questions(bits, hot), rows)
     replies = each(pitman_yor.first_replies(hot), rows, asked)
     settled = each(pitman_yor.burn_in(3, bits, hot), rows, replies)
-    known = pa.concat_tables([replies, each(pitman_yor.later_replies(1), asked, settled), kept(settled)])
+    known = pa.concat_tables([replies, each(pitman_yor.later_replies(1), asked, settled), settled])
     seated = each(pitman_yor.sample(4, bits, hot), rows, known)
-    known = pa.concat_tables([replies, each(pitman_yor.later_replies(2), asked, seated), kept(seated)])
+    known = pa.concat_tables([replies, each(pitman_yor.later_replies(2), asked, seated), seated])
     return [pitman_yor._state(of(rows, d), of(known, d), hot) for d in dests(rows)]
 
 
@@ -227,9 +226,9 @@ def test_predictive_probabilities_sum_to_one(common, bits):
         assert all(abs(m + back[name] - 1) < 1e-9 for name, m in mass.items())
 
 
-@pytest.mark.parametrize("n", [65, 300])
+@pytest.mark.parametrize("n", [65, 300, 512])
 def test_many_customers_are_seated_exactly(n):
-    """Tables of dishes with more customers than the Stirling numbers are used for, against those numbers."""
+    """Tables of dishes with many customers against the Stirling numbers of a table of their own."""
     rng, d, strength, parent, others = np.random.default_rng(2), 0.75, 1.0, 0.05, 3
     table, k = pitman_yor.log_stirling(n, d), np.arange(1, n + 1)
     logs = table[n, 1:] + k * math.log(parent) + np.cumsum(np.log(strength + d * (others + k - 1)))
