@@ -257,6 +257,35 @@ def test_similar_documents_meet_by_rare_words(spark, small):
     assert similar_text.candidate_pairs(queries, all_, similar_text.LEAST).count() < queries.count() * all_.count() / 2
 
 
+def test_similar_texts_in_blocks(spark):
+    """More texts than a block holds, a third of them copies, and an id in two rows: the k best by all pairs, with no join that makes pairs rows."""
+    import math
+    from collections import Counter
+
+    import numpy as np
+
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    texts = [r.choices(words, [1 / (k + 1) for k in range(400)], k=8) for _ in range(60)]
+    rows = [(i, texts[0] if i % 3 == 0 else r.choice(texts) + r.choices(words, k=3)) for i in range(similar_text.BLOCK_TEXTS + 200)]
+    got = similar_text.similar_texts(spark.createDataFrame([*rows, (1, ["w399", "w398"])], "id long, words array<string>").coalesce(1), "id % 500 = 0", 4, 0.3)
+    p = got._jdf.queryExecution().optimizedPlan().toString()
+    assert p.count("Join") == 1 and "Join Cross" in p
+    rows[1] = (1, [*rows[1][1], "w399", "w398"])
+    n, df = len(rows) + 1, Counter(w for _, t in rows for w in set(t))
+    place = {w: k for k, w in enumerate(df)}
+    m = np.zeros((len(rows), len(place)))
+    for i, t in rows:
+        for w, c in Counter(t).items():
+            m[i, place[w]] = c * math.log(n / df[w])
+    m /= np.sqrt((m * m).sum(axis=1, keepdims=True))
+    want = set()
+    for q in range(0, len(rows), 500):
+        scored = sorted((-round(float(x), 6), d) for d, x in enumerate(m @ m[q]) if d != q)
+        want |= {(q, k, d, -x) for k, (x, d) in enumerate(scored[:4], 1) if -x >= 0.3}
+    assert {(x["query_id"], x["pos"], x["id"], x["score"]) for x in got.collect()} == want
+
+
 # --- layout
 
 
