@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litgrid.session import ready_checkpoints
+from litgrid.session import ready_checkpoints, release_shuffles
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -32,6 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
         below = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         edges = below.unionAll(least.select("a", F.col("m").alias("b"))).distinct().checkpoint()
         after = _state(edges)
+        release_shuffles(edges.sparkSession)
         if after == before:
             break
         before = after

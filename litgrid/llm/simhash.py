@@ -26,7 +26,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from litgrid.llm.batches import map_texts
 from litgrid.llm.bytesops import ODD, ODD2, Words, as_bytes, mix, spread
 from litgrid.llm.components import components
-from litgrid.session import ready_checkpoints, ready_workers
+from litgrid.session import ready_checkpoints, ready_workers, release_shuffles
 
 U64 = np.uint64
 P1, P2, P3, P4, P5 = (U64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
@@ -381,6 +381,7 @@ def similar_components(docs: DataFrame, rows: DataFrame, size: int, radius: int,
     sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = keys.join(sizes, "key").checkpoint()
     shared = shared.join(shared.groupBy("node").agg(F.sum("n").alias("weight")), "node").select("key", "node", "weight").checkpoint()
+    release_shuffles(docs.sparkSession)
     stars = _with_heads(shared)
     pairs = near.unionAll(same).unionAll(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
 
@@ -395,6 +396,7 @@ def similar_components(docs: DataFrame, rows: DataFrame, size: int, radius: int,
         return pa.record_batch([pa.array(_set_names(h, n)), pa.array(parts, pa.binary())], names=["node", "shingles"])
 
     of = map_texts(texts, sets, "node long, shingles binary").join(wanted, "node", "left_semi").dropDuplicates(["node"]).checkpoint()
+    release_shuffles(docs.sparkSession)
 
     def verified(pairs: DataFrame) -> DataFrame:
         x = of.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
@@ -402,11 +404,13 @@ def similar_components(docs: DataFrame, rows: DataFrame, size: int, radius: int,
         return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long")
 
     edges = verified(pairs).checkpoint()
+    release_shuffles(docs.sparkSession)
     found = components(edges)
     for turn in range(LEADERS + 1):
         labelled = shared.join(found, "node", "left").select("key", "node", "weight", F.coalesce("component", "node").alias("component"))
         open_keys = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
         left = labelled.join(open_keys, "key", "left_semi").checkpoint()
+        release_shuffles(docs.sparkSession)
         if turn < LEADERS:
             counted = left.groupBy("key", "component").agg(F.count("*").alias("n"))
             most = counted.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"))
@@ -415,11 +419,13 @@ def similar_components(docs: DataFrame, rows: DataFrame, size: int, radius: int,
             more = _few(led.where("component <> main").join(drawn, "key").select("node", "head", F.xxhash64("node", "head").alias("at")))
         else:
             new = _in_blocks(left, of, similarity).checkpoint()
+            release_shuffles(docs.sparkSession)
             return found if new.isEmpty() else components(edges.unionAll(new))
         more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti").checkpoint()
         if more.isEmpty():
             continue
         new = verified(more).checkpoint()
+        release_shuffles(docs.sparkSession)
         pairs = pairs.unionAll(more)
         if not new.isEmpty():
             edges = edges.unionAll(new)
@@ -494,6 +500,7 @@ def keep_one(docs: DataFrame, size: int = 5, radius: int = 3, similarity: float
     spark = docs.sparkSession
     ready_workers(spark)
     ready_checkpoints(spark)
+    release_shuffles(spark)
     rows = _signatures(docs, size).checkpoint()
     found = similar_components(docs, rows, size, radius, similarity)
     of = rows.where("doc_id IS NOT NULL").select("doc_id", "node").join(found, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import corpus_pipeline
 import pytest
@@ -87,3 +88,21 @@ def test_large_group_below_the_similarity(spark, monkeypatch):
         monkeypatch.setattr(simhash, "COLUMNS", columns)
         got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
         assert sorted(x["doc_id"] for x in got.collect()) == want
+
+
+def test_rounds_leave_no_shuffles(spark):
+    """Many rounds over many partitions keep the files of the last rounds alone."""
+    from litgrid.llm.components import components
+
+    files = lambda: spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().size()
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        before = files()
+        found = components(spark.createDataFrame([(k * 7 % 64, (k + 1) * 7 % 64) for k in range(63)], "a long, b long"))
+        time.sleep(2)
+        assert files() - before < 1000
+        assert {(x["node"], x["component"]) for x in found.collect()} == {(k, 0) for k in range(64)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
