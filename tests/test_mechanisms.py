@@ -13,7 +13,7 @@ from litgrid.functions.xml import parses
 from litgrid.operators import chains, citations, handles, ranking, similar_text, spelling, tiers
 from litgrid.plans import chained, indexed
 from litgrid.session import shared_folder
-from litgrid.sources import cursor, layout
+from litgrid.sources import cursor, layout, tables
 from litgrid.streaming import flow, replies
 
 
@@ -304,6 +304,21 @@ def test_layout_prunes(spark, small):
     assert files and all(pq.ParquetFile(f).metadata.row_group(0).column(0).path_in_schema == "id" for f in files)
 
 
+# --- files and batches of bounded size
+
+
+def test_xml_files_are_bounded(spark):
+    """A task reads an XML file whole, so one writing task makes several."""
+    import inspect
+    import pathlib
+
+    assert inspect.signature(tables.write_xml).parameters["records"].default <= 100_000
+    at = folder(spark, "xml")
+    tables.write_xml(spark.range(25).select(F.col("id").alias("n")).coalesce(1), at, "r", "rs", records=10)
+    assert len(list(pathlib.Path(at.removeprefix("file:")).glob("part-*"))) == 3
+    assert sorted(x["n"] for x in tables.record_xml(spark, at, "n long", "r").collect()) == list(range(25))
+
+
 # --- sections
 
 
