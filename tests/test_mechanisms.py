@@ -8,7 +8,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from litgrid.functions import sections, variants
+from litgrid.functions import jats, sections, variants
 from litgrid.functions.xml import parses
 from litgrid.operators import chains, citations, handles, ranking, similar_text, spelling, tiers
 from litgrid.plans import chained, indexed
@@ -319,6 +319,16 @@ def test_xml_files_are_bounded(spark):
     assert sorted(x["n"] for x in tables.record_xml(spark, at, "n long", "r").collect()) == list(range(25))
 
 
+def test_articles_are_held_in_small_batches(spark):
+    """A batch of many articles leaves in parts, in order."""
+    import pyarrow as pa
+
+    whole = pa.record_batch([pa.array(range(300)), pa.array([f"<article><body><p>{k}</p></body></article>" for k in range(300)])], names=["key", "xml"])
+    parts = list(jats.parse_batches("k")([whole]))
+    assert [x.num_rows for x in parts] == [128, 128, 44]
+    assert [x for p in parts for x in p.column("k").to_pylist()] == list(range(300))
+
+
 # --- sections
 
 
