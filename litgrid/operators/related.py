@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from litgrid.operators.tiers import first_success
 
-#: Vectors and queries in a block; a pair of blocks has a matrix of scores of some 32 MB.
-VECTOR_BLOCK, QUERY_BLOCK = 4096, 1024
+#: Vectors and queries in a block; a pair of blocks has a matrix of scores of some 8 MB and a few copies of it.
+VECTOR_BLOCK, QUERY_BLOCK = 2048, 512
 BLOCK = "dims int, ids binary, vecs binary"
 
 
@@ -52,7 +52,8 @@ def _best(k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for row in range(batch.num_rows):  # a pair at a time as Python objects
+                r = batch.slice(row, 1).to_pylist()[0]
                 if r["dims"] != r["q_dims"]:
                     continue
                 q, v = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)

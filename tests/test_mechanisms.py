@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from litgrid.functions import jats, sections, variants
 from litgrid.functions.xml import parses
-from litgrid.operators import chains, citations, handles, ranking, similar_text, spelling, tiers
+from litgrid.operators import chains, citations, handles, ranking, related, similar_text, spelling, tiers
 from litgrid.plans import chained, indexed
 from litgrid.session import shared_folder
 from litgrid.sources import cursor, layout, tables
@@ -329,6 +329,11 @@ def test_articles_are_held_in_small_batches(spark):
     assert [x for p in parts for x in p.column("k").to_pylist()] == list(range(300))
 
 
+def test_blocks_of_vectors_are_small():
+    """A task's matrix of scores stays at 8 MB, as a few copies of it are held for each of an executor's tasks."""
+    assert related.VECTOR_BLOCK * related.QUERY_BLOCK * 8 <= 8 << 20
+
+
 # --- sections
 
 
