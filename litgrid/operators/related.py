@@ -18,7 +18,11 @@ BLOCK = "dims int, ids binary, vecs binary"
 
 def linked(edges: DataFrame, src: str, dst: str, order: list[str]) -> DataFrame:
     """src, dst, pos: each record's distinct links but itself, by first appearance."""
-    first = edges.where(F.col(dst).isNotNull() & (F.col(src) != F.col(dst))).groupBy(src, dst).agg(F.min(F.struct(*order)).alias("_at"))
+    own = edges.where(F.col(dst).isNotNull() & (F.col(src) != F.col(dst)))
+    if order == [dst]:  # the link is its own place: distinct ones are hashed, where the least of a struct is found by sorting
+        first = own.select(src, dst).distinct().withColumn("_at", F.col(dst))
+    else:
+        first = own.groupBy(src, dst).agg(F.min(F.struct(*order)).alias("_at"))
     return first.select(F.col(src).alias("src"), F.col(dst).alias("dst"), F.row_number().over(Window.partitionBy(src).orderBy("_at", dst)).alias("pos"))
 
 

@@ -334,6 +334,13 @@ def test_blocks_of_vectors_are_small():
     assert related.VECTOR_BLOCK * related.QUERY_BLOCK * 8 <= 8 << 20
 
 
+def test_links_in_their_own_order_are_not_sorted_to_be_distinct(spark):
+    edges = spark.createDataFrame([(1, 3), (1, 2), (1, 3), (1, 1), (2, None), (None, 4)], "a long, b long")
+    found = related.linked(edges, "a", "b", ["b"])
+    assert "SortAggregate" not in plan(found)
+    assert sorted(map(tuple, found.collect())) == [(1, 2, 1), (1, 3, 2)]
+
+
 # --- sections
 
 
