@@ -2,7 +2,8 @@
 
 Requests that give the same fields form a pattern, of which there are at most 2 ** len(FIELDS). For every pattern that occurs,
 records are grouped by its fields' values, so that a request meets one row with the number of records and the first few ids,
-however many records there are; a request with a year alone costs no more than one with a page.
+however many records there are; a request with a year alone costs no more than one with a page. Before that, where the records
+are read, a bit map of what is asked for drops the values of a record that no request has, and few others pass.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 FIELDS = ("journal", "year", "volume", "page", "author")
 #: Candidates that a reply lists.
 LISTED = 10
+#: Bits of hashes that choose a word of the bit map; its words are broadcast, so there are 2 ** WORDS of them at most.
+WORDS = 20
 
 
 def _given(c: Column) -> Column:
@@ -44,18 +47,42 @@ def _keyed(rows: DataFrame, mask: Column) -> Column:
     return F.concat_ws(" ", *each)
 
 
+def _hashed(mask: Column) -> Column:
+    """A hash of a pattern and the values of its fields."""
+    return F.xxhash64(mask, *(F.when(mask.bitwiseAND(F.lit(1 << i)) > 0, F.col(f)) for i, f in enumerate(FIELDS)))
+
+
+def _word(hashed: Column) -> Column:
+    return F.shiftrightunsigned(hashed, 64 - WORDS)
+
+
+def _bit(hashed: Column) -> Column:
+    return hashed.bitwiseAND(F.lit(63)).cast("int")
+
+
 def _requests(asked: DataFrame) -> DataFrame:
     rows = asked.select("key", *(_given(F.col(f)).alias(f) for f in FIELDS))
     rows = rows.withColumn("mask", _mask(rows))
-    return rows.select("key", "mask", _keyed(rows, F.col("mask")).alias("fields"), (F.col("journal").isNotNull() | F.col("year").isNotNull()).alias("valid"))
+    return rows.select("key", "mask", _keyed(rows, F.col("mask")).alias("fields"), _hashed(F.col("mask")).alias("hashed"), (F.col("journal").isNotNull() | F.col("year").isNotNull()).alias("valid"))
+
+
+def _wanted(requests: DataFrame) -> DataFrame:
+    """word, bits: the bit map of the hashes of valid requests, without its empty words."""
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), _bit(F.col("hashed")))
+    return requests.where("valid").groupBy(_word(F.col("hashed")).alias("word")).agg(F.bit_or(one).alias("bits"))
 
 
 def _by_pattern(requests: DataFrame, records: DataFrame, id_column: str) -> DataFrame:
-    """mask, fields, id of the records under every pattern asked for; those with a null in a pattern's fields are not under it."""
+    """mask, fields, id of the records under every pattern asked for; those with a null in a pattern's fields are not under it.
+
+    All records that a request wants are there, and few that none does.
+    """
     masks = sorted(r["mask"] for r in requests.where("valid").select("mask").distinct().collect())  # at most 2 ** len(FIELDS)
     rows = records.select(*(_given(F.col(f)).alias(f) for f in FIELDS), F.col(id_column).alias("id"))
     rows = rows.withColumn("has", _mask(rows)).withColumn("mask", F.explode(F.array(*map(F.lit, masks)) if masks else F.array().cast("array<int>")))
-    rows = rows.where(F.col("has").bitwiseAND(F.col("mask")) == F.col("mask"))
+    rows = rows.where(F.col("has").bitwiseAND(F.col("mask")) == F.col("mask")).withColumn("hashed", _hashed(F.col("mask")))
+    asked = F.call_function("shiftright", F.col("bits"), _bit(F.col("hashed"))).bitwiseAND(F.lit(1)) == 1
+    rows = rows.join(F.broadcast(_wanted(requests)), (_word(F.col("hashed")) == F.col("word")) & asked, "left_semi")
     return rows.select("mask", _keyed(rows, F.col("mask")).alias("fields"), "id")
 
 
@@ -72,8 +99,7 @@ def match(asked: DataFrame, records: DataFrame, id_column: str) -> DataFrame:
     ambiguous, none is not found; without journal and year the request is invalid. Repeated keys each give a row.
     """
     requests = _requests(asked)
-    wanted = requests.where("valid").select("mask", "fields").distinct()
-    rows = _by_pattern(requests, records, id_column).join(wanted, ["mask", "fields"], "left_semi")
+    rows = _by_pattern(requests, records, id_column)
     order = Window.partitionBy("mask", "fields").orderBy("id")
     few = rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= LISTED).groupBy("mask", "fields").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     groups = rows.groupBy("mask", "fields").agg(F.count("*").alias("n")).join(few, ["mask", "fields"])

@@ -223,6 +223,18 @@ def test_citations_by_any_fields(spark):
     assert citations.match(a.limit(0), b, "id").collect() == []
 
 
+def test_records_that_no_request_wants_are_dropped_before_they_are_dealt_out(spark):
+    """Under a pattern every record has a row; those that are not asked for would be shuffled as many times as there are patterns."""
+    kind = "journal string, year string, volume string, page string, author string"
+    records = spark.range(4000).select("id", F.lit("J").alias("journal"), F.lit("1990").alias("year"), F.lit("1").alias("volume"), F.col("id").cast("string").alias("page"), F.concat(F.lit("A"), "id").alias("author"))
+    asked = spark.createDataFrame([("a", "J", None, None, "7", None), ("b", None, "1990", None, None, "A8"), ("c", "J", None, None, "8", "A9"), ("d", None, None, None, "9", None)], f"key string, {kind}")
+    rows = citations._by_pattern(citations._requests(asked), records, "id")
+    found = {(r["fields"], r["id"]) for r in rows.collect()}
+    assert found >= {("1:j - - 1:7 -", 7), ("- 4:1990 - - 2:a8", 8)} and len(found) < 40
+    got = {x["key"]: (x["status"], x["matched_id"]) for x in citations.match(asked, records, "id").collect()}
+    assert got == {"a": ("matched", 7), "b": ("matched", 8), "c": ("not_found", None), "d": ("invalid", None)}
+
+
 # --- similar texts
 
 
