@@ -124,3 +124,23 @@ def test_jats():
     assert a["sections"][1]["text"] == "a b" and a["sections"][1]["subsections"][0]["text"] == "c\n\nDeep\n\nd"
     assert a["references"] == [{"id": "r1", "label": "1", "citation": "X Y"}]
     assert jats.parse("<article><front>")["parse_failed"] and jats.parse(None)["parse_failed"]
+
+
+def evaluated(spark, c, argument):
+    """How often the plan of an expression works out its argument."""
+    df = spark.createDataFrame([("x",)], "x string").select(c(F.expr(argument)).alias("c"))
+    return df._jdf.queryExecution().optimizedPlan().toString().count(argument.split("(")[0])
+
+
+def test_inline_tags_and_pages_take_a_text_once(spark):
+    """Each of three tags used what the one before made of a text three times, so that the first was worked out 27 times."""
+    assert evaluated(spark, T.flatten_inline, "reverse(x)") == 1
+    assert evaluated(spark, T.page_start, "reverse(x)") == 1 and evaluated(spark, T.page_end, "reverse(x)") == 1
+    assert one(spark, "a<sup>2</sup> b<sub>2</sub> <i>c</i><inf>x</inf>", T.flatten_inline) == "a² b₂ c_x"
+
+
+def test_plain_text_and_ranges_keep_their_form(spark):
+    assert [one(spark, s, cite.escape_latex) for s in ("plain", "", "\u0001a", "_")] == ["plain", "", "\\textbackslash{}a", "\\_"]
+    assert [one(spark, s, T.page_end) for s in ("12-7", " - 5", "8", "8-", "110–15")] == ["17", None, None, None, "115"]
+    bare = article(spark, authors=None, keywords=None, abstract_text=None).select(cite.ris()).first()[0].split("\n")
+    assert bare[0] == "TY  - JOUR" and bare[-1] == "ER  - " and not any(x.startswith(("AU", "KW", "AB")) for x in bare)
