@@ -29,14 +29,10 @@ FULLTEXT_URL = "https://pmc.ncbi.nlm.nih.gov/articles/"
 
 
 def _given(c: Column) -> Column:
+    """A field, null where it is empty; what is more than a field is worked out twice by it, and once by T.nonblank."""
     return F.nullif(c, F.lit(""))
 
 
-def _bind(c: Column, f) -> Column:
-    """f of a value that is worked out once, however often f uses it."""
-    return F.get(F.transform(F.array(c), f), F.lit(0))
-
-
 def year() -> Column:
     dated = F.filter("article_dates", lambda d: _given(d["year"]).isNotNull())
     return F.coalesce(_given(F.col("year")), F.get(dated, F.lit(0))["year"], F.lit(NO_DATE))
@@ -47,20 +43,20 @@ def _title() -> Column:
 
 
 def _ended(c: Column) -> Column:
-    return _bind(c, lambda x: F.when(x.endswith("."), x).otherwise(F.concat(x, F.lit("."))))
+    return T.let(c, lambda x: F.when(x.endswith("."), x).otherwise(F.concat(x, F.lit("."))))
 
 
 def _initials(a: Column) -> Column:
     """The letters of the initials, or of the parts of the first name, each with a full stop."""
     firsts = F.array_join(F.transform(F.filter(F.split(a["first_name"], r"[\s-]+"), lambda p: p != ""), lambda p: F.substring(p, 1, 1)), "")
     letters = F.regexp_replace(F.coalesce(_given(a["initials"]), firsts), r"[^\p{L}]", "")
-    return _given(F.trim(F.regexp_replace(letters, "(.)", "$1. ")))
+    return T.nonblank(F.trim(F.regexp_replace(letters, "(.)", "$1. ")))
 
 
 def _apa_author(a: Column) -> Column:
     last = F.coalesce(a["last_name"], F.lit(""))
-    initials = _initials(a)
-    return F.coalesce(_given(a["collective_name"]), F.when(initials.isNull(), last).when(last == "", initials).otherwise(F.concat(last, F.lit(", "), initials)))
+    person = T.let(_initials(a), lambda initials: F.when(initials.isNull(), last).when(last == "", initials).otherwise(F.concat(last, F.lit(", "), initials)))
+    return F.coalesce(_given(a["collective_name"]), person)
 
 
 def apa_authors(authors: Column) -> Column:
@@ -72,7 +68,7 @@ def apa_authors(authors: Column) -> Column:
             .when(n > 20, F.concat(F.array_join(F.slice(names, 1, 19), ", "), F.lit(", ... "), final))
         )
 
-    return _bind(F.transform(authors, _apa_author), joined)
+    return T.let(F.transform(authors, _apa_author), joined)
 
 
 def apa() -> Column:
@@ -81,7 +77,7 @@ def apa() -> Column:
     pages = F.coalesce(F.concat(F.lit(", "), _given(F.col("pages"))), F.lit(""))
     return F.concat_ws(
         " ",
-        _ended(_given(apa_authors(F.col("authors")))),
+        _ended(T.nonblank(apa_authors(F.col("authors")))),
         F.concat(F.lit("("), year(), F.lit(").")),
         F.concat(_title(), F.lit(".")),
         F.concat(F.lit("*"), _given(F.col("journal")), F.lit("*"), volume, pages, F.lit(".")),
@@ -112,7 +108,7 @@ def mla() -> Column:
     )
     return F.concat_ws(
         " ",
-        _ended(_given(mla_authors(F.col("authors")))),
+        _ended(T.nonblank(mla_authors(F.col("authors")))),
         F.concat(F.lit('"'), _title(), F.lit('."')),
         F.when(_given(F.col("journal")).isNotNull(), F.concat(details, F.lit("."))),
         F.concat(F.lit("https://doi.org/"), _given(F.col("doi")), F.lit(".")),
@@ -120,19 +116,19 @@ def mla() -> Column:
 
 
 def escape_latex(c: Column) -> Column:
-    """Special characters escaped once: those whose escapes have braces are set apart until the others are done."""
+    """Special characters escaped once: those whose escapes have braces are set apart until the others are done; most texts have none."""
     apart = {"\\": ("\u0001", "\\textbackslash{}"), "~": ("\u0002", "\\textasciitilde{}"), "^": ("\u0003", "\\textasciicircum{}")}
     out = F.translate(c, "".join(apart), "".join(mark for mark, _ in apart.values()))
     out = F.regexp_replace(out, r"[&%$#_{}]", r"\\$0")
     for mark, text in apart.values():
         out = F.replace(out, F.lit(mark), F.lit(text))
-    return out
+    return F.when(c.rlike(r"[\\~^&%$#_{}\x01-\x03]"), out).otherwise(c)
 
 
 def _bibtex_author(a: Column) -> Column:
-    last, first = _given(escape_latex(a["last_name"])), _given(escape_latex(a["first_name"]))
-    braced = F.concat(F.lit("{"), last, F.lit("}"))
-    return F.coalesce(F.concat(F.lit("{"), _given(escape_latex(a["collective_name"])), F.lit("}")), F.concat(braced, F.lit(", "), first), braced, first)
+    last, first = escape_latex(_given(a["last_name"])), escape_latex(_given(a["first_name"]))
+    after = F.coalesce(F.concat(F.lit(", "), first), F.lit(""))
+    return F.coalesce(F.concat(F.lit("{"), escape_latex(_given(a["collective_name"])), F.lit("}")), F.concat(F.lit("{"), last, F.lit("}"), after), first)
 
 
 def _mapped_type(table: dict[str, str], fallback: str) -> Column:
@@ -151,7 +147,7 @@ def bibtex() -> Column:
     names = F.array_join(F.filter(F.transform("authors", _bibtex_author), lambda x: x.isNotNull()), " and ")
     words = F.array_join(F.transform(all_keywords(), lambda k: F.concat(F.lit("{"), escape_latex(k), F.lit("}"))), ", ")
     fields = {
-        "author": _given(names),
+        "author": T.nonblank(names),
         "title": F.concat(F.lit("{"), escape_latex(_title()), F.lit("}")),
         "journal": escape_latex(_given(F.col("journal"))),
         "year": F.nullif(year(), F.lit(NO_DATE)),
@@ -162,7 +158,7 @@ def bibtex() -> Column:
         "doi": _given(F.col("doi")),
         "pmid": F.col("pmid"),
         "pmcid": _given(F.col("pmc_id")),
-        "keywords": _given(words),
+        "keywords": T.nonblank(words),
     }
     pairs = F.filter(F.array(*(F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in fields.items())), lambda x: x["v"].isNotNull())
 
@@ -170,11 +166,16 @@ def bibtex() -> Column:
         width = F.array_max(F.transform(kept, lambda x: F.length(x["k"])))
         return F.array_join(F.transform(kept, lambda x: F.concat(F.lit("  "), F.rpad(x["k"], width, F.lit(" ")), F.lit(" = {"), x["v"], F.lit("}"))), ",\n")
 
-    return F.concat(F.lit("@"), _mapped_type(BIBTEX_TYPES, "article"), F.lit("{pmid"), F.col("pmid"), F.lit(",\n"), _bind(pairs, entry), F.lit("\n}"))
+    return F.concat(F.lit("@"), _mapped_type(BIBTEX_TYPES, "article"), F.lit("{pmid"), F.col("pmid"), F.lit(",\n"), T.let(pairs, entry), F.lit("\n}"))
 
 
 def _tag(code: str, c: Column) -> Column:
-    return F.array_compact(F.array(F.concat(F.lit(f"{code}  - "), _given(c))))
+    return F.concat(F.lit(f"{code}  - "), _given(c))
+
+
+def _made(code: str, c: Column) -> Column:
+    """A tag of what is more than a field."""
+    return F.concat(F.lit(f"{code}  - "), T.nonblank(c))
 
 
 def ris() -> Column:
@@ -183,10 +184,11 @@ def ris() -> Column:
         return F.coalesce(_given(a["collective_name"]), F.concat(last, F.lit(", "), first), _given(last))
 
     def each(code: str, values: Column) -> Column:
-        some = F.filter(values, lambda v: _given(v).isNotNull())
-        return F.coalesce(F.transform(some, lambda v: F.concat(F.lit(f"{code}  - "), v)), F.array().cast("array<string>"))
+        return F.transform(F.filter(values, lambda v: v != ""), lambda v: F.concat(F.lit(f"{code}  - "), v))
 
-    lines = F.concat(
+    # tags and lists of tags that are null are left out
+    return F.concat_ws(
+        "\n",
         _tag("TY", _mapped_type(RIS_TYPES, "JOUR")),
         each("AU", F.transform("authors", author)),
         _tag("TI", F.col("title")),
@@ -195,35 +197,35 @@ def ris() -> Column:
         _tag("PY", F.nullif(year(), F.lit(NO_DATE))),
         _tag("VL", F.col("volume")),
         _tag("IS", F.col("issue")),
-        _tag("SP", T.page_start(F.col("pages"))),
-        _tag("EP", T.page_end(F.col("pages"))),
+        _made("SP", T.page_start(F.col("pages"))),
+        _made("EP", T.page_end(F.col("pages"))),
         _tag("SN", F.coalesce(_given(F.col("issn")), F.col("e_issn"))),
         _tag("DO", F.col("doi")),
         _tag("AN", F.col("pmid")),
         _tag("UR", F.concat(F.lit(ARTICLE_URL), F.col("pmid"), F.lit("/"))),
         _tag("UR", F.concat(F.lit(FULLTEXT_URL), _given(F.col("pmc_id")), F.lit("/"))),
         each("KW", all_keywords()),
-        _tag("AB", T.collapse(F.col("abstract_text"))),
-        F.array(F.lit("ER  - ")),
+        _made("AB", T.collapse(F.col("abstract_text"))),
+        F.lit("ER  - "),
     )
-    return F.array_join(lines, "\n")
 
 
 def vancouver() -> Column:
     """Authors by last name and initials (six at most), title, abbreviated journal, then year, volume, issue and pages."""
 
     def author(a: Column) -> Column:
-        initials = F.regexp_replace(_initials(a), r"[. ]", "")
-        return F.coalesce(_given(a["collective_name"]), F.concat(_given(a["last_name"]), F.lit(" "), initials), _given(a["last_name"]), initials)
+        last = _given(a["last_name"])
+        person = T.let(F.regexp_replace(_initials(a), r"[. ]", ""), lambda initials: F.coalesce(F.concat(last, F.lit(" "), initials), last, initials))
+        return F.coalesce(_given(a["collective_name"]), person)
 
     names = F.filter(F.transform("authors", author), lambda x: x.isNotNull())
-    shown = _bind(names, lambda x: F.concat(F.array_join(F.slice(x, 1, 6), ", "), F.when(F.size(x) > 6, ", et al").otherwise("")))
+    shown = T.let(names, lambda x: F.concat(F.array_join(F.slice(x, 1, 6), ", "), F.when(F.size(x) > 6, ", et al").otherwise("")))
     issue = F.coalesce(F.concat(F.lit("("), _given(F.col("issue")), F.lit(")")), F.lit(""))
     place = F.concat_ws(";", F.nullif(year(), F.lit(NO_DATE)), F.concat(_given(F.col("volume")), issue))
-    place = _given(F.concat_ws(":", _given(place), _given(F.col("pages"))))
+    place = T.nonblank(F.concat_ws(":", T.nonblank(place), _given(F.col("pages"))))
     return F.concat_ws(
         " ",
-        _ended(_given(shown)),
+        _ended(T.nonblank(shown)),
         F.concat(_title(), F.lit(".")),
         F.concat(F.regexp_replace(F.coalesce(_given(F.col("iso_abbreviation")), _given(F.col("journal"))), r"\.\s*$", ""), F.lit(".")),
         F.concat(place, F.lit(".")),
