@@ -1,4 +1,4 @@
-"""The sections of full texts as rows: a table function for lateral joins over JATS XML, of any depth.
+"""The sections of full texts as rows, from JATS XML of any depth; in SQL a table function for lateral joins.
 
 A row for each section in document order: its path of places from 1, its depth, order, title, label, its own text (of its
 paragraphs, not of its subsections) and that text's size in UTF-16 units, so that filters and budgets take parsed sections.
@@ -10,10 +10,13 @@ import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from litgrid.functions.jats import content
+from litgrid.functions.jats import PARSED, content
 from litgrid.session import ready_workers
 
 SECTION = "path string, parent string, depth int, ord int, title string, label string, text string, size int"
@@ -68,10 +71,27 @@ class Sections:
         yield from rows(xml)
 
 
+def parse_batches(xml: str):
+    """For mapInArrow: the other columns and SECTION's for each section, of PARSED articles at a time."""
+    arrow = to_arrow_schema(T.StructType.fromDDL(SECTION))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, PARSED):
+                batch = whole.slice(at, PARSED)
+                found = [(k, r) for k, x in enumerate(batch.column(xml).to_pylist()) for r in rows(x)]
+                own = batch.drop_columns([xml]).take(pa.array([k for k, _ in found], pa.int64()))
+                parsed = [pa.array([r[i] for _, r in found], f.type) for i, f in enumerate(arrow)]
+                yield pa.record_batch([*own.columns, *parsed], names=[*own.schema.names, *arrow.names])
+
+    return run
+
+
 def sections(articles: DataFrame, xml: str) -> DataFrame:
-    """The articles' columns but the XML, with a row for each section: a lateral join, so that filters and budgets are part of one plan."""
+    """The articles' columns but the XML, with a row for each section."""
     ready_workers(articles.sparkSession)
-    return articles.lateralJoin(Sections(F.col(xml).outer())).drop(xml)
+    schema = T.StructType([*articles.drop(xml).schema.fields, *T.StructType.fromDDL(SECTION).fields])
+    return articles.mapInArrow(parse_batches(xml), schema)
 
 
 def register(spark: SparkSession) -> None:

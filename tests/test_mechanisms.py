@@ -5,6 +5,7 @@ import re
 import time
 import uuid
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -363,6 +364,17 @@ def test_sections_of_any_depth():
     assert list(sections.rows(None)) == list(sections.rows("<a>")) == list(sections.rows("<a/>")) == []
 
 
+def test_sections_are_parsed_a_few_articles_at_a_time(spark):
+    """A batch of the table function holds the sections of 10,000 articles as Python objects."""
+    xml = "<a><body><p>x</p><sec><title>T</title><p>{}</p></sec></body></a>"
+    whole = pa.record_batch([pa.array(range(300)), pa.array([xml.format(k) if k % 2 else None for k in range(300)])], names=["key", "xml"])
+    parts = list(sections.parse_batches("xml")([whole]))
+    assert [p.num_rows for p in parts] == [128, 128, 44] and parts[0].schema.names[:2] == ["key", "path"]
+    assert [k for p in parts for k in p.column("key").to_pylist()] == [k for k in range(300) if k % 2 for _ in range(2)]
+    got = sections.sections(spark.createDataFrame([(1, xml.format("y"), "z"), (2, None, "z")], "k int, xml string, more string"), "xml")
+    assert got.columns[:2] == ["k", "more"] and [(r.k, r.more, r.path, r.title, r.text) for r in got.orderBy("ord").collect()] == [(1, "z", "1", None, "x"), (1, "z", "2", "T", "y")]
+
+
 def test_section_table_in_sql(spark):
     sections.register(spark)
     spark.createDataFrame([(1, "<a><body><sec><title>T</title><p>x</p></sec></body></a>"), (2, None)], "k int, xml string").createOrReplaceTempView("articles_of_test")
