@@ -160,6 +160,25 @@ def test_top_by_blocks_equals_all_scores(spark, monkeypatch):
     assert re.search(r"PushedFilters: \[In\(term, \[w3,w50\]\)\]", p)
 
 
+def test_index_is_dealt_out_by_blocks_of_terms(spark, monkeypatch):
+    """Tasks count the words of their documents first: a row is stored of a term and a block, whose lists hold the documents."""
+    monkeypatch.setattr(ranking, "FILE_WORDS", 100)
+    r = random.Random(7)
+    texts = [(i, " ".join(r.choices(["An", "ox", "é", "a1b", "x-y", "", "zebra\n"], k=r.randrange(0, 30)))) for i in range(-200, 200)]
+    df = spark.createDataFrame([*texts, (None, "ox"), (900, None), (901, "1 É"), (902, "ox")], "id long, text string").coalesce(1)
+    found = {(w, i): (n, len(ws)) for i, t in [*texts, (902, "ox")] for ws in [re.findall("[a-z]+", t.lower())] for w in set(ws) for n in [ws.count(w)]}
+    index = ranking.build(df, folder(spark))
+    assert {(x["term"], x["id"]): (x["tf"], x["length"]) for x in index.postings(spark).collect()} == found
+    assert index.lists(spark).count() == len({(w, i // ranking.BLOCK) for w, i in found})
+    # more words, more tasks
+    assert max(int(re.search(r"part-(\d+)", f)[1]) for f in index.postings(spark).inputFiles()) >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lists = ranking.build(df.select("id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("terms")), folder(spark))
+    assert (lists.n, lists.mean_length) == (index.n, index.mean_length) == (len({i for _, i in found}), sum(n for n, _ in found.values()) / index.n)
+    assert ranking.top(spark, lists, ["ox", "zebra"], 7).collect() == ranking.top(spark, index, ["ox", "zebra"], 7).collect()
+    empty = ranking.build(df.limit(0), folder(spark))
+    assert empty.n == 0 and ranking.top(spark, empty, ["ox"], 3).collect() == []
+
+
 # --- spelling
 
 
