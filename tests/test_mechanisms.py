@@ -217,6 +217,23 @@ def test_spelling_pairs_are_few(spark, small):
     assert pairs < 0.01 * asked.count() * entries.count()
 
 
+def test_deletions_have_one_hash_each(spark):
+    """A word has as many keys as strings that deletions leave of it, and equal strings have equal keys, whatever they come from."""
+    words = ["", "a", "aa", "ab", "ba", "aba", "é😀a", "banana", "bandana", "abcdefghijklmnopqrstuvwx"]
+    where, keys = spelling.deletions(pa.array(words))
+    own = {w: {w[:i] + w[i + 1 : j] + w[j + 1 :] for i in range(len(w)) for j in range(i + 1, len(w))} | {w[:i] + w[i + 1 :] for i in range(len(w))} | {w} for w in words}
+    found = {w: set(keys[where == k].tolist()) for k, w in enumerate(words)}
+    assert [len(found[w]) for w in words] == [len(own[w]) for w in words] and len(keys) == sum(map(len, own.values()))
+    assert all(len(found[v] & found[w]) == len(own[v] & own[w]) for v in words for w in words)
+    rows = spark.createDataFrame([(w, k) for k, w in enumerate(words)], "entry string, n long")
+    assert {(x["n"], x["key"]) for x in spelling.keyed(rows, "entry").collect()} == set(zip(where.tolist(), keys.tolist(), strict=True))
+
+
+def test_spelling_reads_the_texts_once(spark, small):
+    p = plan(indexed.spelling_index(spark, small))
+    assert "documents.parquet" not in p and "Scan ExistingRDD" in p  # the vocabulary is kept before it is read for either side
+
+
 # --- citations
 
 
