@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litgrid.functions import text as T
+from litgrid.sources.tables import dealt
 
 # fixed values: why an identifier has no open-access copy, and how many candidates a provider is asked to resolve
 NO_OA = {"invalid": "Invalid DOI", "unknown": "DOI unknown to the index", "malformed": "Invalid DOI format", "closed": "No open-access copy indexed", "unusable": "OA flagged but no usable location URL"}
@@ -117,11 +118,12 @@ def coverage_fallback(asked: DataFrame, key: str, primary: DataFrame, articles:
     The fallbacks are asked in turn, for references only, and only for records the first provider has no links of and whose
     article is known by a title: of others nothing is known, and the empty answer stays.
     """
-    out = primary.join(asked.select(key).distinct(), key, "left_semi").withColumns({"provider": F.lit("first"), "fallback": F.lit(None).cast("string")})
+    wanted = dealt(asked.select(key), key).distinct()
+    out = primary.join(wanted, key, "left_semi").withColumns({"provider": F.lit("first"), "fallback": F.lit(None).cast("string")})
     if relationship != "references":
         return out
-    known = articles.where(F.col("title").isNotNull() & (F.trim("title") != "")).select(key).distinct()
-    left = asked.select(key).distinct().join(primary.select(key).distinct(), key, "left_anti").join(known, key, "left_semi")
+    known = dealt(articles.where(F.col("title").isNotNull() & (F.trim("title") != "")).select(key), key).distinct()
+    left = wanted.join(primary.select(key).distinct(), key, "left_anti").join(known, key, "left_semi")
     for name, links in fallbacks:
         own = links.join(left, key, "left_semi").withColumns({"provider": F.lit(name), "fallback": F.lit("references_coverage")})
         out = out.unionByName(own)

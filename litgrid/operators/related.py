@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litgrid.operators.tiers import first_success
+from litgrid.sources.tables import dealt
 
 #: Vectors and queries in a block; a pair of blocks has a matrix of scores of some 8 MB and a few copies of it.
 VECTOR_BLOCK, QUERY_BLOCK = 2048, 512
@@ -18,7 +19,7 @@ BLOCK = "dims int, ids binary, vecs binary"
 
 def linked(edges: DataFrame, src: str, dst: str, order: list[str]) -> DataFrame:
     """src, dst, pos: each record's distinct links but itself, by first appearance."""
-    own = edges.where(F.col(dst).isNotNull() & (F.col(src) != F.col(dst)))
+    own = dealt(edges.where(F.col(dst).isNotNull() & (F.col(src) != F.col(dst))), src)  # once for both steps
     if order == [dst]:  # the link is its own place: distinct ones are hashed, where the least of a struct is found by sorting
         first = own.select(src, dst).distinct().withColumn("_at", F.col(dst))
     else:

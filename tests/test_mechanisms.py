@@ -179,6 +179,24 @@ def test_index_is_dealt_out_by_blocks_of_terms(spark, monkeypatch):
     assert empty.n == 0 and ranking.top(spark, empty, ["ox"], 3).collect() == []
 
 
+# --- links of many records
+
+
+def test_links_are_dealt_out_by_their_number(spark, monkeypatch):
+    """More links, more tasks: one exchange by the record for distinct links and their places, whatever the session's number of tasks is."""
+    edges = spark.createDataFrame([(k % 30, k * 7 % 11, k % 5, k % 3) for k in range(300)], "a long, b long, n int, m int")
+    whole = sorted(tuple(r) for r in related.linked(edges, "a", "b", ["n", "m"]).collect())
+    monkeypatch.setattr(tables, "TASK_ROWS", 25)
+    found = related.linked(edges, "a", "b", ["n", "m"])
+    own = edges.where("a <> b").count()
+    p = plan(found)
+    assert sorted(tuple(r) for r in found.collect()) == whole
+    assert p.count("Exchange") == 1 and re.search(rf"hashpartitioning\(a#\d+L, {-(-own // 25)}\)", p)
+    asked, titles = spark.range(30).select(F.col("id").alias("src")), spark.range(30).select(F.col("id").alias("src"), F.lit("t").alias("title"))
+    got = [sorted(map(tuple, chains.coverage_fallback(asked, "src", found.where("src < 9"), titles, [("x", found.where("src < 12"))], "references").select("src", "dst", "provider").collect())) for _ in (monkeypatch.setattr(tables, "TASK_ROWS", 5), monkeypatch.undo())]
+    assert got[0] == got[1] == sorted((a, b, "first" if a < 9 else "x") for a, b, _ in whole if a < 12)
+
+
 # --- spelling
 
 
