@@ -148,10 +148,11 @@ class Bucket:
 
     def __init__(self, messages: pa.Table, hot: np.ndarray) -> None:
         got = sorted(zip(messages["src"].to_pylist(), messages["payload"].to_pylist(), strict=True))
-        words, names, docs, train, self.batches, offset = [], [], [], [], [], 0
+        words, repeats, names, docs, train, self.batches, offset = [], [], [], [], [], [], 0
         for src, payload in got:
             w, counts, steps, at, doc, bits, n = unpack(payload)
-            words.append(np.repeat(w, counts.astype(np.int64)))
+            words.append(w)
+            repeats.append(counts.astype(np.int64))
             names.append(np.cumsum(steps.astype(np.uint64))[at])
             train.append(np.unpackbits(bits, count=int(n[0])).astype(bool)[doc])
             own, at_doc = np.unique(doc, return_inverse=True)  # the batch's documents that have words here
@@ -160,7 +161,8 @@ class Bucket:
             offset += len(own)
         self.n_docs, self.doc = offset, np.concatenate(docs)
         self.words, index = np.unique(np.concatenate(words), return_inverse=True)
-        del words
+        index = np.repeat(index, np.concatenate(repeats))  # a message has a word once
+        del words, repeats
         key = (index.astype(np.uint64) << np.uint64(NAME_BITS)) | np.concatenate(names)
         del names, index
         order = np.argsort(key, kind="stable")
@@ -325,11 +327,20 @@ def log_stirling(n: int, d: float) -> np.ndarray:
     return s
 
 
+def alike(c: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The numbers of customers from 2 to EXACT that occur, by size, and the dishes that have them, in their order; found by one sort instead of a look at all dishes for each number."""
+    some = np.flatnonzero((c > 1) & (c <= EXACT))
+    some = some[np.argsort(c[some].astype(np.int16), kind="stable")]
+    cuts = [0, *(np.flatnonzero(np.diff(c[some])) + 1).tolist(), len(some)]
+    for a, z in zip(cuts, cuts[1:], strict=False):
+        if z > a:
+            yield int(c[some[a]]), some[a:z]
+
+
 def draw_tables(c: np.ndarray, t: np.ndarray, log_parent: np.ndarray, others: np.ndarray, d: float, strength: float, rng: np.random.Generator, stirling: np.ndarray) -> np.ndarray:
     """New numbers of tables for dishes with c customers; others: the tables of the other dishes of the restaurant."""
     t = t.copy()
-    for n in np.unique(c[(c > 1) & (c <= EXACT)]):
-        who = np.flatnonzero(c == n)
+    for n, who in alike(c):
         k = np.arange(1, n + 1)
         # a table more: the parent's chance of the dish, and the chance to open it in this restaurant
         open_one = np.cumsum(np.log(strength + d * (others[who][:, None] + k - 1)), axis=1)

@@ -342,3 +342,11 @@ def test_messages_follow_the_contexts():
         return sum(pitman_yor.questions(bits, hot)(pa.Table.from_pylist([r], schema=pitman_yor.ARROW)).num_rows for r in sent)
 
     assert rows(40, 12) <= 40 * 41 + 4096 and rows(80, 12) <= 2 * rows(40, 12) and rows(40, 16) <= 40 * 41 * 2
+
+
+def test_dishes_are_grouped_by_one_sort():
+    """A sweep looks at its dishes once, not once for each number of customers that occurs; the groups and their order are the same."""
+    c = np.random.default_rng(3).integers(0, pitman_yor.EXACT + 40, 5000)
+    want = [(n, np.flatnonzero(c == n).tolist()) for n in np.unique(c[(c > 1) & (c <= pitman_yor.EXACT)]).tolist()]
+    assert [(n, who.tolist()) for n, who in pitman_yor.alike(c)] == want
+    assert list(pitman_yor.alike(np.array([0, 1, pitman_yor.EXACT + 1]))) == list(pitman_yor.alike(c[:0])) == []
