@@ -353,6 +353,66 @@ def test_similar_texts_in_blocks(spark):
     assert {(x["query_id"], x["pos"], x["id"], x["score"]) for x in got.collect()} == want
 
 
+def test_similar_texts_of_two_languages_lie_in_blocks_of_their_own():
+    """Alternating texts of two vocabularies and a few common words: a block is of one kind, and all texts lie in one block."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    texts = [np.r_[r.integers(0, 300, 40) + 1000 * (i % 2), r.integers(5000, 5003, 2)] for i in range(900)]
+    frequent, weights = similar_text._kinds(texts[:400])
+    batch = pa.record_batch({"id": pa.array(range(900)), "words": pa.array([t.tolist() for t in texts], pa.list_(pa.int64()))})
+
+    def kinds(part):
+        at = [np.bincount(np.searchsorted(frequent, [w for w in t if w in frequent]), minlength=len(frequent)) for t in part.column("words").to_pylist()]
+        return (np.array(at) @ weights).argmax(axis=1)
+
+    size = lambda part: part.column("words").value_lengths().to_numpy()
+    blocks = [x.column("id").to_pylist() for _, x in similar_text._by_kind(iter([batch.slice(0, 500), batch.slice(500)]), kinds, size, 100)]
+    assert sorted(sum(blocks, [])) == list(range(900)) and all(len(b) <= 100 and len({i % 2 for i in b}) == 1 for b in blocks)
+
+
+def test_similar_texts_keep_every_pair_that_counts(monkeypatch):
+    """What two blocks give against their plain product, whichever words are a product of matrices; nearly equal scores are told apart in double precision."""
+    import numpy as np
+
+    r = np.random.default_rng(4)
+
+    def side(n, copies):
+        m = r.random((n, 60)) * (r.random((n, 60)) < r.random(60))
+        m[copies] = m[copies[0]] + 1e-7 * r.random((len(copies), 60))
+        m[-1] = 0
+        m /= np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-9)
+        word, at = np.nonzero(m.T)
+        words, per = np.unique(word, return_counts=True)
+        return m, (words, per, at, m.T[word, at])
+
+    (left, q), (right, d) = side(30, [3, 4]), side(50, list(range(10, 40)))
+    want, floor = left @ right.T, np.where(np.arange(30) % 2, 0.3, 0.6)
+    for dense, pairs in ((0.0, 10), (1.0, 10), (0.1, 10**6)):
+        monkeypatch.setattr(similar_text, "DENSE", dense)
+        monkeypatch.setattr(similar_text, "PAIRS", pairs)
+        terms, a, b = similar_text._shared(q, d, 30, 50)
+        for most in (3, 50):
+            got = {}
+            for rows, columns in similar_text._reachable(a.lengths(), b.lengths(), floor):
+                i, j, s = similar_text._scores(terms, a.only(rows), b.only(columns), floor[rows], most)
+                got |= {(x, y): z for x, y, z in zip(rows[i].tolist(), columns[j].tolist(), s.tolist(), strict=True)}
+            assert all(abs(want[p] - s) < 1e-14 for p, s in got.items())
+            for i in range(30):
+                best = [j for j in np.argsort(-want[i], kind="stable")[:most] if want[i, j] >= floor[i]]
+                assert all((i, j) in got for j in best)
+
+
+def test_similar_texts_that_share_too_little_are_no_matrix():
+    import numpy as np
+
+    # no row reaches a column: nothing is to be looked at; one long column alone brings its rows
+    assert similar_text._reachable(np.full(4, 0.4), np.full(6, 0.4), np.full(4, 0.2)) == []
+    parts = similar_text._reachable(np.array([0.9, 0.1, 0.1, 0.1]), np.array([0.1, 0.1, 0.9, 0.1, 0.1, 0.3]), np.full(4, 0.2))
+    assert [(a.tolist(), b.tolist()) for a, b in parts] in ([([0], [2, 5])], [([0], [2]), ([0], [5])])
+
+
 # --- layout
 
 
