@@ -91,6 +91,37 @@ def test_recall_on_the_table(spark, small, sf):
     assert hit >= 0.9 * 5 * len(got) and len(got) == (ids % 50 == 0).sum()
 
 
+def test_reach_is_measured(spark):
+    """Vectors whose nearest ones are far off: the limit by their number alone misses many; the measured one reaches them."""
+    rows = list(enumerate(unit(1500, 192, 4)))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    queries, x = df.where("vec_id % 25 = 0"), np.array([v for _, v in rows])
+
+    def recall(limit):
+        got, hit = {}, 0
+        for r in neighbours.nearest(df, queries, limit=limit).collect():
+            got.setdefault(r["query_id"], set()).add(r["vec_id"])
+        for i in range(0, 1500, 25):
+            s = x @ x[i]
+            s[i] = -9
+            hit += len(got[i] & set(np.argsort(-s)[:5].tolist()))
+        return hit / 300
+
+    assert recall(neighbours.reach(1500)) < 0.9 <= recall(None)
+
+
+def test_needed_limit_is_what_finds(spark):
+    """A pair is found by the limit that it needs, and not by less."""
+    rows = list(enumerate(unit(40, 16, 6)))
+    x = np.array([v for _, v in rows])
+    for i, j in ((0, 1), (2, 3), (4, 5), (6, 7)):
+        least = int(neighbours.needed(x[i : i + 1], x[j : j + 1], 2)[0])
+        pair = spark.createDataFrame([rows[i], rows[j]], "vec_id long, embedding array<double>")
+        for limit in {least, least - 1} - {0}:
+            found = neighbours._search(neighbours._sound(pair), neighbours._sound(pair.where(f"vec_id = {i}")), 16, 1, 2, limit, 1, neighbours.SEED).collect()
+            assert len(found) == (limit >= least)
+
+
 def test_parts_of_a_block_give_the_same(spark, monkeypatch):
     rows = list(enumerate(unit(300, 16, 1)))
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
